@@ -1,18 +1,23 @@
 """SentencePiece encoding and decoding by batched Viterbi in numpy.
 
-The pieces of a model file and their scores form a lattice over each word; the
-path of the highest total score is the encoding (the unigram rule of
-SentencePiece). Distinct words of equal length advance together: at every end
-position, substrings of every length are looked up at once by probing sorted
-hashes of the pieces, and vectorised maxima store the backpointers.
-Characters without a piece fall back to byte pieces, so that decoding gives
-back the text.
+The pieces of a model file form a lattice over each word. Distinct words of
+equal length advance together: at every end position, substrings of every
+length are looked up at once by probing sorted hashes of the pieces, and
+vectorised maxima store the backpointers. In a unigram model a path's value is
+the sum of its scores. In a BPE model only paths that the merges could have
+left behind count: a sequence of pieces is what the merges give exactly if
+every two neighbours are (a merge over a border depends on the two pieces at
+it alone), so a piece may follow another only if their text merges back to
+just these two, and exactly one piece remains for each end. Characters without
+a piece fall back to byte pieces, so that decoding gives back the text.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,15 +27,21 @@ from pyspark.sql import functions as F
 from casewright.llm.common import extended, free_name
 
 SPACE = "▁"
-#: Total scores closer than this count as equal; the longer last piece then wins.
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
-#: Words remembered by a task; beyond it the memory is emptied, which changes no result.
+#: What stands before a word's first piece, and in place of a character without one.
+START, UNKNOWN = -2, -1
+#: Words and pairs of pieces remembered by a task; beyond it the memory is emptied, which changes no result.
 _REMEMBERED = 400_000
+_LINES = re.compile(r"(\n)")
+_MARKS_AT_END = re.compile(r"(?<=[^\W\d_])[.,!?;:%$&*#|]+$")
 
 
 @dataclass
 class Pieces:
-    """A model's pieces: sorted hashes with ids and scores, byte ids, and the score of an unknown character."""
+    """A model's pieces: sorted hashes with ids and scores, byte ids, and the score of an unknown character.
+
+    merges is the score of each piece of a BPE model, None for a unigram model.
+    """
 
     hashes: np.ndarray
     ids: np.ndarray
@@ -40,10 +51,15 @@ class Pieces:
     unknown: float
     texts: list[str]
     byte_of: dict[int, int]
+    merges: dict[str, float] | None = None
+
+    def __post_init__(self) -> None:
+        self.pairs, self.allowed = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.halves: dict[str, tuple[str, str] | None] = {}
 
     @classmethod
     def load(cls, path: str) -> Pieces:
-        from sentencepiece import SentencePieceProcessor
+        from sentencepiece import SentencePieceProcessor, sentencepiece_model_pb2
 
         model = SentencePieceProcessor(model_file=path)
         texts = [model.id_to_piece(i) for i in range(model.get_piece_size())]
@@ -61,13 +77,76 @@ class Pieces:
         byte_ids = np.zeros(256, np.int32)
         for i, b in byte_of.items():
             byte_ids[b] = i
-        return cls(keys[order], np.array(usual, np.int32)[order], scores[order], max(len(texts[i]) for i in usual), byte_ids, float(scores.min()) - 10.0, texts, byte_of)
+        spec = sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto()).trainer_spec
+        merges = {texts[i]: model.get_score(i) for i in usual} if spec.model_type == spec.BPE else None
+        return cls(keys[order], np.array(usual, np.int32)[order], scores[order], max(len(texts[i]) for i in usual), byte_ids, float(scores.min()) - 10.0, texts, byte_of, merges)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the sorted table and whether the hash is there."""
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         return at, self.hashes[at] == hashes
 
+    def merged(self, text: str, stop: int = 1) -> list[str]:
+        """The pieces that the merges of a BPE model leave of a short text (or make of it until so few are left): best score first, then leftmost."""
+        parts = list(text)
+        while len(parts) > stop:
+            score, at = max((self.merges.get(a + b, -np.inf), -i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            if score == -np.inf:
+                break
+            parts[-at : 2 - at] = [parts[-at] + parts[1 - at]]
+        return parts
+
+    def may_follow(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Whether each piece may stand after the one before it in a BPE encoding; answers are remembered."""
+        keys = (before.astype(np.int64) + 2) << 32 | ids
+        at, known = self._answers(keys)
+        if not known.all():
+            if len(self.pairs) > 4 * _REMEMBERED:
+                self.pairs, self.allowed, known = self.pairs[:0], self.allowed[:0], known & False
+            new = np.unique(keys[~known])
+            fresh = [self._mergeable((key >> 32) - 2, key & 0xFFFFFFFF) for key in new.tolist()]
+            pairs = np.concatenate([self.pairs, new])
+            order = np.argsort(pairs, kind="stable")
+            self.pairs, self.allowed = pairs[order], np.concatenate([self.allowed, np.array(fresh, bool)])[order]
+            at, _ = self._answers(keys)
+        return self.allowed[at]
+
+    def _halves_of(self, text: str) -> tuple[str, str] | None:
+        """The two parts whose merge makes a piece last; empty for one character, None if the merges never make it."""
+        if text not in self.halves:
+            parts = self.merged(text, stop=2)
+            self.halves[text] = ("", "") if len(text) == 1 else tuple(parts) if len(parts) == 2 and "".join(parts) in self.merges else None
+        return self.halves[text]
+
+    def _mergeable(self, before: int, piece: int) -> bool:
+        """Undoes the merges of both pieces at their border, latest first: no earlier merge may lie over it."""
+        right = self.texts[piece]
+        if right not in self.merges or self._halves_of(right) is None:
+            return False
+        if before < 0:
+            return True
+        left = self.texts[before]
+        if left not in self.merges:
+            return False
+        limit = np.inf
+        while True:
+            over = self.merges.get(left + right)
+            if over is not None and -over < limit:
+                return False
+            left_rank, right_rank = (-self.merges[t] if len(t) > 1 else -1.0 for t in (left, right))
+            if left_rank > right_rank:
+                limit, left = left_rank, self._halves_of(left)[1]
+            elif len(right) > 1:
+                limit, right = right_rank + 0.5, self._halves_of(right)[0]  # at equal scores the merge further left is first
+            else:
+                return True
+
+    def _answers(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.pairs):
+            return np.zeros(len(keys), int), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        return at, self.pairs[at] == keys
+
 
 def _extend(state: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Hashes of substrings one character longer."""
@@ -105,7 +184,8 @@ def _batch(codes: np.ndarray, pieces: Pieces) -> list[np.ndarray]:
     best = np.full((n, length + 1), -np.inf)
     best[:, 0] = 0.0
     back = np.zeros((n, length + 1), np.int32)  # start of the last piece
-    token = np.full((n, length + 1), -1, np.int32)  # its id, -1 for bytes
+    token = np.full((n, length + 1), UNKNOWN, np.int32)  # its id
+    token[:, 0] = START
     longest = min(pieces.longest, length)
     states = np.zeros((n, 0), np.uint64)  # hashes of the substrings that start at the last `longest` places
     for end in range(1, length + 1):
@@ -113,28 +193,44 @@ def _batch(codes: np.ndarray, pieces: Pieces) -> list[np.ndarray]:
         states = _extend(states, codes[:, end - 1 : end])
         first = end - states.shape[1]
         at, known = pieces.find(states)
+        single = known[:, -1].copy()
+        if pieces.merges is not None:
+            known[known] = pieces.may_follow(token[:, first:end][known], pieces.ids[at[known]])
         value = np.where(known, best[:, first:end] + pieces.scores[at], -np.inf)
-        single = known[:, -1]
         value[:, -1] = np.where(single, value[:, -1], best[:, end - 1] + pieces.unknown)
         pick = value.argmax(axis=1)  # the longest piece wins a tie
         rows = np.arange(n)
         best[:, end] = value[rows, pick]
         back[:, end] = first + pick
-        token[:, end] = np.where(known[rows, pick], pieces.ids[at[rows, pick]], -1)
-    found = []
-    for row in range(n):
-        ids: list[int] = []
-        end = length
-        while end:
-            if token[row, end] >= 0:
-                ids.append(int(token[row, end]))
-            else:
-                ids += [int(pieces.byte_ids[b]) for b in reversed(chr(int(codes[row, end - 1])).encode())]
-            end = int(back[row, end])
-        found.append(np.array(ids[::-1], np.int32))
+        token[:, end] = np.where(known[rows, pick], pieces.ids[at[rows, pick]], UNKNOWN)
+    steps = []
+    ends = np.full(n, length)
+    rows = np.arange(n)
+    while ends.any():
+        steps.append(np.where(ends > 0, token[rows, ends], START))
+        ends = np.where(ends > 0, back[rows, ends], 0)
+    table = np.stack(steps[::-1], axis=1)
+    used = table != START
+    found = np.split(table[used].astype(np.int32), used.sum(axis=1).cumsum()[:-1])
+    for row in np.flatnonzero((table == UNKNOWN).any(axis=1)).tolist():
+        found[row] = _with_bytes(found[row].tolist(), codes[row], pieces)
     return found
 
 
+def _with_bytes(tokens: list[int], codes: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """A word's ids, with the byte pieces of its unknown characters in their places."""
+    ids: list[int] = []
+    at = 0
+    for t in tokens:
+        if t == UNKNOWN:
+            ids += [int(pieces.byte_ids[b]) for b in chr(int(codes[at])).encode()]
+            at += 1
+        else:
+            ids.append(t)
+            at += len(pieces.texts[t])
+    return np.array(ids, np.int32)
+
+
 def split_words(text: str) -> list[str]:
     """The text with a space in front and spaces as SPACE, cut before each run of spaces; no piece spans a cut."""
     parts = text.replace(" ", SPACE).split(SPACE)
@@ -152,17 +248,38 @@ class Encoder:
     """Encodes and decodes texts, remembering the ids of words."""
 
     def __init__(self, pieces: Pieces):
-        self.pieces, self.memory = pieces, {}
+        self.pieces, self.memory, self.ends = pieces, {}, {}
+        self.cut_lines = not any("\n" in t for t in pieces.texts)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; none for null or empty texts."""
         split = [split_words(t) if t else [] for t in texts]
+        if self.cut_lines:  # no piece spans a character that has none
+            split = [[p for w in words for p in (_LINES.split(w) if "\n" in w else (w,)) if p] for words in split]
         if len(self.memory) > _REMEMBERED:
             self.memory.clear()
-        new = list({w for words in split for w in words if w not in self.memory})
-        self.memory.update(zip(new, (ids.tobytes() for ids in viterbi(new, self.pieces)), strict=True))
+            self.ends.clear()
+        self._learn({w for words in split for w in words if w not in self.memory})
         return [np.frombuffer(b"".join(map(self.memory.__getitem__, words)), np.int32) for words in split]
 
+    def _learn(self, new: set[str]) -> None:
+        """Encodes words. A word with marks at its end is put together from its two parts where the pieces at the border allow it."""
+        cut = {} if self.pieces.merges is None else {w: m.start() for w in new if (m := _MARKS_AT_END.search(w))}
+        parts = {p for w, i in cut.items() for p in (w[:i], w[i:])}
+        whole = list({p for p in parts | (new - cut.keys()) if p not in self.memory and p not in self.ends})
+        found = dict(zip(whole, viterbi(whole, self.pieces), strict=True))
+        ends = {w[i:] for w, i in cut.items()}
+        for word, ids in found.items():
+            (self.ends if word in ends else self.memory)[word] = ids.tobytes()
+        words = list(cut)
+        left = [self.memory[w[: cut[w]]] for w in words]
+        right = [self.ends[w[cut[w] :]] for w in words]
+        border = np.array([(int.from_bytes(a[-4:], "little"), int.from_bytes(b[:4], "little")) for a, b in zip(left, right, strict=True)], np.int64).reshape(-1, 2)
+        apart = self.pieces.may_follow(border[:, 0], border[:, 1]) if words else []
+        joined = [w for w, ok in zip(words, apart, strict=True) if not ok]
+        self.memory.update((w, a + b) for w, a, b, ok in zip(words, left, right, apart, strict=True) if ok)
+        self.memory.update(zip(joined, (ids.tobytes() for ids in viterbi(joined, self.pieces)), strict=True))
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids: byte pieces are joined, SPACE is a space, and the space in front goes."""
         texts, byte_of, out, run = self.pieces.texts, self.pieces.byte_of, [], bytearray()
@@ -179,6 +296,12 @@ class Encoder:
         return text[1:] if text.startswith(" ") else text
 
 
+@lru_cache(maxsize=4)
+def encoder(model_path: str) -> Encoder:
+    """One encoder for each worker process; what it remembers serves all its tasks."""
+    return Encoder(Pieces.load(model_path))
+
+
 def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text") -> DataFrame:
     """All columns of docs and piece_ids (array of int), n_pieces.
 
@@ -190,11 +313,11 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text") -
     at = names.index(docs.select(text_col).columns[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Pieces.load(model_path))
+        own = encoder(model_path)
         for batch in batches:
             found: list[np.ndarray] = []
             for start in range(0, batch.num_rows, 256):
-                found += encoder.encode(batch.column(at).slice(start, 256).to_pylist())
+                found += own.encode(batch.column(at).slice(start, 256).to_pylist())
             sizes = np.array([len(f) for f in found], np.int64)
             flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int32), pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], sizes.cumsum()]), pa.int32()), flat)
@@ -209,9 +332,9 @@ def decode_documents(encoded: DataFrame, model_path: str, ids_col: str = "piece_
     new, at = free_name("piece_text", names), names.index(encoded.select(ids_col).columns[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Pieces.load(model_path))
+        own = encoder(model_path)
         for batch in batches:
-            texts = [None if ids.as_py() is None else encoder.decode(np.array(ids.as_py(), np.int32)) for ids in batch.column(at)]
+            texts = [None if ids.as_py() is None else own.decode(np.array(ids.as_py(), np.int32)) for ids in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*names, new])
 
     return encoded.mapInArrow(run, extended(encoded.schema, {new: "string"}))
