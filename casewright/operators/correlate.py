@@ -34,36 +34,41 @@ def support_confidence(n_tools: Column, n_items: Column, base: int = 75) -> Colu
     return F.least(hundredths, F.lit(99)) / 100.0
 
 
-def key_rows(items: DataFrame, column: str) -> DataFrame:
-    """One row for each item and key of one kind; expects the columns of with_signals()."""
-    keys = F.col(column) if column != "ts_bucket" else F.array("ts_bucket")
+def key_rows(items: DataFrame, *columns: str) -> DataFrame:
+    """One row for each item and key of the given kinds (all by default), from one pass; expects with_signals()."""
     match = F.col("ioc_match") if "ioc_match" in items.columns else F.array().cast("array<string>")
-    rows = items.select("case_id", F.lit(KINDS[column]).alias("correlation_type"), F.explode(F.array_distinct(keys)).alias("key"), "artifact_id", "source_tool", "evidence_type", "severity", "confidence", "seq", match.alias("ioc_match"))
-    return rows.where("key <> ''")
+    kinds = columns or tuple(KINDS)
 
+    def keyed(c: str) -> Column:
+        keys = F.array_distinct(F.col(c) if c != "ts_bucket" else F.array(c))
+        return F.transform(keys, lambda k: F.struct(F.lit(KINDS[c]).alias("correlation_type"), k.alias("key")))
 
-def shared_key_findings(items: DataFrame, column: str) -> DataFrame:
+    rows = items.select("case_id", F.explode(F.concat(*map(keyed, kinds))).alias("_k"), "artifact_id", "source_tool", "evidence_type", "severity", "confidence", "seq", match.alias("ioc_match"))
+    return rows.select("case_id", "_k.correlation_type", "_k.key", *rows.columns[2:]).where("key <> ''")
+
+
+def shared_key_findings(items: DataFrame, *columns: str) -> DataFrame:
     """A row for each key that at least two items share and that passes the kind's rule.
 
     same_pid needs two tools or a type beyond those that restate a process;
     same_domain needs two tools or two types. Counts, the anchor (C06) and the
     tools are partial aggregates; no group is collected.
     """
-    rows = key_rows(items, column).withColumn("_order", order_struct())
+    rows = key_rows(items, *columns).withColumn("_order", order_struct())
     informative = F.max((~F.col("evidence_type").isin(PROCESS_IDENTITY_TYPES)).cast("int"))
     tools = F.array_sort(F.collect_set(F.nullif(F.col("source_tool"), F.lit(""))))
-    groups = rows.groupBy("case_id", "correlation_type", "key").agg(F.count("*").alias("n_items"), tools.alias("source_tools"), F.countDistinct("source_tool").alias("n_sources"), F.countDistinct("evidence_type").alias("n_types"), informative.alias("informative"), F.min_by("artifact_id", "_order").alias("anchor"))
-    kept = groups.where("n_items >= 2")
-    if column == "pids":
-        kept = kept.where("n_sources >= 2 or informative = 1")
-    if column == "domains":
-        kept = kept.where("n_sources >= 2 or n_types >= 2")
+    types = F.size(F.collect_set("evidence_type"))  # tools and types are few, so their sets are small
+    groups = rows.groupBy("case_id", "correlation_type", "key").agg(F.count("*").alias("n_items"), tools.alias("source_tools"), types.alias("n_types"), informative.alias("informative"), F.min_by("artifact_id", "_order").alias("anchor"))
+    several = F.size("source_tools") >= 2
+    by_pid = (F.col("correlation_type") != "same_pid") | several | (F.col("informative") == 1)
+    by_domain = (F.col("correlation_type") != "same_domain") | several | (F.col("n_types") >= 2)
+    kept = groups.where((F.col("n_items") >= 2) & by_pid & by_domain)
     return kept.select("case_id", "correlation_type", "key", "anchor", "n_items", "source_tools", support_confidence(F.size("source_tools"), F.col("n_items")).alias("confidence"))
 
 
-def finding_members(items: DataFrame, findings: DataFrame, column: str) -> DataFrame:
-    """The members of shared-key findings: case_id, correlation_type, key, anchor, artifact_id, confidence."""
-    rows = key_rows(items, column).select("case_id", "correlation_type", "key", "artifact_id", "source_tool", "evidence_type", "seq")
+def finding_members(items: DataFrame, findings: DataFrame, *columns: str) -> DataFrame:
+    """The members of shared-key findings: case_id, correlation_type, key, anchor, artifact_id, finding_confidence."""
+    rows = key_rows(items, *columns).select("case_id", "correlation_type", "key", "artifact_id", "source_tool", "evidence_type", "seq")
     return rows.join(findings.select("case_id", "correlation_type", "key", "anchor", F.col("confidence").alias("finding_confidence")), ["case_id", "correlation_type", "key"])
 
 
@@ -145,18 +150,11 @@ def link_confidence(found: DataFrame, items: DataFrame) -> DataFrame:
 
 def all_members(items: DataFrame) -> DataFrame:
     """Members of every shared-key and transfer finding: case_id, finding, correlation_type, anchor, artifact_id, finding_confidence."""
-    parts = []
-    for column in KINDS:
-        found = shared_key_findings(items, column)
-        rows = finding_members(items, found, column)
-        parts.append(rows.select("case_id", F.concat_ws("|", "correlation_type", "key").alias("finding"), "correlation_type", "anchor", "artifact_id", "finding_confidence"))
+    rows = finding_members(items, shared_key_findings(items))
+    shared = rows.select("case_id", F.concat_ws("|", "correlation_type", "key").alias("finding"), "correlation_type", "anchor", "artifact_id", "finding_confidence")
     exfil = exfiltration_findings(items).select("case_id", F.col("anchor").alias("conn_id"), F.col("confidence").alias("finding_confidence"))
     pairs = transfers_after_files(items).select("case_id", "conn_id", F.explode(F.array("conn_id", "file_id")).alias("artifact_id")).distinct().join(exfil, ["case_id", "conn_id"])
-    parts.append(pairs.select("case_id", F.concat(F.lit("exfiltration|"), "conn_id").alias("finding"), F.lit("exfiltration").alias("correlation_type"), F.col("conn_id").alias("anchor"), "artifact_id", "finding_confidence"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return shared.unionByName(pairs.select("case_id", F.concat(F.lit("exfiltration|"), "conn_id").alias("finding"), F.lit("exfiltration").alias("correlation_type"), F.col("conn_id").alias("anchor"), "artifact_id", "finding_confidence"))
 
 
 def annotate(items: DataFrame, members: DataFrame, most: int = 100) -> DataFrame:
@@ -172,7 +170,7 @@ def annotate(items: DataFrame, members: DataFrame, most: int = 100) -> DataFrame
 
 def all_findings(items: DataFrame) -> DataFrame:
     """The shared-key and transfer findings in one table, strongest first."""
-    parts = [shared_key_findings(items, c).select("case_id", "correlation_type", "key", "anchor", "n_items", "confidence") for c in KINDS]
+    parts = [shared_key_findings(items).select("case_id", "correlation_type", "key", "anchor", "n_items", "confidence")]
     exfil = exfiltration_findings(items)
     parts.append(exfil.select("case_id", "correlation_type", F.col("anchor").alias("key"), "anchor", (F.col("n_files") + 1).alias("n_items"), "confidence"))
     links = link_confidence(linked_findings(items, all_members(items)), items)

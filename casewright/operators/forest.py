@@ -108,7 +108,7 @@ def score_items(items: DataFrame, baseline: DataFrame) -> DataFrame:
 def rule_attribution(vectors: DataFrame, baseline: DataFrame) -> DataFrame:
     """M10, rule part: weight times (value less baseline mean) for each penalised feature; the Shapley values of a linear score."""
     means = background(baseline).groupBy("family").agg(*(F.avg(f).alias(f"m_{f}") for f in WEIGHTS))
-    parts = F.array(*(F.struct(F.lit(f).alias("feature"), F.round(F.lit(w) * (F.col(f) - F.col(f"m_{f}")), 6).alias("phi")) for f, w in WEIGHTS.items()))
+    parts = F.array(*(F.struct(F.lit(f).alias("feature"), (F.round(F.lit(w) * (F.col(f) - F.col(f"m_{f}")), 6) + 0.0).alias("phi")) for f, w in WEIGHTS.items()))
     return vectors.join(means, "family").select("family", *FEATURES, F.explode(parts).alias("p")).select("family", *FEATURES, "p.feature", "p.phi")
 
 

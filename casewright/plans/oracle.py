@@ -1 +1,396 @@
-ORACLE = {}
+"""SQL (DuckDB dialect) that gives the rows of the registered queries, written on its own from their definitions."""
+
+from __future__ import annotations
+
+from casewright.operators import classify, extraction, features, indicators
+from casewright.plans import queries as q
+from casewright.plans.evidence_view import VIEW_SQL
+
+EV = VIEW_SQL.replace("{ts}", "strftime(ts, '%Y-%m-%dT%H:%M:%SZ')")
+RANK = "CASE severity WHEN 'critical' THEN 5 WHEN 'high' THEN 4 WHEN 'medium' THEN 3 WHEN 'low' THEN 2 WHEN 'informational' THEN 1 ELSE 0 END"
+FIRST = "first_items AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY artifact_id ORDER BY seq) = 1)"
+IP = r"\b(?:\d{1,3}\.){3}\d{1,3}\b"
+
+
+def texts(values: list[str]) -> str:
+    """A list literal."""
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def holds(text: str, words: list[str]) -> str:
+    """A test for any of the words."""
+    return f"(len(list_filter({texts(words)}, lambda w: contains({text}, w))) > 0)"
+
+
+def hits(text: str, words: list[str]) -> str:
+    return f"len(list_filter({texts(words)}, lambda w: contains({text}, w)))"
+
+
+def with_ev(*ctes: str, select: str) -> str:
+    return "WITH ev AS (" + EV + ")" + "".join(f", {c}" for c in ctes) + " " + select
+
+
+SIGNALS = f"""signals AS (
+    SELECT *, list_sort(list_distinct(list_concat(
+            regexp_extract_all(value, '(?i)\\bpid[:\\s#]*(\\d+)\\b', 1), regexp_extract_all(artifact_id, '(?i)\\b(?:proc|cmdline|net|malfind)_(\\d+)\\b', 1)))) AS pids,
+        list_sort(list_distinct(regexp_extract_all(value, '{IP}'))) AS ips,
+        CASE WHEN evidence_type = 'file_artifact' THEN [replace(regexp_extract(value, '/\\S+'), '/', '\\')] ELSE [] END AS paths,
+        CASE WHEN evidence_type = 'dns_query' THEN [regexp_replace(regexp_extract(value, '-> (.*)$', 1), '^www\\.', '')] ELSE [] END AS domains,
+        coalesce(try_cast(regexp_extract(value, '(\\d+) bytes', 1) AS bigint), 0) AS bytes_transferred,
+        CASE WHEN evidence_type = 'network_connection' THEN regexp_extract(value, '-> ([0-9.]+):', 1) WHEN evidence_type = 'dns_query' THEN regexp_extract(value, '{IP}') ELSE '' END AS destination_ip,
+        CASE WHEN evidence_type = 'network_connection' THEN cast(regexp_extract(value, '-> [0-9.]+:(\\d+)', 1) AS integer) ELSE 0 END AS destination_port,
+        strftime(date_trunc('minute', strptime(timestamp, '%Y-%m-%dT%H:%M:%SZ')), '%Y-%m-%dT%H:%M:%S+00:00') AS ts_bucket,
+        strptime(timestamp, '%Y-%m-%dT%H:%M:%SZ') AS at
+    FROM FROM_TABLE),
+keyed_signals AS (SELECT *, list_sort(list_distinct(list_concat(list_transform(paths, lambda p: lower(p)), list_transform(paths, lambda p: regexp_extract(lower(p), '[^\\\\]+$'))))) AS file_keys FROM signals)"""
+ON_FIRST = SIGNALS.replace("FROM_TABLE", "first_items")
+ORDER = f"-({RANK}), -confidence, source_tool, seq"
+KEYS = f"""keys AS (
+    SELECT 'same_pid' AS correlation_type, unnest(pids) AS key, * FROM keyed_signals
+    UNION ALL SELECT 'same_ip', unnest(ips), * FROM keyed_signals
+    UNION ALL SELECT 'same_file', unnest(file_keys), * FROM keyed_signals
+    UNION ALL SELECT 'same_domain', unnest(domains), * FROM keyed_signals
+    UNION ALL SELECT 'same_timestamp', ts_bucket, * FROM keyed_signals),
+shared AS (
+    SELECT correlation_type, key, count(*) AS n_items, string_agg(DISTINCT source_tool, ',' ORDER BY source_tool) AS source_tools, count(DISTINCT source_tool) AS n_tools,
+        count(DISTINCT evidence_type) AS n_types, count(*) FILTER (evidence_type NOT IN ('process', 'commandline', 'process_tree')) AS informative,
+        first(artifact_id ORDER BY {ORDER}) AS anchor
+    FROM keys GROUP BY ALL HAVING count(*) >= 2),
+kept AS (
+    SELECT *, least(75 + 6 * least(n_tools, 4) + 3 * least(n_items - 1, 5), 99) / 100.0::DOUBLE AS confidence FROM shared
+    WHERE (correlation_type <> 'same_pid' OR n_tools >= 2 OR informative > 0) AND (correlation_type <> 'same_domain' OR n_tools >= 2 OR n_types >= 2)),
+pairs AS (
+    SELECT c.artifact_id AS conn_id, c.seq AS conn_seq, f.artifact_id AS file_id, f.seq AS file_seq, c.source_tool AS conn_tool, f.source_tool AS file_tool, c.bytes_transferred,
+        c.destination_ip || ':' || c.destination_port AS destination, f.paths[1] AS path, c.machine_id AS c_machine, f.machine_id AS f_machine
+    FROM keyed_signals c JOIN keyed_signals f ON c.evidence_type = 'network_connection' AND c.bytes_transferred >= 1000000 AND len(f.file_keys) > 0
+        AND f.at <= c.at AND f.at >= c.at - INTERVAL 24 HOUR AND f.seq <> c.seq),
+exfil AS (
+    SELECT conn_id AS anchor, count(*) AS n_files, any_value(conn_tool) AS t, list_sort(list_distinct(list_concat([any_value(conn_tool)], list(DISTINCT file_tool)))) AS tools,
+        any_value(bytes_transferred) AS bytes_transferred, any_value(destination) AS destination, first(path ORDER BY file_seq) AS file
+    FROM pairs GROUP BY conn_id),
+exfil_scored AS (SELECT *, least(82 + 6 * least(len(tools), 4) + 3 * least(n_files, 5), 99) / 100.0::DOUBLE AS confidence FROM exfil),
+members AS (
+    SELECT k.artifact_id, s.correlation_type || '|' || s.key AS finding, s.confidence FROM keys k JOIN kept s ON k.correlation_type = s.correlation_type AND k.key = s.key
+    UNION SELECT x.artifact_id, 'exfiltration|' || e.anchor, e.confidence FROM exfil_scored e JOIN (SELECT conn_id, conn_id AS artifact_id FROM pairs UNION SELECT conn_id, file_id FROM pairs) x ON x.conn_id = e.anchor)"""
+SHARED = (FIRST, ON_FIRST, KEYS)
+
+LINKS = """links AS (SELECT artifact_id AS source_id, seq, link AS target FROM first_items WHERE link IS NOT NULL),
+resolved AS (
+    SELECT l.source_id, l.seq, l.target, i.artifact_id AS target_id FROM links l JOIN first_items i
+    ON i.artifact_id = l.target OR (starts_with(i.artifact_id, l.target || '_') AND l.target NOT IN (SELECT artifact_id FROM first_items))
+    WHERE i.artifact_id <> l.source_id)"""
+
+
+def _rules() -> list[tuple[str, str, str]]:
+    hay = "lower(concat_ws(' ', value, evidence_type))"
+    out = []
+    for r in indicators.CATALOG["indicators"]:
+        out.append((f"'{r['id']}'", holds(hay, r["match"]), r["severity"]))
+    bad = indicators.CATALOG["bad_hosts"]
+    out.append(("'bad_host:' || 'x'", "(contains(value, '" + bad["domains"][0] + "') OR contains(value, '" + bad["ips"][0] + "'))", bad["severity"]))
+    ports = indicators.CATALOG["c2_ports"]
+    out.append(("'c2_port'", f"(len(list_intersect(list_transform(regexp_extract_all({hay}, '(?:[\\w.]:|\\bport[\\s:=]{{0,3}})(\\d{{2,5}})\\b', 1), lambda p: cast(p AS integer)), {ports['ports']})) > 0)", ports["severity"]))
+    words = indicators.CATALOG["exfil_keywords"]
+    out.append(("'data_exfiltration'", holds(hay, words["keywords"]), words["severity"]))
+    return out
+
+
+def rescored(source: str) -> str:
+    """A CTE with severity and ioc_match after the catalog."""
+    rules = _rules()
+    rank = {"critical": 5, "high": 4, "medium": 3, "low": 2}
+    names = "[" + ", ".join(f"CASE WHEN {test} THEN {name} END" for name, test, _ in rules) + "]"
+    floor = "greatest(" + ", ".join(f"CASE WHEN {test} THEN {rank[s]} ELSE 0 END" for _, test, s in rules) + ")"
+    return f"""matched AS (SELECT *, list_filter({names}, lambda m: m IS NOT NULL) AS ioc_match, {floor} AS floor_rank, {RANK} AS own_rank FROM {source}),
+rescored AS (SELECT * REPLACE (CASE WHEN floor_rank > own_rank THEN (CASE floor_rank WHEN 5 THEN 'critical' WHEN 4 THEN 'high' WHEN 3 THEN 'medium' ELSE 'low' END) ELSE severity END AS severity), floor_rank > own_rank AS boosted FROM matched)"""
+
+
+def _derived(source: str) -> str:
+    slug = "coalesce(nullif(trim(regexp_replace(lower({0}), '[^a-z0-9]+', '_', 'g'), '_'), ''), 'x')"
+    rules = ", ".join(f"('{f}', '{n}', '{t}', '{s}', {c}::DOUBLE, '{x}')" for f, n, t, s, c, x in indicators.DERIVED_RULES)
+    return f"""rules(family, name, term, sev, conf, txt) AS (VALUES {rules}),
+derived AS (
+    SELECT 'ioc_' || family || '_' || artifact_id || '_' || {slug.format('name')} AS artifact_id, txt AS value, sev AS severity, conf AS confidence, artifact_id AS linked FROM {source} i JOIN rules ON contains(lower(i.value), term)
+    UNION ALL SELECT 'ioc_injection_' || artifact_id, 'Process injection detected', 'critical', 0.97::DOUBLE, artifact_id FROM {source} WHERE evidence_type = 'injected_code')"""
+
+
+PACKETS = r"""packets AS (
+    SELECT seq, regexp_extract(value, 'TCP (\S+) -> ', 1) AS src, regexp_extract(value, '-> ([0-9.]+):', 1) AS dst, cast(regexp_extract(value, '-> [0-9.]+:(\d+)', 1) AS integer) AS dport,
+        cast(regexp_extract(value, '\((\d+) bytes', 1) AS bigint) AS length, cast(epoch(strptime(timestamp, '%Y-%m-%dT%H:%M:%SZ')) AS bigint) AS epoch
+    FROM ev WHERE evidence_type = 'network_connection')"""
+WATCHED = ", ".join(map(str, extraction.WATCH_PORTS))
+
+
+def _class_case(text: str, words: dict[str, list[str]]) -> tuple[str, str]:
+    scores = {c: hits(f"lower({text})", w) for c, w in words.items()}
+    best = "greatest(" + ", ".join(scores.values()) + ")"
+    pick = "CASE WHEN " + best + " = 0 THEN 'unknown' " + " ".join(f"WHEN {s} = {best} THEN '{c}'" for c, s in scores.items()) + " END"
+    return pick, f"CASE WHEN {best} = 0 THEN 0.35::DOUBLE ELSE least((50 + 10 * {best}) / 100.0::DOUBLE, 0.95) END"
+
+
+def _inlist(values: list) -> str:
+    return "(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values) + ")"
+
+
+FAMILY = """CASE WHEN regexp_matches(evidence_type, 'network|connection|pcap') OR source_tool = 'tshark' THEN 'network' WHEN regexp_matches(evidence_type, 'process|malfind') OR source_tool = 'volatility3' THEN 'process'
+    WHEN source_tool = 'tsk_fls' THEN 'file' ELSE 'generic' END"""
+FEATURE_SQL = f"""base_features AS (
+    SELECT *, {FAMILY} AS family, lower(regexp_extract(value, '(?i)[\\w\\-]+\\.exe')) AS p,
+        CASE WHEN evidence_type = 'network_connection' THEN coalesce(try_cast(regexp_extract(value, '\\b\\d{{1,3}}(?:\\.\\d{{1,3}}){{3}}:(\\d{{2,5}})\\b', 1) AS integer), 0) ELSE 0 END AS port FROM first_items),
+feats AS (
+    SELECT * EXCLUDE (p, port),
+        (p IN {_inlist(features.SYSTEM_PROCESSES)})::INT::DOUBLE AS is_system_process, (p IN {_inlist(features.SUSPICIOUS_PROCESSES)})::INT::DOUBLE AS is_suspicious_process, 0.0::DOUBLE AS suspicious_parent,
+        (port > 0 AND port NOT IN {_inlist(features.STANDARD_PORTS)})::INT::DOUBLE AS port_nonstandard, (port IN {_inlist(features.C2_PORTS)})::INT::DOUBLE AS port_is_known_c2,
+        (evidence_type = 'network_connection')::INT::DOUBLE AS has_network_activity, (evidence_type = 'file_artifact')::INT::DOUBLE AS evidence_is_file,
+        (evidence_type = 'network_connection')::INT::DOUBLE AS evidence_is_network, 0.0::DOUBLE AS evidence_is_email,
+        regexp_matches(value, '{features.TEMP_PATH}')::INT::DOUBLE AS path_in_temp, regexp_matches(value, '{features.EXE_IN_TEMP}')::INT::DOUBLE AS path_has_exe_in_temp,
+        regexp_matches(value, '{features.C2_WORDS}')::INT::DOUBLE AS keyword_c2_indicator, regexp_matches(value, '{features.TRANSFER_WORDS}')::INT::DOUBLE AS keyword_exfil,
+        (CASE severity WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.75 WHEN 'medium' THEN 0.5 WHEN 'low' THEN 0.25 ELSE 0 END)::DOUBLE AS severity_score
+    FROM base_features)"""
+RULE = " + ".join(f"{f} * ({w})::DOUBLE" for f, w in features.WEIGHTS.items())
+SCORED = f"scored AS (SELECT *, round({RULE}, 4) AS rule_score, round(round({RULE}, 9), 9) AS s FROM feats)"
+F_LIST = ", ".join(features.FEATURES)
+
+
+def _long(source: str, keep: str) -> str:
+    return " UNION ALL ".join(f"SELECT {keep}, {i} AS feature_no, '{f}' AS feature, {f} AS x FROM {source}" for i, f in enumerate(features.FEATURES))
+
+
+INDICATOR_ROWS = r"""ind AS (
+    SELECT r.*, 'Domain' AS type, regexp_extract(value, '-> ([a-z0-9][a-z0-9.\-]*\.[a-z]{2,})', 1) AS indicator FROM SRC r WHERE evidence_type = 'dns_query'
+    UNION ALL SELECT r.*, 'IP Address', x.ip FROM SRC r, unnest(regexp_extract_all(r.value, '\b(?:\d{1,3}\.){3}\d{1,3}\b')) AS x(ip) WHERE NOT starts_with(x.ip, '10.')
+    UNION ALL SELECT r.*, 'Suspicious File', left(x.w, 60) FROM SRC r, unnest(string_split(r.value, ' ')) AS x(w)
+        WHERE (severity IN ('high', 'critical') OR len(ioc_match) > 0) AND regexp_matches(x.w, '\.(exe|dll|bat|ps1|vbs|cmd|scr)$'))"""
+
+
+def _indicators(source: str) -> str:
+    return INDICATOR_ROWS.replace("SRC", source)
+
+
+ROLLUP = f"""ind_context AS (SELECT *, CASE evidence_type WHEN 'network_connection' THEN 'Network connection' WHEN 'dns_query' THEN 'DNS query' ELSE evidence_type END AS context, {RANK} AS r FROM ind),
+rollup_rows AS (
+    SELECT type, indicator, max(r) AS severity_rank, max(confidence) AS confidence, first(source_tool ORDER BY seq) AS tool, string_agg(DISTINCT context, ',' ORDER BY context) AS contexts,
+        array_to_string(list_sort(list_distinct(flatten(list(ioc_match)))), ',') AS matches, count(DISTINCT artifact_id) AS n_artifacts
+    FROM ind_context GROUP BY type, indicator),
+rolled AS (SELECT *, CASE severity_rank WHEN 5 THEN 'critical' WHEN 4 THEN 'high' WHEN 3 THEN 'medium' WHEN 2 THEN 'low' END AS severity, severity_rank >= 3 OR matches <> '' AS surfaced FROM rollup_rows)"""
+NODES = f"""procs AS (
+    SELECT seq, regexp_extract(value, '\\(PID:(\\d+)', 1) AS pid, regexp_extract(value, 'PPID:(\\d+)', 1) AS ppid, split_part(value, ' ', 1) AS name, {RANK} AS r, artifact_id FROM ev WHERE evidence_type = 'process'),
+nodes AS (
+    SELECT pid, first(ppid ORDER BY seq) AS ppid, first(name ORDER BY seq) AS name, max(r) AS rank, first(artifact_id ORDER BY seq) AS artifact_id, min(seq) AS first_seq FROM procs GROUP BY pid)"""
+TREE = """placed AS (SELECT n.*, n.ppid <> n.pid AND n.ppid IN (SELECT pid FROM nodes) AS has_parent, row_number() OVER (PARTITION BY ppid ORDER BY first_seq, pid) AS ordinal FROM nodes n),
+walk AS (
+    SELECT pid, 0 AS depth, [row_number() OVER (ORDER BY pid)] AS path FROM placed WHERE NOT has_parent
+    UNION ALL SELECT c.pid, w.depth + 1, list_append(w.path, c.ordinal) FROM walk w JOIN placed c ON c.ppid = w.pid AND c.has_parent WHERE w.depth < 64),
+ordered AS (SELECT n.pid, coalesce(w.depth, 0) AS depth, row_number() OVER (ORDER BY w.path NULLS LAST, n.pid) AS row FROM nodes n LEFT JOIN walk w USING (pid))"""
+CLOSURE = """flagged AS (SELECT *, first_seq % 5 = 0 AS is_flagged FROM nodes),
+walk AS (
+    SELECT pid, ppid, [pid] AS path FROM flagged WHERE is_flagged
+    UNION ALL SELECT p.pid, p.ppid, list_append(w.path, p.pid) FROM walk w JOIN flagged p ON p.pid = w.ppid WHERE NOT list_contains(w.path, p.pid))"""
+_pick, _conf = _class_case("text", q.CLASS_WORDS)
+_types = "[" + ", ".join(f"CASE WHEN {holds('lower(text)', w)} THEN '{t}' END" for t, w in classify.TYPE_WORDS.items()) + "]"
+_expected = " ".join(f"WHEN '{c}' THEN {texts(t)}" for c, t in classify.EXPECTED_TYPES.items())
+
+
+def _suggest() -> str:
+    """The fold over the classes as nested cases, one step for each class."""
+    name, score = "CAST(NULL AS VARCHAR)", "score"
+    steps = []
+    for i, (c, types) in enumerate(classify.EXPECTED_TYPES.items()):
+        support = f"(len(list_intersect({texts(types)}, present)) / {len(types)}::DOUBLE)"
+        steps.append(f"step{i} AS (SELECT *, CASE WHEN case_type <> '{c}' AND {support} > {score} + 0.25 THEN '{c}' ELSE {name} END AS n{i}, CASE WHEN case_type <> '{c}' AND {support} > {score} + 0.25 THEN {support} ELSE {score} END AS s{i} FROM {'supported' if not i else f'step{i - 1}'})")
+        name, score = f"n{i}", f"s{i}"
+    return ",\n".join(steps)
+
+
+_LAST = f"step{len(classify.EXPECTED_TYPES) - 1}"
+RECONCILE = f"""cases AS (SELECT machine_id || '/' || seq % 40 AS case_id, cast(seq % 40 AS integer) AS n, list_sort(list(DISTINCT evidence_type)) AS present FROM ev GROUP BY ALL),
+typed AS (SELECT *, {texts([*classify.EXPECTED_TYPES, 'unknown'])}[n % 7 + 1] AS case_type FROM cases),
+expecting AS (SELECT *, CASE case_type {_expected} END AS expected FROM typed),
+supported AS (SELECT *, len(list_intersect(expected, present)) / len(expected)::DOUBLE AS score FROM expecting),
+{_suggest()}"""
+PAGE_HOSTS = "hosts AS (SELECT page_id, url, regexp_extract(url, '://([^/?#]*)', 1) AS domain FROM pages)"
+LABEL = """labelled AS (
+    SELECT *, list_transform(string_split(lower(domain), '.')[1:-2], lambda x, i: {'n': -len(x), 'i': i, 'x': x}) AS parts FROM hosts),
+longest AS (SELECT *, list_min(parts).x AS label FROM labelled),
+letters AS (SELECT page_id, unnest(string_split(label, '')) AS c FROM longest),
+shares AS (SELECT page_id, c, count(*) / sum(count(*)) OVER (PARTITION BY page_id) AS p FROM letters GROUP BY page_id, c),
+entropies AS (SELECT page_id, round(-sum(p * log2(p)), 4) AS label_entropy FROM shares GROUP BY page_id)"""
+
+ORACLE = {
+    "evidence_view": with_ev(select="SELECT seq, case_id, machine_id, artifact_id, source_tool, evidence_type, timestamp, value, severity, confidence, coalesce(link, '') AS links FROM ev"),
+    "contract": with_ev(
+        select="""SELECT array_to_string(list_filter([CASE WHEN seq % 17 = 0 THEN 'missing:value' END, CASE WHEN seq % 11 = 0 THEN 'enum:severity' END,
+        CASE WHEN seq % 13 = 0 AND confidence > 0 THEN 'range:confidence' END], lambda x: x IS NOT NULL), ',') AS violations, count(*) AS n FROM ev GROUP BY 1"""
+    ),
+    "merge_tools": with_ev(select="SELECT source_tool, count(*) AS n, min(seq) AS first_seq FROM ev GROUP BY 1"),
+    "dedup_first": with_ev(FIRST, select="SELECT seq, artifact_id, source_tool, evidence_type FROM first_items"),
+    "dedup_strongest": with_ev(
+        f"ranked AS (SELECT *, min(seq) OVER w AS first_seq, row_number() OVER (PARTITION BY evidence_type, lower(trim(value)), link ORDER BY {RANK} DESC, confidence DESC, seq) AS n FROM ev WINDOW w AS (PARTITION BY evidence_type, lower(trim(value)), link))",
+        select="SELECT first_seq AS seq, evidence_type, value, severity, confidence FROM ranked WHERE n = 1",
+    ),
+    "reconcile_tools": with_ev(
+        r"known AS (SELECT DISTINCT regexp_extract(value, '\(PID:(\d+)', 1) AS pid FROM ev WHERE evidence_type = 'process')",
+        select="""SELECT seq, source_tool, evidence_type, value FROM ev WHERE source_tool <> 'tshark'
+        UNION ALL SELECT seq, 'memprocfs', 'memprocfs_process', concat('x.exe (PPID:1 PID:', split_part(artifact_id, '_', 2)::BIGINT + 1000, ')') FROM ev
+        WHERE evidence_type = 'file_artifact' AND cast(split_part(artifact_id, '_', 2)::BIGINT + 1000 AS varchar) NOT IN (SELECT pid FROM known)""",
+    ),
+    "evidence_order": with_ev(FIRST, select=f"SELECT seq, machine_id, row_number() OVER (PARTITION BY machine_id ORDER BY {RANK} DESC, seq % 9 = 0 DESC, confidence DESC, source_tool, seq)::INTEGER AS place FROM first_items"),
+    "group_index": with_ev(
+        select="SELECT 'type' AS kind, evidence_type AS key, count(*) AS n FROM ev GROUP BY 2 UNION ALL SELECT 'tool', source_tool, count(*) FROM ev GROUP BY 2 UNION ALL SELECT 'machine', machine_id, count(*) FROM ev GROUP BY 2"
+    ),
+    "enrich": with_ev(select="SELECT seq, CASE WHEN seq % 3 <> 0 THEN machine_id ELSE 'WS-1' END AS machine_id, value || ' end' AS normalized_value FROM ev"),
+    "dedup_stats": with_ev(
+        select="SELECT any_value(case_id) AS case_id, count(*) AS raw_items, count(*) - count(DISTINCT artifact_id) AS duplicates_removed, string_agg(DISTINCT source_tool, ',' ORDER BY source_tool) AS tools, count(DISTINCT artifact_id) AS total_items FROM ev"
+    ),
+    "sig_time": """SELECT event_id AS seq, CASE WHEN event_id % 5 < 4 THEN cast(floor(epoch(ts)) AS bigint) END AS epoch,
+        CASE WHEN event_id % 5 < 4 THEN strftime(date_trunc('minute', ts), '%Y-%m-%dT%H:%M:%S+00:00') ELSE 'not a time' END AS bucket FROM events""",
+    "signals": with_ev(
+        SIGNALS.replace("FROM_TABLE", "ev"),
+        select="SELECT seq, array_to_string(pids, ',') AS pids, array_to_string(ips, ',') AS ips, array_to_string(paths, ',') AS paths, array_to_string(file_keys, ',') AS file_keys, array_to_string(domains, ',') AS domains, bytes_transferred, destination_ip, destination_port FROM keyed_signals",
+    ),
+    "document_ips": f"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{IP}'))) AS ip FROM documents",
+    "url_hosts": "SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\\.', '') AS host FROM pages UNION SELECT page_id, host FROM (SELECT page_id, unnest(regexp_extract_all(lower(regexp_extract(url, '://[^/?#]*(.*)$', 1)), '\\b(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\\.)+[a-z]{2,}\\b')) AS host FROM pages) WHERE NOT regexp_matches(host, '\\.(exe|dll|txt|log|json|js|pdf|zip|png|jpg)$')",
+    "finding_member": with_ev(*SHARED, select="SELECT k.correlation_type, k.key, s.anchor, k.artifact_id, s.confidence AS finding_confidence FROM keys k JOIN kept s ON k.correlation_type = s.correlation_type AND k.key = s.key WHERE k.correlation_type IN ('same_pid', 'same_domain')"),
+    "annotate": with_ev(*SHARED, select="SELECT i.artifact_id, count(DISTINCT m.finding) AS n_findings, max(m.confidence) AS best_confidence FROM first_items i LEFT JOIN members m USING (artifact_id) GROUP BY 1"),
+    "findings": with_ev(*SHARED, select="SELECT correlation_type, key, anchor, n_items, confidence FROM kept UNION ALL SELECT 'exfiltration', anchor, anchor, n_files + 1, confidence FROM exfil_scored"),
+    "machine_summary": with_ev(
+        *SHARED,
+        "per AS (SELECT machine_id, artifact_id FROM first_items)",
+        select="""SELECT machine_id, count(DISTINCT p.artifact_id) AS n_items, count(DISTINCT m.finding) AS n_findings FROM per p LEFT JOIN members m USING (artifact_id) GROUP BY 1
+        UNION ALL SELECT NULL, count(DISTINCT p.artifact_id), count(DISTINCT m.finding) FROM per p LEFT JOIN members m USING (artifact_id)""",
+    ),
+    "exfil_window": with_ev(*SHARED, select="SELECT anchor, n_files, array_to_string(tools, ',') AS source_tools, bytes_transferred, destination, file, confidence FROM exfil_scored"),
+    "exfil_pairs_by_machine": with_ev(*SHARED, select="SELECT conn_id, file_id FROM pairs WHERE c_machine = f_machine"),
+    "linked_targets": with_ev(FIRST, LINKS, select="SELECT source_id, target, target_id FROM resolved"),
+    "linked_artifacts": with_ev(
+        FIRST,
+        LINKS,
+        "sets AS (SELECT source_id, list_sort(list_concat([source_id], list(DISTINCT target_id))) AS ids FROM resolved GROUP BY 1)",
+        "once AS (SELECT s.* FROM sets s JOIN first_items i ON i.artifact_id = s.source_id QUALIFY row_number() OVER (PARTITION BY ids ORDER BY i.seq) = 1)",
+        "flat AS (SELECT source_id, ids, unnest(ids) AS artifact_id FROM once)",
+        select=f"""SELECT source_id, array_to_string(any_value(ids), ',') AS artifacts, len(any_value(ids))::INTEGER AS n_items, first(artifact_id ORDER BY {ORDER}) AS anchor,
+        least(75 + 6 * least(count(DISTINCT source_tool), 4) + 3 * least(len(any_value(ids)) - 1, 5), 99) / 100.0::DOUBLE AS confidence FROM flat JOIN first_items USING (artifact_id) GROUP BY 1""",
+    ),
+    "rescore": with_ev(rescored("ev"), select="SELECT seq, severity, array_to_string(ioc_match, ',') AS ioc_match, boosted FROM rescored"),
+    "reputation": with_ev(
+        select="""SELECT seq, CASE WHEN contains(value, '198.51.100.7:') THEN '198.51.100.7' ELSE 'node7.example.net' END AS bad FROM ev
+        WHERE contains(value, '198.51.100.7:') OR regexp_matches(value, '-> (www\\.)?node7\\.example\\.net$')"""
+    ),
+    "c2_port": with_ev(select=r"SELECT seq, cast(unnest(list_distinct(regexp_extract_all(lower(value), '[\w.]:(\d{2,5})\b', 1))) AS integer) AS port FROM ev"),
+    "derived_iocs": with_ev(FIRST, _derived("first_items"), select="SELECT artifact_id, value, severity, confidence, linked FROM derived"),
+    "techniques": with_ev(
+        select="SELECT t.technique, t.name AS technique_name, count(*) AS n FROM ev JOIN (VALUES ('powershell', 'T1059', 'PowerShell'), ('injection', 'T1055', 'Process Injection'), ('ransomware', 'T1486', 'Data Encrypted for Impact'), ('smb', 'T1021', 'Remote Services')) t(word, technique, name) ON contains(lower(ev.value), t.word) GROUP BY ALL"
+    ),
+    "run_totals": with_ev(
+        rescored("ev"),
+        _derived("rescored"),
+        select="SELECT 'case-1' AS case_id, count(*) AS total, count(*) FILTER (kind = 'ioc') AS iocs, count(*) FILTER (severity = 'critical') AS critical FROM (SELECT evidence_type AS kind, severity FROM rescored UNION ALL SELECT 'ioc', severity FROM derived)",
+    ),
+    "conv_rollup": with_ev(PACKETS, select=f"SELECT src, dst, dport, sum(length)::BIGINT AS bytes, count(*) AS packets, min(epoch) AS first_epoch, CASE WHEN dport IN ({WATCHED}) THEN 'high' ELSE 'low' END AS severity FROM packets GROUP BY src, dst, dport"),
+    "watch_port": with_ev(PACKETS, select=f"SELECT dport, first(src ORDER BY seq) AS src, first(dst ORDER BY seq) AS dst, first(epoch ORDER BY seq) AS epoch, count(*) AS packets FROM packets WHERE dport IN ({WATCHED}) GROUP BY dport"),
+    "dns_score": f"WITH {PAGE_HOSTS}, {LABEL} SELECT page_id, domain, label, label_entropy, CASE WHEN len(label) >= 12 AND label_entropy >= 3.8 THEN 'high' ELSE 'low' END AS severity FROM longest JOIN entropies USING (page_id)",
+    "http_rows": "SELECT 'http_' || left(md5(regexp_extract(url, '://[^/?#]*(.*)$', 1)), 8) AS artifact_id, 'HTTP request: ' || regexp_extract(url, '://([^/?#]*)', 1) || regexp_extract(url, '://[^/?#]*(.*)$', 1) AS value, 'medium' AS severity, 0.75::DOUBLE AS confidence FROM pages",
+    "mail_hits": f"SELECT doc_id, unnest(list_filter({texts(q.MAIL_WORDS)}, lambda w: contains(lower(text), w))) AS word FROM documents",
+    "url_hits": f"SELECT page_id, url FROM pages WHERE {holds('lower(url)', q.URL_WORDS)}",
+    "domains": "SELECT page_id, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS value, 0.45::DOUBLE AS confidence FROM pages",
+    "mails": r"""WITH found AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,24}'))) AS value FROM documents)
+        SELECT * FROM found WHERE regexp_matches(value, '^[^@]*[A-Za-z][^@]*@') AND NOT regexp_matches(value, '^\.|\.@|\.\..*@') AND regexp_matches(value, '@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)*[A-Za-z0-9][A-Za-z0-9-]*[A-Za-z0-9]\.(com|net|org|[a-z]{2})$')""",
+    "onions": "SELECT doc_id, 'abcdefghijklmnop' || doc_id % 7 || '.onion' AS value FROM documents",
+    "process_edges": with_ev(
+        r"p AS (SELECT DISTINCT regexp_extract(value, '\(PID:(\d+)', 1) AS pid, regexp_extract(value, 'PPID:(\d+)', 1) AS ppid, split_part(value, ' ', 1) AS name FROM ev WHERE evidence_type = 'process')",
+        select=f"SELECT DISTINCT a.pid AS parent_pid, a.name AS parent_name, c.pid AS child_pid, c.name AS child_name FROM p c JOIN p a ON a.pid = c.ppid WHERE (a.name, c.name) IN ({', '.join(str(r) for r in extraction.RELATIONS)})",
+    ),
+    "classify_texts": f"SELECT doc_id, {_pick} AS case_type, {_conf} AS classifier_confidence FROM documents",
+    "classify_conversations": f"SELECT {_pick} AS case_type, count(*) AS n, max({_conf}) AS best FROM conversations GROUP BY 1",
+    "artifact_types": f"SELECT doc_id, coalesce(nullif(array_to_string(list_filter({_types}, lambda x: x IS NOT NULL), ','), ''), 'memory_dump') AS artifact_types FROM documents",
+    "affected": r"""WITH t AS (SELECT doc_id, concat('HOST WIN-', doc_id % 9, ' DC01 HTTP ', text) AS text FROM documents),
+        named AS (SELECT doc_id, regexp_extract_all(text, '\b(?:\d{1,3}\.){3}\d{1,3}\b') AS ips, list_filter(regexp_extract_all(text, '\b[A-Z][A-Z0-9\-]{3,}\b'), lambda h: len(h) <= 15 AND regexp_matches(h, '[0-9-]') AND h NOT IN ('HTTP', 'HTTPS', 'WIN32', 'WIN64'))[1:3] AS hosts FROM t),
+        flat AS (SELECT doc_id, unnest(list_concat(ips, hosts)) AS x, generate_subscripts(list_concat(ips, hosts), 1) AS i FROM named),
+        distinct_rows AS (SELECT doc_id, x, min(i) AS i FROM flat GROUP BY doc_id, x),
+        firsts AS (SELECT * FROM distinct_rows QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY i) <= 5)
+        SELECT doc_id, string_agg(x, ',' ORDER BY i) AS affected_systems FROM firsts GROUP BY 1""",
+    "reconcile_cases": with_ev(
+        RECONCILE,
+        select=f"""SELECT case_id, case_type, round(score, 4) AS support_score, array_to_string(list_sort(list_intersect(expected, present)), ',') AS supporting, array_to_string(list_sort(list_filter(expected, lambda x: NOT list_contains(present, x))), ',') AS absent,
+        coalesce(score < 0.5, false) AS diverged, CASE WHEN score < 0.5 THEN least(round(0.8::DOUBLE * (0.5::DOUBLE + 0.5::DOUBLE * score / 0.5::DOUBLE), 2), 0.8::DOUBLE) ELSE 0.8::DOUBLE END AS reconciled_confidence,
+        CASE WHEN score < 0.5 THEN n{len(classify.EXPECTED_TYPES) - 1} END AS suggested_type FROM {_LAST}""",
+    ),
+    "feature_rows": with_ev(FIRST, FEATURE_SQL, select=f"SELECT seq, family, {F_LIST} FROM feats"),
+    "rule_scores": with_ev(
+        FIRST,
+        FEATURE_SQL,
+        SCORED,
+        "banded AS (SELECT *, round(s, 4) AS score, s < -0.1 AS is_anomaly, CASE WHEN round(s, 4) < -0.4 THEN 5 WHEN round(s, 4) < -0.25 THEN 4 WHEN round(s, 4) < -0.1 THEN 3 ELSE 1 END AS band_rank, " + RANK + " AS own FROM scored)",
+        select="SELECT seq, rule_score, score, is_anomaly, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5::DOUBLE - s)), 4) AS anomaly_confidence, CASE WHEN NOT is_anomaly THEN 'informational' ELSE CASE greatest(own, band_rank) WHEN 5 THEN 'critical' WHEN 4 THEN 'high' WHEN 3 THEN 'medium' WHEN 2 THEN 'low' END END AS band FROM banded",
+    ),
+    "indicator_order": with_ev(
+        FIRST,
+        FEATURE_SQL,
+        select="SELECT seq, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {f} > 0 THEN '{f}' END" for f, _ in sorted(features.INDICATORS, key=lambda x: -x[1])) + "], lambda x: x IS NOT NULL), ',') AS ranked FROM feats",
+    ),
+    "baseline_families": with_ev(
+        FIRST,
+        FEATURE_SQL,
+        select="SELECT family, count(*) FILTER (severity = 'low' AND seq % 7 = 0 AND family <> 'process') AS n_baseline, CASE WHEN count(*) FILTER (severity = 'low' AND seq % 7 = 0 AND family <> 'process') > 0 THEN 'own' ELSE 'all' END AS baseline FROM feats GROUP BY 1",
+    ),
+    "baseline_diff": with_ev(
+        FIRST,
+        FEATURE_SQL,
+        "base AS (SELECT * FROM feats WHERE severity = 'low' AND seq % 7 = 0)",
+        f"base_long AS ({_long('base', 'family')})",
+        "means AS (SELECT family, feature, avg(x) AS mean FROM base_long GROUP BY ALL)",
+        f"own_long AS ({_long('feats', 'seq, family')})",
+        "diffs AS (SELECT o.*, round(abs(x - mean), 4) AS difference, mean FROM own_long o JOIN means USING (family, feature) WHERE round(abs(x - mean), 4) > 0)",
+        "ranked AS (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY difference DESC, feature_no) AS rank FROM diffs)",
+        select="SELECT seq, rank::INTEGER AS rank, feature, difference, CASE WHEN x > mean THEN 'above' ELSE 'below' END AS direction FROM ranked WHERE rank <= 5",
+    ),
+    "machine_context": with_ev(FIRST, select="SELECT machine_id, count(*) AS n_items, count(DISTINCT evidence_type) AS n_types, array_to_string(list(artifact_id ORDER BY seq)[1:20], ',') AS first_ids FROM first_items GROUP BY 1"),
+    "score_summary": with_ev(FIRST, FEATURE_SQL, SCORED, select="SELECT family, count(*) AS n, count(*) FILTER (s < -0.1) AS n_anomalies FROM scored GROUP BY 1 UNION ALL SELECT NULL, count(*), count(*) FILTER (s < -0.1) FROM scored"),
+    "rule_attribution": with_ev(
+        FIRST,
+        FEATURE_SQL,
+        "means AS (SELECT family, " + ", ".join(f"avg({f}) AS m_{f}" for f in features.WEIGHTS) + " FROM feats WHERE severity = 'low' AND seq % 50 = 0 GROUP BY 1)",
+        f"vectors AS (SELECT DISTINCT family, {F_LIST} FROM feats)",
+        select=" UNION ALL ".join(f"SELECT family, {F_LIST}, '{f}' AS feature, round(({w})::DOUBLE * ({f} - m_{f}), 6) + 0.0::DOUBLE AS phi FROM vectors JOIN means USING (family)" for f, w in features.WEIGHTS.items()),
+    ),
+    "item_indicators": with_ev(FIRST, rescored("first_items"), _indicators("rescored"), select="SELECT DISTINCT seq, type, indicator FROM ind"),
+    "ioc_rollup": with_ev(FIRST, rescored("first_items"), _indicators("rescored"), ROLLUP, select="SELECT type, indicator, severity, confidence, tool, contexts, matches, n_artifacts, surfaced FROM rolled"),
+    "ioc_counts": with_ev(
+        FIRST,
+        rescored("first_items"),
+        _indicators("rescored"),
+        ROLLUP,
+        select="SELECT 'type' AS kind, type AS key, count(*) AS n, count(*) FILTER (surfaced) AS n_surfaced, count(*) FILTER (severity_rank = 5) AS n_critical FROM rolled GROUP BY 2 UNION ALL SELECT 'severity', severity, count(*), count(*) FILTER (surfaced), count(*) FILTER (severity_rank = 5) FROM rolled GROUP BY 2",
+    ),
+    "folded": with_ev(
+        FIRST,
+        "low_items AS (SELECT * REPLACE (0.2::DOUBLE + confidence / 2 AS confidence), CAST([] AS VARCHAR[]) AS ioc_match FROM first_items WHERE severity = 'low')",
+        _indicators("low_items"),
+        ROLLUP,
+        select="SELECT row_number() OVER (ORDER BY confidence DESC, type, indicator)::INTEGER AS row, type, indicator, CASE WHEN confidence >= 0.45 THEN 'anchored' ELSE 'bare' END AS tier FROM rolled WHERE NOT surfaced QUALIFY row <= 50",
+    ),
+    "proc_nodes": with_ev(NODES, select="SELECT pid, ppid, name, CASE rank WHEN 5 THEN 'critical' WHEN 4 THEN 'high' WHEN 3 THEN 'medium' WHEN 2 THEN 'low' END AS severity, artifact_id, first_seq, rank >= 4 AS is_flagged FROM nodes"),
+    "lineage_closure": with_ev(NODES, CLOSURE, select="SELECT pid, ppid, is_flagged FROM flagged WHERE pid IN (SELECT pid FROM walk)").replace("WITH ev", "WITH RECURSIVE ev", 1),
+    "process_tree": with_ev(NODES, TREE, select="SELECT row::INTEGER AS row, pid, depth FROM ordered WHERE row <= 40").replace("WITH ev", "WITH RECURSIVE ev", 1),
+    "coverage": with_ev(
+        select="""SELECT k.evidence, CASE k.evidence WHEN 'memory_dump' THEN 'Analysed' WHEN 'pcap' THEN 'Analysed' WHEN 'disk_image' THEN 'Not analysed' ELSE 'Not provided' END AS status,
+        coalesce(string_agg(DISTINCT CASE WHEN e.source_tool <> 'tsk_fls' THEN e.source_tool END, ','), '') AS tools, coalesce(string_agg(DISTINCT CASE WHEN e.source_tool = 'tsk_fls' THEN e.source_tool END, ','), '') AS attempted
+        FROM (VALUES ('memory_dump', 'volatility3'), ('pcap', 'tshark'), ('disk_image', 'tsk_fls'), ('registry_hive', 'regripper'), ('log_files', 'plaso'), ('email', 'email'), ('browser', 'browser')) k(evidence, tool) LEFT JOIN ev e ON e.source_tool = k.tool GROUP BY 1, 2"""
+    ),
+    "verdicts": with_ev(
+        FIRST,
+        FEATURE_SQL,
+        SCORED,
+        "per AS (SELECT machine_id || '/' || seq % 500 AS case_id, count(*) FILTER (s < -0.1) AS n FROM scored GROUP BY 1)",
+        select="SELECT case_id, n AS n_anomalies, CASE WHEN n >= 3 THEN 'high' WHEN n >= 1 THEN 'medium' ELSE 'low' END AS overall_severity, CASE WHEN n >= 3 THEN 'Supported' WHEN n >= 1 THEN 'Partially Supported' ELSE 'Not Evidenced' END AS hypothesis_verdict FROM per",
+    ),
+    "dashboard": with_ev(select="SELECT machine_id AS case_id, count(*) AS n_items, count(*) FILTER (severity = 'critical') AS n_critical, 0::BIGINT AS n_iocs, 0::BIGINT AS n_trees FROM ev GROUP BY 1"),
+    "text_digest": "SELECT doc_id, sha256(text) AS sha256, CASE WHEN length(text) <= 60 THEN text ELSE rtrim(coalesce(nullif(regexp_replace(left(text, 60), '(?s) [^ ]*$', ''), ''), left(text, 60))) || '…' END AS short FROM documents",
+    "type_labels": with_ev(
+        select="""SELECT CASE WHEN seq % 3 = 0 THEN 'Odd Thing' ELSE CASE evidence_type WHEN 'process' THEN 'Process' WHEN 'injected_code' THEN 'Code Injection' WHEN 'network_connection' THEN 'Network Connection'
+        WHEN 'dns_query' THEN 'DNS Query' WHEN 'file_artifact' THEN 'File Artifact' END END AS label, count(*) AS n FROM ev GROUP BY 1"""
+    ),
+} | {
+    kind: with_ev(*SHARED, select=f"SELECT correlation_type, key, anchor, n_items, source_tools, confidence FROM kept WHERE correlation_type = '{kind}'")
+    for kind in ("same_pid", "same_ip", "same_file", "same_domain", "same_timestamp")
+}

@@ -112,8 +112,8 @@ def _shared(column):
 
 def finding_member(spark, sf_dir):
     items = items_with_signals(spark, sf_dir)
-    parts = [correlate.finding_members(items, correlate.shared_key_findings(items, c), c) for c in ("pids", "domains")]
-    return parts[0].unionByName(parts[1]).select("correlation_type", "key", "anchor", "artifact_id", "finding_confidence")
+    kinds = ("pids", "domains")
+    return correlate.finding_members(items, correlate.shared_key_findings(items, *kinds), *kinds).select("correlation_type", "key", "anchor", "artifact_id", "finding_confidence")
 
 
 def annotate(spark, sf_dir):
