@@ -137,17 +137,18 @@ def normalise(text: str) -> Normalised | None:
 
 
 def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """Spans found only after normalisation; those that touch a base span of any kind are left to it."""
+    """Spans found only after normalisation; one that touches a base span must hold all of it, and be of its kind."""
     out = normalise(text)
     if out is None:
         return []
-    taken = [(s, e) for _, s, e in base]
+    taken = list(base)
     found = []
     for kind, i, j in base_spans(out.text):
         start, end = out.source(i, j)
-        if text[start:end] != out.text[i:j] and not any(s < end and start < e for s, e in taken):
+        apart = all(e <= start or end <= s or k == kind and start <= s and e <= end and (s, e) != (start, end) for k, s, e in taken)
+        if text[start:end] != out.text[i:j] and apart:
             found.append((kind, start, end))
-            taken.append((start, end))
+            taken.append((kind, start, end))
     return found
 
 
