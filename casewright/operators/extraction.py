@@ -30,7 +30,12 @@ WATCHED_PARENTS = ["cmd.exe", "powershell.exe", "wscript.exe", "cscript.exe", "m
 MEMORY_PORTS = [4444, 4445, 1337, 31337, 8888, 9999]
 RELATIONS = [("winword.exe", "powershell.exe"), ("excel.exe", "cmd.exe"), ("powershell.exe", "rundll32.exe"), ("mshta.exe", "cmd.exe"), ("wscript.exe", "powershell.exe"), ("explorer.exe", "powershell.exe")]
 MODULE_WORDS = ["unknown", "temp", "appdata\\roaming", "programdata"]
-JIT_PROCESSES = ["msmpeng.exe", "powershell.exe", "chrome.exe", "msedge.exe", "firefox.exe", "java.exe", "javaw.exe", "node.exe", "dotnet.exe", "explorer.exe"]
+JIT_PROCESSES = ["explorer.exe", "chrome.exe", "firefox.exe", "msedge.exe", "iexplore.exe", "opera.exe", "brave.exe", "svchost.exe", "wmiprvse.exe", "dllhost.exe"]
+COMMAND_WORDS = ["-enc", "-encodedcommand", "invoke-", "downloadstring", "iex", "bypass", "hidden", "frombase64"]
+TOOL_WARNINGS = ["unsatisfied requirement", "unable to validate", "traceback"]
+FILE_MARKERS = ["\\appdata\\", "\\temp\\", "\\users\\public\\", "\\programdata\\", "\\startup", "\\runonce", "\\tasks\\", "\\intel\\", ".onion", ".ps1", ".vbs", ".js", ".hta", ".bat", ".cmd"]
+RANSOM_ENDINGS = ["wnry", "wncry", "wcry", "wncryt", "locky", "zepto", "odin", "cerber", "cerber3", "crypt", "crypto", "crypted", "encrypted", "enc", "locked", "ecc", "ezz", "exx", "ryuk", "lockbit", "conti", "djvu"]
+PAYLOAD_NAMES = ["@wanadecryptor@", "wanadecryptor", "wannadecryptor", "tasksche", "taskdl", "taskse", "mssecsvc", "wannacry", "wanacry", "@please_read_me@"]
 BENIGN_DOMAINS = [
     "microsoft.com", "windows.com", "windowsupdate.com", "msftncsi.com", "msftconnecttest.com", "microsoftonline.com", "live.com", "msn.com",
     "office.com", "office365.com", "outlook.com", "bing.com", "skype.com", "xboxlive.com", "azure.com", "azureedge.net", "msedge.net",
@@ -128,12 +133,12 @@ def http_requests(rows: DataFrame, host: str = "host", uri: str = "uri") -> Data
 
 
 def listed_files(body: DataFrame) -> DataFrame:
-    """Suspicious rows of a body listing (path, inode, mode); folders are dropped, deleted files are high."""
-    path, mode = F.col("path"), F.coalesce("mode", F.lit(""))
-    deleted = F.contains(path, F.lit("(deleted)"))
+    """Suspicious rows of a body listing (md5, path, inode, mode); folders are dropped, deleted files are high."""
+    path, mode = F.trim("path"), F.trim(F.coalesce("mode", F.lit("")))
+    deleted = F.contains(F.coalesce("md5", F.lit("")), F.lit("* "))
     odd = path.rlike("(" + "|".join(e.replace(".", r"\.") for e in FILE_EXTENSIONS) + ")$") | any_of(F.lower(path), FILE_FOLDERS) | deleted
     kept = body.where(odd & ~F.startswith(mode, F.lit("d/")))
-    return make_items(kept, stable_id("tsk", "path", "inode"), "tsk_fls", "file_artifact", F.concat(F.lit("Suspicious file: "), path), F.when(deleted, "high").otherwise("medium"), 0.75)
+    return make_items(kept, stable_id("file", path), "tsk_fls", "file_artifact", F.concat(F.when(deleted, "DELETED file: ").otherwise("Suspicious file: "), path), F.when(deleted, "high").otherwise("medium"), 0.75)
 
 
 def timeline_files(rows: DataFrame) -> DataFrame:
@@ -200,16 +205,21 @@ def process_relations(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 
 def command_lines(lines: DataFrame) -> DataFrame:
-    """Tab rows of process id, name and arguments; rows that a tool could not read become markers."""
-    parts = F.split(F.trim("value"), r"\t+| {2,}")
-    args = F.trim(F.coalesce(F.try_element_at(parts, F.lit(3)), F.lit("")))
-    name = F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))
-    failed = F.lower(args).rlike("required memory|process has no|not available")
-    kind = F.when(F.lower(F.col("value")).rlike("^(warning|error)"), "parser_warning").when(F.size(parts) < 2, "commandline_missing").when(failed, "commandline_missing").otherwise("commandline")
-    text = F.when(args == "", name).otherwise(args)
-    high = F.lower(text).rlike(r"-enc|encodedcommand|downloadstring|invoke-webrequest|bitsadmin|certutil|iex\b")
-    value = F.when(kind == "commandline", text).otherwise(F.trim("value"))
-    return make_items(lines.where(F.trim("value") != ""), F.when(kind == "commandline", F.concat(F.lit("cmdline_"), parts[0])).otherwise(stable_id("cmdline", "value")), "volatility3", kind, value, F.when((kind == "commandline") & high, "high").otherwise("low"), 0.75)
+    """Rows of process id, name and arguments; tool warnings and rows without a name become markers.
+
+    The value is what follows the name, or the name where nothing does.
+    """
+    text = F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))
+    low = F.lower(text)
+    data = (text != "") & ~F.contains(text, F.lit("Volatility 3 Framework")) & ~(F.contains(text, F.lit("PID")) & F.contains(text, F.lit("Process")))
+    pid, name, rest = (F.regexp_extract(text, r"^(\S+)\s*(\S*)\s*(.*)$", g) for g in (1, 2, 3))
+    kind = F.when(any_of(low, TOOL_WARNINGS), "parser_warning").when(name == "", "commandline_missing").otherwise("commandline")
+    rows = lines.where(data).select(text.alias("text"), kind.alias("kind"), pid.alias("pid"), F.when(rest == "", name).otherwise(rest).alias("command"), any_of(low, COMMAND_WORDS).alias("hot"))
+    plain = F.col("kind") == "commandline"
+    artifact = F.when(plain, F.concat(F.lit("cmdline_"), "pid")).when(F.col("kind") == "commandline_missing", F.concat(F.lit("cmdline_empty_"), "pid")).otherwise(stable_id("cmdline_warning", "text"))
+    severity = F.when(F.col("kind") == "parser_warning", "medium").when(plain & F.col("hot"), "high").otherwise("low")
+    confidence = F.when(~plain, 1.0).when(F.col("hot"), 0.90).otherwise(0.60)
+    return make_items(rows, artifact, "volatility3", F.col("kind"), F.when(plain, F.col("command")).otherwise(F.col("text")), severity, confidence)
 
 
 def connections(lines: DataFrame) -> DataFrame:
@@ -235,23 +245,34 @@ def injected_regions(lines: DataFrame, corroborated: DataFrame | None = None, fi
     """One row for each process with injected regions, from table rows and the dump lines below them.
 
     A table row has a numeric process id and a page protection; other lines
-    belong to the last such row of the file (carry-forward window). Processes
-    that compile at run time are downgraded unless corroborated.
+    belong to the last such row of the file (carry-forward window), a header
+    ends it. Executable memory and a program's signature together are critical,
+    one of them is high, none medium. Processes that compile at run time come
+    down to medium unless both were seen or another row corroborates the id.
     """
-    f = F.split(F.trim("value"), r"\s+")
-    is_row = F.col("value").rlike(r"^\s*\d+\s") & F.contains(F.lower("value"), F.lit("page_"))
+    text = F.regexp_replace("value", r"^\s+|\s+$", "")
+    low = F.lower(text)
+    header = F.contains(text, F.lit("Volatility 3 Framework")) | F.contains(text, F.lit("PID"))
+    is_row = text.rlike(r"^[0-9]+\s") & F.contains(low, F.lit("page_"))
     w = Window.partitionBy(file).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    tagged = lines.withColumn("pid", F.last(F.when(is_row, f[0]), ignorenulls=True).over(w)).withColumn("name", F.when(is_row, f[1])).withColumn("is_row", is_row)
-    upper = F.upper("value")
-    per = tagged.where("pid is not null").groupBy("pid").agg(F.max_by("name", F.col("name").isNotNull()).alias("name"), F.bool_or(F.col("is_row") & F.contains(upper, F.lit("PAGE_EXECUTE_READWRITE"))).alias("rwx"), F.bool_or(upper.rlike(r"\bMZ\b|4D 5A")).alias("pe"))
-    if corroborated is not None:
-        per = per.join(corroborated.select("pid", F.lit(True).alias("sure")), "pid", "left")
-    else:
-        per = per.withColumn("sure", F.lit(None).cast("boolean"))
-    jit = F.lower("name").isin(JIT_PROCESSES) & ~F.coalesce("sure", F.lit(False))
-    severity = F.when(F.col("rwx") & F.col("pe"), F.when(jit, "high").otherwise("critical")).when(F.col("rwx") | F.col("pe"), F.when(jit, "low").otherwise("high")).otherwise(F.when(jit, "low").otherwise("medium"))
-    value = F.concat(F.lit("Injected memory regions detected in "), F.coalesce("name", F.lit("unknown")), F.lit(" (PID:"), "pid", F.lit(")"))
-    return make_items(per, F.concat(F.lit("malfind_"), "pid"), "volatility3", "injected_code", value, severity, 0.90, linked=F.array(F.concat(F.lit("proc_"), "pid")))
+    marked = lines.select(file, order, text.alias("text"), is_row.alias("is_row"), F.when(is_row, F.regexp_extract(text, r"^([0-9]+)", 1)).when(header, "").alias("mark"))
+    tagged = marked.withColumn("pid", F.last("mark", ignorenulls=True).over(w)).where("pid <> ''")
+    flags = F.regexp_extract(F.lower("text"), r"^\S+\s+\S+\s+(.*)$", 1)
+    signature = F.lower("text").rlike(r"shellcode| mz|^mz|4d 5a|4d5a|50 45 00 00")
+    rwx = F.col("is_row") & flags.rlike("rwx|rw-x|rx|page_exec|execute.*write|write.*execute")
+    pe = signature | (F.col("is_row") & flags.rlike("mz|pe"))
+    first_name = F.min_by(F.regexp_extract("text", r"^\S+\s+(\S+)", 1), F.when(F.col("is_row"), F.col(order)))
+    per = tagged.groupBy("pid").agg(first_name.alias("name"), F.bool_or(rwx).alias("rwx"), F.bool_or(pe).alias("pe"))
+    known = lines.sparkSession.createDataFrame([], "pid string") if corroborated is None else corroborated.select("pid").distinct()
+    per = per.join(known.withColumn("sure", F.lit(True)), "pid", "left").withColumn("sure", F.coalesce("sure", F.lit(False)) | (F.col("rwx") & F.col("pe")))
+    both, one, jit = F.col("rwx") & F.col("pe"), F.col("rwx") | F.col("pe"), F.lower("name").isin(JIT_PROCESSES)
+    down = jit & ~F.col("sure") & one
+    severity = F.when(down, "medium").when(both, "critical").when(one, "high").otherwise("medium")
+    confidence = F.when(down, 0.65).when(both, 0.92).when(one, 0.86).otherwise(0.70)
+    why = F.when(both, "RWX region and embedded PE/shellcode detected").when(F.col("rwx"), "RWX region detected").when(F.col("pe"), "Embedded PE/shellcode detected").otherwise("Injected regions detected (no RWX/PE signature)")
+    more = F.when(down, "; Injection in JIT-capable process without corroborating IOC: down-ranked").when(jit & F.col("sure"), "; Corroborated by another IOC; down-rank skipped").otherwise("")
+    value = F.concat(F.lit("Injected memory regions detected in "), "name", F.lit(" (PID:"), "pid", F.lit("). Reasons: "), why, more)
+    return make_items(per, F.concat(F.lit("malfind_"), "pid"), "volatility3", "injected_code", value, severity, confidence, linked=F.array(F.concat(F.lit("proc_"), "pid")))
 
 
 def module_lines(lines: DataFrame) -> DataFrame:
@@ -262,20 +283,22 @@ def module_lines(lines: DataFrame) -> DataFrame:
 def file_objects(lines: DataFrame) -> DataFrame:
     """File objects by their place and name; each path once (any case).
 
-    Encrypted-file endings and payload names are high at 0.95; two markers or a
-    random staging folder are high, one marker medium, none drops the row.
+    Ransomware endings and payload names are high at 0.95 wherever they lie. A
+    folder with a random name below a staging folder, or two markers, is high;
+    one marker is medium; none drops the row.
     """
-    parts = F.split(F.trim("value"), r"\t+| {2,}")
-    candidates = F.filter(parts, lambda p: p.rlike(r"[\\/]"))
-    rows = lines.withColumn("path", F.try_element_at(candidates, F.lit(-1))).where("path is not null")
+    parts = F.split(F.regexp_replace("value", r"^\s+|\s+$", ""), r"\t+| {2,}")
+    rows = lines.withColumn("path", F.try_element_at(F.filter(parts, lambda p: p.rlike(r"[\\/]")), F.lit(-1))).where("path is not null")
     low = F.lower("path")
-    markers = F.filter(F.array(*(F.lit(m) for m in ("\\temp\\", "\\appdata\\", "\\programdata\\", "\\users\\public\\", "\\downloads\\", ".exe", ".ps1", ".vbs", ".bat", ".scr"))), lambda m: F.contains(low, m))
-    sure = low.rlike(r"\.(wnry|wncry|wncryt|wcry|locked|encrypted)$|@wanadecryptor@|tasksche\.exe|mssecsvc\.exe|taskdl\.exe|taskse\.exe")
-    staging = low.rlike(r"\\programdata\\[a-z]{8,}[0-9]{3}\\")
-    severity = F.when(sure | staging | (F.size(markers) >= 2), "high").when(F.size(markers) == 1, "medium")
-    w = Window.partitionBy(low).orderBy("value")
-    kept = rows.withColumn("sev", severity).withColumn("conf", F.when(sure, 0.95).otherwise(0.75)).withColumn("n", F.row_number().over(w)).where("n = 1 and sev is not null")
-    return make_items(kept, stable_id("file", F.lower("path")), "volatility3", "file_artifact", F.concat(F.lit("Suspicious file object: "), "path"), F.col("sev"), F.col("conf"))
+    name = F.regexp_extract(low, r"([^\\/]*)$", 1)
+    sure = name.rlike(r"\.(" + "|".join(RANSOM_ENDINGS) + ")$") | any_of(name, PAYLOAD_NAMES)
+    staging = F.translate(low, "/", "\\").rlike(r"\\(intel|programdata)\\(?=[a-z0-9]*[a-z])(?=[a-z0-9]*[0-9])[a-z0-9]{12,}(\\|$)")
+    n = F.size(F.filter(F.array(*(F.lit(m) for m in FILE_MARKERS)), lambda m: F.contains(low, m)))
+    severity = F.when(sure | staging | (n >= 2), "high").when(n == 1, "medium")
+    w = Window.partitionBy("low").orderBy("value")
+    kept = rows.withColumn("low", low).withColumn("sev", severity).withColumn("conf", F.when(sure, 0.95).when(staging | (n >= 2), 0.90).otherwise(0.80)).where("sev is not null")
+    kept = kept.withColumn("n", F.row_number().over(w)).where("n = 1")
+    return make_items(kept, stable_id("file", "low"), "volatility3", "file_artifact", F.col("path"), F.col("sev"), F.col("conf"))
 
 
 def rule_hits(lines: DataFrame) -> DataFrame:
