@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewright.functions.signals import HOST_PATTERN, IP_PATTERN
-from casewright.schema import make_items, severity_name, severity_rank
+from casewright.schema import computed_once, make_items, severity_name, severity_rank
 
 # The default catalog, in rule order.
 CATALOG = {
@@ -90,7 +90,8 @@ def rescore(items: DataFrame, catalog: dict | None = None, contexts: DataFrame |
     """
     catalog = CATALOG if catalog is None else catalog
     hay = F.lower(F.concat_ws(" ", F.coalesce("value", F.lit("")), F.coalesce("evidence_type", F.lit(""))))
-    found = items.join(bad_host_rows(items, catalog, contexts).withColumnRenamed("bad", "_bad"), ["case_id", "seq"], "left").withColumn("_hay", hay).withColumn("_ports", ports_in(hay))
+    found = items.join(bad_host_rows(items, catalog, contexts).withColumnRenamed("bad", "_bad"), ["case_id", "seq"], "left").withColumn("_hay", hay)
+    found = computed_once(found, "_ports", ports_in(F.col("_hay")))
     names, ranks = [], []
     summary = F.coalesce(F.col("evidence_type").isin(SUMMARY_TYPES), F.lit(False))
     for rule in rule_list(catalog):
@@ -104,10 +105,11 @@ def rescore(items: DataFrame, catalog: dict | None = None, contexts: DataFrame |
         names.append(F.when(hit, F.concat(F.lit("bad_host:"), "_bad") if rule["kind"] == "hosts" else F.lit(rule["id"])))
         ranks.append(F.when(hit, severity_rank(F.lit(rule["severity"]))).otherwise(0))
     before = F.col("ioc_match") if "ioc_match" in items.columns else F.array().cast("array<string>")
-    own, floor = severity_rank(F.col("severity")), F.greatest(*ranks)
-    out = found.withColumn("ioc_match", F.array_distinct(F.concat(F.coalesce(before, F.array().cast("array<string>")), F.array_compact(F.array(*names)))))
+    found = computed_once(found, "_hit", F.struct(F.array_compact(F.array(*names)).alias("names"), F.greatest(*ranks).alias("floor")))
+    own, floor = severity_rank(F.col("severity")), F.col("_hit.floor")
+    out = found.withColumn("ioc_match", F.array_distinct(F.concat(F.coalesce(before, F.array().cast("array<string>")), "_hit.names")))
     out = out.withColumn("boosted", floor > own).withColumn("severity", F.when(floor > own, severity_name(floor)).otherwise(F.col("severity")))
-    return out.drop("_bad", "_hay", "_ports")
+    return out.drop("_bad", "_hay", "_ports", "_hit")
 
 
 def slug(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewright.schema import severity_name, severity_rank
+from casewright.schema import computed_once, severity_name, severity_rank
 
 # Fixed values of the report's rules.
 PROGRAM_ENDINGS = r"(?i)\.(exe|dll|bat|ps1|vbs|cmd|scr)$"
@@ -131,7 +131,7 @@ def key_findings(items: DataFrame, notes: DataFrame | None = None, most: int = F
     findings shows its first ten items.
     """
     match = F.col("ioc_match") if "ioc_match" in items.columns else F.array().cast("array<string>")
-    rows = items.withColumn("_m", match).withColumn("_i", F.array_distinct(item_indicators(items))).withColumn("_r", severity_rank(F.lower("severity")))
+    rows = computed_once(items.withColumn("_m", match), "_i", F.array_distinct(item_indicators(items))).withColumn("_r", severity_rank(F.lower("severity")))
     if notes is not None:
         rows = rows.join(notes.select("case_id", "artifact_id", "note").dropDuplicates(["case_id", "artifact_id"]), ["case_id", "artifact_id"], "left")
     else:
@@ -139,11 +139,13 @@ def key_findings(items: DataFrame, notes: DataFrame | None = None, most: int = F
     noted = F.coalesce(F.col("note") != "-", F.lit(False))
     is_finding = (F.col("evidence_type") != "process_tree") & ((F.col("_r") >= 4) | (F.size("_m") > 0)) & ((F.size("_i") > 0) | (F.size("_m") > 0) | noted)
     once = Window.partitionBy("case_id", "evidence_type", "value", "severity").orderBy("seq")
-    found = rows.where(is_finding).withColumn("_n", F.row_number().over(once)).where("_n = 1")
-    order = Window.partitionBy("case_id").orderBy(F.desc("_r"), (F.size("_i") > 0).desc(), "seq")
-    found = found.withColumn("row", F.row_number().over(order)).withColumn("n_findings", F.count("*").over(Window.partitionBy("case_id"))).where(F.col("row") <= most)
-    quiet = rows.join(found.select("case_id").distinct(), "case_id", "left_anti").withColumn("row", F.row_number().over(Window.partitionBy("case_id").orderBy("seq"))).where("row <= 10").withColumn("n_findings", F.lit(0).cast("long"))
-    out = found.drop("_n").unionByName(quiet)
+    rows = rows.withColumn("_found", is_finding & (F.row_number().over(once) == 1))
+    # Findings come first, then all others by seq, so one top-k window (limited before the shuffle) serves both kinds of case.
+    foremost = [F.desc("_found"), F.when(F.col("_found"), F.col("_r")).desc_nulls_last(), F.when(F.col("_found"), F.size("_i") > 0).desc_nulls_last(), F.col("seq")]
+    order = Window.partitionBy("case_id").orderBy(*foremost)
+    top = rows.withColumn("row", F.row_number().over(order)).where(F.col("row") <= max(most, 10))
+    counts = rows.groupBy("case_id").agg(F.count_if("_found").alias("n_findings"))
+    out = top.join(counts, "case_id").where((F.col("_found") & (F.col("row") <= most)) | ((F.col("n_findings") == 0) & (F.col("row") <= 10)))
     cell = F.array_join(F.transform("_i", lambda i: F.concat_ws(": ", i["type"], i["indicator"])), "; ")
     return out.select("case_id", "row", "seq", "artifact_id", type_label(F.col("evidence_type")).alias("type"), "value", "severity", cell.alias("indicators"), F.array_join(F.array_sort("_m"), ", ").alias("matches"), "n_findings")
 

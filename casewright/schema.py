@@ -48,6 +48,14 @@ def severity_name(rank: Column) -> Column:
     return name
 
 
+def computed_once(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """Adds a costly column so that later filters and projections read it instead of repeating its expression.
+
+    A one-element explode: the optimizer moves no filter through a generator.
+    """
+    return df.select("*", F.explode(F.array(column)).alias(name))
+
+
 def make_items(df: DataFrame, artifact_id: Column, source_tool: Column | str, evidence_type: Column | str, value: Column, severity: Column | str = "medium", confidence: Column | float = 0.7, timestamp: Column | str = "", linked: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows in the eight-field shape, after the columns named in keep."""
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
