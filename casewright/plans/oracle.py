@@ -369,6 +369,20 @@ ORACLE = {
         ROLLUP,
         select="SELECT row_number() OVER (ORDER BY confidence DESC, type, indicator)::INTEGER AS row, type, indicator, CASE WHEN confidence >= 0.45 THEN 'anchored' ELSE 'bare' END AS tier FROM rolled WHERE NOT surfaced QUALIFY row <= 50",
     ),
+    "key_findings": with_ev(
+        FIRST,
+        rescored("first_items"),
+        r"""cells AS (
+            SELECT *, list_concat(CASE WHEN evidence_type = 'dns_query' THEN ['Domain: ' || regexp_extract(value, '-> ([a-z0-9][a-z0-9.\-]*\.[a-z]{2,})', 1)] ELSE [] END,
+                list_transform(list_filter(regexp_extract_all(value, '\b(?:\d{1,3}\.){3}\d{1,3}\b'), lambda x: NOT starts_with(x, '10.')), lambda x: 'IP Address: ' || x),
+                CASE WHEN severity IN ('high', 'critical') OR len(ioc_match) > 0 THEN list_transform(list_filter(string_split(value, ' '), lambda x: regexp_matches(x, '\.(exe|dll|bat|ps1|vbs|cmd|scr)$')), lambda x: 'Suspicious File: ' || left(x, 60)) ELSE [] END) AS cell
+            FROM rescored)""",
+        """found AS (SELECT * FROM cells WHERE (severity IN ('high', 'critical') OR len(ioc_match) > 0) AND (len(cell) > 0 OR len(ioc_match) > 0)
+            QUALIFY row_number() OVER (PARTITION BY evidence_type, value, severity ORDER BY seq) = 1)""",
+        f"placed AS (SELECT *, row_number() OVER (ORDER BY {RANK} DESC, len(cell) > 0 DESC, seq)::INTEGER AS row, count(*) OVER () AS n_findings FROM found)",
+        select="""SELECT row, seq, CASE evidence_type WHEN 'process' THEN 'Process' WHEN 'injected_code' THEN 'Code Injection' WHEN 'network_connection' THEN 'Network Connection' WHEN 'dns_query' THEN 'DNS Query' ELSE 'File Artifact' END AS type,
+        severity, array_to_string(cell, '; ') AS indicators, array_to_string(list_sort(ioc_match), ', ') AS matches, n_findings FROM placed WHERE row <= 30""",
+    ),
     "proc_nodes": with_ev(NODES, select="SELECT pid, ppid, name, CASE rank WHEN 5 THEN 'critical' WHEN 4 THEN 'high' WHEN 3 THEN 'medium' WHEN 2 THEN 'low' END AS severity, artifact_id, first_seq, rank >= 4 AS is_flagged FROM nodes"),
     "lineage_closure": with_ev(NODES, CLOSURE, select="SELECT pid, ppid, is_flagged FROM flagged WHERE pid IN (SELECT pid FROM walk)").replace("WITH ev", "WITH RECURSIVE ev", 1),
     "process_tree": with_ev(NODES, TREE, select="SELECT row::INTEGER AS row, pid, depth FROM ordered WHERE row <= 40").replace("WITH ev", "WITH RECURSIVE ev", 1),
