@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from casewright.llm.common import checkpointed
 
 CAPACITY = 4096
-#: Words whose ids a task remembers; beyond it the memory is emptied, which changes no result.
-_REMEMBERED = 400_000
+#: Words whose ids a worker remembers; beyond it the older half goes, which changes no result.
+_REMEMBERED = 200_000
 
 
 class WordIds(dict):
@@ -41,13 +42,19 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.encode = Tokenizer.from_file(path).encode
+        self.older: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(word) > 1 and word[-1:] in b".," and (97 <= word[-2] <= 122):  # a mark after a letter is a token of its own
-            ids = self[word[:-1]] + self[word[-1:]]
+        if word in self.older:
+            self[word] = self.older[word]
+            return self[word]
+        letters = word.rstrip(b".,!?;:%$&*#|")
+        if letters != word and letters and 97 <= letters[-1] <= 122:  # marks after a letter are tokens of their own
+            ids = self[letters] + self[word[len(letters) :]]
         else:
             ids = np.array(self.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= _REMEMBERED:
+        if len(self) >= _REMEMBERED:  # two generations: what is still in use moves over from the older one
+            self.older = dict(self)
             self.clear()
         self[word] = ids
         return ids
@@ -56,13 +63,19 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, (text or b"").lower().split()))
 
 
+@lru_cache(maxsize=4)
+def word_ids(path: str) -> WordIds:
+    """One memory for each worker process; it serves all its tasks."""
+    return WordIds(path)
+
+
 def tokenized_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """Rows doc_id, piece, start, length, ids_crc32 (and ids): each document's ids and end_id, cut only if longer than capacity."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer_path)
+        words = word_ids(tokenizer_path)
         for batch in batches:
             out: list[list] = [[] for _ in schema.split(", ")]
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
@@ -120,7 +133,7 @@ def plan_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int
     return runs
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = 16) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, buckets: int = 64) -> DataFrame:
     """Adds sequence_id and offset to rows with doc_id, piece and length (1 to capacity); other columns are kept.
 
     Sequences hold at most `capacity` tokens, gapless from offset 0. Repeated
