@@ -16,8 +16,8 @@ from casewright.llm.common import checkpointed, free_name
 
 #: Fixed base rules: verdict, host, path.
 BASE_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: Pruning of mined rules.
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_LIFT = 0.002, 0.8, 1.5
+#: Pruning of mined rules: share of the labelled pages, but so many pages at least; confidence; lift.
+MIN_SUPPORT, LEAST_PAGES, MIN_CONFIDENCE, MIN_LIFT = 0.002, 20, 0.8, 1.5
 #: The token that stands for a blocked page in a labelled basket; URL tokens have no space.
 _BLOCKED = "label block"
 #: Rules up to this number are broadcast; more are joined by shuffle.
@@ -54,7 +54,7 @@ def base_verdict(host: Column, path: Column, rules: list[tuple[str, str, str]] |
     return name, verdict
 
 
-def mine_rules(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked", min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
+def mine_rules(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked", min_support: float = MIN_SUPPORT, least_pages: int = LEAST_PAGES, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
     """Rules rule_id, tokens, confidence, lift, support that predict blocked pages.
 
     Rows with a null url or label teach nothing; no rows give no rules. Rules
@@ -64,7 +64,8 @@ def mine_rules(labelled: DataFrame, url_col: str = "url", label_col: str = "bloc
     known = labelled.where(F.col(url_col).isNotNull() & F.col(label_col).isNotNull())
     tokens = url_tokens(url_host(F.col(url_col)), url_path(F.col(url_col)))
     baskets = known.select(F.when(F.col(label_col).cast("int") == 1, F.concat(tokens, F.array(F.lit(_BLOCKED)))).otherwise(tokens).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
+    support = min(1.0, max(min_support, least_pages / max(1, known.count())))  # a rule seen on two pages is chance
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(F.array_contains("consequent", _BLOCKED) & (F.col("lift") >= min_lift))
     return rules.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), F.array_sort("antecedent").alias("tokens"), "confidence", "lift", "support")
 
