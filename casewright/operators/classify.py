@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewright.functions.text import count_of
+
 # Classes with their words, artifact types with theirs, and the evidence that supports a class.
 CLASS_WORDS = {
     "ransomware": ["ransom", "encrypt", "decrypt", "bitcoin", "locked", ".crypt", "payment"],
@@ -45,8 +47,8 @@ STOP_HOSTS = ["HTTP", "HTTPS", "WIN32", "WIN64"]
 
 
 def hits(text: Column, words: list[str]) -> Column:
-    """How many of the words a lower-cased text holds."""
-    return F.size(F.filter(F.array(*(F.lit(w) for w in words)), lambda w: F.contains(F.lower(text), w)))
+    """How many of the words a text holds, in any case."""
+    return count_of(F.lower(text), words)
 
 
 def class_score(texts: DataFrame, text: str = "text", words: dict[str, list[str]] | None = None) -> DataFrame:

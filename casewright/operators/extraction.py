@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewright.functions.text import any_of
 from casewright.schema import make_items
 
 # Fixed values of the extraction rules.
@@ -73,11 +74,6 @@ REGISTRY_PATTERNS = [
 ]
 
 
-def any_of(text: Column, words: list[str]) -> Column:
-    """Whether a text holds one of the words; false for null."""
-    return F.coalesce(F.exists(F.array(*(F.lit(w) for w in words)), lambda w: F.contains(text, w)), F.lit(False))
-
-
 def stable_id(prefix: str, *parts: Column | str) -> Column:
     """An id that depends on the row alone: prefix and the first 12 hex digits of a SHA-256."""
     return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 12))

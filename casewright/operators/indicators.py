@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewright.functions.signals import HOST_PATTERN, IP_PATTERN
+from casewright.functions.text import any_of
 from casewright.schema import computed_once, make_items, severity_name, severity_rank
 
 # The default catalog, in rule order.
@@ -96,7 +97,7 @@ def rescore(items: DataFrame, catalog: dict | None = None, contexts: DataFrame |
     summary = F.coalesce(F.col("evidence_type").isin(SUMMARY_TYPES), F.lit(False))
     for rule in rule_list(catalog):
         if rule["kind"] == "terms":
-            hit = F.exists(F.array(*(F.lit(t) for t in rule["values"])), lambda t: F.contains(F.col("_hay"), t))
+            hit = any_of(F.col("_hay"), rule["values"])
         elif rule["kind"] == "ports":
             hit = F.arrays_overlap("_ports", F.array(*(F.lit(p) for p in rule["values"])))
         else:
