@@ -175,7 +175,9 @@ def _stars(links: Iterator[tuple[np.ndarray, np.ndarray]]) -> dict[int, int]:
 def link_fingerprints(prints: DataFrame, radius: int = 2, shard_rows: int = 1024, sample_rows: int = 16384, max_depth: int = 12) -> DataFrame:
     """Links between distinct fingerprints (column fp) as star edges fp, root within each shard.
 
-    prints is read three times and should be materialised. The driver sees at
+    prints is read three times and should be materialised. A wide radius wants large
+    shards: each level of the tree sends more copies of a fingerprint to other
+    shards, while large shards are split again inside their task. The driver sees at
     most sample_rows fingerprints and the count; the tree, which goes to the
     tasks, has at most 2**(max_depth + 1) nodes.
     """
@@ -201,7 +203,7 @@ def link_fingerprints(prints: DataFrame, radius: int = 2, shard_rows: int = 1024
     return dealt.groupBy("shard").applyInPandas(search, "fp long, root long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, radius: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, radius: int = 2, shard_rows: int = 1024) -> DataFrame:
     """One row per input row: id, fp, component (the smallest id of its group).
 
     Null, empty and word-less texts have fingerprint 0 and link like any
@@ -213,7 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     name = docs.schema[id_col].name
     made = checkpointed(with_fingerprints(docs, id_col, text_col, words_per_shingle).select(F.col(name).alias("id"), "fp"))
     distinct = checkpointed(made.groupBy("fp").agg(F.min("id").alias("first_id")))
-    edges = link_fingerprints(distinct.select("fp"), radius)
+    edges = link_fingerprints(distinct.select("fp"), radius, shard_rows)
     roots = connected_components(edges, "fp", "root").withColumnRenamed("node", "fp")
     grouped = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = grouped.groupBy("root").agg(F.min("first_id").alias("component"))
@@ -221,11 +223,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return made.join(labels, "fp").select("id", "fp", "component")
 
 
-def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, radius: int = 2) -> DataFrame:
+def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, radius: int = 2, shard_rows: int = 1024) -> DataFrame:
     """Drops every document but the one with the smallest id of each group; all columns are kept.
 
     Rows without an id cannot be told apart and stay.
     """
-    found = near_duplicates(docs, id_col, text_col, words_per_shingle, radius)
+    found = near_duplicates(docs, id_col, text_col, words_per_shingle, radius, shard_rows)
     dropped = found.where("id <> component").select(F.col("id").alias(id_col)).distinct()
     return docs.join(dropped, id_col, "left_anti")

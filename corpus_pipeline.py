@@ -17,6 +17,8 @@ from casewright.llm.queries import tokenizer_path
 #: Near duplicates: words of a shingle, and bits of 64 that may differ. A distance of 6 is an angle whose cosine is 0.96,
 #: which is a Jaccard similarity of about 0.92 between shingle sets, so linked documents are well over 0.8.
 SHINGLE_WORDS, RADIUS = 5, 6
+#: Fingerprints of a shard; large, as a wide radius lets every further cut send many of them to both sides.
+SHARD_ROWS = 1 << 15
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of every group of near duplicates."""
-    return simhash.keep_one_per_group(docs, words_per_shingle=SHINGLE_WORDS, radius=RADIUS)
+    return simhash.keep_one_per_group(docs, words_per_shingle=SHINGLE_WORDS, radius=RADIUS, shard_rows=SHARD_ROWS)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

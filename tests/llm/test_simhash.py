@@ -77,7 +77,7 @@ def test_components_equal_brute_force(spark, monkeypatch):
     rows += [(900, None, "x"), (901, "", "x"), (902, " \n", "x"), (903, rows[5][1].upper(), "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp string").repartition(5)
     link = simhash.link_fingerprints
-    monkeypatch.setattr(simhash, "link_fingerprints", lambda p, r: link(p, r, shard_rows=16))
+    monkeypatch.setattr(simhash, "link_fingerprints", lambda p, r, n: link(p, r, shard_rows=16))
     got = {r.id: (r.fp & (1 << 64) - 1, r.component) for r in simhash.near_duplicates(docs, radius=2).collect()}
     prints = {i: plain_fingerprint(t, 3) for i, t, _ in rows}
     assert {i: f for i, (f, _) in got.items()} == prints
