@@ -22,7 +22,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from casewright.llm.common import extended, free_name
 
@@ -30,15 +29,15 @@ SPACE = "▁"
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: What stands before a word's first piece, and in place of a character without one.
 START, UNKNOWN = -2, -1
-#: Words and pairs of pieces remembered by a task; beyond it the memory is emptied, which changes no result.
-_REMEMBERED = 400_000
+#: Words and pairs of pieces remembered by a worker; beyond it the older half goes, which changes no result.
+_REMEMBERED = 300_000
 _LINES = re.compile(r"(\n)")
 _MARKS_AT_END = re.compile(r"(?<=[^\W\d_])[.,!?;:%$&*#|]+$")
 
 
 @dataclass
 class Pieces:
-    """A model's pieces: sorted hashes with ids and scores, byte ids, and the score of an unknown character.
+    """A model's pieces: sorted hashes of their beginnings with ids (-1 if no piece) and scores, byte ids, and the score of an unknown character.
 
     merges is the score of each piece of a BPE model, None for a unigram model.
     """
@@ -69,17 +68,20 @@ class Pieces:
             raise ValueError("pieces that hold a space after another character are not supported")
         if len(byte_of) != 256:
             raise ValueError("the model has no byte pieces to fall back on")
-        scores = np.array([model.get_score(i) for i in usual])
-        keys = np.array([_hash_text(texts[i]) for i in usual], np.uint64)
+        starts = sorted({texts[i][:n] for i in usual for n in range(1, len(texts[i]) + 1)})
+        keys = _hash_texts(starts)
         order = np.argsort(keys)
         if (np.diff(keys[order]) == 0).any():
-            raise ValueError("two pieces share a hash")
+            raise ValueError("two beginnings of pieces share a hash")
+        own = {texts[i]: i for i in usual}
+        ids = np.array([own.get(t, -1) for t in starts], np.int32)
+        scores = np.array([model.get_score(own[t]) if t in own else -np.inf for t in starts])
         byte_ids = np.zeros(256, np.int32)
         for i, b in byte_of.items():
             byte_ids[b] = i
         spec = sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto()).trainer_spec
         merges = {texts[i]: model.get_score(i) for i in usual} if spec.model_type == spec.BPE else None
-        return cls(keys[order], np.array(usual, np.int32)[order], scores[order], max(len(texts[i]) for i in usual), byte_ids, float(scores.min()) - 10.0, texts, byte_of, merges)
+        return cls(keys[order], ids[order], scores[order], max(map(len, own)), byte_ids, float(min(map(model.get_score, usual))) - 10.0, texts, byte_of, merges)
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the sorted table and whether the hash is there."""
@@ -154,11 +156,18 @@ def _extend(state: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(29))
 
 
-def _hash_text(text: str) -> int:
-    state = np.zeros(1, np.uint64)
-    for c in text:
-        state = _extend(state, np.array([ord(c)], np.uint64))
-    return int(state[0])
+def _hash_texts(texts: list[str]) -> np.ndarray:
+    out = np.zeros(len(texts), np.uint64)
+    by_length: dict[int, list[int]] = {}
+    for i, t in enumerate(texts):
+        by_length.setdefault(len(t), []).append(i)
+    for length, members in by_length.items():
+        codes = np.frombuffer("".join(texts[i] for i in members).encode("utf-32-le"), "<u4").reshape(-1, length).astype(np.uint64)
+        state = np.zeros(len(members), np.uint64)
+        for column in codes.T:
+            state = _extend(state, column)
+        out[members] = state
+    return out
 
 
 def viterbi(words: list[str], pieces: Pieces, cells: int = 1 << 22) -> list[np.ndarray]:
@@ -187,22 +196,30 @@ def _batch(codes: np.ndarray, pieces: Pieces) -> list[np.ndarray]:
     token = np.full((n, length + 1), UNKNOWN, np.int32)  # its id
     token[:, 0] = START
     longest = min(pieces.longest, length)
-    states = np.zeros((n, 0), np.uint64)  # hashes of the substrings that start at the last `longest` places
+    rows = np.arange(n)
+    # Substrings that are still the beginning of some piece: their row, start and hash. All others are dropped at once.
+    row, start, state = np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.uint64)
     for end in range(1, length + 1):
-        states = np.concatenate([states, np.zeros((n, 1), np.uint64)], axis=1)[:, -longest:]
-        states = _extend(states, codes[:, end - 1 : end])
-        first = end - states.shape[1]
-        at, known = pieces.find(states)
-        single = known[:, -1].copy()
+        row, start, state = np.concatenate([row, rows]), np.concatenate([start, np.full(n, end - 1)]), np.concatenate([state, np.zeros(n, np.uint64)])
+        state = _extend(state, codes[row, end - 1])
+        at, alive = pieces.find(state)
+        row, start, state, at = row[alive], start[alive], state[alive], at[alive]
+        ids = pieces.ids[at]
+        is_piece = ids >= 0
+        single = np.zeros(n, bool)
+        single[row[is_piece & (start == end - 1)]] = True
         if pieces.merges is not None:
-            known[known] = pieces.may_follow(token[:, first:end][known], pieces.ids[at[known]])
-        value = np.where(known, best[:, first:end] + pieces.scores[at], -np.inf)
+            is_piece[is_piece] = pieces.may_follow(token[row[is_piece], start[is_piece]], ids[is_piece])
+        first = max(0, end - longest)
+        value = np.full((n, end - first), -np.inf)
+        value[row[is_piece], start[is_piece] - first] = best[row[is_piece], start[is_piece]] + pieces.scores[at[is_piece]]
+        found = np.full((n, end - first), UNKNOWN, np.int32)
+        found[row[is_piece], start[is_piece] - first] = ids[is_piece]
         value[:, -1] = np.where(single, value[:, -1], best[:, end - 1] + pieces.unknown)
         pick = value.argmax(axis=1)  # the longest piece wins a tie
-        rows = np.arange(n)
         best[:, end] = value[rows, pick]
         back[:, end] = first + pick
-        token[:, end] = np.where(known[rows, pick], pieces.ids[at[rows, pick]], UNKNOWN)
+        token[:, end] = found[rows, pick]
     steps = []
     ends = np.full(n, length)
     rows = np.arange(n)
@@ -249,6 +266,7 @@ class Encoder:
 
     def __init__(self, pieces: Pieces):
         self.pieces, self.memory, self.ends = pieces, {}, {}
+        self.older: dict[str, bytes] = {}
         self.cut_lines = not any("\n" in t for t in pieces.texts)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -256,10 +274,12 @@ class Encoder:
         split = [split_words(t) if t else [] for t in texts]
         if self.cut_lines:  # no piece spans a character that has none
             split = [[p for w in words for p in (_LINES.split(w) if "\n" in w else (w,)) if p] for words in split]
-        if len(self.memory) > _REMEMBERED:
-            self.memory.clear()
-            self.ends.clear()
-        self._learn({w for words in split for w in words if w not in self.memory})
+        if len(self.memory) > _REMEMBERED:  # two generations: what is still in use moves over from the older one
+            self.older, self.memory, self.ends = self.memory, {}, {}
+        new = {w for words in split for w in words if w not in self.memory}
+        again = new & self.older.keys()
+        self.memory.update((w, self.older[w]) for w in again)
+        self._learn(new - again)
         return [np.frombuffer(b"".join(map(self.memory.__getitem__, words)), np.int32) for words in split]
 
     def _learn(self, new: set[str]) -> None:
