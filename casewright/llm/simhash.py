@@ -34,24 +34,27 @@ _BYTE_AT = np.arange(8) * 256
 _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
+def shingle_hashes(text: bytes | None, words_per_shingle: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of one text, in chunks; none for null or no words."""
+    words = (text or b"").lower().split()
+    width = min(words_per_shingle, len(words))
+    for start in range(0, len(words) - width + 1 if words else 0, _CHUNK):
+        part = words[start : start + _CHUNK + width - 1]
+        shingles = map(b" ".join, zip(*(part[i:] for i in range(width)), strict=False))
+        yield np.array([xxhash.xxh64_intdigest(s, seed) for s in shingles], np.uint64)
+
+
 def shingle_fingerprint(text: bytes | None, words_per_shingle: int, seed: int = 42) -> int:
     """The fingerprint of one text (UTF-8); 0 for null or no words.
 
     A-Z are lower-cased, words are split at ASCII white space, repeated
     shingles count each time, and a text shorter than a shingle is one shingle.
     """
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
-    width = min(words_per_shingle, len(words))
-    total = len(words) - width + 1
-    ones = np.zeros(BITS, np.int64)
-    for start in range(0, total, _CHUNK):
-        part = words[start : start + _CHUNK + width - 1]
-        shingles = map(b" ".join, zip(*(part[i:] for i in range(width)), strict=False))
-        hashes = np.array([xxhash.xxh64_intdigest(s, seed) for s in shingles], np.uint64)
+    ones, total = np.zeros(BITS, np.int64), 0
+    for hashes in shingle_hashes(text, words_per_shingle, seed):
         counts = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + _BYTE_AT).ravel(), minlength=8 * 256).reshape(8, 256)
         ones += (counts @ _BITS_OF_BYTE).ravel()
+        total += len(hashes)
     return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
 
 

@@ -10,13 +10,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casewright.llm import language, packing, personal, simhash, toxicity
+from casewright.llm import copies, language, packing, personal, toxicity
 from casewright.llm.common import ensure_checkpoint_dir, table
 from casewright.llm.queries import tokenizer_path
 
 #: Near duplicates: words of a shingle, and bits of 64 that may differ. A distance of 6 is an angle whose cosine is 0.96,
-#: which is a Jaccard similarity of about 0.92 between shingle sets, so linked documents are well over 0.8.
+#: a Jaccard similarity of about 0.92 between shingle sets; MinHash bands propose the pairs that this radius leaves out.
 SHINGLE_WORDS, RADIUS = 5, 6
+#: Documents are copies from this Jaccard similarity of their sets of shingles on.
+LEAST_SIMILARITY = 0.8
 #: Fingerprints of a shard; large, as a wide radius lets every further cut send many of them to both sides.
 SHARD_ROWS = 1 << 15
 
@@ -35,8 +37,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of every group of near duplicates."""
-    return simhash.keep_one_per_group(docs, words_per_shingle=SHINGLE_WORDS, radius=RADIUS, shard_rows=SHARD_ROWS)
+    """Keeps the document with the smallest id of every group of near duplicates; links are verified on the shingles."""
+    return copies.keep_one_per_group(docs, LEAST_SIMILARITY, words_per_shingle=SHINGLE_WORDS, radius=RADIUS, shard_rows=SHARD_ROWS)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
