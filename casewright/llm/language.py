@@ -35,13 +35,13 @@ def plain(text: str) -> bytes:
 def fit_dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Dictionary content for each language, from rows that are not held out.
 
-    A bounded sample: the PASSAGES rows of lowest hash for each language, at
-    most PASSAGE_CHARS of each, equal passages once. Rows with null text or
+    A bounded sample: the PASSAGES different passages (of at most PASSAGE_CHARS)
+    of lowest hash for each language. Rows with null text or
     language teach nothing; no rows give no languages.
     """
     order = Window.partitionBy("lang").orderBy(F.xxhash64("passage"), "passage")
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    passages = rows.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, PASSAGE_CHARS).alias("passage"))
+    passages = rows.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, PASSAGE_CHARS).alias("passage")).distinct()
     sample = passages.withColumn("n", F.row_number().over(order)).where(F.col("n") <= PASSAGES).collect()
     content: dict[str, bytes] = {}
     for lang, passage, _ in sorted(sample, key=lambda r: (r.lang, -r.n)):

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from casewright.llm import language
 
@@ -48,3 +49,10 @@ def test_nothing_learned_or_one_language():
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert language.identify(docs, language.fit_dictionaries(docs)).count() == 0
+
+
+def test_copies_take_no_places(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    first = docs.where("crc32(cast(doc_id as string)) % 3 <> 1 and lang = 'xx'").orderBy(F.xxhash64(F.substring("text", 1, 600))).first()
+    copies = docs.where(f"doc_id = {first.doc_id}").crossJoin(spark.range(10_000, 11_000)).select("id", "text", "lang")
+    assert language.fit_dictionaries(docs.union(copies)) == language.fit_dictionaries(docs)
