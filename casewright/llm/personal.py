@@ -38,8 +38,9 @@ _HIDDEN_MAIL = re.compile(rf"(?<![A-Za-z0-9_%+.-]){_LOCAL_WORD}(?:(?:\.|{_DOT}){
 _AT_PART, _DOT_PART = re.compile(_AT, re.I), re.compile(_DOT, re.I)
 _SPELLED = re.compile(rf"(?<![^\W_])(?:plus\s+)?(?:{'|'.join(DIGIT_WORDS)})(?:[\s,.-]+(?:{'|'.join(DIGIT_WORDS)}|dot|point)(?![^\W_]))+", re.I)
 _SPELLED_WORD = re.compile(rf"plus|dot|point|{'|'.join(DIGIT_WORDS)}", re.I)
-#: Cheap signs that a text may hold a disguise at all.
-_MAY_HIDE_MAIL = re.compile(r"[\[({<]\s*(?:at|@)\s*[\])}>]|(?<=\s)at\s+\S+(?:\s*[\[({<]\s*dot|\s+dot\s)|\s@|@\s|@[^\n]{1,80}?\bdot\b|@[^\n]{1,80}?[\[({<]\s*(?:dot|\.)", re.I)
+#: Cheap signs that a text may hold a disguise at all: what a hidden mail must hold, at any distance.
+_MAY_HIDE_AT = re.compile(r"@|[\s\[({<]at[\s\])}>]", re.I)
+_MAY_HIDE_MAIL = re.compile(r"\s@|@\s|[\[({<]\s*(?:at|@)\s*[\])}>]|[\[({<]\s*(?:dot|\.)\s*[\])}>]|\sdot\s", re.I)
 _LOOKS = re.compile(r"[^\x00-ɏḀ-ỿ -⁯]")
 
 
@@ -124,7 +125,7 @@ def _mail(m: re.Match) -> str:
 
 def normalise(text: str) -> Normalised | None:
     """The text through all transducers; None if nothing in it could be a disguise."""
-    looks, spelled, mail = _LOOKS.search(text), _SPELLED.search(text), _MAY_HIDE_MAIL.search(text)
+    looks, spelled, mail = _LOOKS.search(text), _SPELLED.search(text), _MAY_HIDE_AT.search(text) and _MAY_HIDE_MAIL.search(text)
     if not (looks or spelled or mail):
         return None
     out = Normalised(text)

@@ -81,3 +81,19 @@ def test_documents(spark):
     assert got[2].pii_redacted is None and got[3].pii_redacted == "" and got[2].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert personal.redact_documents(docs).columns == docs.columns
     assert personal.find_personal_data(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("mail", ["john [dot] smith@example.com", "john dot smith@example.com", "john at example [.] com", "john@" + "x" * 90 + " dot com"])
+def test_rare_disguises_pass_the_gate(mail):
+    assert ("email", mail) in found(f"write to: {mail}")
+
+
+@settings(max_examples=2000, deadline=None)
+@given(st.lists(st.sampled_from(["a", "john", "x.y", "@", " @ ", " at ", "at", "(at)", "[ @ ]", ".", " dot ", "dot", "[dot]", " [.] ", "{ . }", " ", "\n", "com", "w" * 90, "é", "one two", "\u0430", "At", "DOT"]), max_size=14).map("".join))
+def test_the_gate_changes_nothing(text):
+    ungated = personal.Normalised(text)
+    for pattern, new in ((personal._LOOKS, personal._ascii), (personal._SPELLED, personal._digits), (personal._HIDDEN_MAIL, personal._mail)):
+        ungated.rewrite(pattern, new)
+    got = personal.normalise(text)
+    want = (ungated.text, ungated.starts, ungated.ends) if ungated.text != text else None
+    assert (got and (got.text, got.starts, got.ends)) == want
