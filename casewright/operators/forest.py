@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -36,30 +37,52 @@ def distinct_vectors(rows: DataFrame) -> DataFrame:
     return rows.groupBy("family", *FEATURES).agg(F.count("*").alias("n_rows"))
 
 
+def _draw(vectors: pd.DataFrame, most: int, key: list[int]) -> np.ndarray:
+    """At most `most` rows, drawn without replacement from all rows that distinct vectors (with n_rows) stand for."""
+    v = vectors.sort_values(FEATURES)
+    ends = v["n_rows"].to_numpy(np.int64).cumsum()
+    rows = np.arange(ends[-1]) if ends[-1] <= most else np.sort(np.random.default_rng(key).choice(ends[-1], most, replace=False))
+    return v[FEATURES].to_numpy(float)[np.searchsorted(ends, rows, side="right")]
+
+
 def background(baseline: DataFrame, most: int = BACKGROUND, seed: int = SEED) -> DataFrame:
-    """At most `most` baseline rows of each family, the same for the same rows."""
-    from pyspark.sql import Window
+    """Family and features of at most `most` baseline rows of each family, the same for the same rows.
+
+    Each row has the same chance, so a vector comes as often as its share of the rows.
+    """
 
-    w = Window.partitionBy("family").orderBy(F.xxhash64(*FEATURES, F.lit(seed)), *FEATURES)
-    return baseline.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        family = pdf["family"].iloc[0]
+        return pd.DataFrame(_draw(pdf, most, [seed, zlib.crc32(str(family).encode())]), columns=FEATURES).assign(family=family)[["family", *FEATURES]]
+
+    return distinct_vectors(baseline).groupBy("family").applyInPandas(draw, "family string, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
 def fit_forest(baseline: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
-    """Family, tree and its nodes, grown in parallel from at most `sample` rows of each family."""
-    bounded = background(baseline, sample, seed)
-    numbered = bounded.select("family", *FEATURES, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    """Family, tree and its nodes, grown in parallel, each from its own draw of at most `sample` rows of the family."""
+    numbered = distinct_vectors(baseline).select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[FEATURES].sort_values(FEATURES).to_numpy(float)
-        rng = np.random.default_rng([seed, int(pdf["tree"].iloc[0])])
+        tree = int(pdf["tree"].iloc[0])
+        x = _draw(pdf, sample, [seed, tree, 1])
+        rng = np.random.default_rng([seed, tree])
         nodes: list[tuple] = []
         _grow(x, rng, 0, max(1, math.ceil(math.log2(max(2, len(x))))), nodes)
         f, cut, left, right, path = zip(*nodes, strict=True)
-        return pd.DataFrame({"family": [pdf["family"].iloc[0]], "tree": [pdf["tree"].iloc[0]], "n": [len(x)], "feature": [list(f)], "cut": [list(cut)], "left": [list(left)], "right": [list(right)], "path": [list(path)]})
+        return pd.DataFrame({"family": [pdf["family"].iloc[0]], "tree": [tree], "n": [len(x)], "feature": [list(f)], "cut": [list(cut)], "left": [list(left)], "right": [list(right)], "path": [list(path)]})
 
     return numbered.groupBy("family", "tree").applyInPandas(grow, "family string, tree int, n int, feature array<int>, cut array<double>, left array<int>, right array<int>, path array<double>")
 
 
+def weighted_quantile(x: np.ndarray, times: np.ndarray, q: float) -> float:
+    """np.quantile of x with each value repeated so many times."""
+    order = np.argsort(x, kind="stable")
+    ends = times[order].cumsum()
+    at = q * (ends[-1] - 1)
+    low, high = x[order][np.searchsorted(ends, [math.floor(at), math.ceil(at)], side="right")]
+    return float(low + (high - low) * (at - math.floor(at)))
+
+
 def _paths(trees: pd.DataFrame, x: np.ndarray) -> np.ndarray:
     total = np.zeros(len(x))
     for t in trees.itertuples(index=False):
@@ -77,20 +100,20 @@ def _raw_scores(trees: pd.DataFrame, x: np.ndarray) -> np.ndarray:
 
 
 def model_scores(vectors: DataFrame, baseline: DataFrame, forest: DataFrame) -> DataFrame:
-    """Adds model_score to distinct vectors: the raw score less the baseline's 1st percentile; 0 without a forest.
+    """Adds model_score to distinct vectors: the raw score less the 1st percentile over all baseline rows; 0 without a forest.
 
     vectors and baseline hold family and the features; a family has few
     distinct vectors, so one group is small.
     """
-    base = background(baseline, SAMPLE).select("family", *FEATURES, F.lit(True).alias("is_base"))
-    both = vectors.select("family", *FEATURES, F.lit(False).alias("is_base")).unionByName(base)
+    base = distinct_vectors(baseline).select("family", *FEATURES, "n_rows", F.lit(True).alias("is_base"))
+    both = vectors.select("family", *FEATURES, F.lit(0).cast("long").alias("n_rows"), F.lit(False).alias("is_base")).unionByName(base)
 
     def score(key: tuple, rows: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
         own = rows[~rows["is_base"]].copy()
         if not len(trees) or not len(own):
             return own[["family", *FEATURES]].assign(model_score=0.0)
-        base_rows = rows[rows["is_base"]][FEATURES].to_numpy(float)
-        offset = np.quantile(_raw_scores(trees, base_rows), CONTAMINATION)
+        base_rows = rows[rows["is_base"]]
+        offset = weighted_quantile(_raw_scores(trees, base_rows[FEATURES].to_numpy(float)), base_rows["n_rows"].to_numpy(np.int64), CONTAMINATION)
         return own[["family", *FEATURES]].assign(model_score=_raw_scores(trees, own[FEATURES].to_numpy(float)) - offset)
 
     schema = "family string, " + ", ".join(f"{f} double" for f in FEATURES) + ", model_score double"
@@ -107,7 +130,7 @@ def score_items(items: DataFrame, baseline: DataFrame) -> DataFrame:
 
 def rule_attribution(vectors: DataFrame, baseline: DataFrame) -> DataFrame:
     """M10, rule part: weight times (value less baseline mean) for each penalised feature; the Shapley values of a linear score."""
-    means = background(baseline).groupBy("family").agg(*(F.avg(f).alias(f"m_{f}") for f in WEIGHTS))
+    means = baseline.groupBy("family").agg(*(F.avg(f).alias(f"m_{f}") for f in WEIGHTS))
     parts = F.array(*(F.struct(F.lit(f).alias("feature"), (F.round(F.lit(w) * (F.col(f) - F.col(f"m_{f}")), 6) + 0.0).alias("phi")) for f, w in WEIGHTS.items()))
     return vectors.join(means, "family").select("family", *FEATURES, F.explode(parts).alias("p")).select("family", *FEATURES, "p.feature", "p.phi")
 

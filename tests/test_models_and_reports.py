@@ -155,3 +155,25 @@ def test_coverage(spark):
 def test_empty_tables_give_no_rows(spark):
     none = items(spark, {}).limit(0)
     assert report.indicator_rollup(none).count() == report.key_findings(none).count() == lineage.process_nodes(none).count() == dedup.group_index(none).count() == 0
+
+
+def test_many_copies_of_one_vector_do_not_fill_the_samples(spark):
+    schema = "family string, " + ", ".join(f"{f} double" for f in features.FEATURES)
+    kinds = [[float(i == k) for i in range(14)] for k in range(4)]
+    rows = [(f"hot {k}", *v) for k in range(4) for j, v in enumerate(kinds) for _ in range(3000 if j == k else 500)]
+    baseline = spark.createDataFrame(rows, schema)
+    drawn = {(r.family, tuple(r[1:])) for r in forest.background(baseline).collect()}
+    assert drawn == {(f"hot {k}", tuple(v)) for k in range(4) for v in kinds}
+    trees = forest.fit_forest(baseline, trees=5).collect()
+    assert len(trees) == 20 and all(t.n == 256 and len(t.feature) > 1 for t in trees)
+    scores = forest.model_scores(forest.distinct_vectors(baseline), baseline, forest.fit_forest(baseline, trees=20)).collect()
+    assert all(len({r.model_score for r in scores if r.family == f"hot {k}"}) > 1 for k in range(4))
+    phi = {(r.family, r.feature, r.is_suspicious_process): r.phi for r in forest.rule_attribution(forest.distinct_vectors(baseline), baseline).collect()}
+    assert phi["hot 0", "is_suspicious_process", 1.0] == round(-0.30 * (1 - 500 / 4500), 6)
+
+
+def test_weighted_quantile():
+    rng = np.random.default_rng(1)
+    for q in (0.0, 0.01, 0.5, 1.0):
+        x, times = rng.random(20), rng.integers(1, 30, 20)
+        assert abs(forest.weighted_quantile(x, times, q) - np.quantile(np.repeat(x, times), q)) < 1e-12
