@@ -6,8 +6,9 @@ character trigram model is counted over the whole corpus. Tokens that look
 disguised (digits or signs among letters, single letters spaced out, letters
 repeated three times or more) become lattices: every sign may stand for itself
 or for letters it resembles, a separator or a repetition may stand for
-nothing. Viterbi decoding under the trigram model restores the likeliest word,
-and the lexicon scores the restored text.
+nothing. Viterbi decoding under the trigram model restores the likeliest word
+(of a spaced-out run the likeliest words: a separator may also end one), and
+the lexicon scores the restored text.
 """
 
 from __future__ import annotations
@@ -41,12 +42,15 @@ RESEMBLES = {
 }
 _WORD = re.compile(r"[^\W\d_]+")
 #: Signs among letters, letters spaced out one by one, or one letter three times and more.
-_DISGUISED = re.compile(r"(?<!\S)\w(?:[ .\-_*]\w){3,}(?![^\s.,;:!?])|[^\W\d_]+[0-9@$!|+(€*][\w@$!|+(€*]*[^\W_]|(?<![^\W_])[0-9@$!|+(€*]+[^\W\d_][\w@$!|+(€*]*|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
+_DISGUISED = re.compile(r"(?<!\S)\w(?:[ .\-_*]\w){3,}(?![^\s.,;:!?])|[^\W\d_]+[0-9@$!|+(€*][\w@$!|+(€*]*|(?<![^\W_])[0-9@$!|+(€*]+[^\W\d_][\w@$!|+(€*]*|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
+_SPACED = re.compile(r"\w(?:[ .\-_*]\w){3,}")
+#: Signs that may also be punctuation behind a word.
+_BEHIND = "@$!|+(€*_"
 #: Characters of the trigram model: a to z, other letters, and the word's edge.
 EDGE, OTHER, SYMBOLS = 0, 27, 28
 _SYMBOL_OF_LATIN = np.array([OTHER if chr(i).isalpha() else EDGE for i in range(256)], np.int64)
 _SYMBOL_OF_LATIN[97:123] = np.arange(1, 27)
-_MOST = 200  # longer tokens are no disguised words: they are taken as they stand
+_REMEMBERED = 200  # longer tokens are decoded each time
 
 
 def _symbol(c: str) -> int:
@@ -188,51 +192,75 @@ class Restorer:
 
     def __init__(self, model: ToxicModel):
         self.model, self.memory = model, {}
+        self.longest = max(map(len, model.weights), default=0)
 
-    def _lattice(self, token: str) -> list[list[tuple[str, float]]]:
+    def _lattice(self, token: str, split: bool, ends: int) -> list[list[tuple[str, float]]]:
         steps = []
         for i, c in enumerate(token):
             options = [(o, self.SIGN) for o in RESEMBLES.get(c, "")]
             if c.isalpha():
                 options.append((c, self.SELF))
-            if not c.isalnum() or i and token[i - 1] == c and (token[i - 2 : i - 1] == c or token[i + 1 : i + 2] == c):
+            if not c.isalnum() and i < ends or i and token[i - 1] == c and c.isalnum() and (token[i - 2 : i - 1] == c or token[i + 1 : i + 2] == c):
                 options.append(("", self.DROP if not c.isalnum() else self.SELF))
+            if split and i % 2:
+                options.append((" ", self.DROP))
             steps.append(options or [("", self.DROP)])
         return steps
 
-    def decode(self, token: str) -> str:
-        """The likeliest word behind a token (lower case); the token itself if it is too long to be a word."""
-        if len(token) > _MOST:
-            return token
-        if token in self.memory:
-            return self.memory[token]
+    def decode(self, token: str, split: bool = False, ends: int | None = None) -> str:
+        """The likeliest word behind a token (lower case), in time linear in its length.
+
+        With split, the words of a spaced-out run; signs from `ends` on are letters, never nothing.
+        """
+        key = token, split, ends
+        if key in self.memory:
+            return self.memory[key]
         table = self.model.trigrams
-        paths: dict[tuple[int, int], tuple[float, str]] = {(EDGE, EDGE): (0.0, "")}
-        for options in self._lattice(token):
-            step: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in paths.items():
+        paths: dict[tuple[int, int], tuple[float, tuple]] = {(EDGE, EDGE): (0.0, ())}
+        for options in self._lattice(token, split, len(token) if ends is None else ends):
+            step: dict[tuple[int, int], tuple[float, tuple]] = {}
+            for (a, b), (score, written) in paths.items():
                 for c, cost in options:
-                    s = _symbol(c) if c else b
+                    s = EDGE if c == " " else _symbol(c) if c else b
                     state = (b, s) if c else (a, b)
                     value = score + cost + (table[a, b, s] if c else 0.0)
                     if state not in step or value > step[state][0]:
-                        step[state] = (value, text + c)
+                        step[state] = (value, (written, c) if c else written)
             paths = step
-        best = max((score + table[a, b, EDGE], text) for (a, b), (score, text) in paths.items())[1]
+        written = max(((score + (table[a, b, EDGE] if b != EDGE else 0.0), w) for (a, b), (score, w) in paths.items()), key=lambda x: x[0])[1]
+        letters = []
+        while written:
+            written, c = written
+            letters.append(c)
+        best = "".join(reversed(letters))
         if len(self.memory) > 200_000:
             self.memory.clear()
-        self.memory[token] = best
+        if len(token) <= _REMEMBERED:
+            self.memory[key] = best
         return best
 
+    def readings(self, token: str) -> Iterator[str]:
+        """What a disguised token may say: as one word, as words of a spaced-out run, and with none or some of the signs behind it.
+
+        More signs than the longest entry has letters change nothing that the lexicon holds.
+        """
+        yield self.decode(token)
+        if _SPACED.fullmatch(token):
+            yield self.decode(token, split=True)
+        elif (core := token.rstrip(_BEHIND)) != token:
+            yield self.decode(core)
+            for end in range(len(core) + 1, min(len(token), len(core) + self.longest) + 1):
+                yield self.decode(token[:end], ends=len(core))
+
     def restore(self, text: str) -> str:
         """The lower-cased text with every disguised token decoded."""
-        return _DISGUISED.sub(lambda m: self.decode(m[0]), text.lower())
+        return _DISGUISED.sub(lambda m: self.decode(m[0], _SPACED.fullmatch(m[0]) is not None), text.lower())
 
     def score(self, text: str | None) -> float:
         """Chance of a toxic document, from the lexicon's evidence in the text and its restored tokens."""
         lower = (text or "").lower()
         words = set(_WORD.findall(lower))
-        words.update(w for m in _DISGUISED.finditer(lower) for w in _WORD.findall(self.decode(m[0])))
+        words.update(w for m in _DISGUISED.finditer(lower) for reading in self.readings(m[0]) for w in _WORD.findall(reading))
         z = self.model.bias + self.model.slope * evidence(words, self.model.weights)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 

@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from casewright.llm import toxicity
@@ -68,3 +69,24 @@ def test_copies_teach_nothing(spark):
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows + copies], "doc_id long, text string")
     labels = spark.createDataFrame([(i, x) for i, _, x in rows + copies], "doc_id long, toxic int")
     assert "lantern" not in toxicity.fit(docs, labels).weights
+
+
+@pytest.fixture(scope="module")
+def short_words():
+    """Four-letter lexicon entries, which no stem covers, and trigrams of plain sentences."""
+    text = "you slut whore ass a bad idiot moron window garden you are a the market river a silver " * 50
+    symbols = [toxicity._symbol(c) if c.isalpha() else 0 for c in f" {text}"]
+    counts = np.full((toxicity.SYMBOLS,) * 3, 0.1)
+    for gram in zip(symbols, symbols[1:], symbols[2:], strict=False):
+        counts[gram] += 1
+    return toxicity.ToxicModel({w: 6.0 for w in ("slut", "whore", "ass", "idiot")}, np.log(counts / counts.sum(axis=2, keepdims=True)), -4.0, 1.0)
+
+
+@pytest.mark.parametrize("text", ["slu7", "whor3", "a$$", "a$$!", "slu7!", "y o u i d i o t", "a s l u t", "y.o.u.w.h.o.r.e", "y o u a r e a " + "r i v e r " * 40 + "i d i o t", "1d10t!", "idiooot!"])
+def test_run_on_words_ends_and_long_runs_are_read(short_words, text):
+    assert toxicity.Restorer(short_words).score(f"the garden {text} market") >= 0.7
+
+
+@pytest.mark.parametrize("text", ["window!", "garden7", "market(", "w i n d o w g a r d e n", "y o u a r e"])
+def test_ends_and_runs_stay_clean(short_words, text):
+    assert toxicity.Restorer(short_words).score(text) < 0.7
