@@ -32,28 +32,50 @@ def one_by_one(lengths, capacity):
     return len(gaps)
 
 
-def test_runs_give_best_fit():
-    for seed in range(30):
+def test_sweeps_give_best_fit():
+    """Range by range, with the gaps that the range before left, one lane gives as many sequences as best-fit piece by piece."""
+    for seed in range(60):
         rng = random.Random(seed)
         lengths = [rng.choice([1, 2, 3, rng.randint(1, 50), rng.randint(20, 100), 100]) for _ in range(rng.randint(1, 200))]
-        runs = packing.plan_runs(dict(Counter(lengths)), 100)
-        ends = {}
-        last = {}
-        for length, rank, first, each, offset in runs:
-            last.setdefault(length, []).append((rank, first, each, offset))
-        filled = Counter()
-        for length, rows in last.items():
-            for k, (rank, first, each, offset) in enumerate(rows):
-                stop = rows[k + 1][0] if k + 1 < len(rows) else lengths.count(length)
-                for i in range(stop - rank):
-                    place = (first + i // each, offset + i % each * length)
-                    assert place not in ends
-                    ends[place] = length
-                    filled[place[0]] += length
-        assert max(filled.values()) <= 100 and sum(filled.values()) == sum(lengths)
+        filled, gaps = Counter(), []
+        for low, high in [(50, 100), (25, 50), (6, 25), (0, 6)]:
+            own = sorted((n for n in lengths if low < n <= high), reverse=True)
+            number, before_end, left = packing.sweep(own, gaps, 100)
+            for n, at, size in zip(own, number, before_end, strict=True):
+                assert filled[at] == 100 - size and n <= size
+                filled[at] += n
+            assert all(filled[i] == 100 - g for i, g in enumerate(left))
+            gaps = left
+        assert sum(filled.values()) == sum(lengths)
         assert len(filled) == one_by_one(lengths, 100)
 
 
+def check_places(rows, capacity):
+    sequences = {}
+    for r in rows:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    return len(sequences)
+
+
+def test_many_lanes_and_repeated_rows(spark):
+    rng = random.Random(5)
+    lengths = [rng.choice([100, 1, rng.randint(1, 99), rng.randint(1, 12)]) for _ in range(3000)]
+    pieces = spark.createDataFrame([(7, 0, n, "x") for n in lengths] + [(None, 0, 50, None)] * 500, "doc_id long, piece int, length long, OFFSET string").repartition(5)
+    for lane_rows in (10_000, 400):
+        got = packing.pack(pieces, 100, lane_rows)
+        assert got.columns == ["doc_id", "piece", "length", "OFFSET", "sequence_id", "offset_"]
+        rows = got.withColumnRenamed("OFFSET", "x").withColumnRenamed("offset_", "offset").collect()
+        assert Counter((r.doc_id, r.length) for r in rows) == Counter([(7, n) for n in lengths] + [(None, 50)] * 500)
+        found, best = check_places(rows, 100), one_by_one(lengths + [50] * 500, 100)
+        assert found == best if lane_rows > 4000 else best <= found <= best + 4 * 10
+
+
 def test_documents_are_packed_whole(spark):
     rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(i, "some words " * (i % 90), "x") for i in range(10, 400)] + [(11, "some words " * 11, "x"), (None, "nobody", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, sequence_id string").repartition(6)
@@ -66,18 +88,10 @@ def test_documents_are_packed_whole(spark):
             part = ids[at : at + 4096]
             want[i, piece, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
-    sequences = {}
-    for r in got:
-        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
-    for parts in sequences.values():
-        at = 0
-        for offset, length in sorted(parts):
-            assert offset == at
-            at += length
-        assert at <= 4096
-    assert len(sequences) == one_by_one([r.length for r in got], 4096)
+    found = check_places(got, 4096)
+    assert found == one_by_one([r.length for r in got], 4096)
     whole = packing.packed_sequences(docs, PATH).collect()
-    assert len(whole) == len(sequences) and all(len(r.token_ids) == r.n_tokens <= 4096 for r in whole)
+    assert len(whole) == found and all(len(r.token_ids) == r.n_tokens <= 4096 for r in whole)
 
 
 def test_empty_table(spark):
