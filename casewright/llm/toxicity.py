@@ -42,7 +42,11 @@ RESEMBLES = {
 }
 _WORD = re.compile(r"[^\W\d_]+")
 #: Signs among letters, letters spaced out one by one, or one letter three times and more.
-_DISGUISED = re.compile(r"(?<!\S)\w(?:[ .\-_*]\w){3,}(?![^\s.,;:!?])|[^\W\d_]+[0-9@$!|+(€*][\w@$!|+(€*]*|(?<![^\W_])[0-9@$!|+(€*]+[^\W\d_][\w@$!|+(€*]*|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*")
+_RUN = r"(?<!\S)\w(?:[ .\-_*]\w){3,}(?![^\s.,;:!?])"
+_SIGNS = r"[^\W\d_]+[0-9@$!|+(€*][\w@$!|+(€*]*|(?<![^\W_])[0-9@$!|+(€*]+[^\W\d_][\w@$!|+(€*]*|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*"
+_DISGUISED, _SPACED_RUN, _DISGUISED_TOKEN = re.compile(f"{_RUN}|{_SIGNS}"), re.compile(_RUN), re.compile(_SIGNS)
+#: What every disguised token without white space holds.
+_HOLDS_SIGN = re.compile(r"[0-9@$!|+(€*]|([^\W\d_])\1\1")
 _SPACED = re.compile(r"\w(?:[ .\-_*]\w){3,}")
 #: Signs that may also be punctuation behind a word.
 _BEHIND = "@$!|+(€*_"
@@ -50,7 +54,8 @@ _BEHIND = "@$!|+(€*_"
 EDGE, OTHER, SYMBOLS = 0, 27, 28
 _SYMBOL_OF_LATIN = np.array([OTHER if chr(i).isalpha() else EDGE for i in range(256)], np.int64)
 _SYMBOL_OF_LATIN[97:123] = np.arange(1, 27)
-_REMEMBERED = 200  # longer tokens are decoded each time
+#: A worker's memory: tokens that hold nothing of the lexicon, and tokens up to this length; beyond it they are read each time.
+_REMEMBERED_TOKENS, _REMEMBERED = 500_000, 200
 
 
 def _symbol(c: str) -> int:
@@ -99,16 +104,18 @@ def entry_weight(toxic: float, clean: float) -> float:
     return math.log((toxic + PRIOR_TOXIC) / (clean + PRIOR_CLEAN))
 
 
+def word_weight(word: str, weights: dict[str, float]) -> float:
+    """The highest weight of a word and its beginnings; 0 if the lexicon holds none of them."""
+    best = weights.get(word, 0.0)
+    for n in STEMS:
+        if len(word) > n:
+            best = max(best, weights.get(word[:n] + "*", 0.0))
+    return best
+
+
 def evidence(words: set[str], weights: dict[str, float]) -> float:
-    """The sum over distinct words of the highest weight of the word and its beginnings."""
-    total = 0.0
-    for w in words:
-        best = weights.get(w, 0.0)
-        for n in STEMS:
-            if len(w) > n:
-                best = max(best, weights.get(w[:n] + "*", 0.0))
-        total += best
-    return total
+    """The sum of the weights of distinct words, in their order."""
+    return math.fsum(word_weight(w, weights) for w in words)
 
 
 def fit_line(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> tuple[float, float]:
@@ -192,6 +199,7 @@ class Restorer:
 
     def __init__(self, model: ToxicModel):
         self.model, self.memory = model, {}
+        self.clean: set[str] = set()
         self.longest = max(map(len, model.weights), default=0)
 
     def _lattice(self, token: str, split: bool, ends: int) -> list[list[tuple[str, float]]]:
@@ -212,6 +220,8 @@ class Restorer:
 
         With split, the words of a spaced-out run; signs from `ends` on are letters, never nothing.
         """
+        if token.isalpha() and not _HOLDS_SIGN.search(token):
+            return token  # each letter stands for itself alone
         key = token, split, ends
         if key in self.memory:
             return self.memory[key]
@@ -256,12 +266,30 @@ class Restorer:
         """The lower-cased text with every disguised token decoded."""
         return _DISGUISED.sub(lambda m: self.decode(m[0], _SPACED.fullmatch(m[0]) is not None), text.lower())
 
+    def hits(self, token: str) -> dict[str, float]:
+        """The lexicon's words (with their weights) in a token without white space and in what it may say."""
+        words = _WORD.findall(token)
+        for m in _DISGUISED_TOKEN.finditer(token) if _HOLDS_SIGN.search(token) else ():
+            words += [w for reading in self.readings(m[0]) for w in _WORD.findall(reading)]
+        return {w: weight for w in words if (weight := word_weight(w, self.model.weights)) > 0}
+
     def score(self, text: str | None) -> float:
-        """Chance of a toxic document, from the lexicon's evidence in the text and its restored tokens."""
-        lower = (text or "").lower()
-        words = set(_WORD.findall(lower))
-        words.update(w for m in _DISGUISED.finditer(lower) for reading in self.readings(m[0]) for w in _WORD.findall(reading))
-        z = self.model.bias + self.model.slope * evidence(words, self.model.weights)
+        """Chance of a toxic document, from the lexicon's evidence in the text and its restored tokens.
+
+        Each different token is read once; those known to hold nothing are passed over.
+        """
+        lower, found = (text or "").lower(), {}
+        for token in set(lower.split()) - self.clean:
+            if held := self.hits(token):
+                found |= held
+            elif len(token) <= _REMEMBERED:
+                self.clean.add(token)
+        for m in _SPACED_RUN.finditer(lower):
+            words = [w for reading in self.readings(m[0]) for w in _WORD.findall(reading)]
+            found |= {w: weight for w in words if (weight := word_weight(w, self.model.weights)) > 0}
+        if len(self.clean) > _REMEMBERED_TOKENS:
+            self.clean.clear()
+        z = self.model.bias + self.model.slope * math.fsum(found.values())
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 

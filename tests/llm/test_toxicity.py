@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 import zlib
 
@@ -90,3 +92,39 @@ def test_run_on_words_ends_and_long_runs_are_read(short_words, text):
 @pytest.mark.parametrize("text", ["window!", "garden7", "market(", "w i n d o w g a r d e n", "y o u a r e"])
 def test_ends_and_runs_stay_clean(short_words, text):
     assert toxicity.Restorer(short_words).score(text) < 0.7
+
+
+@pytest.mark.parametrize("token, split, ends", [("slu7", False, None), ("1d!ot!", False, None), ("a$$!", False, 3), ("s l u 7", True, None), ("y.o.u.a", True, None), ("m0r0on+", False, None), ("@*5s", False, None)])
+def test_decoding_is_the_best_of_all_paths_of_the_lattice(short_words, token, split, ends):
+    restorer, table = toxicity.Restorer(short_words), short_words.trigrams
+
+    def value(path):
+        a = b = toxicity.EDGE
+        total = 0.0
+        for c, cost in path:
+            total += cost
+            if c:
+                s = toxicity.EDGE if c == " " else toxicity._symbol(c)
+                total, a, b = total + table[a, b, s], b, s
+        return total + (table[a, b, toxicity.EDGE] if b != toxicity.EDGE else 0.0)
+
+    paths = list(itertools.product(*restorer._lattice(token, split, len(token) if ends is None else ends)))
+    assert restorer.decode(token, split, ends) == "".join(c for c, _ in max(paths, key=value))
+
+
+def test_tokens_are_read_as_in_the_whole_text(short_words):
+    """Each token read once gives the evidence of every word and every reading of the text."""
+    rng, restorer = random.Random(3), toxicity.Restorer(short_words)
+    for _ in range(200):
+        text = "".join(rng.choice(["slut", "5lut", "id1ot", "window", "a", " ", " ", "  ", ".", "!!", "$", "ooo", "7", "\n", "ass", "whore"]) for _ in range(30)).lower()
+        words = set(toxicity._WORD.findall(text))
+        for m in [*toxicity._SPACED_RUN.finditer(text), *(m for t in text.split() for m in toxicity._DISGUISED_TOKEN.finditer(t))]:
+            words.update(w for reading in restorer.readings(m[0]) for w in toxicity._WORD.findall(reading))
+        z = short_words.bias + short_words.slope * toxicity.evidence(words, short_words.weights)
+        assert restorer.score(text) == pytest.approx(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+
+
+def test_long_tokens_are_decoded_whole(short_words):
+    long = ".".join("river" * 45 + "idiot")
+    assert len(long) > 400 and toxicity.Restorer(short_words).score(long) >= 0.7
+    assert toxicity.Restorer(short_words).score("garden " * 200_000 + "1d10t") >= 0.7
