@@ -12,7 +12,9 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,11 +33,11 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOOK_ALIKES = str.maketrans("аеорсухіјѕԁԛԝАВЕКМНОРСТХУІЈЅαορνικτεΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdqwABEKMHOPCTXYIJSaopviktEABEZHIKMNOPTYX")
 #: Fixed: digits as words.
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_LOCAL_WORD = r"[A-Za-z0-9_%+-]++"
-_AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*|\s+at\s+|\s+@\s*|\s*@\s+)"
-_DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*|\s+dot\s+)"
-_HIDDEN_MAIL = re.compile(rf"(?<![A-Za-z0-9_%+.-]){_LOCAL_WORD}(?:(?:\.|{_DOT}){_LOCAL_WORD})*(?:{_AT}|@){_LOCAL_WORD}(?:(?:{_DOT}|\.){_LOCAL_WORD})+", re.I)
-_AT_PART, _DOT_PART = re.compile(_AT, re.I), re.compile(_DOT, re.I)
+#: The parts of a disguised address: at and dot (plain or disguised), words, and all else, which ends an address.
+_PART = re.compile(
+    r"(?P<at>\s*+[\[({<]\s*+(?:at|@)\s*+[\])}>]\s*+|\s++at\s++|\s*+@\s*+)|(?P<dot>\s*+[\[({<]\s*+(?:dot|\.)\s*+[\])}>]\s*+|\s++dot\s++|\.)|(?P<word>[A-Za-z0-9_%+-]++)|\s++|.",
+    re.I | re.S,
+)
 _SPELLED = re.compile(rf"(?<![^\W_])(?:plus\s+)?(?:{'|'.join(DIGIT_WORDS)})(?:[\s,.-]+(?:{'|'.join(DIGIT_WORDS)}|dot|point)(?![^\W_]))+", re.I)
 _SPELLED_WORD = re.compile(rf"plus|dot|point|{'|'.join(DIGIT_WORDS)}", re.I)
 #: Cheap signs that a text may hold a disguise at all: what a hidden mail must hold, at any distance.
@@ -83,12 +85,11 @@ class Normalised:
         self.text = text
         self.starts, self.ends = list(range(len(text))), list(range(1, len(text) + 1))
 
-    def rewrite(self, pattern: re.Pattern, new: object) -> None:
-        """Replaces each match by new(match), a string that then stands for the whole match."""
+    def rewrite(self, found: Iterable[tuple[int, int, str]]) -> None:
+        """Replaces each span (apart, in order) by a string that then stands for the whole span; an empty one leaves it."""
         text, starts, ends, last = [], [], [], 0
-        for m in pattern.finditer(self.text):
-            i, j = m.span()
-            if i < last or not (value := new(m)):
+        for i, j, value in found:
+            if not value:
                 continue
             text += [self.text[last:i], value]
             starts += self.starts[last:i] + [self.starts[i]] * len(value)
@@ -116,11 +117,56 @@ def _digits(m: re.Match) -> str:
     return "".join(signs.get(w) or DIGIT_WORDS[w] for w in words)
 
 
-def _mail(m: re.Match) -> str:
-    at, dot = _AT_PART.search(m[0]), _DOT_PART.search(m[0])
-    if at and at[0].strip().lower() == "at" and not dot:  # a plain sentence: "was at home.Then"
-        return m[0]
-    return _DOT_PART.sub(".", _AT_PART.sub("@", m[0])) if at or dot else m[0]
+def _matches(pattern: re.Pattern, new: Callable[[re.Match], str], text: str) -> Iterator[tuple[int, int, str]]:
+    for m in pattern.finditer(text):
+        yield *m.span(), new(m)
+
+
+def hidden_mails(text: str) -> Iterator[tuple[int, int, str]]:
+    """Spans of disguised addresses with the addresses they mean, in one pass over the text's parts.
+
+    An address is words joined by dots, an at, and at least two words joined
+    by dots. It does not begin in the middle of a plain one. With nothing but
+    the word at for a disguise it may be a sentence ("was at home.Then") and
+    is left alone.
+    """
+    parts: list[tuple[str, str, int, int]] = []  # kind, text, start, end of the address so far
+    at = 0  # place of its at among the parts; 0 before it
+
+    def whole() -> tuple[int, int, str] | None:
+        taken = parts[: -1 if parts[-1][0] == "dot" else None]
+        if not at or len(taken) < at + 4:
+            return None
+        sign, hidden_dot = taken[at][1], any(p[0] == "dot" and p[1] != "." for p in taken)
+        address = "".join({"at": "@", "dot": "."}.get(p[0], p[1]) for p in taken)
+        return taken[0][2], taken[-1][3], address if hidden_dot or sign != "@" and sign.strip().lower() != "at" else ""
+
+    place = 0
+    while m := _PART.match(text, place):
+        kind, found, (start, end) = m.lastgroup, m[0], m.span()
+        last = parts[-1][0] if parts else None
+        if not parts and kind in ("at", "dot") and found.strip().isalpha():  # the words at and dot, where no sign can be
+            start += len(found) - len(found.lstrip())
+            kind, found, end = "word", found.strip(), start + len(found.strip())
+        place = end
+        if kind == "word" and last is None:
+            if start and text[start - 1] in _LOCAL:
+                continue
+        elif kind == "at" and last == "word" and at and len(parts) == at + 2:
+            parts, at = parts[-1:], 1  # what should have been a domain is the name before the next at
+        elif kind == "at" and last == "word" and not at:
+            at = len(parts)
+        elif not (kind == "word" and last in ("at", "dot") or kind == "dot" and last == "word"):
+            if parts:  # the address ends here; words at and dot that it had no use for as signs are read again
+                if address := whole():
+                    yield address
+                unused = [p for p in (parts[-1:] if address else [*parts[at : at + 1], parts[-1]]) if p[0] != "word" and p[1].strip().isalpha()]
+                place = unused[0][2] if unused else m.start()
+                parts, at = [], 0
+            continue
+        parts.append((kind, found, start, end))
+    if parts and (address := whole()):
+        yield address
 
 
 def normalise(text: str) -> Normalised | None:
@@ -130,10 +176,10 @@ def normalise(text: str) -> Normalised | None:
         return None
     out = Normalised(text)
     if looks:
-        out.rewrite(_LOOKS, _ascii)
+        out.rewrite(_matches(_LOOKS, _ascii, out.text))
     if spelled or looks:
-        out.rewrite(_SPELLED, _digits)
-    out.rewrite(_HIDDEN_MAIL, _mail)
+        out.rewrite(_matches(_SPELLED, _digits, out.text))
+    out.rewrite(hidden_mails(out.text))
     return out if out.text != text else None
 
 
@@ -142,14 +188,23 @@ def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
     out = normalise(text)
     if out is None:
         return []
-    taken = list(base)
+    ordered = sorted((s, e, k) for k, s, e in base)
+    starts, reach = [s for s, _, _ in ordered], list(accumulate((e for _, e, _ in ordered), max))  # reach: the furthest end up to each
+    covered = bytearray(len(text))
     found = []
     for kind, i, j in base_spans(out.text):
         start, end = out.source(i, j)
-        apart = all(e <= start or end <= s or k == kind and start <= s and e <= end and (s, e) != (start, end) for k, s, e in taken)
-        if text[start:end] != out.text[i:j] and apart:
+        if text[start:end] == out.text[i:j] or any(covered[start:end]):
+            continue
+        at = bisect_left(starts, end) - 1
+        apart = True
+        while apart and at >= 0 and reach[at] > start:
+            s, e, k = ordered[at]
+            apart = e <= start or k == kind and start <= s and e <= end and (s, e) != (start, end)
+            at -= 1
+        if apart:
             found.append((kind, start, end))
-            taken.append((kind, start, end))
+            covered[start:end] = b"\x01" * (end - start)
     return found
 
 
