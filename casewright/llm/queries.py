@@ -62,7 +62,7 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page's url with blocked = 1 if the document its path names is labelled toxic or of low quality; null without labels."""
+    """Each page's url with blocked = 1 if the document its path names is labelled toxic or of low quality; pages without labels are left out."""
     pages = table(spark, sf_dir, "pages").select("url", F.regexp_extract(urls.url_path(F.col("url")), r"/([0-9]+)", 1).alias("named"))
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("named"), F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0).alias("blocked"))
     return pages.join(labels.groupBy("named").agg(F.max("blocked").alias("blocked")), "named").select("url", "blocked")

@@ -16,8 +16,10 @@ from casewright.llm.common import checkpointed, free_name
 
 #: Fixed base rules: verdict, host, path.
 BASE_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-#: Pruning of mined rules: share of the labelled pages, but so many pages at least; confidence; lift.
-MIN_SUPPORT, LEAST_PAGES, MIN_CONFIDENCE, MIN_LIFT = 0.002, 20, 0.8, 1.5
+#: Bound of the labelled sample (pages of lowest hash of their url) that rules are mined from.
+SAMPLE_PAGES = 200_000
+#: Pruning of mined rules: so many blocked pages at every size; confidence; lift.
+LEAST_PAGES, MIN_CONFIDENCE, MIN_LIFT = 20, 0.8, 1.5
 #: The token that stands for a blocked page in a labelled basket; URL tokens have no space.
 _BLOCKED = "label block"
 #: Rules up to this number are broadcast; more are joined by shuffle.
@@ -35,14 +37,20 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^[\s\S]*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def url_tokens(host: Column, path: Column) -> Column:
-    """Distinct tokens: host suffixes, path segments by place, words and digit shapes."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels), F.lit(1))), lambda i: F.concat(F.lit("host:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    segments = F.filter(F.split(path, "/"), lambda s: s != "")
-    shaped = F.transform(segments, lambda s, i: F.concat(F.lit("seg"), i.cast("string"), F.lit(":"), F.regexp_replace(s, "[0-9]+", "0")))
+def url_query(url: Column) -> Column:
+    """What follows the first ? up to # or the end; empty for null or none."""
+    return F.coalesce(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), F.lit(""))
+
+
+def url_tokens(host: Column, path: Column, query: Column | None = None) -> Column:
+    """Distinct tokens: the whole host, words of host and path, and the names of query parameters."""
     words = F.transform(F.filter(F.split(F.lower(F.concat_ws("/", host, path)), "[^a-z]+"), lambda w: F.length(w) > 1), lambda w: F.concat(F.lit("word:"), w))
-    return F.array_distinct(F.concat(suffixes, shaped, words))
+    names = F.transform(F.split(F.coalesce(query, F.lit("")) if query is not None else F.lit(""), "&"), lambda p: F.concat(F.lit("query:"), F.split_part(p, F.lit("="), F.lit(1))))
+    return F.array_distinct(F.concat(F.array(F.concat(F.lit("host:"), host)), words, F.filter(names, lambda n: n != "query:")))
+
+
+def tokens_of(url: Column) -> Column:
+    return url_tokens(url_host(url), url_path(url), url_query(url))
 
 
 def base_verdict(host: Column, path: Column, rules: list[tuple[str, str, str]] | None = None) -> tuple[Column, Column]:
@@ -54,20 +62,27 @@ def base_verdict(host: Column, path: Column, rules: list[tuple[str, str, str]] |
     return name, verdict
 
 
-def mine_rules(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked", min_support: float = MIN_SUPPORT, least_pages: int = LEAST_PAGES, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
+def mine_rules(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked", min_support: float = 0.0, least_pages: int = LEAST_PAGES, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     """Rules rule_id, tokens, confidence, lift, support that predict blocked pages.
 
-    Rows with a null url or label teach nothing; no rows give no rules. Rules
-    that contain a more general rule of no less confidence are pruned away by
-    their order of use, not here.
+    FP-growth finds the frequent sets of tokens of the labelled pages, with the
+    label as one more token. A set is a rule if it is seen on least_pages
+    blocked pages (and on the share min_support of all), and enough of the pages
+    that hold it are blocked. At most sample_pages labelled pages are mined.
+    Rows with a null url or label teach nothing; no rows give no rules.
     """
     known = labelled.where(F.col(url_col).isNotNull() & F.col(label_col).isNotNull())
-    tokens = url_tokens(url_host(F.col(url_col)), url_path(F.col(url_col)))
-    baskets = known.select(F.when(F.col(label_col).cast("int") == 1, F.concat(tokens, F.array(F.lit(_BLOCKED)))).otherwise(tokens).alias("items"))
-    support = min(1.0, max(min_support, least_pages / max(1, known.count())))  # a rule seen on two pages is chance
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.array_contains("consequent", _BLOCKED) & (F.col("lift") >= min_lift))
-    return rules.select(F.xxhash64(F.array_sort("antecedent")).alias("rule_id"), F.array_sort("antecedent").alias("tokens"), "confidence", "lift", "support")
+    sample = known.orderBy(F.xxhash64(url_col), url_col, label_col).limit(sample_pages)
+    tokens = tokens_of(F.col(url_col))
+    baskets = checkpointed(sample.select(F.when(F.col(label_col).cast("int") == 1, F.concat(tokens, F.array(F.lit(_BLOCKED)))).otherwise(tokens).alias("items")))
+    pages, blocked = baskets.agg(F.count("*"), F.count_if(F.array_contains("items", _BLOCKED))).first()
+    support = max(min_support, least_pages / max(1, pages))  # a rule seen on two pages is chance
+    if support > 1 or not blocked:
+        return labelled.sparkSession.createDataFrame([], "rule_id long, tokens array<string>, confidence double, lift double, support double")
+    sets = checkpointed(FPGrowth(itemsCol="items", minSupport=support).fit(baskets).freqItemsets.select(F.array_sort("items").alias("items"), "freq"))
+    with_label = sets.where(F.array_contains("items", _BLOCKED) & (F.size("items") > 1)).select(F.array_remove("items", _BLOCKED).alias("items"), F.col("freq").alias("hits"))
+    rules = with_label.join(sets, "items").select(F.xxhash64("items").alias("rule_id"), F.col("items").alias("tokens"), (F.col("hits") / F.col("freq")).alias("confidence"), (F.col("hits") / F.col("freq") * pages / blocked).alias("lift"), (F.col("hits") / pages).alias("support"))
+    return rules.where((F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift))
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -89,7 +104,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
         index = F.broadcast(index)
     # Equal urls fire the same rules: the index is probed once for each distinct url.
     distinct = pages.where(url.isNotNull()).select(url.alias("_url")).distinct()
-    probes = distinct.select("_url", F.explode(url_tokens(url_host(F.col("_url")), url_path(F.col("_url")))).alias("_token"))
+    probes = distinct.select("_url", F.explode(tokens_of(F.col("_url"))).alias("_token"))
     fired = probes.join(index, "_token").groupBy("_url", "rule_id", "_size").count().where("count = _size").groupBy("_url").agg(F.count("*").alias("_fired"))
     judged = pages.join(fired, url.eqNullSafe(F.col("_url")), "left").drop("_url")
     name, base = base_verdict(F.col(host), F.col(path))

@@ -1,7 +1,12 @@
+import itertools
+import os
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
-from casewright.llm import urls
+from casewright.llm import queries, urls
 
 CASES = [
     ("http://A.Example.ORG/es/1", "a.example.org", "/es/1", "example.org/es/", "block"),
@@ -53,3 +58,49 @@ def test_nothing_to_mine(spark, n):
     rules = urls.mine_rules(labelled)
     assert rules.count() == 0
     assert urls.filter_urls(spark.createDataFrame([], "page_id long, url string"), rules).count() == 0
+
+
+def brute_force_rules(spark, labelled, least_pages, min_confidence, min_lift):
+    """Every set of tokens of any page, counted one by one."""
+    rows = [(set(r.t), r.blocked) for r in labelled.where("url is not null and blocked is not null").select(urls.tokens_of(F.col("url")).alias("t"), "blocked").collect()]
+    all_sets, hits = Counter(), Counter()
+    for tokens, blocked in rows:
+        for n in range(1, len(tokens) + 1):
+            for chosen in itertools.combinations(sorted(tokens), n):
+                all_sets[chosen] += 1
+                hits[chosen] += blocked
+    share = sum(b for _, b in rows) / max(1, len(rows))
+    return {s for s, n in hits.items() if n >= least_pages and n / all_sets[s] >= min_confidence and n / all_sets[s] / share >= min_lift}
+
+
+def test_mined_rules_are_those_of_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(400):
+        host, lang, query = rng.choice(["ads", "news", "shop"]), rng.choice(["en", "fr"]), rng.choice(["", "?ref=x", "?page=2&ref=x"])
+        bad = host == "ads" and lang == "fr" or query == "?page=2&ref=x" and host == "shop"
+        rows.append((f"http://{host}.net/{lang}/{i}{query}", int(rng.random() < (0.95 if bad else 0.05))))
+    labelled = spark.createDataFrame(rows + [(None, 1), ("http://x.net/", None)], "url string, blocked int")
+    mined = urls.mine_rules(labelled).collect()
+    want = brute_force_rules(spark, labelled, 20, 0.8, 1.5)
+    assert {tuple(r.tokens) for r in mined} == want
+    assert {("word:ads", "word:fr"), ("query:page", "word:shop")} <= want
+    pages = spark.createDataFrame([(1, "http://ads.net/fr/new"), (2, "http://ads.net/en/new"), (3, "http://shop.net/en/9?page=1")], "page_id long, url string")
+    assert {r.page_id: r.verdict for r in urls.filter_urls(pages, urls.mine_rules(labelled)).collect()} == {1: "block", 2: "allow", 3: "block"}
+
+
+def test_the_tables_labels_allow_no_rule(spark):
+    """In the given tables a page's labels do not hang on its url: no set of tokens clears the stated thresholds."""
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables here")
+    labelled = queries.labelled_urls(spark, folder).cache()
+    assert labelled.count() > 500 and labelled.where("blocked = 1").count() > 100
+    assert brute_force_rules(spark, labelled, urls.LEAST_PAGES, urls.MIN_CONFIDENCE, urls.MIN_LIFT) == set()
+    assert urls.mine_rules(labelled).count() == 0
+
+
+def test_very_long_urls(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/" + "x/" * 200_000), (2, "http://" + "a." * 100_000 + "org/?" + "q=1&" * 50_000)], "page_id long, url string")
+    got = {r.page_id: (len(r.host), len(r.path), r.verdict) for r in urls.filter_urls(pages, no_rules(spark)).collect()}
+    assert got == {1: (5, 400_001, "allow"), 2: (200_003, 1, "allow")}
