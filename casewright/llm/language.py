@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from casewright.llm.common import extended, free_name, held_out
 
-#: Bounds of what a dictionary is fitted on: passages for each language, characters of each, bytes in all.
+#: Bounds of what a dictionary is fitted on: passages (one of a text) for each language, characters of each, bytes in all.
 PASSAGES, PASSAGE_CHARS, DICTIONARY_BYTES = 160, 600, 16 * 1024
 #: Texts are compressed in pieces of so many bytes, so that the dictionary counts throughout a long one.
 PIECE_BYTES = 4096
@@ -36,12 +36,15 @@ def fit_dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Dictionary content for each language, from rows that are not held out.
 
     A bounded sample: the PASSAGES different passages (of at most PASSAGE_CHARS)
-    of lowest hash for each language. Rows with null text or
-    language teach nothing; no rows give no languages.
+    of lowest hash for each language. A longer text's passage begins at a place
+    that its hash chooses, anywhere in it. Rows with null text or language
+    teach nothing; no rows give no languages.
     """
+    places = F.greatest(F.char_length(text_col) - PASSAGE_CHARS + 1, F.lit(1))
+    begin = F.pmod(F.xxhash64(text_col), places).cast("int") + 1
     order = Window.partitionBy("lang").orderBy(F.xxhash64("passage"), "passage")
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    passages = rows.select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, PASSAGE_CHARS).alias("passage")).distinct()
+    passages = rows.select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), begin, F.lit(PASSAGE_CHARS)).alias("passage")).distinct()
     sample = passages.withColumn("n", F.row_number().over(order)).where(F.col("n") <= PASSAGES).collect()
     content: dict[str, bytes] = {}
     for lang, passage, _ in sorted(sample, key=lambda r: (r.lang, -r.n)):
