@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,10 +23,18 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder named by the session; sets one of its own only where none is named."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="casewright-checkpoints-"))
+    """Uses the shared folder that spark.checkpoint.dir names.
+
+    Where none is named, a local master (one machine) gets a folder in its
+    warehouse; a cluster gets an error, as no machine's own folder will do.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/casewright-checkpoints")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -36,6 +43,33 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store its path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Rows of one key from which on it is joined by broadcast instead of being dealt to one task, and rows of a side that is broadcast.
+HOT_ROWS, BROADCAST_ROWS = 50_000, 1_000_000
+
+
+def join_unique(many: DataFrame, one: DataFrame, key: str, rows: str) -> DataFrame:
+    """Inner join of many rows for each key with at most one; `rows` of `one` counts the key's rows in many.
+
+    Keys with HOT_ROWS rows and more never meet in one task: there is one of
+    them for every HOT_ROWS rows at most, so they are broadcast, and their
+    rows stay where they are. many is read twice and should be materialised.
+    """
+    hot = F.broadcast(one.where(F.col(rows) >= HOT_ROWS).drop(rows))
+    cold = one.where(F.col(rows) < HOT_ROWS).drop(rows)
+    return many.join(hot, key).unionByName(many.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
+def without(df: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    """df without the rows whose key is in dropped (one column, materialised); whole rows move only if dropped is too large to broadcast."""
+    return df.join(F.broadcast(dropped) if dropped.count() <= BROADCAST_ROWS else dropped, key, "left_anti")
+
+
 def free_name(wanted: str, taken: Iterable[str]) -> str:
     """A column name that no column of the input has (names compare without case)."""
     names = {name.lower() for name in taken}

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import checkpointed
+from casewright.llm.common import checkpointed, join_unique
 
 
 def _attach_minimum(edges: DataFrame) -> DataFrame:
     """Edges (a, b) with m, the smallest node next to or equal to a."""
-    smallest = edges.groupBy("a").agg(F.min("b").alias("m"))
-    return edges.join(smallest, "a").withColumn("m", F.least("a", "m"))
+    smallest = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    return join_unique(edges, smallest, "a", "n").withColumn("m", F.least("a", "m"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

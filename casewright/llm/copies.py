@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm import simhash
-from casewright.llm.common import checkpointed
+from casewright.llm.common import BROADCAST_ROWS, checkpointed, join_unique
 from casewright.llm.components import connected_components
 
 #: Bands and their MinHash values: a pair of similarity s shares a band with chance 1 - (1 - s**5)**20, 0.9996 at 0.8.
@@ -92,16 +92,16 @@ def _described(docs: DataFrame, id_col: str, text_col: str, words_per_shingle: i
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {id_type}, text string, fp long, node long, bands array<long>")
 
 
-def _candidates(made: DataFrame, radius: int, shard_rows: int) -> DataFrame:
-    """Stars (a, b) of nodes that share a band or whose fingerprints link."""
-    prints = checkpointed(made.groupBy("fp").agg(F.min("node").alias("lead")))
+def _candidates(nodes: DataFrame, radius: int, shard_rows: int) -> DataFrame:
+    """Stars (a, b) of nodes (one row for each: node, fp, bands) that share a band or whose fingerprints link."""
+    prints = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("lead"), F.count("*").alias("n")))
     links = simhash.link_fingerprints(prints.select("fp"), radius, shard_rows)
     heads = prints.select(F.col("fp").alias("root"), F.col("lead").alias("b"))
     near = links.join(prints, "fp").join(heads, "root").select(F.col("lead").alias("a"), "b")
-    same = made.select("fp", "node").join(prints, "fp").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
-    keyed = made.select(F.explode("bands").alias("key"), "node").distinct()
-    shared = keyed.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b <> last").drop("last")
-    banded = keyed.join(shared, "key").where("node <> b").select(F.col("node").alias("a"), "b")
+    same = join_unique(nodes.select("fp", "node"), prints, "fp", "n").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
+    keyed = checkpointed(nodes.select(F.explode("bands").alias("key"), "node"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
+    banded = join_unique(keyed, shared, "key", "n").where("node <> b").select(F.col("node").alias("a"), "b")
     return near.union(same).union(banded)
 
 
@@ -114,9 +114,10 @@ def near_duplicates(docs: DataFrame, least: float, id_col: str = "doc_id", text_
     texts of one component of candidates, each set once, are held by one task.
     """
     made = checkpointed(_described(docs, id_col, text_col, words_per_shingle))
-    nodes = made.groupBy("node").agg(F.min("id").alias("first_id"))
-    candidates = connected_components(_candidates(made, radius, shard_rows), "a", "b").withColumnRenamed("root", "candidate")
-    texts = made.select("node", "text").join(candidates, "node").dropDuplicates(["node"])
+    nodes = checkpointed(made.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("rows"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    candidates = checkpointed(connected_components(_candidates(nodes, radius, shard_rows), "a", "b").withColumnRenamed("root", "candidate"))
+    few = candidates.count() <= BROADCAST_ROWS  # then only texts of candidates move
+    texts = made.select("node", "text").join(F.broadcast(candidates) if few else candidates, "node").dropDuplicates(["node"])
 
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node")
@@ -125,17 +126,14 @@ def near_duplicates(docs: DataFrame, least: float, id_col: str = "doc_id", text_
         return pd.DataFrame({"node": names, "root": names[similar_groups(sets, least)]})
 
     roots = texts.groupBy("candidate").applyInPandas(verify, "node long, root long")
-    grouped = checkpointed(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    smallest = grouped.groupBy("root").agg(F.min("first_id").alias("component"))
-    labels = grouped.select("node", "root").join(smallest, "root").select("node", "component")
-    return made.select("id", "node").join(labels, "node").select("id", "component")
+    labels = simhash.group_labels(nodes.select("node", "first_id", "rows"), roots, "node")
+    return join_unique(made.select("id", "node"), labels, "node", "rows").select("id", "component")
 
 
 def keep_one_per_group(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, radius: int = 6, shard_rows: int = 1024) -> DataFrame:
-    """Drops every document but the one with the smallest id of each group; all columns are kept.
+    """Keeps one row of each group, the first of those with its smallest id; all columns are kept.
 
-    Rows without an id cannot be told apart and stay.
+    Rows are told apart by themselves, not by their ids: of rows that share an
+    id each belongs to the group of its own text. Rows without an id stay.
     """
-    found = near_duplicates(docs, least, id_col, text_col, words_per_shingle, radius, shard_rows)
-    dropped = found.where("id <> component").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(dropped, id_col, "left_anti")
+    return simhash.first_rows(docs, id_col, text_col, lambda d: near_duplicates(d, least, "key", "text", words_per_shingle, radius, shard_rows))

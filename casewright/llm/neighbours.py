@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a block; a tile holds at most the square of it.
 BLOCK_ROWS = 1024
+#: Blocks of a group: a task joins the blocks of one group of queries with those of one group of rows.
+GROUP_BLOCKS = 16
 #: Sums of int8 products stay exact in float32 up to so many dimensions.
 _FLOAT32_DIMS = 1024
 
@@ -118,7 +120,7 @@ def _merge(k: int):
     return run
 
 
-def nearest(queries: DataFrame, rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, grid: tuple[int, int] = (2, 16)) -> DataFrame:
+def nearest(queries: DataFrame, rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, grid: tuple[int, int] | None = None) -> DataFrame:
     """The k nearest rows of each query by Euclidean distance: query_id, rank, vec_id, score.
 
     Candidates are all rows but those with the query's own id. Ties go to the
@@ -127,14 +129,15 @@ def nearest(queries: DataFrame, rows: DataFrame, id_col: str = "vec_id", vector_
     vectors of other dimensions are never compared. A query id that repeats is
     searched once, with its smallest vector; a row that repeats counts each
     time. Empty inputs give no rows. grid is the number of query and row
-    groups: each block is sent to one line of that grid only.
+    groups: each block is sent to one line of that grid only. By default it
+    grows with the tables, so that a task joins a bounded number of blocks.
     """
-    q_groups, r_groups = grid
+    q_groups, r_groups = grid or tuple(max(least, -(-df.count() // (GROUP_BLOCKS * BLOCK_ROWS))) for df, least in ((queries, 2), (rows, 16)))
     one = queries.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(vector_col).alias("vector"))
     left, right = _blocks(one, "id", "vector"), _blocks(rows, id_col, vector_col)
     cell = F.xxhash64("ids")
     left = left.select("dim", *(F.col(c).alias(f"q_{c}") for c in left.columns[1:]), F.pmod(cell, F.lit(q_groups)).cast("int").alias("qg"), F.explode(F.sequence(F.lit(0), F.lit(r_groups - 1))).alias("rg"))
     right = right.withColumn("rg", F.pmod(cell, F.lit(r_groups)).cast("int")).withColumn("qg", F.explode(F.sequence(F.lit(0), F.lit(q_groups - 1))))
-    tiles = left.join(right.hint("shuffle_hash"), ["dim", "qg", "rg"])
+    tiles = left.join(right, ["dim", "qg", "rg"])
     found = tiles.mapInPandas(_search(k), "query_id long, vec_id long, score double")
     return found.groupBy("query_id").applyInPandas(_merge(k), "query_id long, rank int, vec_id long, score double")

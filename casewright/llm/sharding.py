@@ -5,8 +5,9 @@ s in a uniformly random permutation follows a multivariate hypergeometric law
 given the block and shard sizes; that small matrix is drawn exactly, block by
 block. Each block is permuted locally and cut at its line of the matrix, the
 cuts are exchanged, and each shard is permuted again. Data moves through
-DataFrame operations only; the driver handles the matrix, whose size is set by
-rows_per_block, never the rows.
+DataFrame operations only; the driver handles the matrix, never the rows: one
+line of a number for each shard for every rows_per_block rows, so a trillion
+rows make a million lines.
 """
 
 from __future__ import annotations

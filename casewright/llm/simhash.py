@@ -13,7 +13,7 @@ exactly the home shard of one of its ends, and none is lost.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import checkpointed, free_name
+from casewright.llm.common import checkpointed, free_name, join_unique, without
 from casewright.llm.components import connected_components
 
 BITS = 64
@@ -158,24 +158,31 @@ def leaf_links(homes: np.ndarray, visitors: np.ndarray, radius: int, small: int
                 yield block[i], others[j]
 
 
-def _stars(links: Iterator[tuple[np.ndarray, np.ndarray]]) -> dict[int, int]:
-    """Each linked fingerprint with the root of its set: a spanning star instead of all pairs."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
+def _stars(prints: np.ndarray, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The linked fingerprints but the roots, and their roots: spanning stars instead of all pairs.
 
+    Links within a set that is already one are passed over at once, so a
+    dense cluster costs no walk over its pairs.
+    """
+    values = np.unique(prints)
+    root = np.arange(len(values))
     for left, right in links:
-        for x, y in zip(left.tolist(), right.tolist(), strict=True):
-            p, q = find(x), find(y)
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-    return {x: find(x) for x in list(parent)}
-
-
-def link_fingerprints(prints: DataFrame, radius: int = 2, shard_rows: int = 1024, sample_rows: int = 16384, max_depth: int = 12) -> DataFrame:
+        a, b = root[np.searchsorted(values, left)], root[np.searchsorted(values, right)]
+        apart = a != b
+        parent = np.arange(len(values)) if apart.any() else root
+        for x, y in np.unique(np.stack([a[apart], b[apart]], axis=1), axis=0).tolist():
+            while parent[x] != x:
+                x = parent[x]
+            while parent[y] != y:
+                y = parent[y]
+            parent[max(x, y)] = min(x, y)
+        while (parent[root] != root).any():
+            root = parent[root]
+    far = np.flatnonzero(root != np.arange(len(values)))
+    return values[far], values[root[far]]
+
+
+def link_fingerprints(prints: DataFrame, radius: int = 2, shard_rows: int = 1024, sample_rows: int = 1 << 18, max_depth: int = 15) -> DataFrame:
     """Links between distinct fingerprints (column fp) as star edges fp, root within each shard.
 
     prints is read three times and should be materialised. A wide radius wants large
@@ -186,7 +193,7 @@ def link_fingerprints(prints: DataFrame, radius: int = 2, shard_rows: int = 1024
     """
     count = prints.count()
     depth = min(max_depth, max(0, int(np.ceil(np.log2(max(1, count) / shard_rows)))))
-    sample = prints.orderBy(F.xxhash64("fp"), "fp").limit(sample_rows).collect() if depth else []
+    sample = prints.orderBy(F.xxhash64("fp"), "fp").limit(min(sample_rows, 16 << depth)).collect() if depth else []
     tree = build_tree(np.array([r.fp for r in sample], np.int64).view(np.uint64), radius, depth)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,10 +204,8 @@ def link_fingerprints(prints: DataFrame, radius: int = 2, shard_rows: int = 1024
 
     def search(shard: pd.DataFrame) -> pd.DataFrame:
         values, home = shard["fp"].to_numpy(np.int64).view(np.uint64), shard["home"].to_numpy(bool)
-        found = _stars(leaf_links(values[home], values[~home], radius))
-        ends = np.array(list(found.items()), np.uint64).reshape(-1, 2)
-        ends = ends[ends[:, 0] != ends[:, 1]].view(np.int64)
-        return pd.DataFrame({"fp": ends[:, 0], "root": ends[:, 1]})
+        far, root = _stars(values, leaf_links(values[home], values[~home], radius))
+        return pd.DataFrame({"fp": far.view(np.int64), "root": root.view(np.int64)})
 
     dealt = prints.mapInPandas(deal, "shard long, fp long, home boolean")
     return dealt.groupBy("shard").applyInPandas(search, "fp long, root long")
@@ -217,20 +222,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     name = docs.schema[id_col].name
     made = checkpointed(with_fingerprints(docs, id_col, text_col, words_per_shingle).select(F.col(name).alias("id"), "fp"))
-    distinct = checkpointed(made.groupBy("fp").agg(F.min("id").alias("first_id")))
+    distinct = checkpointed(made.groupBy("fp").agg(F.min("id").alias("first_id"), F.count("*").alias("rows")))
     edges = link_fingerprints(distinct.select("fp"), radius, shard_rows)
     roots = connected_components(edges, "fp", "root").withColumnRenamed("node", "fp")
-    grouped = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = grouped.groupBy("root").agg(F.min("first_id").alias("component"))
-    labels = grouped.select("fp", "root").join(smallest, "root").select("fp", "component")
-    return made.join(labels, "fp").select("id", "fp", "component")
+    labels = group_labels(distinct, roots, "fp")
+    return join_unique(made, labels, "fp", "rows").select("id", "fp", "component")
+
+
+def group_labels(nodes: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """node, rows and component (the smallest first_id of the node's group) from nodes (node, first_id, rows) and roots (node, root)."""
+    grouped = checkpointed(nodes.join(roots, node, "left").withColumn("root", F.coalesce("root", node)))
+    smallest = grouped.groupBy("root").agg(F.min("first_id").alias("component"), F.count("*").alias("members"))
+    return checkpointed(join_unique(grouped, smallest, "root", "members").select(node, "rows", "component"))
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, radius: int = 2, shard_rows: int = 1024) -> DataFrame:
-    """Drops every document but the one with the smallest id of each group; all columns are kept.
+    """Keeps one row of each group, the first of those with its smallest id; all columns are kept.
+
+    Rows are told apart by themselves, not by their ids: of rows that share an
+    id each belongs to the group of its own text. Rows without an id stay.
+    """
+    return first_rows(docs, id_col, text_col, lambda d: near_duplicates(d, "key", "text", words_per_shingle, radius, shard_rows))
+
+
+def first_rows(docs: DataFrame, id_col: str, text_col: str, groups: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """docs without the rows that are not the first (smallest id, then row number) of their group.
 
-    Rows without an id cannot be told apart and stay.
+    groups maps rows key, text to id (the key) and component (the smallest key of the group).
     """
-    found = near_duplicates(docs, id_col, text_col, words_per_shingle, radius, shard_rows)
-    dropped = found.where("id <> component").select(F.col("id").alias(id_col)).distinct()
-    return docs.join(dropped, id_col, "left_anti")
+    row = free_name("_row", docs.columns)
+    numbered = checkpointed(docs.withColumn(row, F.monotonically_increasing_id()))
+    key = F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), F.col(row).alias("row")))
+    found = groups(numbered.select(key.alias("key"), F.col(text_col).alias("text")))
+    dropped = checkpointed(found.where("id is not null and id <> component").select(F.col("id.row").alias(row)))
+    return without(numbered, dropped, row).select(docs.columns)

@@ -90,7 +90,7 @@ def test_null_ids_repeats_and_empty(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (None, None)], "doc_id long, text string")
     got = sorted(((r.id, r.component) for r in simhash.near_duplicates(docs).collect()), key=str)
     assert got == [(5, 5), (5, 5), (None, 5), (None, None)]
-    assert simhash.keep_one_per_group(docs).count() == 4
+    assert simhash.keep_one_per_group(docs).count() == 3  # rows without an id stay; of the repeated row one is left
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
@@ -100,3 +100,33 @@ def test_long_chains_become_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
     got = {r.node: r.root for r in connected_components(edges, "a", "b").collect()}
     assert got == {i: 0 for i in range(61)} | {100: 100, 101: 100}
+
+
+def test_one_row_of_each_group_is_kept_by_row(spark):
+    text, other = "one two three four five six seven", "alpha beta gamma delta epsilon zeta eta"
+    rows = [(3, text, 1), (5, other, 2), (5, text, 3), (7, text, 4), (7, text, 5), (3, text, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row int").repartition(3)
+    from casewright.llm import copies
+
+    for kept in (simhash.keep_one_per_group(docs), copies.keep_one_per_group(docs, 0.8)):
+        assert kept.columns == ["doc_id", "text", "_row"]
+        assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(3, text), (5, other)]
+
+
+def test_hot_keys_join_as_others(spark, monkeypatch):
+    from casewright.llm import common
+    from casewright.llm.components import connected_components
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    edges = spark.createDataFrame([(0, i) for i in range(1, 30)] + [(40, 41), (41, 42)], "a long, b long")
+    got = {r.node: r.root for r in connected_components(edges, "a", "b").collect()}
+    assert got == {i: 0 for i in range(30)} | {40: 40, 41: 40, 42: 40}
+    docs = spark.createDataFrame([(i, "same text here again") for i in range(20)] + [(90, "another thing at all now")], "doc_id long, text string")
+    assert {r.id: r.component for r in simhash.near_duplicates(docs).collect()} == {i: 0 for i in range(20)} | {90: 90}
+
+
+def test_dense_clusters_make_one_star():
+    rng = np.random.default_rng(8)
+    prints = np.unique(np.array([(1 << int(a)) ^ (1 << int(b)) for a, b in rng.integers(0, 64, (3000, 2))], np.uint64))
+    far, root = simhash._stars(prints, simhash.leaf_links(prints, prints[:0], 4))
+    assert len(far) == len(prints) - 1 and len(set(root.tolist())) == 1
