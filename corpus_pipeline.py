@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright.llm import copies, language, packing, personal, toxicity
-from casewright.llm.common import ensure_checkpoint_dir, table
+from casewright.llm.common import ensure_checkpoint_dir, remove_folder, table
 from casewright.llm.queries import tokenizer_path
 
 #: Near duplicates: words of a shingle, and bits of 64 that may differ. A distance of 6 is an angle whose cosine is 0.96,
@@ -64,11 +64,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is written to the shared checkpoint folder and reread."""
+    """Applies the stages to documents; each result is written to the shared checkpoint folder and reread.
+
+    A stage's table is removed once the next one is written; the last one stays, as the result reads it.
+    """
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/corpus-pipeline-{spark.sql('select uuid()').first()[0]}"
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}-{name}")
-        docs = spark.read.parquet(f"{folder}/{i}-{name}")
+        path = f"{folder}/{i}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove_folder(spark, before)
+        before = path
     return docs
