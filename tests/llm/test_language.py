@@ -56,3 +56,27 @@ def test_copies_take_no_places(spark, rows):
     first = docs.where("crc32(cast(doc_id as string)) % 3 <> 1 and lang = 'xx'").orderBy(F.xxhash64(F.substring("text", 1, 600))).first()
     copies = docs.where(f"doc_id = {first.doc_id}").crossJoin(spark.range(10_000, 11_000)).select("id", "text", "lang")
     assert language.fit_dictionaries(docs.union(copies)) == language.fit_dictionaries(docs)
+
+
+def test_predictions_equal_a_plain_version(spark, rows):
+    """Each document compressed anew with each dictionary, piece by piece; the fewest bytes win."""
+    import zstandard
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    dictionaries = language.fit_dictionaries(docs)
+    got = {r.doc_id: r for r in language.identify(docs, dictionaries).collect()}
+    for i, text, _ in rows[:120]:
+        words, sizes = language.plain(text), {}
+        for lang, content in dictionaries.items():
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            squeeze = zstandard.ZstdCompressor(level=6, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes[lang] = sum(len(squeeze.compress(words[at : at + language.PIECE_BYTES])) for at in range(0, len(words), language.PIECE_BYTES))
+        first, second = sorted(sizes.values())[:2]
+        assert got[i].lang_pred == min(sizes, key=lambda lang: (sizes[lang], lang))
+        margin = (second - first) / second
+        assert got[i].lang_score == pytest.approx(margin / (margin + 0.02)) and got[i].lang_rejected == (margin < language.MARGIN)
+
+
+def test_passages_come_from_anywhere(spark):
+    docs = spark.createDataFrame([(i, "start " * 200 + f"middle{i} " * 3000, "xx") for i in range(60)], "doc_id long, text string, lang string")
+    assert language.fit_dictionaries(docs)["xx"].count(b"start ") < 20

@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -63,3 +64,40 @@ def test_rules_keep_prose_and_drop_noise(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert quality.judge_documents(docs, quality.fit_references(docs)).count() == 0
+
+
+def test_verdicts_equal_a_plain_version(spark):
+    """References, distances and kept recomputed by dictionaries, one character and one word at a time."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(90):
+        lang, letters = ("aa", "abcdef") if i % 2 else ("bb", "uvwxyz")
+        words = ["".join(rng.choice(list(letters), rng.integers(1, 4))) for _ in range(int(rng.integers(20, 150)))]
+        rows.append((i, " ".join(words).upper() if i % 9 == 0 else " ".join(w + ("%#" if i % 7 == 0 else "") for w in words), lang if i % 11 else None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    classes, words = {}, {}
+    for _, text, lang in rows:
+        if lang:
+            classes.setdefault(lang, Counter()).update(quality._class_of(c) for c in text)
+            words.setdefault(lang, Counter()).update(text.lower().split())
+    common = {lang: dict(sorted(c.items(), key=lambda x: (-x[1], x[0]))[: quality.COMMON_WORDS]) for lang, c in words.items()}
+
+    def distance(p, q):
+        p, q = ({k: v / sum(d.values()) for k, v in d.items()} for d in (p, q))
+        mean = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in p.keys() | q.keys()}
+        return np.sqrt(max(0.0, sum(d[k] * np.log2(d[k] / mean[k]) for d in (p, q) for k in d if d[k]) / 2))
+
+    got = {r.doc_id: r for r in quality.judge_documents(docs, quality.fit_references(docs)).collect()}
+    for i, text, lang in rows:
+        among = [lang] if lang else sorted(classes)
+        fold = lambda found, known: Counter(w if w in known else "" for w in found)
+        by_class = min(distance(Counter(quality._class_of(c) for c in text), classes[k]) for k in among) if len(text) >= quality.LEAST_CHARS else None
+        by_word = min(distance(fold(text.lower().split(), common[k]), fold(words[k].elements(), common[k])) for k in among) if len(text.split()) >= quality.LEAST_WORDS else None
+        for mine, theirs in ((by_class, got[i].class_distance), (by_word, got[i].word_distance)):
+            assert mine == (None if theirs is None else pytest.approx(theirs, abs=1e-9)), (i, lang, text[:40], len(text), by_class, by_word, got[i])
+        assert got[i].kept == (not got[i].base_failed and (by_class or 0) <= quality.MOST_CLASS_DISTANCE and (by_word or 0) <= quality.MOST_WORD_DISTANCE)
+
+
+def test_very_long_text():
+    text = "word and other things. " * 100_000
+    assert quality.base_counts(text)[0] == 400_000

@@ -50,3 +50,41 @@ def test_looks_uniform(spark):
 def test_fewer_rows_than_shards_and_none(spark):
     assert sorted(r.slot for r in shard_rows(spark.range(3), 24).collect()) == [0, 0, 0]
     assert shard_rows(spark.range(0), 24).count() == 0
+
+
+def test_places_equal_a_plain_version(spark):
+    """The same draws, cuts and permutations row by row in Python; only the hashes are Spark's."""
+    from pyspark.sql import functions as F
+
+    n_shards, seed, blocks, per_block = 5, 1, 6, 100
+    df = spark.createDataFrame([(i, f"text {i % 70}") for i in range(550)] + [(9, "text 9")] * 30, "doc_id long, text string")
+    keys = [F.xxhash64(F.lit(f"{seed}/{step}"), "doc_id", "text").alias(step) for step in ("first", "second", "block")]
+    rows = [r.asDict() for r in df.select("doc_id", "text", *keys, F.xxhash64(F.lit(f"{seed}/last"), F.xxhash64(F.lit(f"{seed}/second"), "doc_id", "text")).alias("last")).collect()]
+    for r in rows:
+        r["block"] %= blocks
+    sizes = {b: sum(r["block"] == b for r in rows) for b in range(blocks)}
+    shares = [len(rows) // n_shards + (s < len(rows) % n_shards) for s in range(n_shards)]
+    matrix = communication_matrix([sizes[b] for b in range(blocks)], shares, seed)
+    for b in range(blocks):
+        own = sorted((r for r in rows if r["block"] == b), key=lambda r: (r["first"], r["second"]))
+        for r, s in zip(own, [s for s in range(n_shards) for _ in range(matrix[b][s])], strict=True):
+            r["shard"] = s
+    buckets = -(-blocks // n_shards)
+    want = Counter()
+    for s in range(n_shards):
+        own = sorted((r for r in rows if r["shard"] == s), key=lambda r: (((r["last"] & (1 << 64) - 1) >> 20) % buckets, r["last"], r["first"]))
+        want.update((r["doc_id"], r["text"], s, i) for i, r in enumerate(own))
+    got = shard_rows(df, n_shards, seed, rows_per_block=per_block, least_blocks=4).collect()
+    assert Counter((r.doc_id, r.text, r.shard, r.slot) for r in got) == want
+
+
+def test_query_digests(spark, tmp_path):
+    import zlib
+
+    from casewright.llm import queries
+
+    texts = ["", None, "é漢", "plain " * 3000] + [f"t{i}" for i in range(60)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in queries.op4_sharding(spark, str(tmp_path)).collect():
+        data = (texts[r.doc_id] or "").encode()
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(data) + 8, zlib.crc32(data), "rows", None) and 0 <= r.shard < 24
