@@ -7,7 +7,7 @@ nested only by nested_findings(), on request.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.functions.signals import with_signals
@@ -82,29 +82,73 @@ def nested_findings(findings: DataFrame, members: DataFrame) -> DataFrame:
     return out.withColumn("matches", matches).withColumn("artifacts", F.filter(ids, lambda i: i.isNotNull() & (i != ""))).drop("_m")
 
 
-def transfers_after_files(items: DataFrame, same_machine: bool = False) -> DataFrame:
+def transfers_after_files(items: DataFrame, same_machine: bool = False, only: DataFrame | None = None) -> DataFrame:
     """C09 pairs: large connections and the file events of the 24 hours before them (both ends count).
 
     An interval join as an equi-join: files are dealt to the bins of their day
     and the next, connections to their own day; then the exact bound applies.
+    With only (case_id, conn_seq), the pairs of those connections.
     """
     day = lambda c: F.floor(F.unix_timestamp(c) / WINDOW_SECONDS)
     timed = items.where("ts is not null")
     conns = timed.where((F.col("evidence_type") == "network_connection") & (F.col("bytes_transferred") >= TRANSFER_BYTES))
     conns = conns.select("case_id", F.col("machine_id").alias("c_machine"), F.col("artifact_id").alias("conn_id"), F.col("seq").alias("conn_seq"), F.col("ts").alias("conn_ts"), F.col("source_tool").alias("conn_tool"), "bytes_transferred", "destination_ip", "destination_port", day("ts").alias("bin"))
+    conns = conns if only is None else conns.join(only, ["case_id", "conn_seq"], "left_semi")
     files = timed.where(F.size("file_keys") > 0)
     files = files.select("case_id", F.col("machine_id").alias("f_machine"), F.col("artifact_id").alias("file_id"), F.col("seq").alias("file_seq"), F.col("ts").alias("file_ts"), F.col("source_tool").alias("file_tool"), F.try_element_at("paths", F.lit(1)).alias("path"), F.explode(F.array(day("ts"), day("ts") + 1)).alias("bin"))
     pairs = conns.join(files, ["case_id", "bin"]).where((F.col("file_ts") <= F.col("conn_ts")) & (F.col("file_ts") >= F.col("conn_ts") - F.expr("INTERVAL 24 HOURS")) & (F.col("conn_seq") != F.col("file_seq")))
     return (pairs.where("c_machine = f_machine") if same_machine else pairs).drop("bin")
 
 
+def _windowed_files(items: DataFrame, keys: list[str]) -> DataFrame:
+    """Large connections with n_files, tools and first (seq and path of the first file event) of the 24 hours before them.
+
+    No pairs are made. File events and the two ends of every connection's
+    window are ordered within their hour: running aggregates up to a window's
+    last hour, and from its first one on, join those of the 23 whole hours
+    between, of which there is one row for each hour.
+    """
+    hour = lambda c: F.floor(F.unix_timestamp(c) / 3600)
+    timed = items.where("ts is not null")
+    is_file = F.size("file_keys") > 0
+    conns = timed.where((F.col("evidence_type") == "network_connection") & (F.col("bytes_transferred") >= TRANSFER_BYTES))
+    first, none = F.struct("seq", F.try_element_at("paths", F.lit(1)).alias("path")), F.lit(None)
+    points = timed.where(is_file).select(*keys, F.col("ts").alias("at"), F.lit("file").alias("end"), first.alias("first"), F.col("source_tool").alias("tool"), none.cast("long").alias("conn_seq"))
+    for end, at in (("last", F.col("ts")), ("begin", F.col("ts") - F.expr("INTERVAL 24 HOURS"))):
+        points = points.unionByName(conns.select(*keys, at.alias("at"), F.lit(end).alias("end"), none.cast(points.schema["first"].dataType).alias("first"), none.cast("string").alias("tool"), F.col("seq").alias("conn_seq")))
+    points = points.withColumn("hour", hour("at"))
+
+    def facts(w: Window) -> list[Column]:
+        return [F.count("first").over(w).alias("n"), F.min("first").over(w).alias("f"), F.collect_set("tool").over(w).alias("t")]
+
+    inside = Window.partitionBy(*keys, "hour")
+    up = points.select(*keys, "hour", "end", "conn_seq", "at", *facts(inside.orderBy("at"))).where("end = 'last'")
+    down = points.select(*keys, "hour", "end", "conn_seq", "at", *facts(inside.orderBy(F.desc("at")))).where("end = 'begin'")
+    hours = points.groupBy(*keys, "hour").agg(F.count("first").alias("n"), F.min("first").alias("f"), F.collect_set("tool").alias("t"))
+    between = Window.partitionBy(*keys).orderBy("hour").rangeBetween(-23, -1)
+    whole = hours.select(*keys, "hour", F.sum("n").over(between).alias("n"), F.min("f").over(between).alias("f"), F.flatten(F.collect_set("t").over(between)).alias("t"))
+    last = up.select(*keys, "hour", "conn_seq", "n", "f", "t")
+    middle = last.select(*keys, "hour", "conn_seq").join(whole, [*keys, "hour"]).select(*keys, "conn_seq", "n", "f", "t")
+    parts = last.drop("hour").unionByName(down.select(*keys, "conn_seq", "n", "f", "t")).unionByName(middle)
+    total = parts.groupBy(*keys, "conn_seq").agg(F.sum("n").alias("n_files"), F.min("f").alias("first"), F.flatten(F.collect_set("t")).alias("tools"))
+    return conns.withColumnRenamed("seq", "conn_seq").withColumn("own", is_file).join(total, [*keys, "conn_seq"])
+
+
 def exfiltration_findings(items: DataFrame, same_machine: bool = False) -> DataFrame:
-    """One row for each large connection with file events before it."""
-    pairs = transfers_after_files(items, same_machine)
-    per = pairs.groupBy("case_id", "conn_id", "conn_seq").agg(F.first("conn_tool").alias("t"), F.first("bytes_transferred").alias("bytes_transferred"), F.first("destination_ip").alias("ip"), F.first("destination_port").alias("port"), F.count("*").alias("n_files"), F.collect_set("file_tool").alias("tools"), F.min_by("path", "file_seq").alias("file"))
-    tools = F.array_sort(F.array_distinct(F.concat(F.array("t"), "tools")))
-    where = F.when(F.col("port") > 0, F.concat_ws(":", "ip", "port")).otherwise(F.col("ip"))
-    return per.select("case_id", F.lit("exfiltration").alias("correlation_type"), F.col("conn_id").alias("anchor"), F.col("conn_seq").alias("seq"), "n_files", tools.alias("source_tools"), "bytes_transferred", where.alias("destination"), "file", support_confidence(F.size(tools), F.col("n_files") + 1, 82).alias("confidence"))
+    """One row for each large connection with file events before it.
+
+    A connection that is a file event itself does not count as its own; only
+    where it is the first one of its window is the next one looked up by pairs.
+    """
+    keys = ["case_id", "machine_id"] if same_machine else ["case_id"]
+    per = _windowed_files(items, keys).withColumn("n_files", F.col("n_files") - F.coalesce(F.col("own"), F.lit(False)).cast("int")).where("n_files > 0")
+    unclear = F.coalesce(F.col("own") & (F.col("first.seq") == F.col("conn_seq")), F.lit(False))
+    looked_up = transfers_after_files(items, same_machine, only=per.where(unclear).select("case_id", "conn_seq")).groupBy("case_id", "conn_seq").agg(F.min_by("path", "file_seq").alias("_next"))
+    per = per.join(looked_up, ["case_id", "conn_seq"], "left")
+    tools = F.array_sort(F.array_distinct(F.concat(F.array("source_tool"), F.array_compact("tools"))))
+    where = F.when(F.col("destination_port") > 0, F.concat_ws(":", "destination_ip", "destination_port")).otherwise(F.col("destination_ip"))
+    file = F.when(unclear, F.col("_next")).otherwise(F.col("first.path"))
+    return per.select("case_id", F.lit("exfiltration").alias("correlation_type"), F.col("artifact_id").alias("anchor"), F.col("conn_seq").alias("seq"), "n_files", tools.alias("source_tools"), "bytes_transferred", where.alias("destination"), file.alias("file"), support_confidence(F.size(tools), F.col("n_files") + 1, 82).alias("confidence"))
 
 
 def resolve_links(items: DataFrame) -> DataFrame:
@@ -162,9 +206,11 @@ def annotate(items: DataFrame, members: DataFrame, most: int = 100) -> DataFrame
 
     The cap bounds the array only; the count and the flat members are whole.
     """
-    one = members.groupBy("case_id", "artifact_id", "finding").agg(F.max("finding_confidence").alias("c"), F.first("correlation_type").alias("correlation_type"))
-    per = one.groupBy("case_id", "artifact_id").agg(F.count("*").alias("n_findings"), F.max("c").alias("best_confidence"), F.slice(F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("o"), "finding"))), 1, most).alias("_f"))
-    out = items.join(per, ["case_id", "artifact_id"], "left").withColumn("n_findings", F.coalesce("n_findings", F.lit(0)))
+    one = members.groupBy("case_id", "artifact_id", "finding").agg(F.max("finding_confidence").alias("c"))
+    per = one.groupBy("case_id", "artifact_id").agg(F.count("*").alias("n_findings"), F.max("c").alias("best_confidence"))
+    place = F.row_number().over(Window.partitionBy("case_id", "artifact_id").orderBy(F.desc("c"), "finding"))
+    foremost = one.withColumn("_n", place).where(F.col("_n") <= most).groupBy("case_id", "artifact_id").agg(F.array_sort(F.collect_list(F.struct("_n", "finding"))).alias("_f"))
+    out = items.join(per.join(foremost, ["case_id", "artifact_id"]), ["case_id", "artifact_id"], "left").withColumn("n_findings", F.coalesce("n_findings", F.lit(0)))
     return out.withColumn("correlations", F.coalesce(F.transform("_f", lambda f: f["finding"]), F.array().cast("array<string>"))).drop("_f")
 
 

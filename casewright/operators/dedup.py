@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,12 +23,20 @@ def first_wins(items: DataFrame) -> DataFrame:
     return firsts.unionByName(items.where(~F.coalesce(has_id, F.lit(False))))
 
 
+def merge_tools(*tables: DataFrame) -> DataFrame:
+    """The rows of all tools in one table; a column that a tool does not have is null in its rows."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
 def strongest_wins(items: DataFrame) -> DataFrame:
-    """Of rows with the same type, value (trimmed, any case) and links the strongest, at the first one's seq."""
-    key = ["case_id", "evidence_type", F.lower(F.trim(F.coalesce("value", F.lit("")))), F.to_json("linked_artifacts")]
-    best = Window.partitionBy(*key).orderBy(severity_rank(F.col("severity")).desc(), F.col("confidence").desc_nulls_last(), "seq")
-    whole = Window.partitionBy(*key)
-    return items.withColumn("_n", F.row_number().over(best)).withColumn("_first", F.min("seq").over(whole)).where("_n = 1").withColumn("seq", F.col("_first")).drop("_n", "_first")
+    """Of rows with the same type, value (trimmed, any case) and links the strongest, at the first one's seq.
+
+    An aggregate: a value that repeats in a third of the rows is reduced before the shuffle.
+    """
+    key = ["case_id", "evidence_type", F.lower(F.trim(F.coalesce("value", F.lit("")))).alias("_value"), F.to_json("linked_artifacts").alias("_links")]
+    strength = F.struct(severity_rank(F.col("severity")), F.coalesce("confidence", F.lit(float("-inf"))), -F.col("seq"))
+    best = items.groupBy(*key).agg(F.max_by(F.struct(*items.columns), strength).alias("_row"), F.min("seq").alias("_first"))
+    return best.select(*(F.col("_first").alias(c) if c == "seq" else F.col(f"_row.{c}") for c in items.columns))
 
 
 def own_pid(value: Column, artifact_id: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casewright.functions.text import any_of
@@ -54,8 +54,9 @@ GENERIC_TLDS = [
     "shop", "app", "dev", "onion", "work", "click", "link", "live", "icu", "fun", "buzz", "host", "space", "website", "press", "party",
     "stream", "download", "loan", "review", "date", "trade", "racing", "win", "bid", "faith", "cricket", "men",
 ]
-#: Two letters are a country's domain, but for those that files end in.
-NO_COUNTRY_TLDS = ["pf", "js", "db", "gz", "xz", "cs", "vb", "hh", "kt", "ts", "ui", "qm"]
+#: A country's two-letter code (ISO 3166) is a domain ending, but for these; and these others are as well.
+NO_COUNTRY_TLDS = ["aq", "as", "bl", "bq", "bv", "eh", "er", "gs", "hm", "km", "mf", "mh", "pf", "sj", "tf", "tm", "um"]
+FURTHER_TLDS = ["ac", "eu", "su", "uk"]
 AMBIGUOUS_TLDS = ["py", "pl", "sh", "so", "rs", "md", "pm", "ax", "nc"]
 DOS_COMMANDS = [
     "append", "assign", "attrib", "chcp", "chkdsk", "choice", "command", "comp", "country", "ctty", "debug", "deltree", "diskcomp", "diskcopy",
@@ -304,6 +305,12 @@ def rule_hits(lines: DataFrame) -> DataFrame:
     return make_items(lines.where(data), stable_id("yara", "value"), "volatility3", "yara_match", text, "high", 0.90)
 
 
+def process_inventory(processes: DataFrame, tool: str = "memprocfs", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each process (pid, ppid, name) of a flat listing."""
+    value = F.format_string("%s (PID %s, PPID %s)", "name", F.col("pid").cast("string"), F.col("ppid").cast("string"))
+    return make_items(processes, F.concat(F.lit(f"{tool}_proc_"), F.col("pid").cast("string")), tool, f"{tool}_process", value, "medium", 0.80, keep=keep)
+
+
 def status_rows(tool: str, message: str, spark) -> DataFrame:
     """The marker row of a tool that failed or found nothing."""
     return make_items(spark.range(1), F.lit(f"{tool}_status"), tool, f"{tool}_status", F.lit(message), "low", 1.0)
@@ -313,8 +320,9 @@ def status_rows(tool: str, message: str, spark) -> DataFrame:
 
 
 def registered_tld(tld: Column) -> Column:
-    """A generic domain ending, or two letters that are no file ending."""
-    return tld.isin(GENERIC_TLDS) | (tld.rlike("^[a-z]{2}$") & ~tld.isin(NO_COUNTRY_TLDS))
+    """A generic domain ending or a country's; the countries are those that the JVM knows from ISO 3166."""
+    countries = {str(c).lower() for c in SparkSession.active()._jvm.java.util.Locale.getISOCountries()}
+    return tld.isin([*GENERIC_TLDS, *sorted(countries - set(NO_COUNTRY_TLDS)), *FURTHER_TLDS])
 
 
 def onions(texts: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -110,18 +110,14 @@ def final_score(scored: DataFrame, model_score: Column | None = None) -> DataFra
     return out.withColumn("anomaly_confidence", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.5 - F.col("_s"))), 4)).drop("_s")
 
 
-def long_features(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """A row for each feature: keep, feature_no, feature, x."""
-    return rows.select(*keep, F.posexplode(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("x")) for f in FEATURES))).alias("feature_no", "f")).select(*keep, "feature_no", "f.feature", "f.x")
-
-
 def baseline_difference(scored: DataFrame, baseline: DataFrame, keep: list[str], most: int = 5) -> DataFrame:
     """The `most` features of a row that differ most from the family's baseline mean, with direction and rank."""
-    means = long_features(baseline, ["family"]).groupBy("family", "feature").agg(F.avg("x").alias("mean"))
-    rows = long_features(scored, [*keep, "family"]).join(means, ["family", "feature"]).withColumn("difference", F.round(F.abs(F.col("x") - F.col("mean")), 4)).where("difference > 0")
-    w = Window.partitionBy(*keep).orderBy(F.desc("difference"), "feature_no")
-    ranked = rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
-    return ranked.select(*keep, "family", "rank", "feature", "x", F.round("mean", 4).alias("mean"), "difference", F.when(F.col("x") > F.col("mean"), "above").otherwise("below").alias("direction"))
+    means = baseline.groupBy("family").agg(*(F.avg(f).alias(f"_m_{f}") for f in FEATURES))  # one row for each of the eight families
+    apart = lambda f: F.round(F.abs(F.col(f) - F.col(f"_m_{f}")), 4)
+    rows = F.array(*(F.struct((-apart(f)).alias("d"), F.lit(i).alias("i"), F.lit(f).alias("feature"), F.col(f).alias("x"), F.col(f"_m_{f}").alias("mean")) for i, f in enumerate(FEATURES)))
+    foremost = F.slice(F.array_sort(F.filter(rows, lambda r: r["d"] < 0)), 1, most)
+    ranked = scored.join(F.broadcast(means), "family").select(*keep, "family", F.posexplode(foremost).alias("_at", "_f"))
+    return ranked.select(*keep, "family", (F.col("_at") + 1).alias("rank"), "_f.feature", "_f.x", F.round("_f.mean", 4).alias("mean"), (-F.col("_f.d")).alias("difference"), F.when(F.col("_f.x") > F.col("_f.mean"), "above").otherwise("below").alias("direction"))
 
 
 def indicator_ranking() -> Column:

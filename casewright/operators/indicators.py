@@ -13,7 +13,7 @@ from casewright.schema import computed_once, make_items, severity_name, severity
 CATALOG = {
     "indicators": [
         {"id": "wannacry_dropper", "match": ["tasksche.exe", "mssecsvc.exe", "mssecsvc2.0", "wannacry", "wanacry", "wcry"], "severity": "critical", "category": "known_malware"},
-        {"id": "wannacry_decryptor", "match": ["@wanadecryptor@", "wanadecryptor", ".wncry", ".wncryt", ".wcry", "wanadecrypt0r"], "severity": "critical", "category": "ransomware_marker"},
+        {"id": "wannacry_decryptor", "match": ["@wanadecryptor@", "wanadecryptor", ".wncry", ".wncryt", ".wcry", "wana decrypt0r"], "severity": "critical", "category": "ransomware_marker"},
         {"id": "wannacry_payload", "match": [".wnry"], "severity": "high", "category": "ransomware_marker"},
         {"id": "wannacry_killswitch", "match": ["iuqerfsodp9ifjaposdfjhgosurijfaewrwergwea"], "severity": "high", "category": "c2"},
         {"id": "tor_hidden_service", "match": [".onion"], "severity": "high", "category": "c2"},
@@ -73,25 +73,55 @@ def bad_host_rows(items: DataFrame, catalog: dict, contexts: DataFrame | None =
         own = contexts.select(F.col("case_id").alias("bad_case"), F.explode("known_bad_hosts").alias("h")).select("bad_case", F.rtrim(F.lower(F.trim("h")), F.lit(".")).alias("bad")).where("bad <> ''")
         listed = listed.unionByName(own)
     listed = listed.distinct()
-    hosts = F.transform(F.regexp_extract_all("value", F.lit(HOST_PATTERN), F.lit(0)), F.lower)
-    suffixes = F.flatten(F.transform(hosts, lambda h: F.transform(F.sequence(F.lit(1), F.size(F.split(h, r"\."))), lambda i: F.array_join(F.slice(F.split(h, r"\."), i, F.size(F.split(h, r"\."))), "."))))
-    tokens = F.array_distinct(F.concat(suffixes, F.regexp_extract_all("value", F.lit(IP_PATTERN), F.lit(0))))
-    rows = items.where(~F.col("evidence_type").isin(SUMMARY_TYPES)).select("case_id", "seq", F.explode(tokens).alias("bad"))
+    rows = items.where(~F.col("evidence_type").isin(SUMMARY_TYPES)).select("case_id", "seq", F.explode(_host_tokens()).alias("bad"))
     hit = rows.join(listed, "bad").where("bad_case is null or bad_case = case_id")
     is_ip = F.col("bad").rlike(f"^{IP_PATTERN}$")
     return hit.groupBy("case_id", "seq").agg(F.min(F.struct((~is_ip).alias("o"), "bad")).alias("b")).select("case_id", "seq", F.col("b.bad").alias("bad"))
 
 
+#: Contexts up to this number of cases are broadcast with their hosts; more are joined by shuffle.
+BROADCAST_CASES = 20_000
+
+
+def bad_host_column(items: DataFrame, catalog: dict, contexts: DataFrame | None = None) -> DataFrame:
+    """Adds _bad, what bad_host_rows finds for a row, without moving the items: the names are literals, a case's own ones are broadcast.
+
+    Only rows that hold a listed name at all have their hosts extracted.
+    """
+    bad = catalog.get("bad_hosts") or {}
+    fixed = sorted({n for n in [str(d).strip().lower().rstrip(".") for d in bad.get("domains") or []] + [str(i).strip() for i in bad.get("ips") or []] if n})
+    listed, out = F.array(*map(F.lit, fixed)).cast("array<string>"), items
+    if contexts is not None:
+        if contexts.count() > BROADCAST_CASES:
+            return items.join(bad_host_rows(items, catalog, contexts).withColumnRenamed("bad", "_bad"), ["case_id", "seq"], "left")
+        own = contexts.groupBy("case_id").agg(F.flatten(F.collect_list("known_bad_hosts")).alias("_own"))
+        own = own.select("case_id", F.filter(F.transform("_own", lambda h: F.rtrim(F.lower(F.trim(h)), F.lit("."))), lambda h: h != "").alias("_own"))
+        out, listed = items.join(F.broadcast(own), "case_id", "left"), F.array_distinct(F.concat(listed, F.coalesce("_own", F.array().cast("array<string>"))))
+    out = out.withColumn("_listed", listed)
+    named = F.exists("_listed", lambda n: F.contains(F.lower(F.coalesce("value", F.lit(""))), n)) & ~F.coalesce(F.col("evidence_type").isin(SUMMARY_TYPES), F.lit(False))
+    hit = F.filter(_host_tokens(), lambda t: F.array_contains(F.col("_listed"), t))
+    is_ip = lambda t: t.rlike(f"^{IP_PATTERN}$")
+    first = F.array_min(F.transform(hit, lambda t: F.struct((~is_ip(t)).alias("o"), t.alias("bad"))))["bad"]
+    return out.withColumn("_bad", F.when(named, first)).drop("_listed", "_own")
+
+
+def _host_tokens() -> Column:
+    """Addresses in the value, and its hosts with all their dot suffixes."""
+    hosts = F.transform(F.regexp_extract_all("value", F.lit(HOST_PATTERN), F.lit(0)), lambda h: F.split(F.lower(h), r"\."))
+    suffixes = F.flatten(F.transform(hosts, lambda h: F.transform(F.sequence(F.lit(1), F.size(h)), lambda i: F.array_join(F.slice(h, i, F.size(h)), "."))))
+    return F.array_distinct(F.concat(suffixes, F.regexp_extract_all("value", F.lit(IP_PATTERN), F.lit(0))))
+
+
 def rescore(items: DataFrame, catalog: dict | None = None, contexts: DataFrame | None = None) -> DataFrame:
     """Adds ioc_match in rule order and raises severity to the highest floor of the matches, never lowers it.
 
     The catalog is small (a few hundred terms), so its terms are literals in
-    one pass; only host reputation, which may be large, is a join.
+    one pass; so are its hosts, and those of the cases are broadcast while few.
     Adds boosted, whether the severity changed (I07).
     """
     catalog = CATALOG if catalog is None else catalog
     hay = F.lower(F.concat_ws(" ", F.coalesce("value", F.lit("")), F.coalesce("evidence_type", F.lit(""))))
-    found = items.join(bad_host_rows(items, catalog, contexts).withColumnRenamed("bad", "_bad"), ["case_id", "seq"], "left").withColumn("_hay", hay)
+    found = bad_host_column(items, catalog, contexts).withColumn("_hay", hay)
     found = computed_once(found, "_ports", ports_in(F.col("_hay")))
     names, ranks = [], []
     summary = F.coalesce(F.col("evidence_type").isin(SUMMARY_TYPES), F.lit(False))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.schema import severity_name, severity_rank
+from casewright.session import checkpointed
 
 PROCESS_TYPES = ["process", "memprocfs_process"]
 
@@ -37,44 +38,57 @@ def flagged(nodes: DataFrame, children: DataFrame | None = None, anomalies: Data
     return out.withColumnRenamed("_f", "is_flagged")
 
 
-def ancestor_closure(nodes: DataFrame, deepest: int = 64) -> DataFrame:
-    """Nodes that are flagged or an ancestor of a flagged one; circles of parents end where they close.
+def _parents(nodes: DataFrame) -> DataFrame:
+    """case_id, pid and up: the parent's id, null for roots (no parent, an unknown one, or the node itself)."""
+    known = nodes.select("case_id", F.col("pid").alias("up")).distinct()
+    wanted = nodes.select("case_id", "pid", F.when(F.col("ppid") != F.col("pid"), F.col("ppid")).alias("up"))
+    return wanted.join(known.withColumn("_known", F.lit(True)), ["case_id", "up"], "left").select("case_id", "pid", F.when(F.col("_known"), F.col("up")).alias("up"))
 
-    A recursive query up to `deepest` generations (real process trees have a
-    dozen), each carrying its path as the guard.
+
+def ancestor_closure(nodes: DataFrame) -> DataFrame:
+    """Nodes that are flagged or an ancestor of a flagged one, at any depth; circles of parents end where they close.
+
+    Pointer doubling: each round marks the nodes that lie as far above the
+    marked ones as the jumps reach, and doubles the jumps. A chain of a
+    million generations takes twenty rounds, each cut by a checkpoint.
     """
-    spark = nodes.sparkSession
-    up = spark.sql(
-        f"""WITH RECURSIVE walk(case_id, pid, ppid, path) AS (
-            SELECT case_id, pid, ppid, array(pid) FROM {{n}} WHERE is_flagged
-            UNION ALL SELECT p.case_id, p.pid, p.ppid, concat(w.path, array(p.pid)) FROM walk w JOIN {{n}} p ON p.case_id = w.case_id AND p.pid = w.ppid
-            WHERE NOT array_contains(w.path, p.pid) AND size(w.path) < {deepest})
-        SELECT DISTINCT case_id, pid FROM walk""",
-        n=nodes,
-    )
-    return nodes.join(up, ["case_id", "pid"], "left_semi")
-
-
-def tree_order(nodes: DataFrame, most: int | None = 40, deepest: int = 64) -> DataFrame:
+    jumps = checkpointed(_parents(nodes).where("up is not null"))
+    marked = checkpointed(nodes.where("is_flagged").select("case_id", "pid").distinct())
+    n = marked.count()
+    while n:
+        above = marked.join(jumps, ["case_id", "pid"]).select("case_id", F.col("up").alias("pid"))
+        marked = checkpointed(marked.union(above).distinct())
+        before, n = n, marked.count()
+        if n == before:
+            break
+        jumps = checkpointed(jumps.join(jumps.select("case_id", F.col("pid").alias("up"), F.col("up").alias("next")), ["case_id", "up"]).select("case_id", "pid", F.col("next").alias("up")))
+    return nodes.join(marked, ["case_id", "pid"], "left_semi")
+
+
+def tree_order(nodes: DataFrame, most: int | None = 40) -> DataFrame:
     """Nodes depth first with depth, path and row; children in first-seen order; the report shows `most` rows.
 
-    Nodes of a circle that no root reaches follow after all others.
+    Paths grow by pointer doubling: each round puts the path of the node that
+    a jump reaches in front and doubles the jump, so the rounds grow with the
+    logarithm of the depth. Nodes of a circle, and those below one, have no
+    path and follow after all others.
     """
-    spark = nodes.sparkSession
-    w = Window.partitionBy("case_id", "ppid").orderBy("first_seq", "pid")
-    known = nodes.select("case_id", F.col("pid").alias("ppid"), F.lit(True).alias("has_parent"))
-    placed = nodes.join(known, ["case_id", "ppid"], "left").withColumn("has_parent", F.coalesce("has_parent", F.lit(False)) & (F.col("ppid") != F.col("pid"))).withColumn("ordinal", F.row_number().over(w).cast("long"))
-    roots = placed.where(~F.col("has_parent")).withColumn("ordinal", F.row_number().over(Window.partitionBy("case_id").orderBy("pid")).cast("long"))
-    walk = spark.sql(
-        f"""WITH RECURSIVE walk(case_id, pid, depth, path) AS (
-            SELECT case_id, pid, 0, array(ordinal) FROM {{roots}}
-            UNION ALL SELECT c.case_id, c.pid, w.depth + 1, concat(w.path, array(c.ordinal)) FROM walk w JOIN {{placed}} c
-            ON c.case_id = w.case_id AND c.ppid = w.pid AND c.has_parent WHERE w.depth < {deepest})
-        SELECT case_id, pid, min(struct(path, depth)) AS p FROM walk GROUP BY case_id, pid""",
-        roots=roots.select("case_id", "pid", "ordinal"),
-        placed=placed.select("case_id", "pid", "ppid", "ordinal", "has_parent"),
-    )
-    out = nodes.join(walk, ["case_id", "pid"], "left").withColumn("depth", F.coalesce("p.depth", F.lit(0)))
-    order = Window.partitionBy("case_id").orderBy(F.col("p.path").asc_nulls_last(), "pid")
-    out = out.withColumn("row", F.row_number().over(order)).withColumn("path", F.array_join("p.path", ".")).drop("p")
+    parents = checkpointed(nodes.select("case_id", "pid", "first_seq").join(_parents(nodes), ["case_id", "pid"]))
+    w = Window.partitionBy("case_id", "up").orderBy("first_seq", "pid")
+    roots = Window.partitionBy("case_id").orderBy("pid")
+    placed = parents.where("up is not null").withColumn("ordinal", F.row_number().over(w)).unionByName(parents.where("up is null").withColumn("ordinal", F.row_number().over(roots)))
+    paths = checkpointed(placed.select("case_id", "pid", "up", F.array(F.col("ordinal").cast("long")).alias("path")))
+    left = paths.where("up is not null").count()
+    while left:
+        above = paths.select("case_id", F.col("pid").alias("up"), F.col("up").alias("next"), F.col("path").alias("front"))
+        longer = paths.where("up is not null").join(above, ["case_id", "up"]).select("case_id", "pid", F.col("next").alias("up"), F.concat("front", "path").alias("path"))
+        done = paths.where("up is null")
+        paths = checkpointed(done.unionByName(longer))
+        before, left = left, paths.where("up is not null").count()
+        if left == before:  # only circles are left, and what hangs on them
+            break
+    walk = paths.where("up is null").select("case_id", "pid", F.col("path").alias("_p"))
+    out = nodes.join(walk, ["case_id", "pid"], "left").withColumn("depth", F.coalesce(F.size("_p") - 1, F.lit(0)))
+    order = Window.partitionBy("case_id").orderBy(F.col("_p").asc_nulls_last(), "pid")
+    out = out.withColumn("row", F.row_number().over(order)).withColumn("path", F.array_join("_p", ".")).drop("_p")
     return out if most is None else out.where(F.col("row") <= most)

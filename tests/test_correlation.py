@@ -121,3 +121,26 @@ def test_derived_rows_have_their_own_ids(spark):
     got = indicators.derived_rows(items(spark, {"id": "x", "value": "powershell.exe from cmd.exe in Temp"}, {"id": "t", "type": "process_tree", "value": "cmd.exe"}, {"id": "i", "type": "injected_code", "value": ""})).collect()
     ids = [r.artifact_id for r in got]
     assert sorted(ids) == ["ioc_dll_x_temp", "ioc_injection_i", "ioc_proc_x_cmd_exe", "ioc_proc_x_powershell_exe"]
+
+
+def test_transfer_windows_equal_pairs(spark):
+    """Counts, tools and first files of every window as from all pairs, with connections that are file events themselves."""
+    import random
+
+    rng = random.Random(6)
+    start = 1_700_000_000
+    rows = []
+    for i in range(700):
+        conn = rng.random() < 0.3
+        keys = ["k"] if not conn or rng.random() < 0.4 else []
+        rows.append((f"c{i % 2}", f"m{i % 3}", f"a{i}", i, start + rng.choice([rng.randint(0, 4 * 86400), 3600 * rng.randint(0, 96)]), rng.choice(["t1", "t2", None]), "network_connection" if conn else "file", rng.choice([5, 2_000_000]), keys, [f"p{i}"] if keys else [], "1.2.3.4", 80))
+    df = spark.createDataFrame(rows, "case_id string, machine_id string, artifact_id string, seq long, t long, source_tool string, evidence_type string, bytes_transferred long, file_keys array<string>, paths array<string>, destination_ip string, destination_port int").withColumn("ts", F.timestamp_seconds("t"))
+    for same in (False, True):
+        want = {}
+        for c in rows:
+            if c[6] == "network_connection" and c[7] >= 1_000_000:
+                files = [f for f in rows if f[8] and f[0] == c[0] and f[3] != c[3] and c[4] - 86400 <= f[4] <= c[4] and (not same or f[1] == c[1])]
+                if files:
+                    want[c[2]] = (len(files), sorted({x for x in [c[5], *(f[5] for f in files)] if x}), min(files, key=lambda f: f[3])[9][0])
+        got = {r.anchor: (r.n_files, [t for t in r.source_tools if t], r.file) for r in correlate.exfiltration_findings(df, same).collect()}
+        assert got == want and len(want) > 20

@@ -124,3 +124,18 @@ def test_connections_and_modules(spark):
     assert ex.module_lines(text_lines(spark, "1 C:\\Temp\\a.dll\n2 C:\\Windows\\b.dll")).count() == 1
     assert ex.rule_hits(text_lines(spark, "Volatility 3\nrule1 hit\n\n")).count() == 1
     assert ex.memory_fields(text_lines(spark, "PID\tName\n4\tSystem\n5 a b")).select(F.size("fields")).collect() == [(2,), (3,)]
+
+
+def test_domain_endings_are_the_registered_ones(spark):
+    good = ["x-ray.de", "host.uk", "site.eu", "name.su", "evil.io", "evil.tk", "evil.xyz", "evil.onion", "deep.host.py"]
+    bad = ["lib.dd", "part.ab", "task.pf", "file.js", "mod.rs", "kernel.sys", "thing.aq", "some.tm", "data.zz"]
+    texts = spark.createDataFrame([(f"see http://{h}/ now",) for h in good + bad], "text string")
+    assert {r.value for r in ex.domains(texts).collect()} == set(good)
+    mails = spark.createDataFrame([(f"write a.b@{h} now",) for h in good + bad], "text string")
+    assert {r.value for r in ex.mail_addresses(mails).collect()} == {f"a.b@{h}" for h in good if not h.endswith(".py")}
+
+
+def test_process_inventory(spark):
+    rows = spark.createDataFrame([(4, 0, "System"), (88, 4, "smss.exe")], "pid int, ppid int, name string")
+    got = {r.artifact_id: (r.source_tool, r.evidence_type, r.value, r.severity, r.confidence) for r in ex.process_inventory(rows).collect()}
+    assert got["memprocfs_proc_88"] == ("memprocfs", "memprocfs_process", "smss.exe (PID 88, PPID 4)", "medium", 0.80) and len(got) == 2

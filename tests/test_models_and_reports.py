@@ -177,3 +177,12 @@ def test_weighted_quantile():
     for q in (0.0, 0.01, 0.5, 1.0):
         x, times = rng.random(20), rng.integers(1, 30, 20)
         assert abs(forest.weighted_quantile(x, times, q) - np.quantile(np.repeat(x, times), q)) < 1e-12
+
+
+def test_chains_of_any_depth(spark):
+    """A chain of 1,000 processes with a flagged leaf: all are its ancestors, each one level below the one before; a circle beside it ends."""
+    rows = [("c", str(i), str(i - 1), i, i == 1000) for i in range(1, 1001)] + [("c", "a", "b", 2001, True), ("c", "b", "a", 2002, False), ("c", "d", "a", 2003, False)]
+    nodes = spark.createDataFrame(rows, "case_id string, pid string, ppid string, first_seq long, is_flagged boolean")
+    assert lineage.ancestor_closure(nodes).count() == 1002
+    order = [(r.pid, r.depth) for r in lineage.tree_order(nodes, most=None).orderBy("row").collect()]
+    assert order == [(str(i), i - 1) for i in range(1, 1001)] + [("a", 0), ("b", 0), ("d", 0)]
