@@ -81,17 +81,49 @@ resolved AS (
     WHERE i.artifact_id <> l.source_id)"""
 
 
+LINK_SETS = (
+    "sets AS (SELECT source_id, list_sort(list_concat([source_id], list(DISTINCT target_id))) AS ids FROM resolved GROUP BY 1)",
+    "once AS (SELECT s.* FROM sets s JOIN first_items i ON i.artifact_id = s.source_id QUALIFY row_number() OVER (PARTITION BY ids ORDER BY i.seq) = 1)",
+    "flat AS (SELECT source_id, ids, unnest(ids) AS artifact_id FROM once)",
+)
+LINK_FINDINGS = f"""SELECT source_id, array_to_string(any_value(ids), ',') AS artifacts, len(any_value(ids))::INTEGER AS n_items, first(artifact_id ORDER BY {ORDER}) AS anchor,
+        least(75 + 6 * least(count(DISTINCT source_tool), 4) + 3 * least(len(any_value(ids)) - 1, 5), 99) / 100.0::DOUBLE AS confidence FROM flat JOIN first_items USING (artifact_id) GROUP BY 1"""
+
+
+def _uncovered(test: str) -> tuple[str, str, str]:
+    """flat without the sets that lie within a finding whose members pass the test."""
+    return (
+        "every AS (SELECT source_id, ids, unnest(ids) AS artifact_id FROM once)",
+        f"covered AS (SELECT DISTINCT source_id FROM (SELECT e.source_id, m.finding FROM every e JOIN members m ON m.artifact_id = e.artifact_id AND {test} GROUP BY e.source_id, m.finding, len(e.ids) HAVING count(DISTINCT e.artifact_id) = len(e.ids)))",
+        "flat AS (SELECT * FROM every WHERE source_id NOT IN (SELECT source_id FROM covered))",
+    )
+
+
+# The catalog once more, spelled out here so that a wrong value on either side shows.
+TERMS = [
+    ("wannacry_dropper", "critical", "tasksche.exe,mssecsvc.exe,mssecsvc2.0,wannacry,wanacry,wcry"),
+    ("wannacry_decryptor", "critical", "@wanadecryptor@,wanadecryptor,.wncry,.wncryt,.wcry,wana decrypt0r"),
+    ("wannacry_payload", "high", ".wnry"),
+    ("wannacry_killswitch", "high", "iuqerfsodp9ifjaposdfjhgosurijfaewrwergwea"),
+    ("tor_hidden_service", "high", ".onion"),
+    ("wannacry_ransom_wallet", "critical", "13am4vw2dhxygxeqepohkhsquy6ngaeb94,12t9ydpgwuez9nymgw519p7aa8isjr6smw,115p7ummngoj1pmvkphijcrdfjnxj6lrln"),
+    ("ransomware_family", "critical", "ryuk,lockbit,revil,sodinokibi,conti,blackcat,alphv,maze,egregor,darkside,cl0p,clop"),
+    ("ransom_note_markers", "high", "ransom,decrypt your files,your files have been encrypted,bitcoin,btc wallet,tor browser,.locked,readme.txt restore,how to decrypt"),
+    ("credential_tooling", "high", "mimikatz,sekurlsa,lsass dump,lsass.dmp,procdump,comsvcs.dll minidump,wce.exe,pwdump,gsecdump"),
+    ("offensive_tooling", "high", "cobaltstrike,cobalt strike,beacon.dll,psexec,psexesvc,meterpreter,metasploit,bloodhound,sharphound,rubeus,powersploit,nishang"),
+    ("lolbin_abuse", "high", "certutil -urlcache,certutil.exe -decode,mshta.exe http,regsvr32 /s /n /u,rundll32 javascript,bitsadmin /transfer,wmic process call create"),
+    ("persistence_runkey", "high", "currentversion\\run,currentversion\\runonce,userinit,\\winlogon\\shell,schtasks /create"),
+    ("code_injection", "high", "page_execute_readwrite,rwx,injected_code,process hollowing,reflective"),
+]
+
+
 def _rules() -> list[tuple[str, str, str]]:
     hay = "lower(concat_ws(' ', value, evidence_type))"
-    out = []
-    for r in indicators.CATALOG["indicators"]:
-        out.append((f"'{r['id']}'", holds(hay, r["match"]), r["severity"]))
-    bad = indicators.CATALOG["bad_hosts"]
-    out.append(("'bad_host:' || 'x'", "(contains(value, '" + bad["domains"][0] + "') OR contains(value, '" + bad["ips"][0] + "'))", bad["severity"]))
-    ports = indicators.CATALOG["c2_ports"]
-    out.append(("'c2_port'", f"(len(list_intersect(list_transform(regexp_extract_all({hay}, '(?:[\\w.]:|\\bport[\\s:=]{{0,3}})(\\d{{2,5}})\\b', 1), lambda p: cast(p AS integer)), {ports['ports']})) > 0)", ports["severity"]))
-    words = indicators.CATALOG["exfil_keywords"]
-    out.append(("'data_exfiltration'", holds(hay, words["keywords"]), words["severity"]))
+    out = [(f"'{name}'", holds(hay, words.split(",")), severity) for name, severity, words in TERMS]
+    bad = "regexp_extract(lower(value), '(165\\.245\\.215\\.18|rapid-craft567\\.com)($|[^a-z0-9.-])', 1)"
+    out.append((f"'bad_host:' || {bad}", f"({bad} <> '')", "high"))
+    out.append(("'c2_port'", f"(len(list_intersect(list_transform(regexp_extract_all({hay}, '(?:[\\w.]:|\\bport[\\s:=]{{0,3}})(\\d{{2,5}})\\b', 1), lambda p: cast(p AS integer)), [4444, 4445, 1337, 31337, 8888, 9999, 6667, 6668, 6669])) > 0)", "critical"))
+    out.append(("'data_exfiltration'", holds(hay, "exfil,dns tunnel,covert post,data staged,rclone,megacmd,outbound upload,/api/metrics/run,/api/join/".split(",")), "critical"))
     return out
 
 
@@ -216,6 +248,15 @@ letters AS (SELECT page_id, unnest(string_split(label, '')) AS c FROM longest),
 shares AS (SELECT page_id, c, count(*) / sum(count(*)) OVER (PARTITION BY page_id) AS p FROM letters GROUP BY page_id, c),
 entropies AS (SELECT page_id, round(-sum(p * log2(p)), 4) AS label_entropy FROM shares GROUP BY page_id)"""
 
+CASE_SQL = """contexts AS (
+    SELECT 'case-' || doc_id AS case_id, ['ransomware', 'phishing', 'network_intrusion', 'unknown', 'insider_threat', 'malware'][doc_id % 6 + 1] AS case_type,
+        CASE WHEN doc_id % 2 = 0 THEN 'pcap,memory_dump' ELSE 'pcap,disk_image' END AS types FROM documents WHERE doc_id IS NOT NULL)"""
+CHAINS = """chains AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 300 <> 0 THEN c_custkey - 1 END AS up, c_custkey % 450 = 299 AS is_flagged FROM customer),
+known AS (SELECT c.*, c.up IS NOT NULL AND c.up IN (SELECT key FROM chains) AS has_parent FROM chains c)"""
+TREES = EV.replace("CASE event_type WHEN 'purchase' THEN 'network_connection'", "CASE WHEN event_id % 4 = 0 THEN 'process_tree' ELSE CASE event_type WHEN 'purchase' THEN 'network_connection'").replace("WHEN 'signup' THEN 'process' ELSE 'injected_code' END AS evidence_type", "WHEN 'signup' THEN 'process' ELSE 'injected_code' END END AS evidence_type")
+MIXED_KEYS = SIGNALS.replace("FROM_TABLE", "mixed").replace("WHEN evidence_type = 'dns_query' THEN [", "WHEN evidence_type IN ('dns_query', 'http_request') THEN [")
+MATCHED_ORDER = ORDER.replace("-confidence", "-(len(ioc_match) > 0)::INTEGER, -confidence")
+
 ORACLE = {
     "evidence_view": with_ev(select="SELECT seq, case_id, machine_id, artifact_id, source_tool, evidence_type, timestamp, value, severity, confidence, coalesce(link, '') AS links FROM ev"),
     "contract": with_ev(
@@ -230,7 +271,7 @@ ORACLE = {
     ),
     "reconcile_tools": with_ev(
         r"known AS (SELECT DISTINCT regexp_extract(value, '\(PID:(\d+)', 1) AS pid FROM ev WHERE evidence_type = 'process')",
-        select="""SELECT seq, source_tool, evidence_type, value FROM ev WHERE source_tool <> 'tshark'
+        select="""SELECT seq, source_tool, evidence_type, value FROM ev
         UNION ALL SELECT seq, 'memprocfs', 'memprocfs_process', concat('x.exe (PPID:1 PID:', split_part(artifact_id, '_', 2)::BIGINT + 1000, ')') FROM ev
         WHERE evidence_type = 'file_artifact' AND cast(split_part(artifact_id, '_', 2)::BIGINT + 1000 AS varchar) NOT IN (SELECT pid FROM known)""",
     ),
@@ -250,9 +291,16 @@ ORACLE = {
     ),
     "document_ips": f"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{IP}'))) AS ip FROM documents",
     "url_hosts": "SELECT page_id, regexp_replace(lower(regexp_extract(url, '://([^/?#:]*)', 1)), '^www\\.', '') AS host FROM pages UNION SELECT page_id, host FROM (SELECT page_id, unnest(regexp_extract_all(lower(regexp_extract(url, '://[^/?#]*(.*)$', 1)), '\\b(?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\\.)+[a-z]{2,}\\b')) AS host FROM pages) WHERE NOT regexp_matches(host, '\\.(exe|dll|txt|log|json|js|pdf|zip|png|jpg)$')",
-    "finding_member": with_ev(*SHARED, select="SELECT k.correlation_type, k.key, s.anchor, k.artifact_id, s.confidence AS finding_confidence FROM keys k JOIN kept s ON k.correlation_type = s.correlation_type AND k.key = s.key WHERE k.correlation_type IN ('same_pid', 'same_domain')"),
+    "finding_member": with_ev(*SHARED, select="SELECT k.correlation_type, k.key, s.anchor, k.artifact_id, s.confidence AS finding_confidence FROM keys k JOIN kept s ON k.correlation_type = s.correlation_type AND k.key = s.key"),
     "annotate": with_ev(*SHARED, select="SELECT i.artifact_id, count(DISTINCT m.finding) AS n_findings, max(m.confidence) AS best_confidence FROM first_items i LEFT JOIN members m USING (artifact_id) GROUP BY 1"),
-    "findings": with_ev(*SHARED, select="SELECT correlation_type, key, anchor, n_items, confidence FROM kept UNION ALL SELECT 'exfiltration', anchor, anchor, n_files + 1, confidence FROM exfil_scored"),
+    "findings": with_ev(
+        *SHARED,
+        LINKS,
+        *LINK_SETS[:2],
+        *_uncovered("true"),
+        f"link_rows AS ({LINK_FINDINGS})",
+        select="SELECT correlation_type, key, anchor, n_items, confidence FROM kept UNION ALL SELECT 'exfiltration', anchor, anchor, n_files + 1, confidence FROM exfil_scored UNION ALL SELECT 'linked_artifact', source_id, anchor, n_items, confidence FROM link_rows",
+    ),
     "machine_summary": with_ev(
         *SHARED,
         "per AS (SELECT machine_id, artifact_id FROM first_items)",
@@ -262,15 +310,8 @@ ORACLE = {
     "exfil_window": with_ev(*SHARED, select="SELECT anchor, n_files, array_to_string(tools, ',') AS source_tools, bytes_transferred, destination, file, confidence FROM exfil_scored"),
     "exfil_pairs_by_machine": with_ev(*SHARED, select="SELECT conn_id, file_id FROM pairs WHERE c_machine = f_machine"),
     "linked_targets": with_ev(FIRST, LINKS, select="SELECT source_id, target, target_id FROM resolved"),
-    "linked_artifacts": with_ev(
-        FIRST,
-        LINKS,
-        "sets AS (SELECT source_id, list_sort(list_concat([source_id], list(DISTINCT target_id))) AS ids FROM resolved GROUP BY 1)",
-        "once AS (SELECT s.* FROM sets s JOIN first_items i ON i.artifact_id = s.source_id QUALIFY row_number() OVER (PARTITION BY ids ORDER BY i.seq) = 1)",
-        "flat AS (SELECT source_id, ids, unnest(ids) AS artifact_id FROM once)",
-        select=f"""SELECT source_id, array_to_string(any_value(ids), ',') AS artifacts, len(any_value(ids))::INTEGER AS n_items, first(artifact_id ORDER BY {ORDER}) AS anchor,
-        least(75 + 6 * least(count(DISTINCT source_tool), 4) + 3 * least(len(any_value(ids)) - 1, 5), 99) / 100.0::DOUBLE AS confidence FROM flat JOIN first_items USING (artifact_id) GROUP BY 1""",
-    ),
+    "linked_artifacts": with_ev(FIRST, LINKS, *LINK_SETS, select=LINK_FINDINGS),
+    "linked_uncovered": with_ev(*SHARED, LINKS, *LINK_SETS[:2], *_uncovered("m.confidence >= 0.98"), select=LINK_FINDINGS),
     "rescore": with_ev(rescored("ev"), select="SELECT seq, severity, array_to_string(ioc_match, ',') AS ioc_match, boosted FROM rescored"),
     "reputation": with_ev(
         select="""SELECT seq, CASE WHEN contains(value, '198.51.100.7:') THEN '198.51.100.7' ELSE 'node7.example.net' END AS bad FROM ev
@@ -292,10 +333,12 @@ ORACLE = {
     "http_rows": "SELECT 'http_' || left(md5(regexp_extract(url, '://[^/?#]*(.*)$', 1)), 8) AS artifact_id, 'HTTP request: ' || regexp_extract(url, '://([^/?#]*)', 1) || regexp_extract(url, '://[^/?#]*(.*)$', 1) AS value, 'medium' AS severity, 0.75::DOUBLE AS confidence FROM pages",
     "mail_hits": f"SELECT doc_id, unnest(list_filter({texts(q.MAIL_WORDS)}, lambda w: contains(lower(text), w))) AS word FROM documents",
     "url_hits": f"SELECT page_id, url FROM pages WHERE {holds('lower(url)', q.URL_WORDS)}",
-    "domains": "SELECT page_id, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS value, 0.45::DOUBLE AS confidence FROM pages",
-    "mails": r"""WITH found AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,24}'))) AS value FROM documents)
-        SELECT * FROM found WHERE regexp_matches(value, '^[^@]*[A-Za-z][^@]*@') AND NOT regexp_matches(value, '^\.|\.@|\.\..*@') AND regexp_matches(value, '@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)*[A-Za-z0-9][A-Za-z0-9-]*[A-Za-z0-9]\.(com|net|org|[a-z]{2})$')""",
-    "onions": "SELECT doc_id, 'abcdefghijklmnop' || doc_id % 7 || '.onion' AS value FROM documents",
+    "domains": """SELECT page_id, lower(regexp_extract(url, '://([^/?#:]*)', 1)) AS value, 0.45::DOUBLE AS confidence FROM pages
+        UNION SELECT page_id, 'bad-x' || page_id % 5 || '.example.ru', 0.45 FROM pages UNION SELECT page_id, 'www.other' || page_id % 3 || '.org', 0.45 FROM pages
+        UNION SELECT page_id, unnest(['deep.host.py', 'plain-site.de', 'plainsite.de']), 0.20 FROM pages""",
+    "mails": r"""WITH found AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text || ' a.b@lib.dd c.d@host-' || doc_id % 5 || '.uk e@task.pf f@main.py', '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,24}'))) AS value FROM documents)
+        SELECT * FROM found WHERE regexp_matches(value, '^[^@]*[A-Za-z][^@]*@') AND NOT regexp_matches(value, '^\.|\.@|\.\..*@') AND regexp_matches(value, '@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)*[A-Za-z0-9][A-Za-z0-9-]*[A-Za-z0-9]\.(com|net|org|uk)$')""",
+    "onions": r"SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text || ' Visit ABCDEFGHIJKLMNOP' || doc_id % 7 || '.onion now'), '[a-z0-9]{16,56}\.onion'))) AS value FROM documents",
     "process_edges": with_ev(
         r"p AS (SELECT DISTINCT regexp_extract(value, '\(PID:(\d+)', 1) AS pid, regexp_extract(value, 'PPID:(\d+)', 1) AS ppid, split_part(value, ' ', 1) AS name FROM ev WHERE evidence_type = 'process')",
         select=f"SELECT DISTINCT a.pid AS parent_pid, a.name AS parent_name, c.pid AS child_pid, c.name AS child_name FROM p c JOIN p a ON a.pid = c.ppid WHERE (a.name, c.name) IN ({', '.join(str(r) for r in extraction.RELATIONS)})",
@@ -315,6 +358,76 @@ ORACLE = {
         coalesce(score < 0.5, false) AS diverged, CASE WHEN score < 0.5 THEN least(round(0.8::DOUBLE * (0.5::DOUBLE + 0.5::DOUBLE * score / 0.5::DOUBLE), 2), 0.8::DOUBLE) ELSE 0.8::DOUBLE END AS reconciled_confidence,
         CASE WHEN score < 0.5 THEN n{len(classify.EXPECTED_TYPES) - 1} END AS suggested_type FROM {_LAST}""",
     ),
+    "tree_rows": "WITH ev AS (" + TREES + "), " + rescored("ev") + """, keys AS (SELECT *, evidence_type = 'process_tree' AS t FROM rescored)
+        SELECT k.seq, k.evidence_type, CASE WHEN t THEN (SELECT e.severity FROM ev e WHERE e.seq = k.seq) ELSE k.severity END AS severity, CASE WHEN t THEN '' ELSE array_to_string(k.ioc_match, ',') END AS ioc_match,
+            CASE WHEN t THEN '' ELSE array_to_string(list_sort(list_distinct(list_concat(regexp_extract_all(value, '(?i)\\bpid[:\\s#]*(\\d+)\\b', 1), regexp_extract_all(artifact_id, '(?i)\\b(?:proc|cmdline|net|malfind)_(\\d+)\\b', 1)))), ',') END AS pids,
+            CASE WHEN t THEN '' ELSE array_to_string(list_sort(list_distinct(regexp_extract_all(value, '""" + IP + """'))), ',') END AS ips,
+            CASE WHEN NOT t AND evidence_type = 'file_artifact' THEN replace(regexp_extract(value, '/\\S+'), '/', '\\') ELSE '' END AS paths FROM keys k""",
+    "cross_source_domains": with_ev(
+        """mixed AS (SELECT * REPLACE (CASE WHEN seq % 3 = 0 THEN 'browser' ELSE source_tool END AS source_tool, CASE WHEN seq % 3 = 0 THEN 'http_' || seq ELSE artifact_id END AS artifact_id, CASE WHEN seq % 3 = 0 THEN 'http_request' ELSE evidence_type END AS evidence_type) FROM ev WHERE evidence_type = 'dns_query')""",
+        MIXED_KEYS,
+        "keys AS (SELECT unnest(domains) AS key, * FROM keyed_signals)",
+        f"shared AS (SELECT key, count(*) AS n_items, string_agg(DISTINCT source_tool, ',' ORDER BY source_tool) AS source_tools, count(DISTINCT source_tool) AS n_tools, count(DISTINCT evidence_type) AS n_types, first(artifact_id ORDER BY {ORDER}) AS anchor FROM keys GROUP BY 1)",
+        select="SELECT 'same_domain' AS correlation_type, key, anchor, n_items, source_tools, least(75 + 6 * least(n_tools, 4) + 3 * least(n_items - 1, 5), 99) / 100.0::DOUBLE AS confidence FROM shared WHERE n_items >= 2 AND (n_tools >= 2 OR n_types >= 2)",
+    ),
+    "aggregate": with_ev(
+        FIRST,
+        rescored("first_items"),
+        SIGNALS.replace("FROM_TABLE", "rescored"),
+        KEYS.split("pairs AS (")[0].rstrip().rstrip(",").replace(ORDER, MATCHED_ORDER),
+        select="SELECT correlation_type, key, anchor, n_items, source_tools, confidence FROM kept WHERE correlation_type IN ('same_pid', 'same_ip', 'same_timestamp')",
+    ),
+    "case_facts": f"WITH {CASE_SQL} SELECT case_id, case_type, CASE case_type " + " ".join(f"WHEN '{c}' THEN '{t}'" for c, t in classify.SUMMARIES.items()) + f" ELSE '{classify.SUMMARIES['unknown']}' END AS summary FROM contexts",
+    "case_advice": f"WITH {CASE_SQL}, keyed AS (SELECT case_id, CASE WHEN case_type IN ('ransomware', 'phishing') THEN case_type ELSE 'unknown' END AS case_type FROM contexts) SELECT case_id, case_type, step::BIGINT AS step, 'step ' || step || ' for ' || case_type AS advice FROM keyed, (VALUES (1), (2)) s(step)",
+    "checked_contexts": f"WITH {CASE_SQL} SELECT case_id, case_type, types AS artifact_types FROM contexts WHERE case_type IN ('ransomware', 'phishing', 'unknown', 'insider_threat')",
+    "ontology_rules": """WITH p AS (SELECT CASE WHEN p_partkey % 17 <> 0 THEN 'tool_' || (p_partkey - p_partkey % 2) END AS name, p_partkey AS k FROM part),
+        broken AS (SELECT 'name is missing' AS violation FROM p WHERE name IS NULL UNION ALL SELECT 'name is not known' FROM p WHERE name IS NOT NULL AND ((k - k % 2) % 4 <> 0 OR k >= 100000)
+            UNION ALL SELECT 'input_types is empty' FROM p WHERE k % 5 = 0 UNION ALL SELECT 'default_order is missing' FROM p WHERE k % 7 = 0
+            UNION ALL SELECT 'name is not unique' FROM (SELECT name FROM p GROUP BY name HAVING count(*) > 1))
+        SELECT violation, count(*) AS n FROM broken GROUP BY 1""",
+    "model_answers": "SELECT CASE WHEN doc_id % 3 <> 0 THEN 'case-' || doc_id ELSE 'made' END AS case_id, 'phishing' AS case_type, 'pcap' || coalesce(',' || lang, '') AS types, sha256(left(text, 40)) AS summary, '2024' AS generated_at FROM documents WHERE doc_id IS NOT NULL",
+    "correlation_context": with_ev(
+        *SHARED,
+        "per AS (SELECT i.artifact_id, i.link, least(count(DISTINCT m.finding), 100) AS n FROM first_items i LEFT JOIN members m USING (artifact_id) GROUP BY 1, 2)",
+        select="SELECT artifact_id, (n + (link IS NOT NULL)::INTEGER)::INTEGER AS n_related, CASE WHEN n > 0 OR link IS NOT NULL THEN link IS NOT NULL END AS has_link FROM per",
+    ),
+    "finding_lookup": with_ev(*SHARED, select="SELECT artifact_id, count(DISTINCT finding) AS n_findings, first(finding ORDER BY confidence DESC, finding) AS strongest FROM members GROUP BY 1"),
+    "case_context": with_ev(
+        FIRST,
+        ON_FIRST,
+        KEYS.split("pairs AS (")[0].rstrip().rstrip(",").replace("SELECT correlation_type, key, count(*)", "SELECT machine_id AS case_id, correlation_type, key, count(*)"),
+        "placed AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY confidence DESC, correlation_type, key) AS n FROM kept)",
+        select="SELECT case_id, count(*) AS n_findings, 0::BIGINT AS n_exfiltration, string_agg(correlation_type || '|' || key, ',' ORDER BY n) FILTER (n <= 5) AS strongest, false AS has_exfiltration FROM placed GROUP BY 1",
+    ),
+    "reasons": with_ev(
+        FIRST,
+        FEATURE_SQL,
+        SCORED,
+        "lists AS (SELECT *, list_filter([" + ", ".join(f"CASE WHEN {f} > 0 THEN '{f}' END" for f, _ in sorted(features.INDICATORS, key=lambda x: -x[1])) + "], lambda x: x IS NOT NULL)[1:3] AS lead FROM scored)",
+        select="""SELECT seq, CASE WHEN len(lead) > 0 THEN 'led by ' || array_to_string(lead, ', ') ELSE 'no indicator is active' END AS reason,
+        array_to_string(list_filter([CASE WHEN port_is_known_c2 > 0 THEN 'review the connection''s peer' END, CASE WHEN is_suspicious_process > 0 THEN 'review the process and its parent' END, CASE WHEN path_in_temp > 0 THEN 'collect the file from its folder' END,
+            CASE WHEN keyword_exfil > 0 THEN 'review outbound transfers' END, CASE WHEN s < -0.1 THEN 'compare with the baseline' END], lambda x: x IS NOT NULL), ',') AS actions FROM lists""",
+    ),
+    "explained_anomalies": with_ev(FIRST, FEATURE_SQL, SCORED, select="SELECT machine_id AS case_id, row_number() OVER (PARTITION BY machine_id ORDER BY seq)::INTEGER AS row, seq, round(s, 4) AS score FROM scored WHERE s < -0.1 QUALIFY row <= 8"),
+    "scored_rollup": with_ev(
+        "first_ones AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY artifact_id ORDER BY seq) = 1)",
+        "plain AS (SELECT *, CAST([] AS VARCHAR[]) AS ioc_match FROM first_ones)",
+        _indicators("plain"),
+        ROLLUP.replace(f"{RANK} AS r FROM ind", f"CASE WHEN seq % 5 = 0 THEN 5 ELSE {RANK} END AS r FROM ind"),
+        select="SELECT type, indicator, severity, confidence, n_artifacts, surfaced FROM rolled",
+    ),
+    "explanation_notes": with_ev(
+        FIRST,
+        "plain AS (SELECT *, CAST([] AS VARCHAR[]) AS ioc_match FROM first_items)",
+        _indicators("plain"),
+        "firsts AS (SELECT type, indicator, first(value ORDER BY artifact_id) AS note FROM ind WHERE seq % 6 = 0 GROUP BY 1, 2)",
+        select="SELECT type, indicator, CASE WHEN length(note) <= 40 THEN note ELSE rtrim(coalesce(nullif(regexp_replace(left(note, 40), '(?s) [^ ]*$', ''), ''), left(note, 40))) || '…' END AS note FROM firsts",
+    ),
+    "explanations": """SELECT CASE WHEN doc_id % 2 = 1 THEN 'a' || doc_id ELSE 'k' || doc_id END AS artifact_id, doc_id % 5 = 0 AS is_anomaly, CASE WHEN doc_id % 3 = 0 THEN 'high' ELSE 'informational' END AS severity,
+        CASE WHEN doc_id % 8 = 0 THEN 'in short' WHEN doc_id % 4 = 0 THEN '-' ELSE 'why ' || doc_id END AS reason FROM documents WHERE doc_id IS NOT NULL""",
+    "deep_closure": f"WITH RECURSIVE {CHAINS}, walk AS (SELECT key, up, has_parent FROM known WHERE is_flagged UNION SELECT p.key, p.up, p.has_parent FROM walk w JOIN known p ON w.has_parent AND p.key = w.up) SELECT key::VARCHAR AS pid, is_flagged FROM known WHERE key IN (SELECT key FROM walk)",
+    "deep_tree": f"""WITH RECURSIVE {CHAINS}, walk AS (SELECT key, 0 AS depth, key::VARCHAR AS root FROM known WHERE NOT has_parent UNION ALL SELECT c.key, w.depth + 1, w.root FROM walk w JOIN known c ON c.has_parent AND c.up = w.key)
+        SELECT row_number() OVER (ORDER BY root, depth)::INTEGER AS row, key::VARCHAR AS pid, depth FROM walk""",
     "feature_rows": with_ev(FIRST, FEATURE_SQL, select=f"SELECT seq, family, {F_LIST} FROM feats"),
     "rule_scores": with_ev(
         FIRST,
@@ -349,7 +462,7 @@ ORACLE = {
     "rule_attribution": with_ev(
         FIRST,
         FEATURE_SQL,
-        "means AS (SELECT family, " + ", ".join(f"avg({f}) AS m_{f}" for f in features.WEIGHTS) + " FROM feats WHERE severity = 'low' AND seq % 50 = 0 GROUP BY 1)",
+        "means AS (SELECT family, " + ", ".join(f"avg({f}) AS m_{f}" for f in features.WEIGHTS) + " FROM feats WHERE severity = 'low' AND seq % 7 = 0 GROUP BY 1)",
         f"vectors AS (SELECT DISTINCT family, {F_LIST} FROM feats)",
         select=" UNION ALL ".join(f"SELECT family, {F_LIST}, '{f}' AS feature, round(({w})::DOUBLE * ({f} - m_{f}), 6) + 0.0::DOUBLE AS phi FROM vectors JOIN means USING (family)" for f, w in features.WEIGHTS.items()),
     ),
@@ -387,9 +500,10 @@ ORACLE = {
     "lineage_closure": with_ev(NODES, CLOSURE, select="SELECT pid, ppid, is_flagged FROM flagged WHERE pid IN (SELECT pid FROM walk)").replace("WITH ev", "WITH RECURSIVE ev", 1),
     "process_tree": with_ev(NODES, TREE, select="SELECT row::INTEGER AS row, pid, depth FROM ordered WHERE row <= 40").replace("WITH ev", "WITH RECURSIVE ev", 1),
     "coverage": with_ev(
-        select="""SELECT k.evidence, CASE k.evidence WHEN 'memory_dump' THEN 'Analysed' WHEN 'pcap' THEN 'Analysed' WHEN 'disk_image' THEN 'Not analysed' ELSE 'Not provided' END AS status,
-        coalesce(string_agg(DISTINCT CASE WHEN e.source_tool <> 'tsk_fls' THEN e.source_tool END, ','), '') AS tools, coalesce(string_agg(DISTINCT CASE WHEN e.source_tool = 'tsk_fls' THEN e.source_tool END, ','), '') AS attempted
-        FROM (VALUES ('memory_dump', 'volatility3'), ('pcap', 'tshark'), ('disk_image', 'tsk_fls'), ('registry_hive', 'regripper'), ('log_files', 'plaso'), ('email', 'email'), ('browser', 'browser')) k(evidence, tool) LEFT JOIN ev e ON e.source_tool = k.tool GROUP BY 1, 2"""
+        "seen AS (SELECT source_tool, source_tool <> 'tsk_fls' AS real FROM ev)",
+        select="""SELECT k.evidence, CASE WHEN count(*) FILTER (e.real) > 0 THEN 'Analysed' WHEN count(e.real) > 0 THEN 'Not analysed' ELSE 'Not provided' END AS status,
+        coalesce(string_agg(DISTINCT CASE WHEN e.real THEN e.source_tool END, ','), '') AS tools, coalesce(string_agg(DISTINCT CASE WHEN NOT e.real THEN e.source_tool END, ','), '') AS attempted
+        FROM (VALUES ('memory_dump', 'volatility3'), ('pcap', 'tshark'), ('disk_image', 'tsk_fls'), ('registry_hive', 'regripper'), ('log_files', 'plaso'), ('email', 'email'), ('browser', 'browser')) k(evidence, tool) LEFT JOIN seen e ON e.source_tool = k.tool GROUP BY 1"""
     ),
     "verdicts": with_ev(
         FIRST,

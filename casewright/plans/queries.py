@@ -41,8 +41,7 @@ def contract(spark, sf_dir):
 
 def merge_tools(spark, sf_dir):
     rows = evidence(spark, sf_dir)
-    tools = [rows.where(F.col("source_tool") == t) for t in ("tshark", "tsk_fls", "volatility3")]
-    merged = tools[0].unionByName(tools[1], allowMissingColumns=True).unionByName(tools[2], allowMissingColumns=True)
+    merged = dedup.merge_tools(*(rows.where(F.col("source_tool") == t) for t in ("tshark", "tsk_fls", "volatility3")))
     return merged.groupBy("source_tool").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
 
 
@@ -58,7 +57,7 @@ def reconcile_tools(spark, sf_dir):
     rows = evidence(spark, sf_dir)
     pid = F.regexp_extract("artifact_id", "^file_([0-9]+)", 1).cast("bigint") + 1000
     second = rows.where("evidence_type = 'file_artifact'").withColumn("value", F.concat(F.lit("x.exe (PPID:1 PID:"), pid, F.lit(")"))).withColumn("source_tool", F.lit("memprocfs")).withColumn("evidence_type", F.lit("memprocfs_process"))
-    return dedup.reconcile_tools(rows.unionByName(second)).where("source_tool <> 'tshark'").select("seq", "source_tool", "evidence_type", "value")
+    return dedup.reconcile_tools(rows.unionByName(second)).select("seq", "source_tool", "evidence_type", "value")
 
 
 def evidence_order(spark, sf_dir):
@@ -112,8 +111,7 @@ def _shared(column):
 
 def finding_member(spark, sf_dir):
     items = items_with_signals(spark, sf_dir)
-    kinds = ("pids", "domains")
-    return correlate.finding_members(items, correlate.shared_key_findings(items, *kinds), *kinds).select("correlation_type", "key", "anchor", "artifact_id", "finding_confidence")
+    return correlate.finding_members(items, correlate.shared_key_findings(items)).select("correlation_type", "key", "anchor", "artifact_id", "finding_confidence")
 
 
 def annotate(spark, sf_dir):
@@ -122,7 +120,7 @@ def annotate(spark, sf_dir):
 
 
 def findings(spark, sf_dir):
-    return correlate.all_findings(items_with_signals(spark, sf_dir)).where("correlation_type <> 'linked_artifact'").select("correlation_type", "key", "anchor", "n_items", "confidence")
+    return correlate.all_findings(items_with_signals(spark, sf_dir)).select("correlation_type", "key", "anchor", "n_items", "confidence")
 
 
 def machine_summary(spark, sf_dir):
@@ -148,6 +146,38 @@ def linked_artifacts(spark, sf_dir):
     return correlate.link_confidence(correlate.linked_findings(items), items).select("source_id", joined("artifacts"), "n_items", "anchor", "confidence")
 
 
+def linked_uncovered(spark, sf_dir):
+    """Declared links that no strong finding covers."""
+    items = items_with_signals(spark, sf_dir)
+    strong = correlate.all_members(items).where("finding_confidence >= 0.98")
+    return correlate.link_confidence(correlate.linked_findings(items, strong), items).select("source_id", joined("artifacts"), "n_items", "anchor", "confidence")
+
+
+def _with_trees(spark, sf_dir):
+    return evidence(spark, sf_dir).withColumn("evidence_type", F.when(F.col("seq") % 4 == 0, "process_tree").otherwise(F.col("evidence_type")))
+
+
+def tree_rows(spark, sf_dir):
+    """Summary rows opt out of keys and of the catalog."""
+    rows = sig.with_signals(indicators.rescore(_with_trees(spark, sf_dir)))
+    return rows.select("seq", "evidence_type", "severity", joined("ioc_match"), joined("pids"), joined("ips"), joined("paths"))
+
+
+def cross_source_domains(spark, sf_dir):
+    """Hosts that two tools or two types name: every third query comes from another tool as a request."""
+    third = (F.col("evidence_type") == "dns_query") & (F.col("seq") % 3 == 0)
+    rows = evidence(spark, sf_dir).withColumn("source_tool", F.when(third, "browser").otherwise(F.col("source_tool"))).withColumn("artifact_id", F.when(third, F.concat(F.lit("http_"), "seq")).otherwise(F.col("artifact_id"))).withColumn("evidence_type", F.when(third, "http_request").otherwise(F.col("evidence_type")))
+    found = correlate.shared_key_findings(sig.with_signals(rows), "domains")
+    return found.select("correlation_type", "key", "anchor", "n_items", joined("source_tools"), "confidence")
+
+
+def aggregate(spark, sf_dir):
+    """The whole chain over a case: first-wins, reconciliation, re-scoring, enrichment, keys and findings."""
+    items = correlate.aggregate(evidence(spark, sf_dir), rescore=indicators.rescore)
+    found = correlate.shared_key_findings(items, "pids", "ips", "ts_bucket")
+    return found.select("correlation_type", "key", "anchor", "n_items", joined("source_tools"), "confidence")
+
+
 def rescore(spark, sf_dir):
     return indicators.rescore(evidence(spark, sf_dir)).select("seq", "severity", joined("ioc_match"), "boosted")
 
@@ -207,11 +237,14 @@ def url_hits(spark, sf_dir):
 
 
 def domains(spark, sf_dir):
-    return extraction.domains(table(spark, sf_dir, "pages"), "url", ("page_id",))
+    """Urls with strings around them that the endings, noise rules and tiers tell apart."""
+    noise = F.concat("url", F.lit(" then lib"), "page_id", F.lit(".dd and task.pf, mod.rs main.py deep.host.py; Host: bad-x"), F.col("page_id") % 5, F.lit(".example.ru; bare plain-site.de a1.de win.com node.microsoft.com plainsite.de www.other"), F.col("page_id") % 3, F.lit(".org end"))
+    return extraction.domains(table(spark, sf_dir, "pages").select("page_id", noise.alias("text")), keep=("page_id",))
 
 
 def mails(spark, sf_dir):
-    return extraction.mail_addresses(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    texts = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" a.b@lib.dd c.d@host-"), F.col("doc_id") % 5, F.lit(".uk e@task.pf f@main.py")).alias("text"))
+    return extraction.mail_addresses(texts, keep=("doc_id",))
 
 
 def onions(spark, sf_dir):
@@ -262,6 +295,109 @@ def _baseline(scored):
     return scored.where("severity = 'low' and seq % 7 = 0")
 
 
+CASE_TYPES = ["ransomware", "phishing", "network_intrusion", "unknown", "insider_threat", "malware"]
+
+
+def _contexts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null")
+    kinds = F.array(*map(F.lit, CASE_TYPES))
+    return docs.select(F.concat(F.lit("case-"), "doc_id").alias("case_id"), F.element_at(kinds, (F.col("doc_id") % 6 + 1).cast("int")).alias("case_type"), ((F.col("doc_id") % 100) / 100.0).cast("double").alias("classifier_confidence"), F.array(F.lit("pcap"), F.when(F.col("doc_id") % 2 == 0, "memory_dump").otherwise("disk_image")).alias("artifact_types"))
+
+
+def case_facts(spark, sf_dir):
+    facts = spark.createDataFrame(list(classify.SUMMARIES.items()), "case_type string, summary string")
+    return classify.class_facts(_contexts(spark, sf_dir), facts).select("case_id", "case_type", "summary")
+
+
+def case_advice(spark, sf_dir):
+    facts = spark.createDataFrame([(c, i, f"step {i} for {c}") for c in ("ransomware", "phishing", "unknown") for i in (1, 2)], "case_type string, step int, advice string")
+    return report.class_rows(_contexts(spark, sf_dir), facts).select("case_id", "case_type", "step", "advice")
+
+
+def checked_contexts(spark, sf_dir):
+    return classify.check_contexts(_contexts(spark, sf_dir).where(F.col("case_type").isin(*classify.SUMMARIES))).select("case_id", "case_type", joined("artifact_types"))
+
+
+def ontology_rules(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    key = F.col("p_partkey")
+    rows = parts.select(F.when(key % 17 != 0, F.concat(F.lit("tool_"), key - key % 2)).alias("name"), F.when(key % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("pcap"))).alias("input_types"), F.when(key % 7 != 0, key).alias("default_order"))
+    known = [f"tool_{i}" for i in range(0, 100_000, 4)]
+    return classify.ontology_violations(rows, known).groupBy("violation").agg(F.count("*").alias("n"))
+
+
+def model_answers(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null")
+    body = F.to_json(F.struct(F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("case-"), "doc_id")).alias("case_id"), F.lit("phishing").alias("case_type"), F.array(F.lit("pcap"), F.col("lang")).alias("artifact_types"), F.substring("text", 1, 40).alias("raw_incident_summary"), F.lit("2024").alias("generated_at")))
+    fenced = docs.select(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body).alias("text"))
+    found = classify.parse_answers(fenced)
+    made = F.length("case_id") == 36  # an id that was filled in
+    return found.select(F.when(made, "made").otherwise(F.col("case_id")).alias("case_id"), "case_type", F.array_join("artifact_types", ",").alias("types"), F.sha2("raw_incident_summary", 256).alias("summary"), "generated_at")
+
+
+def correlation_context(spark, sf_dir):
+    items = items_with_signals(spark, sf_dir)
+    return features.correlation_context(correlate.annotate(items, correlate.all_members(items))).select("artifact_id", F.size("related").alias("n_related"), F.try_element_at("related", F.lit(-1)).startswith("linked_artifact|").alias("has_link"))
+
+
+def finding_lookup(spark, sf_dir):
+    items = items_with_signals(spark, sf_dir)
+    return features.finding_lookup(correlate.all_members(items)).select("artifact_id", "n_findings", "strongest")
+
+
+def case_context(spark, sf_dir):
+    items = items_with_signals(spark, sf_dir).withColumn("case_id", F.col("machine_id"))
+    return features.case_context(correlate.shared_key_findings(items).select("case_id", "correlation_type", "key", "confidence")).select("case_id", "n_findings", "n_exfiltration", F.array_join("strongest", ",").alias("strongest"), "has_exfiltration")
+
+
+def reasons(spark, sf_dir):
+    found = features.reasons(features.final_score(_scored(spark, sf_dir)))
+    return found.select("seq", "reason", joined("actions"))
+
+
+def explained_anomalies(spark, sf_dir):
+    scored = features.final_score(_scored(spark, sf_dir)).withColumn("case_id", F.col("machine_id"))
+    return report.explained_anomalies(scored).select("case_id", "row", "seq", "score")
+
+
+def scored_rollup(spark, sf_dir):
+    """Indicators whose severity a scored row raises."""
+    items = dedup.first_wins(evidence(spark, sf_dir))
+    scored = items.where("seq % 5 = 0").select("case_id", "artifact_id", F.lit("critical").alias("severity"))
+    return report.indicator_rollup(items, scored).select("type", "indicator", "severity", "confidence", "n_artifacts", "surfaced")
+
+
+def explanation_notes(spark, sf_dir):
+    items = dedup.first_wins(evidence(spark, sf_dir)).withColumn("ioc_match", F.array().cast("array<string>"))
+    members = items.select("case_id", "artifact_id", F.explode(report.item_indicators(items)).alias("i")).select("case_id", "artifact_id", "i.type", "i.indicator")
+    notes = items.where("seq % 3 = 0").select("case_id", "artifact_id", F.when(F.col("seq") % 6 == 0, F.col("value")).otherwise("-").alias("note"))
+    return report.explanation_notes(members, notes, 40).select("type", "indicator", "note")
+
+
+def explanations(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null")
+    note = F.struct(F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("a"), "doc_id")).alias("artifact_id"), (F.col("doc_id") % 5 == 0).alias("is_anomaly"), F.when(F.col("doc_id") % 3 == 0, "HIGH").alias("severity"), F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.concat(F.lit("why "), "doc_id")).alias("reason"), F.when(F.col("doc_id") % 8 == 0, F.lit("in short")).alias("summary"))
+    as_map = F.to_json(F.struct(F.create_map(F.concat(F.lit("k"), "doc_id"), note).alias("explanations")))
+    as_list = F.to_json(F.struct(F.array(note).alias("explanations")))
+    rows = docs.select(F.when(F.col("doc_id") % 2 == 0, as_map).otherwise(as_list).alias("text"))
+    return report.normalise_explanations(rows)
+
+
+def _chains(spark, sf_dir):
+    """Processes in chains of 300: each customer is the child of the one before."""
+    key = F.col("c_custkey").cast("long")
+    rows = table(spark, sf_dir, "customer").select(F.lit("case-1").alias("case_id"), key.cast("string").alias("pid"), F.when(key % 300 != 0, (key - 1).cast("string")).alias("ppid"), key.alias("first_seq"))
+    return rows.withColumn("is_flagged", F.col("first_seq") % 450 == 299)
+
+
+def deep_closure(spark, sf_dir):
+    return lineage.ancestor_closure(_chains(spark, sf_dir)).select("pid", "is_flagged")
+
+
+def deep_tree(spark, sf_dir):
+    return lineage.tree_order(_chains(spark, sf_dir), most=None).select("row", "pid", "depth")
+
+
 def feature_rows(spark, sf_dir):
     return _scored(spark, sf_dir).select("seq", "family", *features.FEATURES)
 
@@ -299,13 +435,13 @@ def forest_scores(spark, sf_dir):
 
 def rule_attribution(spark, sf_dir):
     scored = _scored(spark, sf_dir)
-    return forest.rule_attribution(forest.distinct_vectors(scored), scored.where("severity = 'low' and seq % 50 = 0")).select("family", *features.FEATURES, "feature", "phi")
+    return forest.rule_attribution(forest.distinct_vectors(scored), _baseline(scored)).select("family", *features.FEATURES, "feature", "phi")
 
 
 def attribution(spark, sf_dir):
     scored = _scored(spark, sf_dir)
     baseline = _baseline(scored)
-    return forest.attribution(forest.distinct_vectors(scored), baseline, forest.fit_forest(baseline, trees=50)).select("family", "vector_no", "feature", "phi", "rank", "score", "base_score", "total_phi")
+    return forest.attribution(forest.distinct_vectors(scored), baseline, forest.fit_forest(baseline)).select("family", "vector_no", "feature", "phi", "rank", "score", "base_score", "total_phi")
 
 
 def item_indicators(spark, sf_dir):
@@ -380,6 +516,8 @@ QUERIES = {f.__name__: f for f in (
     reputation, c2_port, derived_iocs, techniques, run_totals, conv_rollup, watch_port, dns_score, http_rows, mail_hits, url_hits, domains, mails, onions, sweep,
     process_edges, classify_texts, classify_conversations, artifact_types, affected, reconcile_cases, feature_rows, rule_scores, indicator_order, baseline_families,
     baseline_diff, machine_context, score_summary, forest_scores, rule_attribution, attribution, item_indicators, ioc_rollup, ioc_counts, folded, key_findings,
+    linked_uncovered, tree_rows, cross_source_domains, aggregate, case_facts, case_advice, checked_contexts, ontology_rules, model_answers, correlation_context,
+    finding_lookup, case_context, reasons, explained_anomalies, scored_rollup, explanation_notes, explanations, deep_closure, deep_tree,
     proc_nodes, lineage_closure, process_tree, coverage, verdicts, dashboard, text_digest, type_labels,
 )}
 QUERIES |= {kind: _shared(column) for column, kind in correlate.KINDS.items()}
