@@ -29,10 +29,12 @@ SPACE = "▁"
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 #: What stands before a word's first piece, and in place of a character without one.
 START, UNKNOWN = -2, -1
-#: Words and pairs of pieces remembered by a worker; beyond it the older half goes, which changes no result.
+#: Words remembered by a worker; beyond it the older half goes, which changes no result.
 _REMEMBERED = 300_000
+#: Pairs of pieces are remembered in 2**_PAIR_BITS places.
+_PAIR_BITS = 21
 _LINES = re.compile(r"(\n)")
-_MARKS_AT_END = re.compile(r"(?<=[^\W\d_])[.,!?;:%$&*#|]+$")
+_MARKS_AT_END = ".,!?;:%$&*#|"
 
 
 @dataclass
@@ -53,8 +55,10 @@ class Pieces:
     merges: dict[str, float] | None = None
 
     def __post_init__(self) -> None:
-        self.pairs, self.allowed = np.zeros(0, np.int64), np.zeros(0, bool)
         self.halves: dict[str, tuple[str, str] | None] = {}
+        if self.merges is not None:
+            self._undo_tables()
+            self.pairs, self.allowed = np.full(1 << _PAIR_BITS, -1), np.zeros(1 << _PAIR_BITS, bool)
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -99,19 +103,41 @@ class Pieces:
         return parts
 
     def may_follow(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Whether each piece may stand after the one before it in a BPE encoding; answers are remembered."""
+        """Whether each piece may stand after the one before it in a BPE encoding.
+
+        Answers are remembered in a table of fixed size, in which a later pair takes the place of an earlier one.
+        """
         keys = (before.astype(np.int64) + 2) << 32 | ids
-        at, known = self._answers(keys)
-        if not known.all():
-            if len(self.pairs) > 4 * _REMEMBERED:
-                self.pairs, self.allowed, known = self.pairs[:0], self.allowed[:0], known & False
-            new = np.unique(keys[~known])
-            fresh = [self._mergeable((key >> 32) - 2, key & 0xFFFFFFFF) for key in new.tolist()]
-            pairs = np.concatenate([self.pairs, new])
-            order = np.argsort(pairs, kind="stable")
-            self.pairs, self.allowed = pairs[order], np.concatenate([self.allowed, np.array(fresh, bool)])[order]
-            at, _ = self._answers(keys)
-        return self.allowed[at]
+        slots = ((keys.view(np.uint64) * _PRIME) >> np.uint64(64 - _PAIR_BITS)).view(np.int64)
+        answers, missing = self.allowed[slots], np.flatnonzero(self.pairs[slots] != keys)
+        if len(missing):
+            new, first, back = np.unique(keys[missing], return_index=True, return_inverse=True)
+            fresh = self._mergeable((new >> 32) - 2, new & 0xFFFFFFFF)
+            answers[missing] = fresh[back]
+            places = slots[missing[first]]
+            self.pairs[places], self.allowed[places] = new, fresh  # of two new pairs that meet in one place the last one stays, in both tables
+        return answers
+
+    def _undo_tables(self) -> None:
+        """For each piece its rank among the merges and the two pieces that its last merge joined, and the rank of each pair's merge."""
+        size, ids = len(self.texts), {t: i for i, t in enumerate(self.texts) if t in self.merges}
+        self.rank, self.usable = np.full(size, -1.0), np.zeros(size, bool)
+        self.left_half, self.right_half = np.full(size, -1), np.full(size, -1)
+        self.is_merge = np.zeros(size, bool)
+        over: dict[int, float] = {}
+        for text, i in ids.items():
+            self.is_merge[i] = True
+            halves = self._halves_of(text)
+            self.usable[i] = halves is not None
+            if len(text) > 1:
+                self.rank[i] = -self.merges[text]
+                if halves is not None:
+                    self.left_half[i], self.right_half[i] = (ids.get(h, -1) for h in halves)
+                for n in range(1, len(text)):
+                    if text[:n] in ids and text[n:] in ids:
+                        over[ids[text[:n]] << 32 | ids[text[n:]]] = -self.merges[text]
+        order = sorted(over)
+        self.over_keys, self.over_ranks = np.array([*order, np.iinfo(np.int64).max]), np.array([*(over[k] for k in order), np.inf])
 
     def _halves_of(self, text: str) -> tuple[str, str] | None:
         """The two parts whose merge makes a piece last; empty for one character, None if the merges never make it."""
@@ -120,34 +146,23 @@ class Pieces:
             self.halves[text] = ("", "") if len(text) == 1 else tuple(parts) if len(parts) == 2 and "".join(parts) in self.merges else None
         return self.halves[text]
 
-    def _mergeable(self, before: int, piece: int) -> bool:
-        """Undoes the merges of both pieces at their border, latest first: no earlier merge may lie over it."""
-        right = self.texts[piece]
-        if right not in self.merges or self._halves_of(right) is None:
-            return False
-        if before < 0:
-            return True
-        left = self.texts[before]
-        if left not in self.merges:
-            return False
-        limit = np.inf
-        while True:
-            over = self.merges.get(left + right)
-            if over is not None and -over < limit:
-                return False
-            left_rank, right_rank = (-self.merges[t] if len(t) > 1 else -1.0 for t in (left, right))
-            if left_rank > right_rank:
-                limit, left = left_rank, self._halves_of(left)[1]
-            elif len(right) > 1:
-                limit, right = right_rank + 0.5, self._halves_of(right)[0]  # at equal scores the merge further left is first
-            else:
-                return True
-
-    def _answers(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.pairs):
-            return np.zeros(len(keys), int), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-        return at, self.pairs[at] == keys
+    def _mergeable(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Undoes the merges of all pairs at their borders, latest first: no earlier merge may lie over a border."""
+        answers = self.usable[ids] & ((before < 0) | self.is_merge[before])
+        at = np.flatnonzero(answers & (before >= 0))
+        left, right, limit = before[at], ids[at], np.full(len(at), np.inf)
+        while len(at):
+            keys = left << 32 | right
+            place = np.searchsorted(self.over_keys, keys)
+            early = (self.over_keys[place] == keys) & (self.over_ranks[place] < limit)
+            answers[at[early]] = False
+            by_left = self.rank[left] > self.rank[right]
+            by_right = ~by_left & (self.rank[right] >= 0)  # at equal scores the merge further left is first
+            limit = np.where(by_left, self.rank[left], np.where(by_right, self.rank[right] + 0.5, limit))
+            left, right = np.where(by_left, self.right_half[left], left), np.where(by_right, self.left_half[right], right)
+            more = ~early & (by_left | by_right)
+            at, left, right, limit = at[more], left[more], right[more], limit[more]
+        return answers
 
 
 def _extend(state: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -170,9 +185,14 @@ def _hash_texts(texts: list[str]) -> np.ndarray:
     return out
 
 
-def viterbi(words: list[str], pieces: Pieces, cells: int = 1 << 22) -> list[np.ndarray]:
-    """Ids of each word; words of equal length are one batch (split if it would pass `cells` characters)."""
-    out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
+def viterbi(words: list[str], pieces: Pieces) -> list[np.ndarray]:
+    """Ids of each word."""
+    return [np.frombuffer(ids, np.int32) for ids in viterbi_bytes(words, pieces)]
+
+
+def viterbi_bytes(words: list[str], pieces: Pieces, cells: int = 1 << 22) -> list[bytes]:
+    """Ids of each word, as bytes of int32; words of equal length are one batch (split if it would pass `cells` characters)."""
+    out = [b""] * len(words)
     by_length: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         by_length.setdefault(len(w), []).append(i)
@@ -188,7 +208,7 @@ def viterbi(words: list[str], pieces: Pieces, cells: int = 1 << 22) -> list[np.n
     return out
 
 
-def _batch(codes: np.ndarray, pieces: Pieces) -> list[np.ndarray]:
+def _batch(codes: np.ndarray, pieces: Pieces) -> list[bytes]:
     n, length = codes.shape
     best = np.full((n, length + 1), -np.inf)
     best[:, 0] = 0.0
@@ -228,13 +248,14 @@ def _batch(codes: np.ndarray, pieces: Pieces) -> list[np.ndarray]:
         ends = np.where(ends > 0, back[rows, ends], 0)
     table = np.stack(steps[::-1], axis=1)
     used = table != START
-    found = np.split(table[used].astype(np.int32), used.sum(axis=1).cumsum()[:-1])
+    data, stops = table[used].astype(np.int32).tobytes(), (4 * used.sum(axis=1).cumsum()).tolist()
+    found = [data[i:j] for i, j in zip([0, *stops], stops, strict=False)]
     for row in np.flatnonzero((table == UNKNOWN).any(axis=1)).tolist():
-        found[row] = _with_bytes(found[row].tolist(), codes[row], pieces)
+        found[row] = _with_bytes(np.frombuffer(found[row], np.int32).tolist(), codes[row], pieces)
     return found
 
 
-def _with_bytes(tokens: list[int], codes: np.ndarray, pieces: Pieces) -> np.ndarray:
+def _with_bytes(tokens: list[int], codes: np.ndarray, pieces: Pieces) -> bytes:
     """A word's ids, with the byte pieces of its unknown characters in their places."""
     ids: list[int] = []
     at = 0
@@ -245,11 +266,13 @@ def _with_bytes(tokens: list[int], codes: np.ndarray, pieces: Pieces) -> np.ndar
         else:
             ids.append(t)
             at += len(pieces.texts[t])
-    return np.array(ids, np.int32)
+    return np.array(ids, np.int32).tobytes()
 
 
 def split_words(text: str) -> list[str]:
     """The text with a space in front and spaces as SPACE, cut before each run of spaces; no piece spans a cut."""
+    if "  " not in text and not text.startswith(" ") and SPACE not in text:
+        return (SPACE + text.replace(" ", " " + SPACE)).split(" ")
     parts = text.replace(" ", SPACE).split(SPACE)
     words, run = [], SPACE
     for i, part in enumerate(parts):
@@ -273,10 +296,10 @@ class Encoder:
         """Ids of each text; none for null or empty texts."""
         split = [split_words(t) if t else [] for t in texts]
         if self.cut_lines:  # no piece spans a character that has none
-            split = [[p for w in words for p in (_LINES.split(w) if "\n" in w else (w,)) if p] for words in split]
+            split = [[p for w in words for p in (_LINES.split(w) if "\n" in w else (w,)) if p] if "\n" in (t or "") else words for words, t in zip(split, texts, strict=True)]
         if len(self.memory) > _REMEMBERED:  # two generations: what is still in use moves over from the older one
             self.older, self.memory, self.ends = self.memory, {}, {}
-        new = {w for words in split for w in words if w not in self.memory}
+        new = set().union(*split).difference(self.memory)
         again = new & self.older.keys()
         self.memory.update((w, self.older[w]) for w in again)
         self._learn(new - again)
@@ -284,13 +307,14 @@ class Encoder:
 
     def _learn(self, new: set[str]) -> None:
         """Encodes words. A word with marks at its end is put together from its two parts where the pieces at the border allow it."""
-        cut = {} if self.pieces.merges is None else {w: m.start() for w in new if (m := _MARKS_AT_END.search(w))}
+        cores = [(w, w.rstrip(_MARKS_AT_END)) for w in new] if self.pieces.merges is not None else []
+        cut = {w: len(core) for w, core in cores if len(core) < len(w) and core[-1:].isalpha()}
         parts = {p for w, i in cut.items() for p in (w[:i], w[i:])}
         whole = list({p for p in parts | (new - cut.keys()) if p not in self.memory and p not in self.ends})
-        found = dict(zip(whole, viterbi(whole, self.pieces), strict=True))
+        found = dict(zip(whole, viterbi_bytes(whole, self.pieces), strict=True))
         ends = {w[i:] for w, i in cut.items()}
         for word, ids in found.items():
-            (self.ends if word in ends else self.memory)[word] = ids.tobytes()
+            (self.ends if word in ends else self.memory)[word] = ids
         words = list(cut)
         left = [self.memory[w[: cut[w]]] for w in words]
         right = [self.ends[w[cut[w] :]] for w in words]
@@ -298,7 +322,7 @@ class Encoder:
         apart = self.pieces.may_follow(border[:, 0], border[:, 1]) if words else []
         joined = [w for w, ok in zip(words, apart, strict=True) if not ok]
         self.memory.update((w, a + b) for w, a, b, ok in zip(words, left, right, apart, strict=True) if ok)
-        self.memory.update(zip(joined, (ids.tobytes() for ids in viterbi(joined, self.pieces)), strict=True))
+        self.memory.update(zip(joined, viterbi_bytes(joined, self.pieces), strict=True))
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids: byte pieces are joined, SPACE is a space, and the space in front goes."""

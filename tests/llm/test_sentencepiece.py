@@ -55,3 +55,14 @@ def test_documents_round_trip(spark, library):
         assert r.piece_text == (r.text or "") and r.n_pieces == len(r.piece_ids_)
         assert r.piece_ids_ == library.encode(r.text or "")
     assert own.encode_documents(docs.limit(0), PATH).count() == 0
+
+
+def test_pairs_that_share_a_place_keep_their_own_answers(monkeypatch, library):
+    """A memory of four places for all pairs changes no id."""
+    monkeypatch.setattr(own, "_PAIR_BITS", 2)
+    encoder = own.Encoder(own.Pieces.load(PATH))
+    texts = ["the tokenizer splits unusual words like thheanouing, erbleenst and undgestberber!!!", *TEXTS]
+    for _ in range(2):
+        for text, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert ids.tolist() == library.encode(text)
+        encoder.memory.clear()
