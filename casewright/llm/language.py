@@ -19,6 +19,8 @@ from casewright.llm.common import extended, free_name, held_out
 
 #: Bounds of what a dictionary is fitted on: passages (one of a text) for each language, characters of each, bytes in all.
 PASSAGES, PASSAGE_CHARS, DICTIONARY_BYTES = 160, 600, 16 * 1024
+#: Groups of tasks whose passages are ranked together first.
+BUCKETS = 256
 #: Texts are compressed in pieces of so many bytes, so that the dictionary counts throughout a long one.
 PIECE_BYTES = 4096
 #: Least margin (share of the runner-up's bytes) that is not a rejection.
@@ -42,10 +44,12 @@ def fit_dictionaries(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     places = F.greatest(F.char_length(text_col) - PASSAGE_CHARS + 1, F.lit(1))
     begin = F.pmod(F.xxhash64(text_col), places).cast("int") + 1
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("passage"), "passage")
     rows = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     passages = rows.select(F.col(lang_col).alias("lang"), F.substring(F.col(text_col), begin, F.lit(PASSAGE_CHARS)).alias("passage")).distinct()
-    sample = passages.withColumn("n", F.row_number().over(order)).where(F.col("n") <= PASSAGES).collect()
+    # Every task offers its first PASSAGES of a language. They are ranked among those of some tasks before the winners meet; the result is the same however the tasks are dealt.
+    hashed = passages.withColumn("hash", F.xxhash64("passage")).withColumn("bucket", F.pmod(F.spark_partition_id(), F.lit(BUCKETS)))
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("hash", "passage"))
+    sample = hashed.withColumn("n", place("lang", "bucket")).where(F.col("n") <= PASSAGES).withColumn("n", place("lang")).where(F.col("n") <= PASSAGES).select("lang", "passage", "n").collect()
     content: dict[str, bytes] = {}
     for lang, passage, _ in sorted(sample, key=lambda r: (r.lang, -r.n)):
         content.setdefault(lang, b"")
