@@ -311,7 +311,7 @@ ORACLE = {
     "exfil_pairs_by_machine": with_ev(*SHARED, select="SELECT conn_id, file_id FROM pairs WHERE c_machine = f_machine"),
     "linked_targets": with_ev(FIRST, LINKS, select="SELECT source_id, target, target_id FROM resolved"),
     "linked_artifacts": with_ev(FIRST, LINKS, *LINK_SETS, select=LINK_FINDINGS),
-    "linked_uncovered": with_ev(*SHARED, LINKS, *LINK_SETS[:2], *_uncovered("m.confidence >= 0.98"), select=LINK_FINDINGS),
+    "linked_uncovered": with_ev(*SHARED, LINKS, *LINK_SETS[:2], *_uncovered("regexp_matches(m.finding, '[0-4]$')"), select=LINK_FINDINGS),
     "rescore": with_ev(rescored("ev"), select="SELECT seq, severity, array_to_string(ioc_match, ',') AS ioc_match, boosted FROM rescored"),
     "reputation": with_ev(
         select="""SELECT seq, CASE WHEN contains(value, '198.51.100.7:') THEN '198.51.100.7' ELSE 'node7.example.net' END AS bad FROM ev
