@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from casewright.session import checkpointed, ensure_checkpoint_dir  # noqa: F401  shared with the operators here
+
 #: Remainder of crc32(doc_id as text) modulo 3 whose documents no model may learn from.
 HELD_OUT = 1
 
@@ -22,25 +24,28 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 3 == HELD_OUT, F.lit(False))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the shared folder that spark.checkpoint.dir names.
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The same rows from a Parquet table in the shared checkpoint folder, and its path, so that the caller can remove it."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{spark.sql('select uuid()').first()[0]}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """At most `most` rows, those of lowest hash of a key that tells rows apart; all rows if there are no more.
 
-    Where none is named, a local master (one machine) gets a folder in its
-    warehouse; a cluster gets an error, as no machine's own folder will do.
+    Rows whose hash lies under most / n are taken first, so that the exact cut
+    sees few more rows than it keeps, however many partitions there are. df is
+    read twice and should be slim.
     """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not context.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/casewright-checkpoints")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows from a reliable, shared copy: computed once, and safe when executors go."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    n = df.count()
+    if n <= most:
+        return df
+    hashed = F.pmod(F.xxhash64(key), F.lit(1 << 40))
+    under = int((1 << 40) * min(1.0, (most + 6 * most**0.5 + 10) / n))
+    return df.where(hashed < under).orderBy(hashed, key).limit(most)
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
