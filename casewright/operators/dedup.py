@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.functions.signals import collapse
+from casewright.operators.ordering import numbered_within
 from casewright.schema import severity_rank
 
 #: Fixed: how a process item names its own process id.
@@ -60,6 +61,12 @@ def order_keys() -> list[Column]:
     return [severity_rank(F.col("severity")).desc(), matched.desc(), F.coalesce("confidence", F.lit(0.5)).desc(), F.col("source_tool").asc_nulls_first(), F.col("seq").asc()]
 
 
+def placed(items: DataFrame, *groups: str) -> DataFrame:
+    """Adds place, the row's number in evidence order within its group; no task sorts a whole group."""
+    with_match = items if "ioc_match" in items.columns else items.withColumn("ioc_match", F.array().cast("array<string>"))
+    return numbered_within(with_match, list(groups), *order_keys())
+
+
 def in_order(items: DataFrame) -> DataFrame:
     """Items sorted within the cases by order_keys()."""
     with_match = items if "ioc_match" in items.columns else items.withColumn("ioc_match", F.array().cast("array<string>"))

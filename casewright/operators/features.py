@@ -143,16 +143,11 @@ def machine_context(items: DataFrame, most: int = 20) -> DataFrame:
 
 
 def correlation_context(annotated: DataFrame) -> DataFrame:
-    """Adds related: the row's findings, then its links that those do not name."""
+    """Adds related: all the row's findings, then its links that those do not name."""
     links = F.filter("linked_artifacts", lambda x: x.isNotNull() & (x != "") & ~F.array_contains(F.col("correlations"), x))
     return annotated.withColumn("related", F.concat("correlations", F.transform(links, lambda x: F.concat(F.lit("linked_artifact|"), x))))
 
 
-def finding_lookup(members: DataFrame) -> DataFrame:
-    """The number of findings that mention each artifact, and the strongest one."""
-    return members.groupBy("case_id", "artifact_id").agg(F.countDistinct("finding").alias("n_findings"), F.min(F.struct((-F.col("finding_confidence")).alias("c"), "finding")).alias("f")).select("case_id", "artifact_id", "n_findings", F.col("f.finding").alias("strongest"))
-
-
 def case_context(findings: DataFrame, most: int = 5) -> DataFrame:
     """For each case the number of findings and transfers, and its `most` strongest findings."""
     w = Window.partitionBy("case_id").orderBy(F.desc("confidence"), "correlation_type", "key")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewright.operators.ordering import numbered_within
 from casewright.schema import severity_name, severity_rank
 from casewright.session import checkpointed
 
@@ -66,18 +67,19 @@ def ancestor_closure(nodes: DataFrame) -> DataFrame:
 
 
 def tree_order(nodes: DataFrame, most: int | None = 40) -> DataFrame:
-    """Nodes depth first with depth, path and row; children in first-seen order; the report shows `most` rows.
+    """Nodes depth first with depth, path (ids from the root on) and row; children in first-seen order; the report shows `most` rows.
+
+    With most=None all nodes are numbered, by range partitions of their paths;
+    otherwise Spark limits the rows before the shuffle. Neither sorts a case in one task.
 
     Paths grow by pointer doubling: each round puts the path of the node that
     a jump reaches in front and doubles the jump, so the rounds grow with the
     logarithm of the depth. Nodes of a circle, and those below one, have no
     path and follow after all others.
     """
-    parents = checkpointed(nodes.select("case_id", "pid", "first_seq").join(_parents(nodes), ["case_id", "pid"]))
-    w = Window.partitionBy("case_id", "up").orderBy("first_seq", "pid")
-    roots = Window.partitionBy("case_id").orderBy("pid")
-    placed = parents.where("up is not null").withColumn("ordinal", F.row_number().over(w)).unionByName(parents.where("up is null").withColumn("ordinal", F.row_number().over(roots)))
-    paths = checkpointed(placed.select("case_id", "pid", "up", F.array(F.col("ordinal").cast("long")).alias("path")))
+    parents = nodes.select("case_id", "pid", "first_seq").join(_parents(nodes), ["case_id", "pid"])
+    step = F.struct(F.when(F.col("up").isNotNull(), F.col("first_seq")).alias("seq"), F.col("pid"))  # roots by id, children in first-seen order
+    paths = checkpointed(parents.select("case_id", "pid", "up", F.array(step).alias("path")))
     left = paths.where("up is not null").count()
     while left:
         above = paths.select("case_id", F.col("pid").alias("up"), F.col("up").alias("next"), F.col("path").alias("front"))
@@ -89,6 +91,9 @@ def tree_order(nodes: DataFrame, most: int | None = 40) -> DataFrame:
             break
     walk = paths.where("up is null").select("case_id", "pid", F.col("path").alias("_p"))
     out = nodes.join(walk, ["case_id", "pid"], "left").withColumn("depth", F.coalesce(F.size("_p") - 1, F.lit(0)))
-    order = Window.partitionBy("case_id").orderBy(F.col("_p").asc_nulls_last(), "pid")
-    out = out.withColumn("row", F.row_number().over(order)).withColumn("path", F.array_join("_p", ".")).drop("_p")
-    return out if most is None else out.where(F.col("row") <= most)
+    order = [F.col("_p").asc_nulls_last(), F.col("pid")]
+    if most is None:
+        out = numbered_within(out, ["case_id"], *order, name="row")
+    else:
+        out = out.withColumn("row", F.row_number().over(Window.partitionBy("case_id").orderBy(*order))).where(F.col("row") <= most)
+    return out.withColumn("path", F.array_join(F.transform("_p", lambda s: s["pid"]), ".")).drop("_p")

@@ -257,6 +257,21 @@ TREES = EV.replace("CASE event_type WHEN 'purchase' THEN 'network_connection'",
 MIXED_KEYS = SIGNALS.replace("FROM_TABLE", "mixed").replace("WHEN evidence_type = 'dns_query' THEN [", "WHEN evidence_type IN ('dns_query', 'http_request') THEN [")
 MATCHED_ORDER = ORDER.replace("-confidence", "-(len(ioc_match) > 0)::INTEGER, -confidence")
 
+#: The whole chain: two tools, first-wins, the second tool's known processes left out, re-scored, a machine for all, then keys, pairs and members.
+CHAIN = (
+    """both_tools AS (SELECT * REPLACE (CASE WHEN seq % 3 <> 0 THEN machine_id END AS machine_id) FROM ev
+    UNION ALL SELECT * REPLACE (CASE WHEN seq % 3 <> 0 THEN machine_id END AS machine_id, 'x.exe (PPID:1 PID:' || (split_part(artifact_id, '_', 2)::BIGINT + 1000) || ')' AS value, 'memprocfs' AS source_tool,
+        'memprocfs_process' AS evidence_type, 'second_' || seq AS artifact_id, seq + 1000000000 AS seq) FROM ev WHERE evidence_type = 'file_artifact')""",
+    "firsts AS (SELECT * FROM both_tools QUALIFY row_number() OVER (PARTITION BY artifact_id ORDER BY seq) = 1)",
+    r"""reconciled AS (SELECT * REPLACE (coalesce(machine_id, 'WS-1') AS machine_id) FROM firsts WHERE evidence_type <> 'memprocfs_process' OR regexp_extract(value, ' PID:(\d+)', 1) NOT IN
+        (SELECT regexp_extract(value, '\(PID:(\d+)', 1) FROM firsts WHERE evidence_type = 'process'))""",
+    rescored("reconciled"),
+    "first_items AS (SELECT * FROM rescored)",
+    ON_FIRST,
+    KEYS.replace(ORDER, MATCHED_ORDER),
+)
+ALL_FINDINGS = "SELECT correlation_type, key, anchor, n_items, confidence FROM kept UNION ALL SELECT 'exfiltration', anchor, anchor, n_files + 1, confidence FROM exfil_scored UNION ALL SELECT 'linked_artifact', source_id, anchor, n_items, confidence FROM link_rows"
+
 ORACLE = {
     "evidence_view": with_ev(select="SELECT seq, case_id, machine_id, artifact_id, source_tool, evidence_type, timestamp, value, severity, confidence, coalesce(link, '') AS links FROM ev"),
     "contract": with_ev(
@@ -370,12 +385,16 @@ ORACLE = {
         f"shared AS (SELECT key, count(*) AS n_items, string_agg(DISTINCT source_tool, ',' ORDER BY source_tool) AS source_tools, count(DISTINCT source_tool) AS n_tools, count(DISTINCT evidence_type) AS n_types, first(artifact_id ORDER BY {ORDER}) AS anchor FROM keys GROUP BY 1)",
         select="SELECT 'same_domain' AS correlation_type, key, anchor, n_items, source_tools, least(75 + 6 * least(n_tools, 4) + 3 * least(n_items - 1, 5), 99) / 100.0::DOUBLE AS confidence FROM shared WHERE n_items >= 2 AND (n_tools >= 2 OR n_types >= 2)",
     ),
-    "aggregate": with_ev(
-        FIRST,
-        rescored("first_items"),
-        SIGNALS.replace("FROM_TABLE", "rescored"),
-        KEYS.split("pairs AS (")[0].rstrip().rstrip(",").replace(ORDER, MATCHED_ORDER),
-        select="SELECT correlation_type, key, anchor, n_items, source_tools, confidence FROM kept WHERE correlation_type IN ('same_pid', 'same_ip', 'same_timestamp')",
+    "aggregate": with_ev(*CHAIN, LINKS, *LINK_SETS[:2], *_uncovered("true"), f"link_rows AS ({LINK_FINDINGS.replace(ORDER, MATCHED_ORDER)})", select=ALL_FINDINGS),
+    "aggregate_items": with_ev(
+        *CHAIN,
+        "named AS (SELECT artifact_id, count(DISTINCT finding) AS n FROM members GROUP BY 1)",
+        select=f"""SELECT row_number() OVER (ORDER BY {RANK} DESC, len(ioc_match) > 0 DESC, confidence DESC, source_tool, seq) AS place, seq, artifact_id, machine_id, severity, array_to_string(ioc_match, ',') AS ioc_match,
+        coalesce(n, 0) AS n_findings FROM first_items LEFT JOIN named USING (artifact_id)""",
+    ),
+    "aggregate_index": with_ev(
+        *CHAIN[:5],
+        select="SELECT 'type' AS kind, evidence_type AS key, count(*) AS n FROM first_items GROUP BY 2 UNION ALL SELECT 'tool', source_tool, count(*) FROM first_items GROUP BY 2 UNION ALL SELECT 'machine', machine_id, count(*) FROM first_items GROUP BY 2",
     ),
     "case_facts": f"WITH {CASE_SQL} SELECT case_id, case_type, CASE case_type " + " ".join(f"WHEN '{c}' THEN '{t}'" for c, t in classify.SUMMARIES.items()) + f" ELSE '{classify.SUMMARIES['unknown']}' END AS summary FROM contexts",
     "case_advice": f"WITH {CASE_SQL}, keyed AS (SELECT case_id, CASE WHEN case_type IN ('ransomware', 'phishing') THEN case_type ELSE 'unknown' END AS case_type FROM contexts) SELECT case_id, case_type, step::BIGINT AS step, 'step ' || step || ' for ' || case_type AS advice FROM keyed, (VALUES (1), (2)) s(step)",
@@ -388,7 +407,7 @@ ORACLE = {
     "model_answers": "SELECT CASE WHEN doc_id % 3 <> 0 THEN 'case-' || doc_id ELSE 'made' END AS case_id, 'phishing' AS case_type, 'pcap' || coalesce(',' || lang, '') AS types, sha256(left(text, 40)) AS summary, '2024' AS generated_at FROM documents WHERE doc_id IS NOT NULL",
     "correlation_context": with_ev(
         *SHARED,
-        "per AS (SELECT i.artifact_id, i.link, least(count(DISTINCT m.finding), 100) AS n FROM first_items i LEFT JOIN members m USING (artifact_id) GROUP BY 1, 2)",
+        "per AS (SELECT i.artifact_id, i.link, count(DISTINCT m.finding) AS n FROM first_items i LEFT JOIN members m USING (artifact_id) GROUP BY 1, 2)",
         select="SELECT artifact_id, (n + (link IS NOT NULL)::INTEGER)::INTEGER AS n_related, CASE WHEN n > 0 OR link IS NOT NULL THEN link IS NOT NULL END AS has_link FROM per",
     ),
     "finding_lookup": with_ev(*SHARED, select="SELECT artifact_id, count(DISTINCT finding) AS n_findings, first(finding ORDER BY confidence DESC, finding) AS strongest FROM members GROUP BY 1"),
@@ -396,8 +415,13 @@ ORACLE = {
         FIRST,
         ON_FIRST,
         KEYS.split("pairs AS (")[0].rstrip().rstrip(",").replace("SELECT correlation_type, key, count(*)", "SELECT machine_id AS case_id, correlation_type, key, count(*)"),
-        "placed AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY confidence DESC, correlation_type, key) AS n FROM kept)",
-        select="SELECT case_id, count(*) AS n_findings, 0::BIGINT AS n_exfiltration, string_agg(correlation_type || '|' || key, ',' ORDER BY n) FILTER (n <= 5) AS strongest, false AS has_exfiltration FROM placed GROUP BY 1",
+        KEYS[KEYS.index("pairs AS ("):].split("exfil AS (")[0].rstrip().rstrip(","),
+        """own_exfil AS (SELECT c_machine AS case_id, conn_id, count(*) AS n_files, len(list_distinct(list_append(list(DISTINCT file_tool), any_value(conn_tool)))) AS n_tools FROM pairs WHERE c_machine = f_machine GROUP BY ALL)""",
+        """found AS (SELECT case_id, correlation_type, key, confidence FROM kept UNION ALL
+            SELECT case_id, 'exfiltration', conn_id, least(82 + 6 * least(n_tools, 4) + 3 * least(n_files, 5), 99) / 100.0::DOUBLE FROM own_exfil)""",
+        "placed AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY confidence DESC, correlation_type, key) AS n FROM found)",
+        select="""SELECT case_id, count(*) AS n_findings, count(*) FILTER (correlation_type = 'exfiltration') AS n_exfiltration, string_agg(correlation_type || '|' || key, ',' ORDER BY n) FILTER (n <= 5) AS strongest,
+            count(*) FILTER (correlation_type = 'exfiltration') > 0 AS has_exfiltration FROM placed GROUP BY 1""",
     ),
     "reasons": with_ev(
         FIRST,

@@ -61,10 +61,8 @@ def reconcile_tools(spark, sf_dir):
 
 
 def evidence_order(spark, sf_dir):
-    from pyspark.sql import Window
-
     rows = dedup.first_wins(evidence(spark, sf_dir)).withColumn("ioc_match", F.when(F.col("seq") % 9 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")))
-    return rows.select("seq", "machine_id", F.row_number().over(Window.partitionBy("machine_id").orderBy(*dedup.order_keys())).alias("place"))
+    return dedup.placed(rows, "machine_id").select("seq", "machine_id", F.col("place").cast("int").alias("place"))
 
 
 def group_index(spark, sf_dir):
@@ -115,8 +113,7 @@ def finding_member(spark, sf_dir):
 
 
 def annotate(spark, sf_dir):
-    items = items_with_signals(spark, sf_dir)
-    return correlate.annotate(items, correlate.all_members(items)).select("artifact_id", "n_findings", "best_confidence")
+    return correlate.with_findings(items_with_signals(spark, sf_dir)).select("artifact_id", "n_findings", "best_confidence")
 
 
 def findings(spark, sf_dir):
@@ -124,8 +121,7 @@ def findings(spark, sf_dir):
 
 
 def machine_summary(spark, sf_dir):
-    items = items_with_signals(spark, sf_dir)
-    return correlate.machine_summary(items, correlate.all_members(items)).select("machine_id", "n_items", "n_findings")
+    return correlate.machine_summary(items_with_signals(spark, sf_dir)).select("machine_id", "n_items", "n_findings")
 
 
 def exfil_window(spark, sf_dir):
@@ -143,14 +139,15 @@ def linked_targets(spark, sf_dir):
 
 def linked_artifacts(spark, sf_dir):
     items = items_with_signals(spark, sf_dir)
-    return correlate.link_confidence(correlate.linked_findings(items), items).select("source_id", joined("artifacts"), "n_items", "anchor", "confidence")
+    return correlate.link_confidence(correlate.linked_findings(items)).select("source_id", joined("artifacts"), "n_items", "anchor", "confidence")
 
 
 def linked_uncovered(spark, sf_dir):
     """Declared links that some of the findings (those whose key ends in 0 to 4) leave uncovered."""
     items = items_with_signals(spark, sf_dir)
-    some = correlate.all_members(items).where("finding rlike '[0-4]$'")
-    return correlate.link_confidence(correlate.linked_findings(items, some), items).select("source_id", joined("artifacts"), "n_items", "anchor", "confidence")
+    members = correlate.shared_members(items).where("finding rlike '[0-4]$'")
+    transfers = correlate.transfer_times(correlate.timed_points(items)).where("anchor rlike '[0-4]$'")
+    return correlate.link_confidence(correlate.linked_findings(items, members, transfers)).select("source_id", joined("artifacts"), "n_items", "anchor", "confidence")
 
 
 def _with_trees(spark, sf_dir):
@@ -171,11 +168,31 @@ def cross_source_domains(spark, sf_dir):
     return found.select("correlation_type", "key", "anchor", "n_items", joined("source_tools"), "confidence")
 
 
+def _two_tools(spark, sf_dir):
+    """The evidence view, a third of it without a machine, and what a second memory tool says of the processes that touch files."""
+    rows = evidence(spark, sf_dir).withColumn("machine_id", F.when(F.col("seq") % 3 != 0, F.col("machine_id")))
+    pid = F.regexp_extract("artifact_id", "^file_([0-9]+)", 1).cast("bigint") + 1000
+    second = rows.where("evidence_type = 'file_artifact'").withColumns({"value": F.concat(F.lit("x.exe (PPID:1 PID:"), pid, F.lit(")")), "source_tool": F.lit("memprocfs"), "evidence_type": F.lit("memprocfs_process"), "artifact_id": F.concat(F.lit("second_"), "seq"), "seq": F.col("seq") + 1_000_000_000})
+    return rows.unionByName(second)
+
+
+def _aggregated(spark, sf_dir):
+    contexts = spark.sql("SELECT 'case-1' AS case_id, array('WS-1', 'WS-2') AS affected_systems")
+    return correlate.aggregate(_two_tools(spark, sf_dir), contexts, indicators.rescore)
+
+
 def aggregate(spark, sf_dir):
-    """The whole chain over a case: first-wins, reconciliation, re-scoring, enrichment, keys and findings."""
-    items = correlate.aggregate(evidence(spark, sf_dir), rescore=indicators.rescore)
-    found = correlate.shared_key_findings(items, "pids", "ips", "ts_bucket")
-    return found.select("correlation_type", "key", "anchor", "n_items", joined("source_tools"), "confidence")
+    """The findings of the whole chain: first-wins, reconciliation, re-scoring, enrichment, all keys, transfers and links."""
+    return _aggregated(spark, sf_dir).findings().select("correlation_type", "key", "anchor", "n_items", "confidence")
+
+
+def aggregate_items(spark, sf_dir):
+    """The items of the whole chain in evidence order, with the findings that name them."""
+    return _aggregated(spark, sf_dir).items().select("place", "seq", "artifact_id", "machine_id", "severity", joined("ioc_match"), "n_findings")
+
+
+def aggregate_index(spark, sf_dir):
+    return _aggregated(spark, sf_dir).index().select("kind", "key", "n")
 
 
 def rescore(spark, sf_dir):
@@ -341,13 +358,14 @@ def correlation_context(spark, sf_dir):
 
 
 def finding_lookup(spark, sf_dir):
-    items = items_with_signals(spark, sf_dir)
-    return features.finding_lookup(correlate.all_members(items)).select("artifact_id", "n_findings", "strongest")
+    return correlate.item_findings(items_with_signals(spark, sf_dir)).select("artifact_id", "n_findings", "strongest")
 
 
 def case_context(spark, sf_dir):
     items = items_with_signals(spark, sf_dir).withColumn("case_id", F.col("machine_id"))
-    return features.case_context(correlate.shared_key_findings(items).select("case_id", "correlation_type", "key", "confidence")).select("case_id", "n_findings", "n_exfiltration", F.array_join("strongest", ",").alias("strongest"), "has_exfiltration")
+    transfers = correlate.exfiltration_findings(items).select("case_id", "correlation_type", F.col("anchor").alias("key"), "confidence")
+    found = correlate.shared_key_findings(items).select("case_id", "correlation_type", "key", "confidence").unionByName(transfers)
+    return features.case_context(found).select("case_id", "n_findings", "n_exfiltration", F.array_join("strongest", ",").alias("strongest"), "has_exfiltration")
 
 
 def reasons(spark, sf_dir):
@@ -516,7 +534,7 @@ QUERIES = {f.__name__: f for f in (
     reputation, c2_port, derived_iocs, techniques, run_totals, conv_rollup, watch_port, dns_score, http_rows, mail_hits, url_hits, domains, mails, onions, sweep,
     process_edges, classify_texts, classify_conversations, artifact_types, affected, reconcile_cases, feature_rows, rule_scores, indicator_order, baseline_families,
     baseline_diff, machine_context, score_summary, forest_scores, rule_attribution, attribution, item_indicators, ioc_rollup, ioc_counts, folded, key_findings,
-    linked_uncovered, tree_rows, cross_source_domains, aggregate, case_facts, case_advice, checked_contexts, ontology_rules, model_answers, correlation_context,
+    linked_uncovered, tree_rows, cross_source_domains, aggregate, aggregate_items, aggregate_index, case_facts, case_advice, checked_contexts, ontology_rules, model_answers, correlation_context,
     finding_lookup, case_context, reasons, explained_anomalies, scored_rollup, explanation_notes, explanations, deep_closure, deep_tree,
     proc_nodes, lineage_closure, process_tree, coverage, verdicts, dashboard, text_digest, type_labels,
 )}

@@ -144,3 +144,86 @@ def test_transfer_windows_equal_pairs(spark):
                     want[c[2]] = (len(files), sorted({x for x in [c[5], *(f[5] for f in files)] if x}), min(files, key=lambda f: f[3])[9][0])
         got = {r.anchor: (r.n_files, [t for t in r.source_tools if t], r.file) for r in correlate.exfiltration_findings(df, same).collect()}
         assert got == want and len(want) > 20
+
+
+def random_items(spark, n=600, seed=5):
+    """Items with shared keys, transfers, own file events of connections, and links of every kind."""
+    import random
+
+    rng = random.Random(seed)
+    start, rows = 1_700_000_000, []
+    for i in range(n):
+        conn, file = rng.random() < 0.2, rng.random() < 0.4
+        links = rng.choice([[], [], [f"a_{rng.randrange(40)}"], [f"a_{rng.randrange(n // 40)}_{rng.randrange(n)}"], [f"a_{i % (n // 40)}_{i}"], [f"a_{rng.randrange(40)}", f"b_{rng.randrange(5)}"], [f"a_{i % (n // 40)}"]])
+        keys = [f"k{rng.randrange(300)}"] if file else []
+        rows.append((f"c{i % 2}", f"m{rng.randrange(4)}", f"a_{i % (n // 40)}_{i}" if i % 9 else f"b_{i % 5}_{i}", i, start + rng.choice([rng.randint(0, 6 * 86400), 3600 * rng.randint(0, 150)]) + rng.choice([0.0, 0.25]), rng.choice(["t1", "t2"]), "network_connection" if conn else "file", rng.choice(["low", "high"]), rng.choice([0.5, 0.9]), links, [f"{rng.randrange(80)}"] if rng.random() < 0.5 else [], keys, [f"p{i}"] if keys else [], 2_000_000))
+    schema = "case_id string, machine_id string, artifact_id string, seq long, t double, source_tool string, evidence_type string, severity string, confidence double, linked_artifacts array<string>, pids array<string>, file_keys array<string>, paths array<string>, bytes_transferred long"
+    df = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_seconds("t")).withColumn("ts_bucket", F.lit("")).withColumn("destination_ip", F.lit("9.9.9.9")).withColumn("destination_port", F.lit(1))
+    none = F.array().cast("array<string>")
+    return df.withColumn("ips", none).withColumn("domains", none)
+
+
+def test_counts_without_pairs_equal_whole_lists(spark):
+    df = random_items(spark)
+    members = correlate.all_members(df).cache()
+    listed = {(r.case_id, r.artifact_id): r for r in correlate.annotate(df, members).where("n_findings > 0").collect()}
+    counted = {(r.case_id, r.artifact_id): r for r in correlate.item_findings(df).collect()}
+    assert listed.keys() == counted.keys() and max(r.n_findings for r in listed.values()) > 10
+    for key, r in listed.items():
+        assert (r.n_findings, r.best_confidence, r.correlations[0]) == (counted[key].n_findings, counted[key].best_confidence, counted[key].strongest)
+    by_members = sorted(map(tuple, correlate.machine_summary(df, members).collect()), key=str)
+    assert sorted(map(tuple, correlate.machine_summary(df).collect()), key=str) == by_members
+    members.unpersist()
+
+
+def test_link_sets_equal_plain_sets(spark):
+    df = random_items(spark)
+    rows = df.collect()
+    ids = {(r.case_id, r.artifact_id) for r in rows}
+    wanted = {}
+    for r in sorted(rows, key=lambda r: r.seq):
+        found = set()
+        for t in r.linked_artifacts:
+            found |= {t} if (r.case_id, t) in ids else {a for c, a in ids if c == r.case_id and a.startswith(t + "_")}
+        if found - {r.artifact_id}:
+            wanted.setdefault((r.case_id, frozenset(found | {r.artifact_id})), r.artifact_id)
+    every = {(r.case_id, frozenset(r.artifacts)): r for r in correlate.linked_findings(df).collect()}
+    assert {k: r.source_id for k, r in every.items()} == wanted and all(len(k[1]) == r.n_items == len(r.artifacts) for k, r in every.items())
+    members = correlate.all_members(df).collect()
+    within = {}
+    for m in members:
+        within.setdefault((m.case_id, m.finding), set()).add(m.artifact_id)
+    open_sets = {k: s for k, s in wanted.items() if not any(c == k[0] and k[1] <= held for (c, _), held in within.items())}
+    transfers = correlate.transfer_times(correlate.timed_points(df))
+    got = {(r.case_id, r.source_id): r for r in correlate.link_sets(df, correlate.shared_members(df), transfers).collect()}
+    assert {(c, s) for (c, _), s in open_sets.items()} == got.keys() and 0 < len(open_sets) < len(wanted)
+
+
+def test_one_hour_holds_all_events(spark):
+    """Everything in one hour, much of it in one second: the same windows as from pairs, with microseconds telling times apart."""
+    rows = [("c", "m", f"a{i}", i, 1_700_000_000.0 + (i % 7) * 0.000001 + (i % 3) * 60, "t", "network_connection" if i % 5 == 0 else "file", 2_000_000, [] if i % 5 == 0 and i % 2 else ["k"], [f"p{i}"]) for i in range(200)]
+    df = spark.createDataFrame(rows, "case_id string, machine_id string, artifact_id string, seq long, t double, source_tool string, evidence_type string, bytes_transferred long, file_keys array<string>, paths array<string>").withColumn("ts", F.timestamp_micros((F.round(F.col("t") * 1_000_000)).cast("long"))).withColumn("destination_ip", F.lit("")).withColumn("destination_port", F.lit(0))
+    pairs = correlate.transfers_after_files(df).groupBy("conn_id").agg(F.count("*").alias("n"), F.min_by("path", "file_seq").alias("p")).collect()
+    assert {r.anchor: (r.n_files, r.file) for r in correlate.exfiltration_findings(df).collect()} == {r.conn_id: (r.n, r.p) for r in pairs}
+
+
+def test_all_findings_of_one_item_are_listed(spark):
+    df = spark.createDataFrame([("c", "a", 1)], "case_id string, artifact_id string, seq int")
+    members = spark.range(150).select(F.lit("c").alias("case_id"), F.concat(F.lit("f"), "id").alias("finding"), F.lit("a").alias("artifact_id"), (F.col("id") / 200).alias("finding_confidence"))
+    (r,) = correlate.annotate(df, members).collect()
+    assert r.n_findings == 150 and len(r.correlations) == 150 and r.correlations[0] == "f149"
+
+
+def test_aggregate_runs_the_whole_chain(spark):
+    rows = [
+        {"tool": "volatility3", "value": "a.exe (PID:10 PPID:1)"}, {"tool": "memprocfs", "type": "memprocfs_process", "value": "a.exe (PID:10 PPID:1)"}, {"id": "a0", "value": "again"},
+        {"tool": "tshark", "type": "network_connection", "time": "2024-01-02T00:00:00Z", "value": "TCP 10.0.0.5 -> 9.9.9.9:4444 (1,500,000 bytes) (PID:10)"}, {"type": "file_artifact", "time": "2024-01-01T12:00:00Z", "value": "C:\\Temp\\x.exe", "machine": ""},
+    ]
+    contexts = spark.createDataFrame([("c", ["WS-1"])], "case_id string, affected_systems array<string>")
+    done = correlate.aggregate(items(spark, *rows), contexts, indicators.rescore)
+    found = {r.correlation_type for r in done.findings().collect()}
+    assert found == {"same_pid", "exfiltration"}
+    kept = done.items().orderBy("place").collect()
+    assert [r.place for r in kept] == [1, 2, 3] and kept[0].artifact_id == "a3" and {r.machine_id for r in kept} == {"m", "WS-1"}
+    assert {(r.kind, r.key): r.n for r in done.index().collect()}[("machine", "WS-1")] == 1
+    assert {r.machine_id: r.n_findings for r in done.machines().collect()} == {"m": 2, "WS-1": 1, None: 2}
