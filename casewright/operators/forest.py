@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.operators.features import FEATURES, WEIGHTS, final_score
+from casewright.session import checkpointed
 
 TREES, SAMPLE, CONTAMINATION, SEED, BACKGROUND = 200, 256, 0.01, 42, 64
+#: Trees of a forest whose nodes are broadcast: ten families of two hundred.
+BROADCAST_TREES = 2000
 
 
 def average_path(n: float) -> float:
@@ -20,16 +24,16 @@ def average_path(n: float) -> float:
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-def _grow(x: np.ndarray, rng: np.random.Generator, depth: int, limit: int, nodes: list[tuple]) -> int:
-    at = len(nodes)
-    nodes.append((-1, 0.0, -1, -1, depth + average_path(len(x))))
-    spread = np.flatnonzero(x.max(axis=0) > x.min(axis=0)) if len(x) > 1 else []
-    if depth < limit and len(spread):
-        f = int(rng.choice(spread))
-        cut = float(rng.uniform(x[:, f].min(), x[:, f].max()))
-        left = x[:, f] <= cut
-        nodes[at] = (f, cut, _grow(x[left], rng, depth + 1, limit, nodes), _grow(x[~left], rng, depth + 1, limit, nodes), 0.0)
-    return at
+def path_length(n: Column) -> Column:
+    """average_path() as an expression."""
+    n = n.cast("double")
+    return F.when(n <= 1, 0.0).when(n == 2, 1.0).otherwise(2 * (F.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n)
+
+
+def uniform(*parts: Column | str | int) -> Column:
+    """A number from 0 to below 1 that depends on the parts alone: the first 52 bits of their SHA-256."""
+    text = F.concat_ws("|", *((p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts))
+    return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def distinct_vectors(rows: DataFrame) -> DataFrame:
@@ -58,66 +62,115 @@ def background(baseline: DataFrame, most: int = BACKGROUND, seed: int = SEED) ->
     return distinct_vectors(baseline).groupBy("family").applyInPandas(draw, "family string, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
-def fit_forest(baseline: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
-    """Family, tree and its nodes, grown in parallel, each from its own draw of at most `sample` rows of the family."""
-    numbered = distinct_vectors(baseline).select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+def _tree_samples(baseline: DataFrame, trees: int, sample: int, seed: int) -> DataFrame:
+    """family, tree, x, w, n: each tree's vectors with their number of drawn rows, and the rows in all.
+
+    Families of at most `sample` rows give all of them. Of larger ones a row is
+    drawn from each of `sample` equal stretches of the rows in vector order, so
+    none is drawn twice. Drawn positions meet their vectors in one sorted pass.
+    """
+    order = Window.partitionBy("family").orderBy(*FEATURES)  # a family has few distinct vectors
+    vectors = distinct_vectors(baseline).select("family", "n_rows", F.array(*FEATURES).alias("x"), F.row_number().over(order).alias("no"), (F.sum("n_rows").over(order) - F.col("n_rows")).alias("at"), F.sum("n_rows").over(Window.partitionBy("family")).alias("total"))
+    vectors = checkpointed(vectors)
+    each_tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
+    whole = vectors.where(F.col("total") <= sample).select("family", each_tree, "x", F.col("n_rows").alias("w"), F.col("total").alias("n"))
+    large = vectors.where(F.col("total") > sample)
+    places = large.select("family", "total").distinct().select("family", "total", each_tree).select("*", F.explode(F.sequence(F.lit(0), F.lit(sample - 1))).alias("i"))
+    at = F.floor((F.col("i") + uniform(seed, "draw", F.col("family"), F.col("tree"), F.col("i"))) * F.col("total") / sample).cast("long")
+    both = large.select("family", "at", "no", F.lit(None).cast("int").alias("tree")).unionByName(places.select("family", at.alias("at"), F.lit(None).cast("int").alias("no"), "tree"))
+    latest = Window.partitionBy("family").orderBy("at", F.col("no").asc_nulls_last())  # trees x sample rows and the vectors
+    drawn = both.withColumn("no", F.last("no", ignorenulls=True).over(latest)).where("tree is not null").groupBy("family", "tree", "no").agg(F.count("*").alias("w"))
+    return whole.unionByName(drawn.join(large.select("family", "no", "x"), ["family", "no"]).select("family", "tree", "x", "w", F.lit(sample).cast("long").alias("n")))
+
+
+def _grow(family: str, tree: int, x: np.ndarray, w: np.ndarray, n: int, seed: int) -> list[tuple]:
+    """Nodes of one tree as (node, feature, cut, path), from its drawn vectors and how often each one was drawn."""
+    share = lambda *parts: int(hashlib.sha256("|".join(map(str, (seed, *parts))).encode()).hexdigest()[:13], 16) / (1 << 52)
+    limit, nodes, waiting = max(1, (n - 1).bit_length()), [], [(1, 0, np.arange(len(x)))]
+    while waiting:
+        node, depth, rows = waiting.pop()
+        low, high = x[rows].min(axis=0), x[rows].max(axis=0)
+        differ = np.flatnonzero(high > low) if depth < limit else []
+        if not len(differ):
+            nodes.append((node, -1, 0.0, depth + average_path(int(w[rows].sum()))))
+            continue
+        f = int(differ[math.floor(share("feature", family, tree, node) * len(differ))])
+        cut = float(low[f] + share("cut", family, tree, node) * (high[f] - low[f]))
+        cut = cut if cut < high[f] else float(low[f])
+        nodes.append((node, f, cut, 0.0))
+        above = x[rows, f] > cut
+        waiting += [(2 * node, depth + 1, rows[~above]), (2 * node + 1, depth + 1, rows[above])]
+    return sorted(nodes)
+
 
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["tree"].iloc[0])
-        x = _draw(pdf, sample, [seed, tree, 1])
-        rng = np.random.default_rng([seed, tree])
-        nodes: list[tuple] = []
-        _grow(x, rng, 0, max(1, math.ceil(math.log2(max(2, len(x))))), nodes)
-        f, cut, left, right, path = zip(*nodes, strict=True)
-        return pd.DataFrame({"family": [pdf["family"].iloc[0]], "tree": [tree], "n": [len(x)], "feature": [list(f)], "cut": [list(cut)], "left": [list(left)], "right": [list(right)], "path": [list(path)]})
+def fit_forest(baseline: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> DataFrame:
+    """One row for each family and tree with its nodes as arrays: node, feature (-1: leaf), cut, path.
 
-    return numbered.groupBy("family", "tree").applyInPandas(grow, "family string, tree int, n int, feature array<int>, cut array<double>, left array<int>, right array<int>, path array<double>")
+    Trees grow in parallel, each from at most `sample` rows. A node splits at a
+    random place of a random feature among those that differ in it, both taken
+    from hashes, so the same rows give the same trees anywhere. The root is node
+    1, the children of k are 2k and 2k + 1; path is a leaf's depth and the mean
+    path of the rows left in it.
+    """
 
+    def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        n = int(rows["n"].iloc[0])
+        nodes = _grow(key[0], key[1], np.array(rows["x"].tolist()), rows["w"].to_numpy(), n, seed)
+        node, feature, cut, path = map(list, zip(*nodes, strict=True))
+        return pd.DataFrame({"family": [key[0]], "tree": [key[1]], "n": [n], "node": [node], "feature": [feature], "cut": [cut], "path": [path]})
 
-def weighted_quantile(x: np.ndarray, times: np.ndarray, q: float) -> float:
-    """np.quantile of x with each value repeated so many times."""
-    order = np.argsort(x, kind="stable")
-    ends = times[order].cumsum()
-    at = q * (ends[-1] - 1)
-    low, high = x[order][np.searchsorted(ends, [math.floor(at), math.ceil(at)], side="right")]
-    return float(low + (high - low) * (at - math.floor(at)))
+    drawn = _tree_samples(baseline, trees, sample, seed)
+    return checkpointed(drawn.groupBy("family", "tree").applyInPandas(grow, "family string, tree int, n int, node array<bigint>, feature array<int>, cut array<double>, path array<double>"))
 
 
 def _paths(trees: pd.DataFrame, x: np.ndarray) -> np.ndarray:
-    total = np.zeros(len(x))
-    for t in trees.itertuples(index=False):
-        f, cut, left, right, path = (np.asarray(v) for v in (t.feature, t.cut, t.left, t.right, t.path))
-        at = np.zeros(len(x), int)
-        while (inner := f[at] >= 0).any():
-            go_left = x[np.arange(len(x)), np.maximum(f[at], 0)] <= cut[at]
-            at = np.where(inner, np.where(go_left, left[at], right[at]), at)
-        total += path[at]
-    return total / max(1, len(trees))
+    """Mean path of each vector over all trees, which are walked together."""
+    size = max(int(max(t)) for t in trees["node"]) + 1
+    feature, cut, path = np.full((len(trees), size), -1), np.zeros((len(trees), size)), np.zeros((len(trees), size))
+    for i, t in enumerate(trees.itertuples(index=False)):
+        at = np.asarray(t.node)
+        feature[i, at], cut[i, at], path[i, at] = t.feature, t.cut, t.path
+    which, node = np.arange(len(trees))[None], np.ones((len(x), len(trees)), int)
+    while (inner := (f := feature[which, node]) >= 0).any():
+        above = np.take_along_axis(x, np.maximum(f, 0), axis=1) > cut[which, node]
+        node = np.where(inner, 2 * node + above, node)
+    return path[which, node].mean(axis=1)
 
 
 def _raw_scores(trees: pd.DataFrame, x: np.ndarray) -> np.ndarray:
     return -(2.0 ** (-_paths(trees, x) / max(average_path(int(trees["n"].iloc[0])), 1e-9)))
 
 
-def model_scores(vectors: DataFrame, baseline: DataFrame, forest: DataFrame) -> DataFrame:
-    """Adds model_score to distinct vectors: the raw score less the 1st percentile over all baseline rows; 0 without a forest.
+def raw_scores(vectors: DataFrame, forest: DataFrame) -> DataFrame:
+    """Adds raw, from -1 (odd) to 0, to vectors (family and features) of families with a forest.
 
-    vectors and baseline hold family and the features; a family has few
-    distinct vectors, so one group is small.
+    Every vector walks down all trees of its family at once, one join with the
+    nodes of a level for each step. The nodes are broadcast if the forest is as
+    small as one of a few families.
     """
-    base = distinct_vectors(baseline).select("family", *FEATURES, "n_rows", F.lit(True).alias("is_base"))
-    both = vectors.select("family", *FEATURES, F.lit(0).cast("long").alias("n_rows"), F.lit(False).alias("is_base")).unionByName(base)
-
-    def score(key: tuple, rows: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
-        own = rows[~rows["is_base"]].copy()
-        if not len(trees) or not len(own):
-            return own[["family", *FEATURES]].assign(model_score=0.0)
-        base_rows = rows[rows["is_base"]]
-        offset = weighted_quantile(_raw_scores(trees, base_rows[FEATURES].to_numpy(float)), base_rows["n_rows"].to_numpy(np.int64), CONTAMINATION)
-        return own[["family", *FEATURES]].assign(model_score=_raw_scores(trees, own[FEATURES].to_numpy(float)) - offset)
-
-    schema = "family string, " + ", ".join(f"{f} double" for f in FEATURES) + ", model_score double"
-    return both.groupBy("family").cogroup(forest.groupBy("family")).applyInPandas(score, schema)
+    nodes = forest.select("family", "tree", "n", F.explode(F.arrays_zip("node", "feature", "cut", "path")).alias("s")).select("family", "tree", "n", "s.*")
+    small = forest.count() <= BROADCAST_TREES
+    at = vectors.withColumn("x", F.array(*FEATURES)).join(F.broadcast(forest.select("family", "tree", "n")) if small else forest.select("family", "tree", "n"), "family")
+    at = at.withColumns({"node": F.lit(1).cast("long"), "path": F.lit(None).cast("double")})
+    deepest = forest.agg(F.max(F.array_max("node"))).first()[0] or 1
+    for depth in range(int(deepest).bit_length()):
+        level = nodes.where(F.col("node").between(1 << depth, (1 << depth + 1) - 1)).select("family", "tree", "node", F.col("feature").alias("_f"), "cut", F.col("path").alias("_p"))
+        at = at.join(F.broadcast(level) if small else level, ["family", "tree", "node"], "left")
+        down = 2 * F.col("node") + (F.get("x", F.col("_f")) > F.col("cut")).cast("long")
+        at = at.withColumn("path", F.coalesce("path", F.when(F.col("_f") < 0, F.col("_p")))).withColumn("node", F.when(F.col("_f") >= 0, down).otherwise(F.lit(0).cast("long"))).drop("_f", "_p", "cut")
+    scale = F.greatest(path_length(F.first("n")), F.lit(1e-9))
+    return at.groupBy(*vectors.columns).agg((-F.pow(F.lit(2.0), -F.avg("path") / scale)).alias("raw"))
+
+
+def model_scores(vectors: DataFrame, baseline: DataFrame, forest: DataFrame) -> DataFrame:
+    """Family, features and model_score of distinct vectors: the raw score less the 1st percentile over all baseline rows; 0 without a forest."""
+    rows = vectors.select("family", *FEATURES, F.lit(0).cast("long").alias("n_rows"), F.lit(True).alias("asked")).unionByName(distinct_vectors(baseline).withColumn("asked", F.lit(False)))
+    every = rows.groupBy("family", *FEATURES).agg(F.sum("n_rows").alias("n_base"), F.max("asked").alias("asked"))
+    scored = checkpointed(raw_scores(every, forest))
+    offset = scored.where("n_base > 0").groupBy("family").agg(F.percentile("raw", CONTAMINATION, F.col("n_base")).alias("offset"))
+    own = scored.where("asked").join(offset, "family").select("family", *FEATURES, (F.col("raw") - F.col("offset")).alias("model_score"))
+    without = vectors.select("family", *FEATURES).join(forest.select("family").distinct(), "family", "left_anti").withColumn("model_score", F.lit(0.0))
+    return own.unionByName(without)
 
 
 def score_items(items: DataFrame, baseline: DataFrame) -> DataFrame:

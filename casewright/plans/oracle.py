@@ -272,6 +272,49 @@ CHAIN = (
 )
 ALL_FINDINGS = "SELECT correlation_type, key, anchor, n_items, confidence FROM kept UNION ALL SELECT 'exfiltration', anchor, anchor, n_files + 1, confidence FROM exfil_scored UNION ALL SELECT 'linked_artifact', source_id, anchor, n_items, confidence FROM link_rows"
 
+def _u(*parts: str) -> str:
+    """A number below 1 from the first 52 bits of a SHA-256."""
+    return "(('0x' || substr(sha256(concat_ws('|', 42, " + ", ".join(parts) + ")), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+def _c(n: str) -> str:
+    """Mean path among n rows."""
+    return f"(CASE WHEN {n} <= 1 THEN 0 WHEN {n} = 2 THEN 1 ELSE 2 * (ln({n} - 1) + 0.5772156649015329) - 2 * ({n} - 1)::DOUBLE / {n} END)::DOUBLE"
+
+
+def _forest(baseline: str, levels: int = 8) -> tuple[str, ...]:
+    """200 trees of at most 256 rows for each family, a pair of tables for each level, and model_scores (family, x, model_score) of all vectors."""
+    x_of = "[" + F_LIST + "]"
+    lists = lambda how: "[" + ", ".join(f"{how}(x[{i}])" for i in range(1, 15)) + "]"
+    ctes = [
+        f"base AS MATERIALIZED (SELECT family, {x_of} AS x, count(*) AS n_rows FROM feats WHERE {baseline} GROUP BY ALL)",
+        "ranked_base AS MATERIALIZED (SELECT *, row_number() OVER w AS no, sum(n_rows) OVER w AS till, sum(n_rows) OVER (PARTITION BY family) AS total FROM base WINDOW w AS (PARTITION BY family ORDER BY x))",
+        f"places AS (SELECT family, tree, floor((i + {_u("'draw'", 'family', 'tree', 'i')}) * total / 256)::BIGINT AS at FROM (SELECT DISTINCT family, total FROM ranked_base WHERE total > 256), range(0, 200) t(tree), range(0, 256) r(i))",
+        """drawn AS (SELECT family, tree, no, n_rows AS w FROM ranked_base, range(0, 200) t(tree) WHERE total <= 256
+            UNION ALL SELECT p.family, p.tree, b.no, count(*) FROM places p JOIN ranked_base b ON p.family = b.family AND p.at < b.till AND p.at >= b.till - b.n_rows GROUP BY ALL)""",
+        "level0 AS MATERIALIZED (SELECT d.family, d.tree, 1::BIGINT AS node, d.w, b.x, least(b.total, 256) AS n_all FROM drawn d JOIN ranked_base b ON d.family = b.family AND d.no = b.no)",
+        f"everyone AS (SELECT DISTINCT family, {x_of} AS x FROM feats)",
+        "at0 AS (SELECT family, x, tree, 1::BIGINT AS node FROM everyone, range(0, 200) t(tree))",
+    ]
+    for d in range(levels + 1):
+        ctes.append(f"""nodes{d} AS MATERIALIZED (
+            SELECT family, tree, node, n, n_all, f, CASE WHEN f IS NOT NULL THEN CASE WHEN low[f] + {_u("'cut'", 'family', 'tree', 'node')} * (high[f] - low[f]) < high[f]
+                THEN low[f] + {_u("'cut'", 'family', 'tree', 'node')} * (high[f] - low[f]) ELSE low[f] END END AS cut
+            FROM (SELECT *, CASE WHEN {d} < greatest(1, ceil(log2(n_all))) THEN list_filter(range(1, 15), lambda i: high[i] > low[i]) ELSE [] END AS differ, differ[floor({_u("'feature'", 'family', 'tree', 'node')} * len(differ))::INT + 1] AS f
+                  FROM (SELECT family, tree, node, sum(w) AS n, any_value(n_all) AS n_all, {lists('min')} AS low, {lists('max')} AS high FROM level{d} GROUP BY family, tree, node)))""")
+        step = "JOIN nodes{0} k ON l.family = k.family AND l.tree = k.tree AND l.node = k.node".format(d)
+        ctes.append(f"level{d + 1} AS MATERIALIZED (SELECT l.family, l.tree, 2 * l.node + (l.x[k.f] > k.cut)::INT AS node, l.w, l.x, l.n_all FROM level{d} l {step} WHERE k.f IS NOT NULL)")
+        ctes.append(f"at{d + 1} AS MATERIALIZED (SELECT l.family, l.x, l.tree, 2 * l.node + (l.x[k.f] > k.cut)::INT AS node FROM at{d} l {step} WHERE k.f IS NOT NULL)")
+        ctes.append(f"leaf{d} AS MATERIALIZED (SELECT l.family, l.x, {d} + {_c('k.n')} AS path, k.n_all FROM at{d} l {step} WHERE k.f IS NULL)")
+    leaves = " UNION ALL ".join(f"SELECT * FROM leaf{d}" for d in range(levels + 1))
+    ctes.append(f"raw AS MATERIALIZED (SELECT family, x, -pow(2, -avg(path) / greatest({_c('any_value(n_all)')}, 1e-9)) AS raw FROM ({leaves}) GROUP BY family, x)")
+    ctes.append(f"least_normal AS (SELECT family, quantile_cont(raw, 0.01) AS offset_ FROM (SELECT family, {x_of} AS x FROM feats WHERE {baseline}) JOIN raw USING (family, x) GROUP BY family)")
+    ctes.append("model_scores AS MATERIALIZED (SELECT e.family, e.x, coalesce(r.raw - o.offset_, 0.0::DOUBLE) AS model_score FROM everyone e LEFT JOIN raw r USING (family, x) LEFT JOIN least_normal o ON e.family = o.family)")
+    return tuple(ctes)
+
+
+FOREST = _forest("severity = 'low' AND seq % 7 = 0")
+
 ORACLE = {
     "evidence_view": with_ev(select="SELECT seq, case_id, machine_id, artifact_id, source_tool, evidence_type, timestamp, value, severity, confidence, coalesce(link, '') AS links FROM ev"),
     "contract": with_ev(
@@ -483,6 +526,12 @@ ORACLE = {
     ),
     "machine_context": with_ev(FIRST, select="SELECT machine_id, count(*) AS n_items, count(DISTINCT evidence_type) AS n_types, array_to_string(list(artifact_id ORDER BY seq)[1:20], ',') AS first_ids FROM first_items GROUP BY 1"),
     "score_summary": with_ev(FIRST, FEATURE_SQL, SCORED, select="SELECT family, count(*) AS n, count(*) FILTER (s < -0.1) AS n_anomalies FROM scored GROUP BY 1 UNION ALL SELECT NULL, count(*), count(*) FILTER (s < -0.1) FROM scored"),
+    "forest_scores": with_ev(
+        FIRST,
+        FEATURE_SQL,
+        *FOREST,
+        select=f"SELECT seq, family, round(model_score, 6) AS model_score, round(model_score + ({RULE}), 4) AS score, round(model_score + ({RULE}), 9) < -0.1 AS is_anomaly FROM feats JOIN model_scores USING (family) WHERE [{F_LIST}] = x",
+    ),
     "rule_attribution": with_ev(
         FIRST,
         FEATURE_SQL,

@@ -172,11 +172,50 @@ def test_many_copies_of_one_vector_do_not_fill_the_samples(spark):
     assert phi["hot 0", "is_suspicious_process", 1.0] == round(-0.30 * (1 - 500 / 4500), 6)
 
 
-def test_weighted_quantile():
-    rng = np.random.default_rng(1)
-    for q in (0.0, 0.01, 0.5, 1.0):
-        x, times = rng.random(20), rng.integers(1, 30, 20)
-        assert abs(forest.weighted_quantile(x, times, q) - np.quantile(np.repeat(x, times), q)) < 1e-12
+def test_model_scores_equal_a_plain_walk(spark):
+    """Scores of the joins equal a walk down each tree, less the quantile of all baseline rows; a family without a forest has 0."""
+    import math
+
+    rng = np.random.default_rng(7)
+    schema = "family string, " + ", ".join(f"{f} double" for f in features.FEATURES)
+    rows = [("a" if i % 3 else "b", *map(float, np.round(rng.random(14) * 3) / 4)) for i in range(900)]
+    baseline = spark.createDataFrame(rows + rows[:200], schema)
+    asked = spark.createDataFrame(rows[:40] + [("none", *rows[0][1:])], schema)
+    fitted = forest.fit_forest(baseline, trees=15, sample=64)
+    trees = [r for r in fitted.collect()]
+    assert {(t.family, t.tree) for t in trees} == {(f, i) for f in "ab" for i in range(15)} and all(t.n == 64 for t in trees)
+    for t in trees:  # a node has both children or none, and is no deeper than six
+        inner = {k for k, f in zip(t.node, t.feature, strict=True) if f >= 0}
+        assert set(t.node) == {1} | {c for k in inner for c in (2 * k, 2 * k + 1)} and max(t.node) < 128
+
+    def raw(row):
+        paths = []
+        for t in trees:
+            if t.family == row[0]:
+                at, nodes = 1, {k: (f, c, p) for k, f, c, p in zip(t.node, t.feature, t.cut, t.path, strict=True)}
+                while nodes[at][0] >= 0:
+                    at = 2 * at + (row[1 + nodes[at][0]] > nodes[at][1])
+                paths.append(nodes[at][2])
+        return -(2 ** (-(math.fsum(paths) / len(paths)) / forest.average_path(64)))
+
+    offset = {f: np.quantile([raw(r) for r in rows + rows[:200] if r[0] == f], 0.01) for f in "ab"}
+    for small in (2000, 0):
+        forest.BROADCAST_TREES, kept = small, forest.BROADCAST_TREES
+        got = {tuple(r[:15]): r.model_score for r in forest.model_scores(asked, baseline, fitted).collect()}
+        forest.BROADCAST_TREES = kept
+        for r in rows[:40]:
+            assert abs(got[r] - (raw(r) - offset[r[0]])) < 1e-9
+        assert got["none", *rows[0][1:]] == 0.0
+
+
+def test_drawn_rows_are_distinct_and_as_many_as_asked(spark):
+    schema = "family string, " + ", ".join(f"{f} double" for f in features.FEATURES)
+    rows = [("f", float(i), *[0.0] * 13) for i in range(300)] + [("small", float(i % 3), *[1.0] * 13) for i in range(9)]
+    drawn = forest._tree_samples(spark.createDataFrame(rows, schema), 4, 100, 1).collect()
+    for tree in range(4):
+        held = [r for r in drawn if r.family == "f" and r.tree == tree]
+        assert len(held) == 100 and all(r.w == 1 for r in held)
+        assert sorted((r.x[0], r.w, r.n) for r in drawn if r.family == "small" and r.tree == tree) == [(0.0, 3, 9), (1.0, 3, 9), (2.0, 3, 9)]
 
 
 def test_chains_of_any_depth(spark):
