@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.functions.text import any_of
@@ -54,9 +51,14 @@ GENERIC_TLDS = [
     "shop", "app", "dev", "onion", "work", "click", "link", "live", "icu", "fun", "buzz", "host", "space", "website", "press", "party",
     "stream", "download", "loan", "review", "date", "trade", "racing", "win", "bid", "faith", "cricket", "men",
 ]
-#: A country's two-letter code (ISO 3166) is a domain ending, but for these; and these others are as well.
-NO_COUNTRY_TLDS = ["aq", "as", "bl", "bq", "bv", "eh", "er", "gs", "hm", "km", "mf", "mh", "pf", "sj", "tf", "tm", "um"]
-FURTHER_TLDS = ["ac", "eu", "su", "uk"]
+#: Fixed: the two-letter domain endings.
+COUNTRY_TLDS = """
+    ac ad ae af ag ai al am ao ar at au aw ax az ba bb bd be bf bg bh bi bj bm bn bo br bs bt bw by bz ca cc cd cf cg ch ci ck cl cm cn co cr cu cv cw
+    cx cy cz de dj dk dm do dz ec ee eg es et eu fi fj fk fm fo fr ga gb gd ge gf gg gh gi gl gm gn gp gq gr gt gu gw gy hk hn hr ht hu id ie il im in
+    io iq ir is it je jm jo jp ke kg kh ki kn kp kr kw ky kz la lb lc li lk lr ls lt lu lv ly ma mc md me mg mk ml mm mn mo mp mq mr ms mt mu mv mw mx
+    my mz na nc ne nf ng ni nl no np nr nu nz om pa pe pg ph pk pl pm pn pr ps pt pw py qa re ro rs ru rw sa sb sc sd se sg sh si sk sl sm sn so sr ss
+    st su sv sx sy sz tc td tg th tj tk tl tn to tr tt tv tw tz ua ug uk us uy uz va vc ve vg vi vn vu wf ws ye yt za zm zw
+""".split()
 AMBIGUOUS_TLDS = ["py", "pl", "sh", "so", "rs", "md", "pm", "ax", "nc"]
 DOS_COMMANDS = [
     "append", "assign", "attrib", "chcp", "chkdsk", "choice", "command", "comp", "country", "ctty", "debug", "deltree", "diskcomp", "diskcopy",
@@ -67,6 +69,8 @@ DOS_COMMANDS = [
 MAIL_PATTERN = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,24}"
 DOMAIN_PATTERN = r"(?i)(?<![@\\])\b(?:[a-z0-9-]{1,63}\.)+[a-z]{2,24}\b"
 ONION_PATTERN = r"(?i)[a-z0-9]{16,56}\.onion"
+#: Fixed: the digits of base58.
+BASE58 = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
 WALLET_PATTERN = r"\b[13][a-km-zA-HJ-NP-Z1-9]{25,34}\b"
 REGISTRY_PATTERNS = [
     r"""(?i)(?:HKLM|HKEY_LOCAL_MACHINE|HKCU|HKEY_CURRENT_USER|HKCR|HKEY_CLASSES_ROOT|HKU|HKEY_USERS)\\[^\s"'|]+""",
@@ -320,9 +324,8 @@ def status_rows(tool: str, message: str, spark) -> DataFrame:
 
 
 def registered_tld(tld: Column) -> Column:
-    """A generic domain ending or a country's; the countries are those that the JVM knows from ISO 3166."""
-    countries = {str(c).lower() for c in SparkSession.active()._jvm.java.util.Locale.getISOCountries()}
-    return tld.isin([*GENERIC_TLDS, *sorted(countries - set(NO_COUNTRY_TLDS)), *FURTHER_TLDS])
+    """Whether a domain ending is a generic or a country's one."""
+    return tld.isin([*GENERIC_TLDS, *COUNTRY_TLDS])
 
 
 def onions(texts: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -331,29 +334,38 @@ def onions(texts: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) ->
     return texts.where(F.contains(F.lower(F.col(text)), F.lit(".onion"))).select(*keep, F.explode(found).alias("value"))
 
 
-def valid_wallet(address: str) -> bool:
-    """Whether a base58 address decodes to 21 bytes with the right four check bytes."""
-    number = 0
-    for c in address:
-        at = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz".find(c)
-        if at < 0:
-            return False
-        number = number * 58 + at
-    if number >= 1 << 200:
-        return False
-    data = number.to_bytes(25, "big")
-    return hashlib.sha256(hashlib.sha256(data[:-4]).digest()).digest()[:4] == data[-4:]
+def base58_hex(text: Column) -> Column:
+    """The number that a base58 text writes, as 50 hex digits (25 bytes); null if it has other characters or is larger.
+
+    Five limbs of 40 bits in an array are multiplied by 58 and carried for each character.
+    """
+    digits = F.transform(F.split(text, ""), lambda c: F.instr(F.lit(BASE58), c) - 1)
 
+    def step(limbs: Column, digit: Column) -> Column:
+        carry, out = digit.cast("long"), []
+        for i in range(5):
+            value = F.get(limbs, F.lit(i)) * 58 + carry
+            out.append(value.bitwiseAND((1 << 40) - 1) if i < 4 else F.least(value, F.lit(1 << 40)))  # what runs over stays over
+            carry = F.shiftright(value, 40)
+        return F.array(*out)
 
-def wallets(texts: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Wallet addresses with a right checksum; the pattern runs in SQL, only its few finds go through Arrow."""
+    start = F.array(*[F.lit(0).cast("long")] * 5)
+    limbs = F.aggregate(digits, start, step)
+    number = F.concat(*(F.lpad(F.hex(F.get(limbs, F.lit(i))), 10, "0") for i in reversed(range(5))))
+    return F.when(F.forall(digits, lambda d: d >= 0) & (F.get(limbs, F.lit(4)) < (1 << 40)), number)
 
-    @F.pandas_udf("boolean")
-    def checked(s: pd.Series) -> pd.Series:
-        return s.map(valid_wallet)
 
+def wallet_checks(address: Column) -> Column:
+    """Whether a base58 address decodes to 21 bytes with the right four check bytes (the first of their double SHA-256)."""
+    number = base58_hex(address)
+    digest = F.sha2(F.unhex(F.sha2(F.unhex(F.substring(number, 1, 42)), 256)), 256)
+    return F.coalesce(F.substring(digest, 1, 8) == F.lower(F.substring(number, 43, 8)), F.lit(False))
+
+
+def wallets(texts: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Wallet addresses with a right checksum, each once for the kept columns."""
     found = texts.select(*keep, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(WALLET_PATTERN), F.lit(0)))).alias("value"))
-    return found.where(checked("value"))
+    return found.where(wallet_checks(F.col("value")))
 
 
 def mail_addresses(texts: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

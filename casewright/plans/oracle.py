@@ -315,6 +315,37 @@ def _forest(baseline: str, levels: int = 8) -> tuple[str, ...]:
 
 FOREST = _forest("severity = 'low' AND seq % 7 = 0")
 
+PLANTED = rf"""planted AS (
+    SELECT doc_id, coalesce(text, '') || chr(10) || 'pay ' || {texts(q.PLANTED_WALLETS)}[doc_id % {len(q.PLANTED_WALLETS)} + 1] || ' GET http://callback-' || doc_id % 6 || '.xyz/gate.php Host: beacon' || doc_id % 3 || '.example.to api.svc' || doc_id % 4 ||
+        '.net:8443 seen across' || doc_id % 2 || '.com microsoft.com.evil.ru www.microsoft.com COMMAND.COM main.py lib.so f0hht.ht x.com -bad.org HKLM\Software\Run' || doc_id % 4 || '|x \Registry\User\S' || doc_id % 2 || ' a.b' || doc_id % 5 ||
+        '@evil-mail.org ..x@a.com 12@34.com a@b.py ABCDEFGHIJKLMNOP' || doc_id % 7 || '.onion hklm\software\run1' AS text FROM documents)"""
+ENDINGS = _inlist([*extraction.GENERIC_TLDS, *extraction.COUNTRY_TLDS])
+WALLET_ROWS = r"""wallet_found AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\b[13][a-km-zA-HJ-NP-Z1-9]{25,34}\b')) AS value FROM planted),
+wallet_limbs AS (
+    SELECT doc_id, value, list_reduce(list_transform(string_split(value, ''), lambda c: [strpos('123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz', c)::HUGEINT - 1, 0]),
+        lambda a, d: [(a[1] * 58 + d[1]) % (1::HUGEINT << 100), a[2] * 58 + (a[1] * 58 + d[1]) // (1::HUGEINT << 100)]) AS v FROM wallet_found),
+wallet_bytes AS (SELECT doc_id, value, list_reduce(list_transform([v[2] // (1::HUGEINT << 60), v[2] // (1::HUGEINT << 20) % (1::HUGEINT << 40), v[2] % (1::HUGEINT << 20) * (1::HUGEINT << 20) + v[1] // (1::HUGEINT << 80),
+        v[1] // (1::HUGEINT << 40) % (1::HUGEINT << 40), v[1] % (1::HUGEINT << 40)], lambda x: lpad(lower(to_hex(x::BIGINT)), 10, '0')), lambda x, y: x || y) AS h FROM wallet_limbs WHERE v[2] < (1::HUGEINT << 100)),
+wallet_rows AS (SELECT doc_id, value FROM wallet_bytes WHERE left(sha256(unhex(sha256(unhex(left(h, 42))))), 8) = right(h, 8))"""
+REGISTRY_ROWS = r"""registry_rows AS (SELECT DISTINCT doc_id, unnest(list_concat(
+        regexp_extract_all(text, '(?i)(?:HKLM|HKEY_LOCAL_MACHINE|HKCU|HKEY_CURRENT_USER|HKCR|HKEY_CLASSES_ROOT|HKU|HKEY_USERS)\\[^\s"''|]+'), regexp_extract_all(text, '(?i)\\Registry\\(?:Machine|User)\\[^\s"''|]+'))) AS value FROM planted)"""
+SWEEP_ROWS = rf"""onion_rows AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]{{16,56}}\.onion')) AS value FROM planted),
+mail_rows AS (SELECT * FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,24}}')) AS value FROM planted)
+    WHERE regexp_matches(value, '^[^@]*[A-Za-z][^@]*@') AND NOT regexp_matches(value, '^\.|\.@|\.\.[^@]*@') AND regexp_matches(value, '@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)*[A-Za-z0-9][A-Za-z0-9-]*[A-Za-z0-9]\.[A-Za-z]+$')
+        AND lower(regexp_extract(value, '[A-Za-z]+$')) IN {ENDINGS} AND lower(regexp_extract(value, '[A-Za-z]+$')) NOT IN {_inlist(extraction.AMBIGUOUS_TLDS)}),
+host_found AS (SELECT DISTINCT doc_id, text, unnest(regexp_extract_all(text, '(?i)(?:^|[^@\\])\b((?:[a-z0-9-]{{1,63}}\.)+[a-z]{{2,24}}\b)', 1)) AS found FROM planted),
+host_parts AS (SELECT *, lower(found) AS value, string_split(lower(found), '.') AS labels FROM host_found),
+host_named AS (SELECT *, labels[-1] AS tld, labels[-2] AS sld, len(labels) AS n, list_transform(range(1, len(labels) + 1), lambda i: array_to_string(labels[i:], '.')) AS ends FROM host_parts),
+host_good AS (SELECT *, starts_with(value, 'www.') OR regexp_matches(text, '(?i)(//|(host:|referer:|referrer:|location:|origin:|url=|uri=).{{0,10}})' || regexp_escape(found) || '([^a-z0-9.-]|$)')
+        OR regexp_matches(text, '(?i)(^|[^a-z0-9.-])' || regexp_escape(found) || '([/?]|:[0-9])') AS anchored FROM host_named
+    WHERE tld IN {ENDINGS} AND length(sld) >= 2 AND len(list_filter(labels, lambda x: starts_with(x, '-') OR ends_with(x, '-'))) = 0 AND NOT (tld IN {_inlist(extraction.AMBIGUOUS_TLDS)} AND n < 3)
+        AND NOT list_has_any(ends, {texts(extraction.BENIGN_DOMAINS)})),
+host_rows AS (SELECT doc_id, value, max(CASE WHEN anchored THEN 0.45 ELSE 0.2 END)::DOUBLE AS confidence FROM host_good WHERE anchored OR n <> 2
+    OR NOT (length(tld) = 2 AND length(sld) < 4 OR tld = 'com' AND sld IN {_inlist(extraction.DOS_COMMANDS)}
+        OR length(tld) = 2 AND (NOT contains(sld, '-') AND regexp_matches(sld, '[0-9]') OR ends_with(sld, tld) AND length(sld) - length(replace(sld, tld, '')) >= 4)) GROUP BY ALL),
+swept AS (SELECT 0 AS kind, doc_id, value, 'suspicious_domain' AS evidence_type, 'high' AS severity, 0.95::DOUBLE AS confidence FROM onion_rows UNION ALL SELECT 1, doc_id, value, 'suspicious_crypto', 'high', 0.93 FROM wallet_rows
+    UNION ALL SELECT 2, doc_id, value, 'email_address', 'medium', 0.85 FROM mail_rows UNION ALL SELECT 3, doc_id, value, 'registry_key', 'medium', 0.88 FROM registry_rows UNION ALL SELECT 4, doc_id, value, 'suspicious_domain', 'low', confidence FROM host_rows)"""
+
 ORACLE = {
     "evidence_view": with_ev(select="SELECT seq, case_id, machine_id, artifact_id, source_tool, evidence_type, timestamp, value, severity, confidence, coalesce(link, '') AS links FROM ev"),
     "contract": with_ev(
@@ -397,6 +428,9 @@ ORACLE = {
     "mails": r"""WITH found AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text || ' a.b@lib.dd c.d@host-' || doc_id % 5 || '.uk e@task.pf f@main.py', '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,24}'))) AS value FROM documents)
         SELECT * FROM found WHERE regexp_matches(value, '^[^@]*[A-Za-z][^@]*@') AND NOT regexp_matches(value, '^\.|\.@|\.\..*@') AND regexp_matches(value, '@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)*[A-Za-z0-9][A-Za-z0-9-]*[A-Za-z0-9]\.(com|net|org|uk)$')""",
     "onions": r"SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text || ' Visit ABCDEFGHIJKLMNOP' || doc_id % 7 || '.onion now'), '[a-z0-9]{16,56}\.onion'))) AS value FROM documents",
+    "wallets": f"WITH {PLANTED}, {WALLET_ROWS} SELECT doc_id, value FROM wallet_rows",
+    "registry_keys": f"WITH {PLANTED}, {REGISTRY_ROWS} SELECT doc_id, value FROM registry_rows",
+    "sweep": f"WITH {PLANTED}, {WALLET_ROWS}, {REGISTRY_ROWS}, {SWEEP_ROWS} SELECT doc_id, value, evidence_type, severity, confidence FROM swept QUALIFY row_number() OVER (PARTITION BY doc_id, lower(value) ORDER BY kind, value) = 1",
     "process_edges": with_ev(
         r"p AS (SELECT DISTINCT regexp_extract(value, '\(PID:(\d+)', 1) AS pid, regexp_extract(value, 'PPID:(\d+)', 1) AS ppid, split_part(value, ' ', 1) AS name FROM ev WHERE evidence_type = 'process')",
         select=f"SELECT DISTINCT a.pid AS parent_pid, a.name AS parent_name, c.pid AS child_pid, c.name AS child_name FROM p c JOIN p a ON a.pid = c.ppid WHERE (a.name, c.name) IN ({', '.join(str(r) for r in extraction.RELATIONS)})",

@@ -14,6 +14,8 @@ from casewright.schema import violations
 MAIL_WORDS = ["the", "und", "que", "password", "bank"]
 URL_WORDS = ["blog.", "utm_source", "login-secure"]
 CLASS_WORDS = {"english": ["the ", "tion", "ing "], "german": ["und ", "der ", "sch"], "french": ["que ", "eau", "ment"], "spanish": ["ción", "los ", "que "]}
+#: Addresses with a right checksum and, one character off, with a wrong one.
+PLANTED_WALLETS = ["1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa", "1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNb", "13AM4VW2dhxYgXeQepoHkHSQuy6NgaEb94", "13AM4VW2dhxYgXeQepoHkHSQuy6NgaEb95", "3J98t1WpEZ73CNmQviecrnyiWrnqRhWNLy"]
 BAD_HOSTS = ["node7.example.net", "198.51.100.7"]
 
 
@@ -268,9 +270,26 @@ def onions(spark, sf_dir):
     return extraction.onions(table(spark, sf_dir, "documents").withColumn("text", F.concat("text", F.lit(" Visit ABCDEFGHIJKLMNOP"), F.col("doc_id") % 7, F.lit(".onion now"))), keep=("doc_id",))
 
 
+def _planted(spark, sf_dir):
+    """Whole documents, each followed by a line with values of every kind of sweep, good and bad ones."""
+    n = lambda k: F.col("doc_id") % k
+    wallet = F.element_at(F.array(*map(F.lit, PLANTED_WALLETS)), (n(len(PLANTED_WALLETS)) + 1).cast("int"))
+    hosts = F.concat(F.lit(" GET http://callback-"), n(6), F.lit(".xyz/gate.php Host: beacon"), n(3), F.lit(".example.to api.svc"), n(4), F.lit(".net:8443 seen across"), n(2), F.lit(".com microsoft.com.evil.ru www.microsoft.com COMMAND.COM main.py lib.so f0hht.ht x.com -bad.org"))
+    others = F.concat(F.lit(" HKLM\\Software\\Run"), n(4), F.lit("|x \\Registry\\User\\S"), n(2), F.lit(" a.b"), n(5), F.lit("@evil-mail.org ..x@a.com 12@34.com a@b.py ABCDEFGHIJKLMNOP"), n(7), F.lit(".onion hklm\\software\\run1"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("\npay "), wallet, hosts, others).alias("text"))
+
+
+def wallets(spark, sf_dir):
+    return extraction.wallets(_planted(spark, sf_dir), keep=("doc_id",)).select("doc_id", "value")
+
+
+def registry_keys(spark, sf_dir):
+    return extraction.registry_keys(_planted(spark, sf_dir), keep=("doc_id",)).select("doc_id", "value")
+
+
 def sweep(spark, sf_dir):
-    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source"), "text")
-    return extraction.sweep(texts).select("source", "value", "evidence_type", "severity", "confidence")
+    """All sweeps over whole documents; a value belongs to the first kind that claims it."""
+    return extraction.sweep(_planted(spark, sf_dir), keep=("doc_id",)).select("doc_id", "value", "evidence_type", "severity", "confidence")
 
 
 def process_edges(spark, sf_dir):
@@ -531,7 +550,7 @@ def type_labels(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     evidence_view, contract, merge_tools, dedup_first, dedup_strongest, reconcile_tools, evidence_order, group_index, enrich, dedup_stats, sig_time, signals,
     document_ips, url_hosts, finding_member, annotate, findings, machine_summary, exfil_window, exfil_pairs_by_machine, linked_targets, linked_artifacts, rescore,
-    reputation, c2_port, derived_iocs, techniques, run_totals, conv_rollup, watch_port, dns_score, http_rows, mail_hits, url_hits, domains, mails, onions, sweep,
+    reputation, c2_port, derived_iocs, techniques, run_totals, conv_rollup, watch_port, dns_score, http_rows, mail_hits, url_hits, domains, mails, onions, wallets, registry_keys, sweep,
     process_edges, classify_texts, classify_conversations, artifact_types, affected, reconcile_cases, feature_rows, rule_scores, indicator_order, baseline_families,
     baseline_diff, machine_context, score_summary, forest_scores, rule_attribution, attribution, item_indicators, ioc_rollup, ioc_counts, folded, key_findings,
     linked_uncovered, tree_rows, cross_source_domains, aggregate, aggregate_items, aggregate_index, case_facts, case_advice, checked_contexts, ontology_rules, model_answers, correlation_context,
