@@ -3,11 +3,13 @@
 Candidates come from two searches: fingerprints within a radius (the
 vantage-point tree of simhash), and MinHash bands, which reach the pairs whose
 fingerprints differ in more bits. Both give stars, never all pairs. Each
-connected component of candidates is then searched for its true links.
+connected component of candidates is then searched for its true links: small
+ones inside one task, larger ones as a distributed join of rare shingles.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm import simhash
-from casewright.llm.common import BROADCAST_ROWS, checkpointed, join_unique
+from casewright.llm.common import BROADCAST_ROWS, checkpointed, join_unique, remove_folder, written
 from casewright.llm.components import connected_components
 
 #: Bands and their MinHash values: a pair of similarity s shares a band with chance 1 - (1 - s**5)**20, 0.9996 at 0.8.
 BANDS, BAND_ROWS = 20, 5
+#: A component of candidates goes to one task if it holds at most so many sets and shingles.
+TASK_SETS, TASK_SHINGLES = 512, 1 << 21
+#: Most sets of a group that all others are compared with in one round; it starts with one and has four times as many in each further round.
+LEADERS = 1024
 _MIX = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64) | np.uint64(1)
 _CHUNK = 4096
 
@@ -74,22 +80,23 @@ def similar_groups(sets: list[np.ndarray], least: float) -> np.ndarray:
 
 
 def _described(docs: DataFrame, id_col: str, text_col: str, words_per_shingle: int) -> DataFrame:
-    """id, text, fp, node (a hash of the shingle set) and bands for each row."""
+    """id, text, fp, node (a hash of the shingle set), size (of the set) and bands for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, nodes, bands = [], [], []
+            prints, nodes, sizes, bands = [], [], [], []
             for cell in batch.column(1).cast(pa.binary()):
                 text = cell.as_py()
                 shingles = shingle_set(text, words_per_shingle)
                 prints.append(simhash.shingle_fingerprint(text, words_per_shingle))
                 nodes.append(xxhash.xxh64_intdigest(shingles.tobytes()))
+                sizes.append(len(shingles))
                 bands.append(band_keys(shingles))
-            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (prints, nodes)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *longs, pa.array(bands, pa.list_(pa.int64()))], names=["id", "text", "fp", "node", "bands"])
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (prints, nodes, sizes)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *longs, pa.array(bands, pa.list_(pa.int64()))], names=["id", "text", "fp", "node", "size", "bands"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {id_type}, text string, fp long, node long, bands array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {id_type}, text string, fp long, node long, size long, bands array<long>")
 
 
 def _candidates(nodes: DataFrame, radius: int, shard_rows: int) -> DataFrame:
@@ -105,19 +112,82 @@ def _candidates(nodes: DataFrame, radius: int, shard_rows: int) -> DataFrame:
     return near.union(same).union(banded)
 
 
+def _rare_groups(sets: DataFrame, least: float) -> DataFrame:
+    """token, node: the shingles of which two sets share one if their similarity is `least` or more.
+
+    In one order of all shingles of a component, here by rarity, such sets share
+    one of their first n - ceil(least * n) + 1. Shingles that only one set holds
+    come first and meet nobody, so sets of one template with parts of their own meet nobody either.
+    """
+    tokens = sets.select("candidate", "node", "size", F.explode("shingles").alias("shingle"))
+    token = F.xxhash64("candidate", "shingle").alias("token")  # the same shingle in two components makes two groups
+    tokens = checkpointed(tokens.select("node", "size", token))
+    often = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    held = join_unique(tokens, checkpointed(often.withColumn("often", F.col("n"))), "token", "n")
+    first = F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9) + 1
+    per = held.groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("t"))  # of one text
+    alone = F.col("size") - F.size("t")
+    kept = per.where(first > alone).select("node", F.explode(F.slice("t", F.lit(1), (first - alone).cast("int"))).alias("s")).select("node", "s.token")
+    return checkpointed(kept)
+
+
+def _linked_sets(sets: DataFrame, least: float) -> tuple[DataFrame, str]:
+    """a, b (and the folder of that table): links of similarity `least` and more that join the sets (candidate, node, size, shingles) as all such links would.
+
+    In each round every group of sets that share a rare shingle names some
+    leaders; all others that are not known to belong with a leader are compared
+    with it. Leaders have then met the whole group and leave it. Groups whose
+    sets all belong together are done: copies take one round, and a group of g
+    sets some g / LEADERS at most. Pairs are ids; sets are joined to them afterwards.
+    """
+    spark = sets.sparkSession
+    # Tables are written each round, as sizes that are carried through so many joins would outgrow any number.
+    members, path = written(_rare_groups(sets, least).withColumn("comp", F.col("node")), "copies-members")
+    links, links_path = written(sets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "copies-links")
+    for turn in itertools.count():
+        groups = members.groupBy("token").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("node").alias("first")).where("low < high").drop("low", "high")
+        most = min(LEADERS, 4**turn) if turn else 0
+        leads = (F.col("node") == F.col("first")) | (F.pmod(F.xxhash64("node", F.lit(turn)), F.col("n")) < most)
+        met, met_path = written(join_unique(members, checkpointed(groups.withColumn("rows", F.col("n"))), "token", "rows").withColumn("leads", leads), "copies-members")
+        remove_folder(spark, path)
+        if met.isEmpty():
+            remove_folder(spark, met_path)
+            return links, links_path
+        leaders = checkpointed(met.where("leads").groupBy("token").agg(F.collect_list(F.struct(F.col("node").alias("b"), F.col("comp").alias("c"))).alias("to"), F.first("n").alias("n")))
+        meetings = join_unique(met.select("token", "node", "comp"), leaders, "token", "n").select(F.col("node").alias("a"), "comp", F.explode("to").alias("to"))
+        pairs, pairs_path = written(meetings.where("to.b <> a AND to.c <> comp").select(F.least("a", "to.b").alias("a"), F.greatest("a", "to.b").alias("b")).distinct(), "copies-pairs")
+        sized = sets.select("node", "size", "shingles")
+        left, right = (sized.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("shingles").alias(f"{x}_set")) for x in "ab")
+        both = F.size(F.array_intersect("a_set", "b_set"))
+        close = pairs.join(left, "a").join(right, "b").where(F.least("a_size", "b_size") >= least * F.greatest("a_size", "b_size") - 1e-9)
+        found = close.withColumn("both", both).where(F.col("both") >= least * (F.col("a_size") + F.col("b_size") - F.col("both")) - 1e-9).select("a", "b")
+        more, more_path = written(links.union(found), "copies-links")
+        rest = met.where("NOT leads").select("token", "node").join(connected_components(more, "a", "b"), "node", "left")
+        members, path = written(rest.select("token", "node", F.coalesce("root", "node").alias("comp")), "copies-members")
+        for done in (met_path, pairs_path, links_path):
+            remove_folder(spark, done)
+        links, links_path = more, more_path
+
+
 def near_duplicates(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, radius: int = 6, shard_rows: int = 1024) -> DataFrame:
     """One row per input row: id, component (the smallest id of its group).
 
     Rows link if the Jaccard similarity of their sets of shingles is `least` or
     more; rows without words link to each other. Equal sets are one node, so
-    copies never become pairs. Null and repeated ids are as in simhash. The
-    texts of one component of candidates, each set once, are held by one task.
+    copies never become pairs. Null and repeated ids are as in simhash. A
+    component of candidates with few sets is verified by one task, any other by
+    joins; both are exact.
     """
+    spark = docs.sparkSession
     made = checkpointed(_described(docs, id_col, text_col, words_per_shingle))
-    nodes = checkpointed(made.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("rows"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    nodes = checkpointed(made.groupBy("node").agg(F.min("id").alias("first_id"), F.count("*").alias("rows"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands")))
     candidates = checkpointed(connected_components(_candidates(nodes, radius, shard_rows), "a", "b").withColumnRenamed("root", "candidate"))
     few = candidates.count() <= BROADCAST_ROWS  # then only texts of candidates move
-    texts = made.select("node", "text").join(F.broadcast(candidates) if few else candidates, "node").dropDuplicates(["node"])
+    large = checkpointed(candidates.join(nodes.select("node", "size"), "node").groupBy("candidate").agg(F.count("*").alias("sets"), F.sum("size").alias("size")).where((F.col("sets") > TASK_SETS) | (F.col("size") > TASK_SHINGLES)).select("candidate"))
+    some_large = not large.isEmpty()
+    texts = made.select("node", "text", "size").join(F.broadcast(candidates) if few else candidates, "node").dropDuplicates(["node"])
+    if some_large:
+        texts = checkpointed(texts)
 
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node")
@@ -125,7 +195,19 @@ def near_duplicates(docs: DataFrame, least: float, id_col: str = "doc_id", text_
         sets = [shingle_set(None if t is None else t.encode(), words_per_shingle) for t in rows["text"]]
         return pd.DataFrame({"node": names, "root": names[similar_groups(sets, least)]})
 
-    roots = texts.groupBy("candidate").applyInPandas(verify, "node long, root long")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(t.as_py(), words_per_shingle).view(np.int64) for t in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("candidate"), batch.column("node"), batch.column("size"), pa.array(found, pa.list_(pa.int64()))], names=["candidate", "node", "size", "shingles"])
+
+    small = texts.join(large, "candidate", "left_anti") if some_large else texts  # each component's texts, or a part of them, lie in one task here
+    roots = small.select("candidate", "node", "text").groupBy("candidate").applyInPandas(verify, "node long, root long")
+    if some_large:
+        sets, sets_path = written(texts.join(large, "candidate", "left_semi").mapInArrow(cut, "candidate long, node long, size long, shingles array<long>"), "copies-sets")
+        links, links_path = _linked_sets(sets, least)
+        roots = roots.union(connected_components(links, "a", "b"))
+        remove_folder(spark, sets_path)
+        remove_folder(spark, links_path)
     labels = simhash.group_labels(nodes.select("node", "first_id", "rows"), roots, "node")
     return join_unique(made.select("id", "node"), labels, "node", "rows").select("id", "component")
 

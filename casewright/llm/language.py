@@ -25,7 +25,7 @@ BUCKETS = 256
 PIECE_BYTES = 4096
 #: Least margin (share of the runner-up's bytes) that is not a rejection.
 MARGIN = 0.002
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = re.compile(r"[^\W\d_]")  # and some number signs, which isalpha() tells apart
 _ONLY_LETTERS = bytes(c if chr(c).islower() and c < 128 or c >= 128 else 32 for c in range(256))
 
 
@@ -71,7 +71,7 @@ class Compressors:
 
     def judge(self, text: str | None) -> tuple[str, float, float]:
         """Language, score and margin; und with zeros for null, no letter or no learned language."""
-        if not text or not self.langs or not _LETTER.search(text):
+        if not text or not self.langs or not any(m[0].isalpha() for m in _LETTER.finditer(text)):
             return "und", 0.0, 0.0
         words = plain(text)
         pieces = [words[i : i + PIECE_BYTES] for i in range(0, len(words), PIECE_BYTES)]

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import checkpointed, free_name, join_unique, without
+from casewright.llm.common import bounded_sample, checkpointed, free_name, join_unique, without
 from casewright.llm.components import connected_components
 
 BITS = 64
@@ -193,7 +193,7 @@ def link_fingerprints(prints: DataFrame, radius: int = 2, shard_rows: int = 1024
     """
     count = prints.count()
     depth = min(max_depth, max(0, int(np.ceil(np.log2(max(1, count) / shard_rows)))))
-    sample = prints.orderBy(F.xxhash64("fp"), "fp").limit(min(sample_rows, 16 << depth)).collect() if depth else []
+    sample = bounded_sample(prints, "fp", min(sample_rows, 16 << depth)).collect() if depth else []
     tree = build_tree(np.array([r.fp for r in sample], np.int64).view(np.uint64), radius, depth)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import checkpointed, extended, free_name, held_out
+from casewright.llm.common import bounded_sample, checkpointed, extended, free_name, held_out
 
 #: Bound of the labelled sample (rows of lowest hash of their id) that the lexicon is fitted on.
 SAMPLE_ROWS = 20_000
@@ -138,7 +138,7 @@ def fit_lexicon(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     without its own part in the counts.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
+    chosen = bounded_sample(known, "id", SAMPLE_ROWS)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.lower(text_col).alias("text"))
     sample = checkpointed(texts.join(F.broadcast(chosen), "id").select("toxic", "text"))
 

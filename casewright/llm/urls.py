@@ -12,7 +12,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casewright.llm.common import checkpointed, free_name
+from casewright.llm.common import bounded_sample, checkpointed, free_name
 
 #: Fixed base rules: verdict, host, path.
 BASE_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -72,7 +72,9 @@ def mine_rules(labelled: DataFrame, url_col: str = "url", label_col: str = "bloc
     Rows with a null url or label teach nothing; no rows give no rules.
     """
     known = labelled.where(F.col(url_col).isNotNull() & F.col(label_col).isNotNull())
-    sample = known.orderBy(F.xxhash64(url_col), url_col, label_col).limit(sample_pages)
+    # Pages that share a url and a label are told apart by a row number, so that a hot url is sampled like any other.
+    rows = checkpointed(known.select(F.col(url_col), F.col(label_col), F.monotonically_increasing_id().alias("_row")))
+    sample = bounded_sample(rows, "_row", sample_pages)
     tokens = tokens_of(F.col(url_col))
     baskets = checkpointed(sample.select(F.when(F.col(label_col).cast("int") == 1, F.concat(tokens, F.array(F.lit(_BLOCKED)))).otherwise(tokens).alias("items")))
     pages, blocked = baskets.agg(F.count("*"), F.count_if(F.array_contains("items", _BLOCKED))).first()

@@ -61,3 +61,44 @@ def test_pipeline_stage_drops_copies_beyond_the_radius(spark):
     kept = {r.doc_id for r in corpus_pipeline.keep_one_of_copies(spark, docs, "").collect()}
     assert not [(a, b) for a in kept for b in kept if a < b and jaccard(sets[a], sets[b]) >= 0.8]
     assert all(any(jaccard(sets[i], sets[j]) >= 0.8 for j in sets if j != i) for i in sets.keys() - kept)
+
+
+def by_brute_force(rows):
+    sets = {i: plain_set(t) for i, t in rows}
+    label = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.8]
+    for _ in range(len(sets)):
+        before = dict(label)
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+        if before == label:
+            return label
+    return label
+
+
+def test_large_components_are_verified_by_joins(spark, monkeypatch):
+    """Templates below 0.8, copies above it, and chains of small steps, all as one component of candidates."""
+    monkeypatch.setattr(copies, "TASK_SETS", 0)
+    rng = random.Random(9)
+    words = [f"v{i}" for i in range(5000)]
+    shared, texts = [rng.choice(words) for _ in range(120)], []
+    for i in range(60):  # a template with a part of each one's own: similarity about 0.7
+        texts.append(" ".join(shared + [f"own{i}x{j}" for j in range(22)]))
+    copy = [rng.choice(words) for _ in range(150)]
+    for i in range(60):  # near copies
+        other = list(copy)
+        other[rng.randrange(150)] = f"new{i}"
+        texts.append(" ".join(other))
+    chain = [rng.choice(words) for _ in range(120)]
+    for i in range(40):  # neighbours are similar, ends are not
+        chain[3 * i : 3 * i + 3] = [f"c{i}a", f"c{i}b", f"c{i}c"]
+        texts.append(" ".join(chain))
+    passages = [[rng.choice(words) for _ in range(25)] for _ in range(12)]
+    for _ in range(60):  # combinations of the same passages
+        texts.append(" ".join(w for k in sorted(rng.sample(range(12), 9)) for w in passages[k]))
+    rows = list(enumerate(texts)) + [(900, None), (901, ""), (902, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    wanted = by_brute_force(rows)
+    assert len(set(wanted.values())) > 70
+    monkeypatch.setattr(copies, "_candidates", lambda nodes, radius, shards: nodes.crossJoin(nodes.agg(copies.F.min("node").alias("b"))).select(copies.F.col("node").alias("a"), "b"))
+    assert {r.id: r.component for r in copies.near_duplicates(docs, 0.8).collect()} == wanted

@@ -80,3 +80,10 @@ def test_predictions_equal_a_plain_version(spark, rows):
 def test_passages_come_from_anywhere(spark):
     docs = spark.createDataFrame([(i, "start " * 200 + f"middle{i} " * 3000, "xx") for i in range(60)], "doc_id long, text string, lang string")
     assert language.fit_dictionaries(docs)["xx"].count(b"start ") < 20
+
+
+def test_number_signs_are_no_letters():
+    judge = language.Compressors({"de": b"der die das und ein ", "en": b"the and of to in a "}).judge
+    for text in ("\u00bd \u00b2", "\u2167", "\u2460", "12 34", "___", ""):
+        assert judge(text)[0] == "und"
+    assert judge("\u00bd the and")[0] != "und"
