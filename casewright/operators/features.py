@@ -1,4 +1,4 @@
-"""Features, rule scores and contexts of evidence items."""
+"""Features, rule scores and contexts of evidence items."""
 
 from __future__ import annotations
 
@@ -156,14 +156,6 @@ def case_context(findings: DataFrame, most: int = 5) -> DataFrame:
     return counts.join(top, "case_id").withColumn("has_exfiltration", F.col("n_exfiltration") > 0)
 
 
-def reasons(scored: DataFrame) -> DataFrame:
-    """Adds reason (the leading indicators) and actions, at most five distinct review steps by family."""
-    lead = F.slice(indicator_ranking(), 1, 3)
-    steps = F.array(F.when(F.col("port_is_known_c2") > 0, "review the connection's peer"), F.when(F.col("is_suspicious_process") > 0, "review the process and its parent"), F.when(F.col("path_in_temp") > 0, "collect the file from its folder"), F.when(F.col("keyword_exfil") > 0, "review outbound transfers"), F.when(F.col("is_anomaly"), "compare with the baseline"))
-    text = F.when(F.size(lead) > 0, F.concat(F.lit("led by "), F.array_join(lead, ", "))).otherwise("no indicator is active")
-    return scored.withColumn("reason", text).withColumn("actions", F.slice(F.array_distinct(F.array_compact(steps)), 1, 5))
-
-
 def score_summary(scored: DataFrame) -> DataFrame:
     """Rows and anomalies of each family, and of all in the row without a family."""
     return scored.rollup("family").agg(F.count("*").alias("n"), F.count_if("is_anomaly").alias("n_anomalies"))

@@ -1,4 +1,4 @@
-"""Isolation forest and Shapley attribution over distinct feature vectors."""
+"""Isolation forest and Shapley attribution over distinct feature vectors."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casewright.operators.features import FEATURES, WEIGHTS, final_score
+from casewright.operators.features import FEATURES, WEIGHTS
 from casewright.session import checkpointed
 
 TREES, SAMPLE, CONTAMINATION, SEED, BACKGROUND = 200, 256, 0.01, 42, 64
@@ -168,19 +168,11 @@ def model_scores(vectors: DataFrame, baseline: DataFrame, forest: DataFrame) ->
     every = rows.groupBy("family", *FEATURES).agg(F.sum("n_rows").alias("n_base"), F.max("asked").alias("asked"))
     scored = checkpointed(raw_scores(every, forest))
     offset = scored.where("n_base > 0").groupBy("family").agg(F.percentile("raw", CONTAMINATION, F.col("n_base")).alias("offset"))
-    own = scored.where("asked").join(offset, "family").select("family", *FEATURES, (F.col("raw") - F.col("offset")).alias("model_score"))
+    own = scored.where("asked").join(offset, "family").select("family", *FEATURES, (F.round(F.col("raw") - F.col("offset"), 12) + 0.0).alias("model_score"))  # the order of sums does not show
     without = vectors.select("family", *FEATURES).join(forest.select("family").distinct(), "family", "left_anti").withColumn("model_score", F.lit(0.0))
     return own.unionByName(without)
 
 
-def score_items(items: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Items (with family and features) with model, rule and final scores; each distinct vector is scored once."""
-    vectors = distinct_vectors(items)
-    scored = model_scores(vectors, baseline, fit_forest(baseline))
-    joined = items.join(scored, ["family", *FEATURES])
-    return final_score(joined, F.col("model_score"))
-
-
 def rule_attribution(vectors: DataFrame, baseline: DataFrame) -> DataFrame:
     """M10, rule part: weight times (value less baseline mean) for each penalised feature; the Shapley values of a linear score."""
     means = baseline.groupBy("family").agg(*(F.avg(f).alias(f"m_{f}") for f in WEIGHTS))

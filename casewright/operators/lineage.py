@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.operators.ordering import numbered_within
-from casewright.schema import severity_name, severity_rank
+from casewright.schema import make_items, severity_name, severity_rank
 from casewright.session import checkpointed
 
 PROCESS_TYPES = ["process", "memprocfs_process"]
@@ -97,3 +97,24 @@ def tree_order(nodes: DataFrame, most: int | None = 40) -> DataFrame:
     else:
         out = out.withColumn("row", F.row_number().over(Window.partitionBy("case_id").orderBy(*order))).where(F.col("row") <= most)
     return out.withColumn("path", F.array_join(F.transform("_p", lambda s: s["pid"]), ".")).drop("_p")
+
+
+def tree_summaries(processes: DataFrame, most_depth: int = 5) -> DataFrame:
+    """One process_tree row for each root, its value the tree below it as indented text down to most_depth.
+
+    processes: case_id, pid, ppid, name, first_seq. A root's parent is unknown;
+    children come in first-seen order. One join for each level, so circles,
+    which no root reaches, are never entered.
+    """
+    known = processes.select("case_id", F.col("pid").alias("ppid")).distinct()
+    step = F.array(F.struct("first_seq", "pid"))
+    roots = processes.join(known, ["case_id", "ppid"], "left_anti")
+    level = checkpointed(roots.select("case_id", F.col("pid").alias("root"), "pid", "name", step.alias("path")))
+    every, children = level, processes.select("case_id", F.col("ppid").alias("up"), "pid", "name", step.alias("step"))
+    for _ in range(most_depth):
+        above = level.select("case_id", "root", F.col("pid").alias("up"), "path")
+        level = checkpointed(children.join(above, ["case_id", "up"]).select("case_id", "root", "pid", "name", F.concat("path", "step").alias("path")))
+        every = every.unionByName(level)
+    line = F.concat(F.repeat(F.lit("  "), F.size("path") - 1), "name", F.lit(" (PID:"), "pid", F.lit(")"))
+    whole = every.withColumn("line", line).groupBy("case_id", "root").agg(F.expr("listagg(line, '\n') WITHIN GROUP (ORDER BY path)").alias("text"))
+    return make_items(whole, F.concat(F.lit("process_tree_"), "root"), "volatility3", "process_tree", F.col("text"), "medium", 0.95, keep=("case_id",))

@@ -1,4 +1,4 @@
-"""Report tables: indicators, key findings, coverage, verdicts."""
+"""Report tables: indicators, key findings, coverage, verdicts."""
 
 from __future__ import annotations
 
@@ -192,9 +192,3 @@ def normalise_explanations(documents: DataFrame, text: str = "text") -> DataFram
 def dashboard(items: DataFrame) -> DataFrame:
     """For each case the counts that the front page shows."""
     return items.groupBy("case_id").agg(F.count("*").alias("n_items"), F.count_if(F.col("severity") == "critical").alias("n_critical"), F.count_if(F.col("evidence_type") == "ioc").alias("n_iocs"), F.count_if(F.col("evidence_type") == "process_tree").alias("n_trees"))
-
-
-def explained_anomalies(scored: DataFrame, most: int = 8) -> DataFrame:
-    """Each case's first `most` anomalous items by seq."""
-    w = Window.partitionBy("case_id").orderBy("seq")
-    return scored.where("is_anomaly").withColumn("row", F.row_number().over(w)).where(F.col("row") <= most)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from casewright.operators import classify, extraction, features, indicators
+from casewright.operators import classify, explain, extraction, features, indicators
 from casewright.plans import queries as q
 from casewright.plans.evidence_view import VIEW_SQL
 
@@ -309,7 +309,7 @@ def _forest(baseline: str, levels: int = 8) -> tuple[str, ...]:
     leaves = " UNION ALL ".join(f"SELECT * FROM leaf{d}" for d in range(levels + 1))
     ctes.append(f"raw AS MATERIALIZED (SELECT family, x, -pow(2, -avg(path) / greatest({_c('any_value(n_all)')}, 1e-9)) AS raw FROM ({leaves}) GROUP BY family, x)")
     ctes.append(f"least_normal AS (SELECT family, quantile_cont(raw, 0.01) AS offset_ FROM (SELECT family, {x_of} AS x FROM feats WHERE {baseline}) JOIN raw USING (family, x) GROUP BY family)")
-    ctes.append("model_scores AS MATERIALIZED (SELECT e.family, e.x, coalesce(r.raw - o.offset_, 0.0::DOUBLE) AS model_score FROM everyone e LEFT JOIN raw r USING (family, x) LEFT JOIN least_normal o ON e.family = o.family)")
+    ctes.append("model_scores AS MATERIALIZED (SELECT e.family, e.x, coalesce(round(r.raw - o.offset_, 12) + 0.0::DOUBLE, 0.0::DOUBLE) AS model_score FROM everyone e LEFT JOIN raw r USING (family, x) LEFT JOIN least_normal o ON e.family = o.family)")
     return tuple(ctes)
 
 
@@ -346,6 +346,66 @@ host_rows AS (SELECT doc_id, value, max(CASE WHEN anchored THEN 0.45 ELSE 0.2 EN
 swept AS (SELECT 0 AS kind, doc_id, value, 'suspicious_domain' AS evidence_type, 'high' AS severity, 0.95::DOUBLE AS confidence FROM onion_rows UNION ALL SELECT 1, doc_id, value, 'suspicious_crypto', 'high', 0.93 FROM wallet_rows
     UNION ALL SELECT 2, doc_id, value, 'email_address', 'medium', 0.85 FROM mail_rows UNION ALL SELECT 3, doc_id, value, 'registry_key', 'medium', 0.88 FROM registry_rows UNION ALL SELECT 4, doc_id, value, 'suspicious_domain', 'low', confidence FROM host_rows)"""
 
+def _pick(feature: str, values: dict[str, str]) -> str:
+    quoted = ", ".join("'" + k + "': '" + v.replace("'", "''") + "'" for k, v in values.items())
+    return f"(MAP {{{quoted}}})[{feature}]"
+
+
+_MEANING = lambda f: _pick(f, explain.MEANINGS)
+_SENTENCE, _LABEL = {k: s for k, (_, s) in explain.SENTENCES.items()}, {k: n for k, (n, _) in explain.SENTENCES.items()}
+_SHOWN = lambda f: f"coalesce({_pick(f, explain.SHOWN)}, {f})"
+_PERCENT = "printf('%.0f%%', anomaly_confidence * 100)"
+_UNPIVOT = " UNION ALL ".join(f"SELECT family, x, {i} AS i, '{f}' AS feature, x[{i + 1}] AS value FROM everyone" for i, f in enumerate(features.FEATURES))
+_X = "[" + F_LIST + "]"
+_LEADS = ", ".join(f"CASE WHEN {f} > 0 THEN '{f}' END" for f, _ in sorted(features.INDICATORS, key=lambda x: -x[1]))
+#: From feats and model_scores: factors of the rules, comparisons, scores and texts of every item (told).
+EXPLAINED = (
+    f"longer AS MATERIALIZED ({_UNPIVOT})",
+    "means AS MATERIALIZED (SELECT l.family, l.feature, avg(l.value) AS mean FROM longer l JOIN (SELECT family, " + _X + " AS x FROM feats WHERE severity = 'low' AND seq % 7 = 0) b ON l.family = b.family AND l.x = b.x GROUP BY ALL)",
+    "phis AS (SELECT l.*, round((MAP {" + ", ".join(f"'{f}': {w}::DOUBLE" for f, w in features.WEIGHTS.items()) + "})[l.feature] * (value - mean), 6) + 0.0::DOUBLE AS phi FROM longer l JOIN means m USING (family, feature) WHERE l.feature IN " + _inlist(list(features.WEIGHTS)) + ")",
+    "top_factors AS (SELECT family, x, list({'feature': feature, 'phi': phi} ORDER BY n) AS factors FROM (SELECT *, row_number() OVER (PARTITION BY family, x ORDER BY abs(phi) DESC, i) AS n FROM phis) WHERE n <= 5 GROUP BY ALL)",
+    """top_comparisons AS (SELECT family, x, list({'feature': feature, 'x': value, 'mean': round(mean, 4), 'side': CASE WHEN value > mean THEN 'above baseline' ELSE 'below baseline' END} ORDER BY n) AS comparisons
+        FROM (SELECT l.*, mean, row_number() OVER (PARTITION BY family, x ORDER BY round(abs(value - mean), 4) DESC, i) AS n FROM longer l JOIN means USING (family, feature) WHERE round(abs(value - mean), 4) > 0) WHERE n <= 5 GROUP BY ALL)""",
+    f"final AS (SELECT f.*, m.model_score, round({RULE}, 4) AS rule_score, round(m.model_score + ({RULE}), 4) AS score, round(m.model_score + ({RULE}), 9) < -0.1 AS is_anomaly, round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, 0.5 - (m.model_score + ({RULE})))), 4) AS anomaly_confidence, m.x FROM feats f JOIN model_scores m ON f.family = m.family AND {_X} = m.x)",
+    f"""gathered AS (SELECT f.*, coalesce(t.factors, []) AS factors, coalesce(c.comparisons, []) AS comparisons, list_filter(coalesce(t.factors, []), lambda e: e.phi < 0) AS drivers, list_filter([{_LEADS}], lambda e: e IS NOT NULL) AS leads
+        FROM final f LEFT JOIN top_factors t ON f.family = t.family AND f.x = t.x LEFT JOIN top_comparisons c ON f.family = c.family AND f.x = c.x)""",
+    f"""told AS MATERIALIZED (SELECT *, CASE WHEN is_anomaly AND len(drivers) = 0 THEN ['{explain.MANUAL_REVIEW}'] ELSE list_transform(drivers, lambda e: {_pick('e.feature', explain.ACTIONS)})[1:5] END AS actions,
+        CASE WHEN NOT is_anomaly THEN printf('Artifact %s (%s) matches expected baseline behaviour. No suspicious indicators were triggered. Anomaly score %+.3f is within the normal operating range.', artifact_id, evidence_type, score)
+            WHEN len(leads) = 0 THEN printf('Artifact %s (%s) was flagged as statistically anomalous (score %+.3f) due to a combination of feature values that deviate from the trained baseline. Manual review is recommended: "%s".', artifact_id, evidence_type, score, left(value, 120))
+            ELSE printf('Potentially malicious activity detected in %s artifact %s (anomaly score %+.3f, confidence %s). Primary indicator — %s: %s%s Observed value: "%s".', evidence_type, artifact_id, score, {_PERCENT}, {_pick('leads[1]', _LABEL)}, {_pick('leads[1]', _SENTENCE)},
+                CASE WHEN len(leads) > 1 THEN ' Additionally: ' || array_to_string(list_transform(leads[2:3], lambda e: {_pick('e', _SENTENCE)}), ' ') ELSE '' END, left(value, 120)) END AS reason,
+        CASE WHEN is_anomaly AND len(drivers) > 0 THEN 'Artifact ' || artifact_id || ' was flagged because its strongest anomaly drivers were ' || array_to_string(list_transform(drivers[1:3], lambda e: rtrim({_MEANING('e.feature')}, '.')), ', ') || '.'
+            WHEN is_anomaly THEN 'Artifact ' || artifact_id || ' was flagged because its final score fell below the anomaly threshold.'
+            ELSE 'Artifact ' || artifact_id || ' appears consistent with the trained baseline for this ' || evidence_type || ' evidence.' END AS plain_english,
+        printf('Model score %+.4f, rule score %+.4f, final score %+.4f, threshold -0.1000, confidence %s.', model_score, rule_score, score, {_PERCENT}) AS technical_explanation FROM gathered)""",
+)
+#: From told, keys, kept, pairs and exfil_scored: the first eight anomalies of each machine with their links and lists.
+SECTION = (
+    "top8 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY seq)::INTEGER AS row FROM told WHERE is_anomaly QUALIFY row <= 8)",
+    """entries AS MATERIALIZED (SELECT DISTINCT t.artifact_id, k.correlation_type, k.key, s.anchor, s.confidence FROM top8 t JOIN keys k ON t.artifact_id = k.artifact_id JOIN kept s ON s.correlation_type = k.correlation_type AND s.key = k.key
+        UNION SELECT t.artifact_id, 'exfiltration', e.anchor, e.anchor, e.confidence FROM top8 t JOIN pairs p ON t.artifact_id IN (p.file_id, p.conn_id) JOIN exfil_scored e ON e.anchor = p.conn_id)""",
+    """others AS (SELECT e.correlation_type, e.key, k.artifact_id, k.seq FROM (SELECT DISTINCT correlation_type, key, anchor FROM entries) e JOIN keys k ON k.correlation_type = e.correlation_type AND k.key = e.key AND k.artifact_id <> e.anchor
+        UNION SELECT 'exfiltration', conn_id, file_id, file_seq FROM pairs)""",
+    "firsts AS (SELECT correlation_type, key, list(artifact_id ORDER BY seq)[1:3] AS matches FROM others GROUP BY ALL)",
+    """ranked AS (SELECT e.*, coalesce(f.matches, []) AS matches, row_number() OVER (PARTITION BY e.artifact_id ORDER BY confidence DESC, e.correlation_type, e.key) AS n FROM entries e LEFT JOIN firsts f ON e.correlation_type = f.correlation_type AND e.key = f.key)""",
+    "per AS (SELECT artifact_id, list({'anchor': anchor, 'kind': correlation_type, 'matches': matches} ORDER BY n) FILTER (n <= 5) AS found, count(*) AS n_all, count(*) FILTER (correlation_type = 'exfiltration') AS n_exfil FROM ranked GROUP BY 1)",
+    """linked AS (SELECT t.*, coalesce(n_all, 0) AS n_all, coalesce(n_exfil, 0) AS n_exfil,
+        list_concat(coalesce(p.found, []), CASE WHEN t.link IS NOT NULL AND len(list_filter(coalesce(p.found, []), lambda e: e.anchor = t.link)) = 0 THEN [{'anchor': t.link, 'kind': 'linked_artifact', 'matches': []::VARCHAR[]}] ELSE [] END)[1:5] AS links,
+        CASE WHEN len(list_filter(comparisons, lambda e: e.side = 'above baseline')) > 0 THEN list_filter(comparisons, lambda e: e.side = 'above baseline') ELSE comparisons END[1:2] AS told_comparisons
+        FROM top8 t LEFT JOIN per p ON t.artifact_id = p.artifact_id)""",
+    f"""section AS (SELECT machine_id, row, seq,
+        'Artifact ' || artifact_id || ' on ' || machine_id || ' was classified as anomalous because ' || CASE WHEN len(drivers) = 0 THEN 'the combined feature pattern deviated from the trained baseline'
+            ELSE array_to_string(list_transform(drivers[1:3], lambda e: {_SHOWN('e.feature')} || ' (' || {_MEANING('e.feature')} || '; SHAP ' || printf('%+.4f', e.phi) || ')'), ', ') END || '. Observed evidence (' || evidence_type || '): "' || left(value, 180) || '".' ||
+        CASE WHEN len(told_comparisons) = 0 THEN '' ELSE ' Compared with the relevant normal baseline, ' || array_to_string(list_transform(told_comparisons, lambda e: {_SHOWN('e.feature')} || ' was ' || e.side || ' (artifact ' || e.x || ', baseline ' || e.mean || ')'), '; ') || '.' END ||
+        CASE WHEN len(links) = 0 THEN '' ELSE ' P4 correlation links this artifact to ' || array_to_string(list_transform(links[1:3], lambda e: e.anchor || ' via ' || e.kind || CASE WHEN len(e.matches) > 0 THEN ' with matching values ' || array_to_string(e.matches, ', ') ELSE '' END), '; ') || '.' END ||
+        CASE WHEN n_all = 0 THEN '' ELSE ' At the case level, it appears in ' || n_all || ' aggregator correlation finding(s)' || CASE WHEN n_exfil > 0 THEN ' and it appears in ' || n_exfil || ' exfiltration finding(s)' ELSE '' END || '.' END ||
+        printf(' The final anomaly score was %+.4f against threshold -0.1000, with confidence %s.', score, {_PERCENT}) || ' Recommended review: ' || array_to_string(actions[1:3], ' ') AS explain_instance,
+        CASE WHEN len(factors) = 0 THEN '_No SHAP factors recorded._' ELSE array_to_string(list_transform(factors, lambda e: '- ' || {_SHOWN('e.feature')} || ': ' || CASE WHEN e.phi < 0 THEN 'increased' ELSE 'reduced' END || ' anomaly likelihood (SHAP ' || printf('%+.4f', e.phi) || ') — ' || {_MEANING('e.feature')}), chr(10)) END AS factor_lines,
+        CASE WHEN len(comparisons) = 0 THEN '_No baseline comparison recorded._' ELSE array_to_string(list_transform(comparisons, lambda e: '- ' || {_SHOWN('e.feature')} || ': artifact=' || e.x || ', baseline=' || e.mean || ', ' || e.side), chr(10)) END AS comparison_lines,
+        CASE WHEN len(links) = 0 THEN '_No P4 correlation context recorded._' ELSE array_to_string(list_transform(links, lambda e: '- ' || e.anchor || ' via ' || e.kind || CASE WHEN len(e.matches) > 0 THEN ' using ' || array_to_string(e.matches, ', ') ELSE '' END), chr(10)) END AS link_lines,
+        array_to_string(list_transform(actions, lambda e: '- ' || e), chr(10)) AS review_lines FROM linked)""",
+)
+
 ORACLE = {
     "evidence_view": with_ev(select="SELECT seq, case_id, machine_id, artifact_id, source_tool, evidence_type, timestamp, value, severity, confidence, coalesce(link, '') AS links FROM ev"),
     "contract": with_ev(
@@ -500,16 +560,20 @@ ORACLE = {
         select="""SELECT case_id, count(*) AS n_findings, count(*) FILTER (correlation_type = 'exfiltration') AS n_exfiltration, string_agg(correlation_type || '|' || key, ',' ORDER BY n) FILTER (n <= 5) AS strongest,
             count(*) FILTER (correlation_type = 'exfiltration') > 0 AS has_exfiltration FROM placed GROUP BY 1""",
     ),
-    "reasons": with_ev(
+    "reasons": with_ev(FIRST, FEATURE_SQL, *FOREST, *EXPLAINED, select="SELECT seq, reason, plain_english, technical_explanation, array_to_string(actions, ' | ') AS actions FROM told"),
+    "scored_items": with_ev(
         FIRST,
         FEATURE_SQL,
-        SCORED,
-        "lists AS (SELECT *, list_filter([" + ", ".join(f"CASE WHEN {f} > 0 THEN '{f}' END" for f, _ in sorted(features.INDICATORS, key=lambda x: -x[1])) + "], lambda x: x IS NOT NULL)[1:3] AS lead FROM scored)",
-        select="""SELECT seq, CASE WHEN len(lead) > 0 THEN 'led by ' || array_to_string(lead, ', ') ELSE 'no indicator is active' END AS reason,
-        array_to_string(list_filter([CASE WHEN port_is_known_c2 > 0 THEN 'review the connection''s peer' END, CASE WHEN is_suspicious_process > 0 THEN 'review the process and its parent' END, CASE WHEN path_in_temp > 0 THEN 'collect the file from its folder' END,
-            CASE WHEN keyword_exfil > 0 THEN 'review outbound transfers' END, CASE WHEN s < -0.1 THEN 'compare with the baseline' END], lambda x: x IS NOT NULL), ',') AS actions FROM lists""",
-    ),
-    "explained_anomalies": with_ev(FIRST, FEATURE_SQL, SCORED, select="SELECT machine_id AS case_id, row_number() OVER (PARTITION BY machine_id ORDER BY seq)::INTEGER AS row, seq, round(s, 4) AS score FROM scored WHERE s < -0.1 QUALIFY row <= 8"),
+        *FOREST,
+        *EXPLAINED,
+        select="SELECT seq, family, round(model_score, 6) AS model_score, rule_score, score, is_anomaly, array_to_string(list_transform(factors, lambda f: f.feature), ',') AS factors, array_to_string(list_transform(comparisons, lambda f: f.feature), ',') AS comparisons FROM told",
+    ),
+    "explained_anomalies": with_ev(FIRST, ON_FIRST, KEYS, FEATURE_SQL, *FOREST, *EXPLAINED, *SECTION, select="SELECT machine_id, row, seq, explain_instance, factor_lines, comparison_lines, link_lines, review_lines FROM section"),
+    "tree_summaries": """WITH RECURSIVE p AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 50 = 0 THEN c_custkey + 1000000 ELSE c_custkey // 4 END AS up, CASE WHEN c_custkey % 9 = 0 THEN 'tasksche.exe' ELSE 'p' || c_custkey % 13 || '.exe' END AS name FROM customer),
+        walk AS (SELECT key AS root, key, name, 0 AS depth, [key] AS path FROM p WHERE up NOT IN (SELECT key FROM p)
+            UNION ALL SELECT w.root, p.key, p.name, w.depth + 1, list_append(w.path, p.key) FROM walk w JOIN p ON p.up = w.key WHERE w.depth < 5)
+        SELECT 'process_tree_' || root AS artifact_id, 'process_tree' AS evidence_type, string_agg(repeat('  ', depth) || name || ' (PID:' || key || ')', chr(10) ORDER BY path) AS value, 'medium' AS severity, 0.95::DOUBLE AS confidence, '' AS ioc_match, '' AS pids
+        FROM walk GROUP BY root""",
     "scored_rollup": with_ev(
         "first_ones AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY artifact_id ORDER BY seq) = 1)",
         "plain AS (SELECT *, CAST([] AS VARCHAR[]) AS ioc_match FROM first_ones)",

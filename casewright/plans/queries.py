@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casewright.functions import signals as sig
-from casewright.operators import classify, correlate, dedup, extraction, features, forest, indicators, lineage, report
+from casewright.operators import classify, correlate, dedup, explain, extraction, features, forest, indicators, lineage, report
 from casewright.plans.evidence_view import evidence
 from casewright.schema import violations
 
@@ -387,14 +387,38 @@ def case_context(spark, sf_dir):
     return features.case_context(found).select("case_id", "n_findings", "n_exfiltration", F.array_join("strongest", ",").alias("strongest"), "has_exfiltration")
 
 
+def _explained(spark, sf_dir):
+    """The whole scoring chain; factors are the exact attributions of the rules, which SQL can follow."""
+    scored = _scored(spark, sf_dir)
+    baseline = _baseline(scored)
+    return explain.score_items(scored, baseline, forest.rule_attribution(forest.distinct_vectors(scored), baseline))
+
+
 def reasons(spark, sf_dir):
-    found = features.reasons(features.final_score(_scored(spark, sf_dir)))
-    return found.select("seq", "reason", joined("actions"))
+    """Every item's reason, plain and technical explanation, and review actions, from the whole scoring chain."""
+    return _explained(spark, sf_dir).select("seq", "reason", "plain_english", "technical_explanation", F.array_join("recommended_review", " | ").alias("actions"))
+
+
+def scored_items(spark, sf_dir):
+    """The whole scoring chain: scores, foremost factors and differences from the baseline of every item."""
+    names = lambda c: F.array_join(F.transform(c, lambda f: f["feature"]), ",").alias(c)
+    return _explained(spark, sf_dir).select("seq", "family", F.round("model_score", 6).alias("model_score"), "rule_score", "score", "is_anomaly", names("factors"), names("comparisons"))
 
 
 def explained_anomalies(spark, sf_dir):
-    scored = features.final_score(_scored(spark, sf_dir)).withColumn("case_id", F.col("machine_id"))
-    return report.explained_anomalies(scored).select("case_id", "row", "seq", "score")
+    """The report's anomaly section: the first eight anomalies of each machine with their lists."""
+    items = items_with_signals(spark, sf_dir)
+    found = explain.anomaly_section(_explained(spark, sf_dir), items, groups=("machine_id",))
+    return found.select("machine_id", "row", "seq", "explain_instance", "factor_lines", "comparison_lines", "link_lines", "review_lines")
+
+
+def tree_summaries(spark, sf_dir):
+    """Process tree rows, one for each root, which opt out of keys and of the catalog; each customer is the child of a quarter of its number."""
+    key = F.col("c_custkey").cast("long")
+    name = F.when(key % 9 == 0, "tasksche.exe").otherwise(F.concat(F.lit("p"), (key % 13).cast("string"), F.lit(".exe")))
+    rows = table(spark, sf_dir, "customer").select(F.lit("case-1").alias("case_id"), key.cast("string").alias("pid"), F.when(key % 50 == 0, key + 1_000_000).otherwise(F.floor(key / 4)).cast("string").alias("ppid"), name.alias("name"), key.alias("first_seq"))
+    items = sig.with_signals(dedup.enrich(indicators.rescore(lineage.tree_summaries(rows))))
+    return items.select("artifact_id", "evidence_type", "value", "severity", "confidence", joined("ioc_match"), joined("pids"))
 
 
 def scored_rollup(spark, sf_dir):
@@ -467,7 +491,11 @@ def score_summary(spark, sf_dir):
 
 def forest_scores(spark, sf_dir):
     scored = _scored(spark, sf_dir)
-    return forest.score_items(scored, _baseline(scored)).select("seq", "family", F.round("model_score", 6).alias("model_score"), "score", "is_anomaly")
+    baseline = _baseline(scored)
+    vectors = forest.distinct_vectors(scored)
+    found = features.final_score(forest.model_scores(vectors, baseline, forest.fit_forest(baseline)), F.col("model_score"))
+    rows = scored.select("seq", "family", *features.FEATURES).join(found, ["family", *features.FEATURES])
+    return rows.select("seq", "family", F.round("model_score", 6).alias("model_score"), "score", "is_anomaly")
 
 
 def rule_attribution(spark, sf_dir):
@@ -554,7 +582,7 @@ QUERIES = {f.__name__: f for f in (
     process_edges, classify_texts, classify_conversations, artifact_types, affected, reconcile_cases, feature_rows, rule_scores, indicator_order, baseline_families,
     baseline_diff, machine_context, score_summary, forest_scores, rule_attribution, attribution, item_indicators, ioc_rollup, ioc_counts, folded, key_findings,
     linked_uncovered, tree_rows, cross_source_domains, aggregate, aggregate_items, aggregate_index, case_facts, case_advice, checked_contexts, ontology_rules, model_answers, correlation_context,
-    finding_lookup, case_context, reasons, explained_anomalies, scored_rollup, explanation_notes, explanations, deep_closure, deep_tree,
+    finding_lookup, case_context, reasons, scored_items, explained_anomalies, tree_summaries, scored_rollup, explanation_notes, explanations, deep_closure, deep_tree,
     proc_nodes, lineage_closure, process_tree, coverage, verdicts, dashboard, text_digest, type_labels,
 )}
 QUERIES |= {kind: _shared(column) for column, kind in correlate.KINDS.items()}
