@@ -25,8 +25,8 @@ from casewright.llm.components import connected_components
 
 #: Bands and their MinHash values: a pair of similarity s shares a band with chance 1 - (1 - s**5)**20, 0.9996 at 0.8.
 BANDS, BAND_ROWS = 20, 5
-#: A component of candidates goes to one task if it holds at most so many sets and shingles.
-TASK_SETS, TASK_SHINGLES = 512, 1 << 21
+#: A component of candidates goes to one task if it holds at most so many sets (some ten seconds' work at worst) and shingles.
+TASK_SETS, TASK_SHINGLES = 2048, 1 << 21
 #: Most sets of a group that all others are compared with in one round; it starts with one and has four times as many in each further round.
 LEADERS = 1024
 _MIX = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64) | np.uint64(1)
