@@ -17,3 +17,11 @@ def any_of(text: Column, words: list[str]) -> Column:
 def count_of(text: Column, words: list[str]) -> Column:
     """How many of the words a text holds; 0 for null."""
     return reduce(add, (F.coalesce(F.contains(text, F.lit(w)), F.lit(False)).cast("int") for w in words), F.lit(0))
+
+
+def percent(x: Column) -> Column:
+    """A share from 0 to 1 in whole percent, halves to the even number."""
+    hundred = x * 100
+    whole = F.floor(hundred)
+    left = hundred - whole
+    return F.concat((whole + ((left > 0.5) | ((left == 0.5) & (whole % 2 == 1))).cast("int")).cast("string"), F.lit("%"))

@@ -114,21 +114,25 @@ def select_analysers(contexts: DataFrame, ontology: DataFrame) -> DataFrame:
 def dependency_levels(selected: DataFrame, most: int = 50) -> DataFrame:
     """Adds level, the longest chain of selected analysers that must run before; a cycle is an error.
 
-    selected has one row for each (case_id, name); a recursive query follows
-    the dependencies.
+    selected has one row for each (case_id, name). Cases that select the same
+    analysers share their levels, so the recursive query that follows the
+    dependencies runs once for each different set of names, of which there are few.
     """
     spark = selected.sparkSession
-    edges = selected.select("case_id", "name", F.explode("dependencies").alias("needs")).join(selected.select("case_id", F.col("name").alias("needs")), ["case_id", "needs"])
+    sets = selected.groupBy("case_id").agg(F.to_json(F.array_sort(F.collect_set("name"))).alias("chosen"))
+    rows = selected.join(sets, "case_id")
+    nodes = rows.groupBy("chosen", "name").agg(F.first("dependencies").alias("dependencies"))  # of the ontology, so the same in all cases
+    edges = nodes.select("chosen", "name", F.explode("dependencies").alias("needs")).join(nodes.select("chosen", F.col("name").alias("needs")), ["chosen", "needs"])
     chains = spark.sql(
-        f"""WITH RECURSIVE chain(case_id, name, level) AS (
-            SELECT case_id, name, 0 FROM {{nodes}}
-            UNION ALL SELECT e.case_id, e.name, c.level + 1 FROM chain c JOIN {{edges}} e ON e.case_id = c.case_id AND e.needs = c.name WHERE c.level < {most})
-        SELECT case_id, name, max(level) AS level FROM chain GROUP BY case_id, name""",
-        nodes=selected.select("case_id", "name"),
+        f"""WITH RECURSIVE chain(chosen, name, level) AS (
+            SELECT chosen, name, 0 FROM {{nodes}}
+            UNION ALL SELECT e.chosen, e.name, c.level + 1 FROM chain c JOIN {{edges}} e ON e.chosen = c.chosen AND e.needs = c.name WHERE c.level < {most})
+        SELECT chosen, name, max(level) AS level FROM chain GROUP BY chosen, name""",
+        nodes=nodes.select("chosen", "name"),
         edges=edges,
     )
     checked = F.when(F.col("level") >= most, F.raise_error(F.lit("the analysers depend on one another in a circle"))).otherwise(F.col("level"))
-    return selected.join(chains.withColumn("level", checked), ["case_id", "name"])
+    return rows.join(chains.withColumn("level", checked), ["chosen", "name"]).select(*selected.columns, "level")
 
 
 def plan_rows(levelled: DataFrame, allowed: list[str] | None = None) -> DataFrame:
@@ -138,11 +142,14 @@ def plan_rows(levelled: DataFrame, allowed: list[str] | None = None) -> DataFram
     return rows.select("case_id", "name", F.row_number().over(w).alias("order"), F.col("args_template").alias("args"))
 
 
-def ontology_violations(ontology: DataFrame, known: list[str]) -> DataFrame:
-    """Name and violation for each broken rule of the ontology."""
-    rules = F.array_compact(F.array(F.when(F.coalesce("name", F.lit("")) == "", "name is missing"), F.when(~F.col("name").isin(known), "name is not known"), F.when(F.coalesce(F.size("input_types") < 1, F.lit(True)), "input_types is empty"), F.when(F.col("default_order").isNull(), "default_order is missing")))
+def ontology_violations(ontology: DataFrame, known: DataFrame) -> DataFrame:
+    """Name and violation for each broken rule of the ontology; known is the table of known names (name)."""
+    names = known.select("name").distinct().withColumn("_known", F.lit(True))
+    rows = ontology.join(names, "name", "left")
+    stranger = F.col("name").isNotNull() & F.col("_known").isNull()
+    rules = F.array_compact(F.array(F.when(F.coalesce("name", F.lit("")) == "", "name is missing"), F.when(stranger, "name is not known"), F.when(F.coalesce(F.size("input_types") < 1, F.lit(True)), "input_types is empty"), F.when(F.col("default_order").isNull(), "default_order is missing")))
     twice = ontology.groupBy("name").count().where("count > 1").select("name", F.lit("name is not unique").alias("violation"))
-    return ontology.select("name", F.explode(rules).alias("violation")).unionByName(twice)
+    return rows.select("name", F.explode(rules).alias("violation")).unionByName(twice)
 
 
 def parse_answers(answers: DataFrame, text: str = "text") -> DataFrame:

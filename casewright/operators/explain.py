@@ -11,6 +11,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewright.functions.text import percent
 from casewright.operators import correlate, forest
 from casewright.operators.features import ANOMALY_BELOW, FEATURES, baseline_difference, final_score, indicator_ranking, record_value
 
@@ -83,14 +84,6 @@ def printed(x: Column, digits: int, plus: bool = False) -> Column:
     return F.concat(F.when(x < 0, "-").otherwise("+" if plus else ""), body)
 
 
-def percent(x: Column) -> Column:
-    """A share from 0 to 1 in whole percent."""
-    hundred = x * 100  # as printed(), but for numbers up to 100: no tie is near unless the fraction is exactly a half
-    whole = F.floor(hundred)
-    left = hundred - whole
-    return F.concat((whole + ((left > 0.5) | ((left == 0.5) & (whole % 2 == 1))).cast("int")).cast("string"), F.lit("%"))
-
-
 def plain(x: Column) -> Column:
     """A number with a point and no exponent, as short as it can be."""
     small = F.rtrim(F.regexp_replace(x.cast("decimal(12,4)").cast("string"), "0+$", ""))

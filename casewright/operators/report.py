@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casewright.functions.text import percent
+from casewright.operators.dedup import order_keys
 from casewright.schema import computed_once, severity_name, severity_rank
 
 # Fixed values of the report's rules.
@@ -150,12 +152,38 @@ def key_findings(items: DataFrame, notes: DataFrame | None = None, most: int = F
     return out.select("case_id", "row", "seq", "artifact_id", type_label(F.col("evidence_type")).alias("type"), "value", "severity", cell.alias("indicators"), F.array_join(F.array_sort("_m"), ", ").alias("matches"), "n_findings")
 
 
-def verdicts(scored: DataFrame) -> DataFrame:
-    """For each case the anomalies, the overall severity, and how far they support a hypothesis."""
+def verdicts(scored: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
+    """For each case the anomalies, the overall severity, and how far they support a hypothesis.
+
+    With contexts (case_id, case_type, classifier_confidence) also the texts of the hypothesis and of the analyst's verdict.
+    """
     per = scored.groupBy("case_id").agg(F.count_if("is_anomaly").alias("n_anomalies"))
     n = F.col("n_anomalies")
     support = F.when(n >= 3, "Supported").when(n >= 1, "Partially Supported").otherwise("Not Evidenced")
-    return per.select("case_id", "n_anomalies", F.when(n >= 3, "high").when(n >= 1, "medium").otherwise("low").alias("overall_severity"), support.alias("hypothesis_verdict"))
+    out = per.select("case_id", "n_anomalies", F.when(n >= 3, "high").when(n >= 1, "medium").otherwise("low").alias("overall_severity"), support.alias("hypothesis_verdict"))
+    if contexts is None:
+        return out
+    kind, count = F.initcap(F.replace("case_type", F.lit("_"), F.lit(" "))), n.cast("string")
+    # Fixed sentences of the report.
+    told = F.when(n >= 3, "multiple anomalous artifacts corroborate this hypothesis").when(n >= 1, "anomalous artifact(s) detected; further manual review recommended").otherwise("no anomalous artifacts detected in the current evidence set")
+    strong = F.concat(F.lit("This investigation reveals strong indicators of a confirmed "), kind, F.lit(" incident. "), count, F.lit(" high-confidence anomalies were detected across the evidence set. Immediate escalation to incident response is warranted."))
+    some = F.concat(F.lit("Evidence is consistent with "), kind, F.lit(" activity. "), count, F.lit(" anomalous artifact(s) were identified with high confidence. Analyst review and targeted containment steps are recommended."))
+    none = F.concat(F.lit("No anomalous artifacts were detected in the current evidence set. The incident report was classified as "), kind, F.lit(" with "), percent(F.col("classifier_confidence")), F.lit(" confidence. Manual review is recommended to confirm benign status or expand evidence scope."))
+    rows = out.join(contexts.select("case_id", "case_type", "classifier_confidence"), "case_id")
+    return rows.select(*out.columns, F.concat("hypothesis_verdict", F.lit(" — "), told).alias("hypothesis_text"), F.when(n >= 3, strong).when(n >= 1, some).otherwise(none).alias("analyst_verdict"))
+
+
+def priority_items(items: DataFrame, most: int = 20) -> DataFrame:
+    """Each case's first `most` high and critical items in evidence order, or its first items if it has none; row numbers them.
+
+    One top-k window, which Spark limits before the shuffle, serves both kinds of case.
+    """
+    rows = items if "ioc_match" in items.columns else items.withColumn("ioc_match", F.array().cast("array<string>"))
+    rows = rows.withColumn("_hot", F.coalesce(F.col("severity").isin("critical", "high"), F.lit(False)))
+    order = Window.partitionBy("case_id").orderBy(F.desc("_hot"), *order_keys())
+    counts = rows.groupBy("case_id").agg(F.count_if("_hot").alias("_n"))
+    top = rows.withColumn("row", F.row_number().over(order)).where(F.col("row") <= most).join(counts, "case_id")
+    return top.where(F.col("_hot") | (F.col("_n") == 0)).drop("_hot", "_n")
 
 
 def coverage(items: DataFrame, status_types: tuple[str, ...] = ("memory_analysis_status",)) -> DataFrame:

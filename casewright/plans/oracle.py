@@ -406,6 +406,10 @@ SECTION = (
         array_to_string(list_transform(actions, lambda e: '- ' || e), chr(10)) AS review_lines FROM linked)""",
 )
 
+_ENDS = "(" + "|".join(e.replace(".", r"\.") for e in extraction.FILE_EXTENSIONS) + ")$"
+_NET = rf"""net_lines AS ({q.LINES_SQL['connections']}), net_fields AS (SELECT value AS v, regexp_split_to_array(trim(value), '\s+') AS f FROM net_lines),
+net AS (SELECT 'net_' || left(sha256(v), 12) AS artifact_id, f[2] || ' ' || f[3] || ':' || f[4] || ' -> ' || f[5] || ':' || f[6] || ' (PID:' || f[8] || ')' AS value, CASE WHEN f[6] IN ('4444', '1337') THEN 'high' ELSE 'low' END AS severity FROM net_fields WHERE len(f) >= 8)"""
+
 ORACLE = {
     "evidence_view": with_ev(select="SELECT seq, case_id, machine_id, artifact_id, source_tool, evidence_type, timestamp, value, severity, confidence, coalesce(link, '') AS links FROM ev"),
     "contract": with_ev(
@@ -681,8 +685,51 @@ ORACLE = {
         FEATURE_SQL,
         SCORED,
         "per AS (SELECT machine_id || '/' || seq % 500 AS case_id, count(*) FILTER (s < -0.1) AS n FROM scored GROUP BY 1)",
-        select="SELECT case_id, n AS n_anomalies, CASE WHEN n >= 3 THEN 'high' WHEN n >= 1 THEN 'medium' ELSE 'low' END AS overall_severity, CASE WHEN n >= 3 THEN 'Supported' WHEN n >= 1 THEN 'Partially Supported' ELSE 'Not Evidenced' END AS hypothesis_verdict FROM per",
-    ),
+        f"""typed AS (SELECT *, {texts(q.CASE_TYPES)}[split_part(case_id, '/', 2)::INT % 6 + 1] AS kind, split_part(case_id, '/', 2)::INT % 100 / 100.0::DOUBLE AS sure FROM per)""",
+        "titled AS (SELECT *, array_to_string(list_transform(string_split(kind, '_'), lambda w: upper(w[1]) || w[2:]), ' ') AS title FROM typed)",
+        select="""SELECT case_id, n AS n_anomalies, CASE WHEN n >= 3 THEN 'high' WHEN n >= 1 THEN 'medium' ELSE 'low' END AS overall_severity, CASE WHEN n >= 3 THEN 'Supported' WHEN n >= 1 THEN 'Partially Supported' ELSE 'Not Evidenced' END AS hypothesis_verdict,
+        CASE WHEN n >= 3 THEN 'Supported — multiple anomalous artifacts corroborate this hypothesis' WHEN n >= 1 THEN 'Partially Supported — anomalous artifact(s) detected; further manual review recommended'
+            ELSE 'Not Evidenced — no anomalous artifacts detected in the current evidence set' END AS hypothesis_text,
+        CASE WHEN n >= 3 THEN 'This investigation reveals strong indicators of a confirmed ' || title || ' incident. ' || n || ' high-confidence anomalies were detected across the evidence set. Immediate escalation to incident response is warranted.'
+            WHEN n >= 1 THEN 'Evidence is consistent with ' || title || ' activity. ' || n || ' anomalous artifact(s) were identified with high confidence. Analyst review and targeted containment steps are recommended.'
+            ELSE 'No anomalous artifacts were detected in the current evidence set. The incident report was classified as ' || title || ' with ' || printf('%.0f%%', sure * 100) || ' confidence. Manual review is recommended to confirm benign status or expand evidence scope.' END AS analyst_verdict FROM titled""",
+    ),
+    "priority_items": with_ev(
+        FIRST,
+        rescored("first_items"),
+        "calm AS (SELECT * REPLACE (CASE WHEN machine_id = 'host-3' THEN 'low' ELSE severity END AS severity) FROM rescored)",
+        "hot AS (SELECT *, severity IN ('critical', 'high') AS is_hot FROM calm)",
+        f"placed AS (SELECT *, row_number() OVER (PARTITION BY machine_id ORDER BY is_hot DESC, {RANK} DESC, len(ioc_match) > 0 DESC, confidence DESC, source_tool, seq)::INTEGER AS row, count(*) FILTER (is_hot) OVER (PARTITION BY machine_id) AS n FROM hot)",
+        select="SELECT machine_id AS case_id, row, seq, severity FROM placed WHERE row <= 20 AND (is_hot OR n = 0)",
+    ),
+    "file_bodies": f"""WITH lines AS ({q.LINES_SQL['bodies']}) SELECT 'file_' || left(sha256(path), 12) AS artifact_id, CASE WHEN starts_with(md5, '* ') THEN 'DELETED file: ' ELSE 'Suspicious file: ' END || path AS value,
+        CASE WHEN starts_with(md5, '* ') THEN 'high' ELSE 'medium' END AS severity, 0.75::DOUBLE AS confidence FROM lines WHERE (regexp_matches(path, '{_ENDS}') OR {holds('lower(path)', extraction.FILE_FOLDERS)} OR starts_with(md5, '* ')) AND NOT starts_with(mode, 'd/')""",
+    "file_timeline": f"""WITH lines AS ({q.LINES_SQL['bodies']}) SELECT 'timeline_' || left(sha256(concat_ws('|', date, activity, path)), 12) AS artifact_id, 'Timeline: ' || path || ' (' || activity || ')' AS value, date AS timestamp, 'medium' AS severity
+        FROM lines WHERE regexp_matches(path, '{_ENDS}') OR {holds('lower(path)', extraction.FILE_FOLDERS)}""",
+    "registry_text": f"""WITH lines AS ({q.LINES_SQL['registry']}), t AS (SELECT value, trim(value) AS line, lower(trim(value)) AS low FROM lines) SELECT 'reg_' || left(sha256(value), 12) AS artifact_id, line AS value, CASE WHEN {holds('low', extraction.REGISTRY_HIGH_WORDS)} THEN 'high' ELSE 'medium' END AS severity
+        FROM t WHERE line <> '' AND NOT starts_with(line, '#') AND NOT ends_with(line, ':') AND NOT starts_with(line, 'Launching') AND ({holds('low', extraction.REGISTRY_WORDS)} OR regexp_matches(low, '\\.(exe|dll|bat|ps1|vbs)'))""",
+    "process_list": f"""WITH lines AS ({q.LINES_SQL['processes']}) SELECT 'proc_' || pid || '_' || replace(name, '.', '_') AS artifact_id, name || ' (PID:' || pid || ' PPID:' || ppid || ')' AS value, 'process' AS evidence_type,
+        CASE WHEN lower(name) IN ('cmd.exe', 'powershell.exe') THEN 'high' ELSE 'low' END AS severity, 0.8::DOUBLE AS confidence FROM lines
+        UNION ALL SELECT 'memprocfs_proc_' || pid, name || ' (PID ' || pid || ', PPID ' || ppid || ')', 'memprocfs_process', 'medium', 0.8 FROM lines""",
+    "net_lines": f"WITH {_NET} SELECT artifact_id, value, severity FROM net",
+    "injected": f"""WITH {_NET}, lines AS ({q.LINES_SQL['regions']}), known AS (SELECT DISTINCT regexp_extract(value, 'PID:(\\d+)', 1) AS pid FROM net WHERE severity = 'high'),
+        marked AS (SELECT file, line_no, trim(value) AS t, regexp_matches(trim(value), '^[0-9]+\\s') AND contains(value, 'PAGE_') AS is_row FROM lines),
+        carried AS (SELECT *, last_value(CASE WHEN is_row THEN split_part(t, ' ', 1) WHEN contains(t, 'PID') THEN '' END IGNORE NULLS) OVER (PARTITION BY file ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS pid FROM marked),
+        per AS (SELECT pid, first(split_part(t, ' ', 2) ORDER BY line_no) FILTER (is_row) AS name, bool_or(is_row AND regexp_matches(lower(t), 'page_exec')) AS rwx, bool_or(regexp_matches(lower(t), '4d 5a')) AS pe FROM carried WHERE pid <> '' GROUP BY pid),
+        told AS (SELECT *, pid IN (SELECT pid FROM known) OR (rwx AND pe) AS sure, name = 'chrome.exe' AS jit FROM per)
+        SELECT 'malfind_' || pid AS artifact_id, 'Injected memory regions detected in ' || name || ' (PID:' || pid || '). Reasons: ' || CASE WHEN rwx AND pe THEN 'RWX region and embedded PE/shellcode detected' WHEN rwx THEN 'RWX region detected' WHEN pe THEN 'Embedded PE/shellcode detected'
+            ELSE 'Injected regions detected (no RWX/PE signature)' END || CASE WHEN jit AND NOT sure AND (rwx OR pe) THEN '; Injection in JIT-capable process without corroborating IOC: down-ranked' WHEN jit AND sure THEN '; Corroborated by another IOC; down-rank skipped' ELSE '' END AS value,
+            CASE WHEN jit AND NOT sure THEN 'medium' WHEN rwx AND pe THEN 'critical' WHEN rwx OR pe THEN 'high' ELSE 'medium' END AS severity,
+            CASE WHEN jit AND NOT sure AND (rwx OR pe) THEN 0.65 WHEN rwx AND pe THEN 0.92 WHEN rwx OR pe THEN 0.86 ELSE 0.7 END::DOUBLE AS confidence FROM told""",
+    "rule_scan": f"WITH lines AS ({q.LINES_SQL['registry']}) SELECT 'yara_' || left(sha256(value), 12) AS artifact_id, trim(value) AS value, 'high' AS severity FROM lines WHERE trim(value) <> ''",
+    "analyser_plan": f"""WITH RECURSIVE {CASE_SQL}, kinds AS (SELECT ['pcap', 'memory_dump', 'disk_image'] AS k),
+        tools AS (SELECT n_nationkey + 1 AS t, k[t % 3 + 1] AS input, CASE WHEN t % 4 = 0 THEN t - 1 WHEN t > 4 THEN t - 3 END AS needs, t / 100.0::DOUBLE AS phish, t % 5 AS default_order FROM nation, kinds),
+        cases AS (SELECT case_id, case_type, CASE WHEN regexp_extract(case_id, '([0-9]+)', 1)::BIGINT % 3 <> 0 THEN ['disk_image', 'pcap'] ELSE string_split(types, ',') END AS given FROM contexts),
+        chosen AS (SELECT case_id, t, needs, row_number() OVER (PARTITION BY case_id ORDER BY CASE case_type WHEN 'phishing' THEN phish ELSE 1 - phish END DESC, default_order, 'tool_' || t) AS rank FROM cases JOIN tools ON list_contains(given, input)),
+        chain AS (SELECT case_id, t, 0 AS level FROM chosen UNION ALL SELECT c.case_id, c.t, h.level + 1 FROM chain h JOIN chosen c ON c.case_id = h.case_id AND c.needs = h.t),
+        levels AS (SELECT case_id, t, max(level) AS level FROM chain GROUP BY ALL)
+        SELECT case_id, 'tool_' || t AS name, row_number() OVER (PARTITION BY case_id ORDER BY level, rank)::INTEGER AS "order", t % 2 = 0 AS deep FROM chosen JOIN levels USING (case_id, t)""",
+    "related_children": with_ev(NODES, "named AS (SELECT DISTINCT regexp_extract(value, 'PID:([0-9]+)', 1) AS pid FROM ev WHERE evidence_type = 'process' AND seq % 3 = 0)", select="SELECT pid, CASE rank WHEN 5 THEN 'critical' WHEN 4 THEN 'high' WHEN 3 THEN 'medium' WHEN 2 THEN 'low' END AS severity, rank >= 4 OR pid IN (SELECT pid FROM named) AS is_flagged FROM nodes"),
     "dashboard": with_ev(select="SELECT machine_id AS case_id, count(*) AS n_items, count(*) FILTER (severity = 'critical') AS n_critical, 0::BIGINT AS n_iocs, 0::BIGINT AS n_trees FROM ev GROUP BY 1"),
     "text_digest": "SELECT doc_id, sha256(text) AS sha256, CASE WHEN length(text) <= 60 THEN text ELSE rtrim(coalesce(nullif(regexp_replace(left(text, 60), '(?s) [^ ]*$', ''), ''), left(text, 60))) || '…' END AS short FROM documents",
     "type_labels": with_ev(

@@ -14,6 +14,18 @@ from casewright.schema import violations
 MAIL_WORDS = ["the", "und", "que", "password", "bank"]
 URL_WORDS = ["blog.", "utm_source", "login-secure"]
 CLASS_WORDS = {"english": ["the ", "tion", "ing "], "german": ["und ", "der ", "sch"], "french": ["que ", "eau", "ment"], "spanish": ["ción", "los ", "que "]}
+_K = "cast(regexp_extract(props, '([0-9]+)', 1) AS bigint)"
+#: Lines of tools, in the SQL that both engines share.
+LINES_SQL = {
+    "bodies": f"""SELECT event_id, CASE WHEN event_id % 11 = 0 THEN '* 0' ELSE '0' END AS md5, concat('d', {_K} % 7) AS inode, CASE WHEN event_id % 13 = 0 THEN 'd/drwx' ELSE 'r/rrwx' END AS mode, concat('2024-01-', 1 + user_id % 28) AS date, 'm.c.' AS activity,
+        concat(CASE user_id % 4 WHEN 0 THEN '/Users/u/AppData/' WHEN 1 THEN '/Windows/System32/' WHEN 2 THEN '/home/u/Downloads/' ELSE '/srv/data/' END, 'f', event_id, CASE {_K} % 5 WHEN 0 THEN '.exe' WHEN 1 THEN '.txt' WHEN 2 THEN '.ps1' WHEN 3 THEN '.csv' ELSE '.dll' END) AS path FROM events""",
+    "registry": f"""SELECT CASE event_id % 8 WHEN 0 THEN concat('# note ', user_id) WHEN 1 THEN concat('Run keys ', user_id, ':') WHEN 2 THEN 'Launching plugin' WHEN 3 THEN concat('  Software/Run -> evil', {_K}) WHEN 4 THEN concat('loader', {_K}, '.dll here')
+        WHEN 5 THEN concat('plain text ', user_id) WHEN 6 THEN '' ELSE concat('service x', user_id, ' starts a.EXE') END AS value FROM events""",
+    "processes": f"""SELECT 1000 + event_id AS pid, 1000 + event_id % 50 AS ppid, CASE {_K} % 4 WHEN 0 THEN 'cmd.exe' WHEN 1 THEN 'svchost.exe' WHEN 2 THEN 'PowerShell.exe' ELSE 'notes.app.exe' END AS name FROM events""",
+    "connections": f"""SELECT CASE WHEN event_id % 9 = 0 THEN 'short row' ELSE concat('  0x', event_id, ' TCPv4 10.0.0.', user_id % 50, ' ', 49152 + event_id % 1000, ' 9.9.9.', {_K} % 50, ' ', CASE {_K} % 4 WHEN 0 THEN 4444 WHEN 1 THEN 443 WHEN 2 THEN 1337 ELSE 8443 END, ' ESTABLISHED ', 1000 + user_id, ' x.exe 2024 UTC') END AS value FROM events""",
+    "regions": f"""SELECT user_id % 10 AS file, event_id AS line_no, CASE event_id % 6 WHEN 0 THEN 'PID Process Start' WHEN 1 THEN concat(1000 + user_id, CASE {_K} % 3 WHEN 0 THEN ' powershell.exe' WHEN 1 THEN ' evil.exe' ELSE ' chrome.exe' END, ' 0x1 0x2 VadS PAGE_READWRITE')
+        WHEN 2 THEN concat(1000 + user_id, ' tool.exe 0x1 0x2 VadS PAGE_EXECUTE_READWRITE') WHEN 3 THEN '4d 5a 90 00 03' WHEN 4 THEN '00 01 02 03' ELSE '  push ebp' END AS value FROM events""",
+}
 #: Addresses with a right checksum and, one character off, with a wrong one.
 PLANTED_WALLETS = ["1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa", "1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNb", "13AM4VW2dhxYgXeQepoHkHSQuy6NgaEb94", "13AM4VW2dhxYgXeQepoHkHSQuy6NgaEb95", "3J98t1WpEZ73CNmQviecrnyiWrnqRhWNLy"]
 BAD_HOSTS = ["node7.example.net", "198.51.100.7"]
@@ -358,7 +370,7 @@ def ontology_rules(spark, sf_dir):
     parts = table(spark, sf_dir, "part")
     key = F.col("p_partkey")
     rows = parts.select(F.when(key % 17 != 0, F.concat(F.lit("tool_"), key - key % 2)).alias("name"), F.when(key % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("pcap"))).alias("input_types"), F.when(key % 7 != 0, key).alias("default_order"))
-    known = [f"tool_{i}" for i in range(0, 100_000, 4)]
+    known = parts.select(F.concat(F.lit("tool_"), key - key % 4).alias("name"))
     return classify.ontology_violations(rows, known).groupBy("violation").agg(F.count("*").alias("n"))
 
 
@@ -559,7 +571,74 @@ def coverage(spark, sf_dir):
 
 def verdicts(spark, sf_dir):
     scored = features.final_score(_scored(spark, sf_dir)).withColumn("case_id", F.concat("machine_id", F.lit("/"), F.col("seq") % 500))
-    return report.verdicts(scored)
+    kinds = F.array(*map(F.lit, CASE_TYPES))
+    number = F.split_part("case_id", F.lit("/"), F.lit(2)).cast("int")
+    contexts = scored.select("case_id").distinct().select("case_id", F.element_at(kinds, number % 6 + 1).alias("case_type"), (number % 100 / 100.0).alias("classifier_confidence"))
+    return report.verdicts(scored, contexts)
+
+
+def priority_items(spark, sf_dir):
+    """The first twenty items that matter of each machine; host-3 has none, so its first items stand in."""
+    rows = indicators.rescore(dedup.first_wins(evidence(spark, sf_dir))).withColumn("case_id", F.col("machine_id"))
+    calm = rows.withColumn("severity", F.when(F.col("machine_id") == "host-3", "low").otherwise(F.col("severity")))
+    return report.priority_items(calm).select("case_id", "row", "seq", "severity")
+
+
+def _numbered_lines(spark, sf_dir, kind):
+    """Lines of a tool's output, one for each event, from SQL that both engines run."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "props")
+    return spark.sql(LINES_SQL[kind].replace("FROM events", "FROM {events}"), events=events)
+
+
+def file_bodies(spark, sf_dir):
+    return extraction.listed_files(_numbered_lines(spark, sf_dir, "bodies")).select("artifact_id", "value", "severity", "confidence")
+
+
+def file_timeline(spark, sf_dir):
+    return extraction.timeline_files(_numbered_lines(spark, sf_dir, "bodies").select("date", "activity", "path")).select("artifact_id", "value", "timestamp", "severity")
+
+
+def registry_text(spark, sf_dir):
+    return extraction.registry_lines(_numbered_lines(spark, sf_dir, "registry")).select("artifact_id", "value", "severity")
+
+
+def process_list(spark, sf_dir):
+    rows = _numbered_lines(spark, sf_dir, "processes")
+    listed = extraction.processes(rows).select("artifact_id", "value", "evidence_type", "severity", "confidence")
+    return listed.unionByName(extraction.process_inventory(rows).select(listed.columns))
+
+
+def net_lines(spark, sf_dir):
+    return extraction.connections(_numbered_lines(spark, sf_dir, "connections")).select("artifact_id", "value", "severity")
+
+
+def injected(spark, sf_dir):
+    """Injected regions of every file, held against the processes of hot connections."""
+    hot = extraction.corroborated_pids(extraction.connections(_numbered_lines(spark, sf_dir, "connections")))
+    return extraction.injected_regions(_numbered_lines(spark, sf_dir, "regions"), hot).select("artifact_id", "value", "severity", "confidence")
+
+
+def rule_scan(spark, sf_dir):
+    return extraction.rule_hits(_numbered_lines(spark, sf_dir, "registry")).select("artifact_id", "value", "severity")
+
+
+def analyser_plan(spark, sf_dir):
+    """Analysers of every case, narrowed to the types that were provided, ranked and in dependency order."""
+    parts = table(spark, sf_dir, "nation").withColumn("key", F.col("n_nationkey").cast("bigint") + 1)
+    key, kinds = F.col("key"), F.array(*map(F.lit, ["pcap", "memory_dump", "disk_image"]))
+    ontology = parts.select(F.concat(F.lit("tool_"), key).alias("name"), F.array(F.element_at(kinds, (key % 3 + 1).cast("int"))).alias("input_types"), F.when(key % 4 == 0, F.array(F.concat(F.lit("tool_"), key - 1), F.concat(F.lit("tool_"), key + 900))).when(key > 4, F.array(F.concat(F.lit("tool_"), key - 3))).otherwise(F.array().cast("array<string>")).alias("dependencies"), F.create_map(F.lit("phishing"), key / 100.0, F.lit("unknown"), 1 - key / 100.0).alias("case_relevance"), (key % 5).cast("int").alias("default_order"), F.create_map(F.lit("deep"), key % 2 == 0).alias("args_template"))
+    n = F.regexp_extract("case_id", "([0-9]+)", 1).cast("bigint")
+    contexts = classify.narrow_types(_contexts(spark, sf_dir).withColumn("provided_types", F.when(n % 3 != 0, F.array(F.lit("disk_image"), F.lit("pcap"), F.lit("x"))).otherwise(F.array(F.lit("x")))))
+    plan = classify.plan_rows(classify.dependency_levels(classify.select_analysers(contexts, F.broadcast(ontology))))
+    return plan.select("case_id", "name", "order", F.element_at("args", "deep").alias("deep"))
+
+
+def related_children(spark, sf_dir):
+    """Nodes flagged because a relation row names them, at or above low severity."""
+    items = evidence(spark, sf_dir)
+    relations = items.where("evidence_type = 'process' and seq % 3 = 0").select("case_id", F.lit("process_relation").alias("evidence_type"), F.concat(F.lit("relation_1_"), F.regexp_extract("value", r"PID:([0-9]+)", 1)).alias("artifact_id"), F.when(F.col("seq") % 2 == 0, F.array(F.lit("proc_1"), F.concat(F.lit("proc_"), F.regexp_extract("value", r"PID:([0-9]+)", 1)))).otherwise(F.array().cast("array<string>")).alias("linked_artifacts"))
+    nodes = lineage.flagged(lineage.process_nodes(items), lineage.lineage_children(relations))
+    return nodes.select("pid", "severity", "is_flagged")
 
 
 def dashboard(spark, sf_dir):
@@ -583,6 +662,6 @@ QUERIES = {f.__name__: f for f in (
     baseline_diff, machine_context, score_summary, forest_scores, rule_attribution, attribution, item_indicators, ioc_rollup, ioc_counts, folded, key_findings,
     linked_uncovered, tree_rows, cross_source_domains, aggregate, aggregate_items, aggregate_index, case_facts, case_advice, checked_contexts, ontology_rules, model_answers, correlation_context,
     finding_lookup, case_context, reasons, scored_items, explained_anomalies, tree_summaries, scored_rollup, explanation_notes, explanations, deep_closure, deep_tree,
-    proc_nodes, lineage_closure, process_tree, coverage, verdicts, dashboard, text_digest, type_labels,
+    proc_nodes, lineage_closure, process_tree, coverage, verdicts, priority_items, file_bodies, file_timeline, registry_text, process_list, net_lines, injected, rule_scan, analyser_plan, related_children, dashboard, text_digest, type_labels,
 )}
 QUERIES |= {kind: _shared(column) for column, kind in correlate.KINDS.items()}

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "casewright", **conf: str) -> SparkSession:
-    """UTC, adaptive execution with skew handling; further settings as keyword arguments with _ for the dots."""
+    """UTC, adaptive execution with skew handling, checkpoints removed once nothing refers to them; further settings as keyword arguments with _ for the dots."""
     builder = SparkSession.builder.appName(name)
-    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true"}
+    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
     settings |= {key.replace("_", "."): value for key, value in conf.items()}
     return builder.config(map=settings).getOrCreate()
 
