@@ -1,7 +1,7 @@
 import random
 from collections import Counter
 
-from casewright.llm.sharding import communication_matrix, draw_hypergeometric, shard_rows
+from casewright.llm.sharding import communication_matrix, draw_hypergeometric, hypergeometric_chance, shard_rows
 
 
 def test_matrix_adds_up():
@@ -88,3 +88,24 @@ def test_query_digests(spark, tmp_path):
     for r in queries.op4_sharding(spark, str(tmp_path)).collect():
         data = (texts[r.doc_id] or "").encode()
         assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(data) + 8, zlib.crc32(data), "rows", None) and 0 <= r.shard < 24
+
+
+def test_chances_keep_their_digits():
+    from fractions import Fraction
+    from math import comb
+
+    for good, total, drawn in ((6, 15, 7), (1, 2, 1), (40, 100, 3), (500, 1200, 700), (3, 1000, 999)):
+        for k in range(max(0, drawn - total + good), min(good, drawn) + 1):
+            exact = float(Fraction(comb(good, k) * comb(total - good, drawn - k), comb(total, drawn)))
+            assert abs(hypergeometric_chance(k, good, total, drawn) - exact) <= 1e-12 * exact + 1e-300
+    for total in (10**9, 10**12):
+        good, drawn = total // 24, 1_000_000
+        mode = drawn * good // total
+        p = sum_of = hypergeometric_chance(mode, good, total, drawn)
+        for step in (1, -1):
+            k, p = mode, hypergeometric_chance(mode, good, total, drawn)
+            while p > 1e-18:
+                ratio = (good - k) * (drawn - k) / ((k + 1) * (total - good - drawn + k + 1)) if step == 1 else k * (total - good - drawn + k) / ((good - k + 1) * (drawn - k + 1))
+                k, p = k + step, p * ratio
+                sum_of += p
+        assert abs(sum_of - 1) < 1e-9
