@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casewright.functions.text import count_of
+from casewright.session import checkpointed
 
 # Classes with their words, artifact types with theirs, and the evidence that supports a class.
 CLASS_WORDS = {
@@ -80,7 +81,7 @@ def class_facts(contexts: DataFrame, facts: DataFrame) -> DataFrame:
     """Adds a class's columns (hypotheses, summary) from a dimension keyed by case_type; unknown stands in."""
     names = [c for c in facts.columns if c != "case_type"]
     fallback = facts.where("case_type = 'unknown'").select(*(F.col(c).alias(f"_{c}") for c in names))
-    out = contexts.join(F.broadcast(facts), "case_type", "left").join(F.broadcast(fallback.limit(1)), F.lit(True), "left")
+    out = contexts.join(facts, "case_type", "left").join(F.broadcast(fallback.limit(1)), F.lit(True), "left")
     return out.select(*contexts.columns, *(F.coalesce(c, f"_{c}").alias(c) for c in names))
 
 
@@ -121,8 +122,8 @@ def dependency_levels(selected: DataFrame, most: int = 50) -> DataFrame:
     spark = selected.sparkSession
     sets = selected.groupBy("case_id").agg(F.to_json(F.array_sort(F.collect_set("name"))).alias("chosen"))
     rows = selected.join(sets, "case_id")
-    nodes = rows.groupBy("chosen", "name").agg(F.first("dependencies").alias("dependencies"))  # of the ontology, so the same in all cases
-    edges = nodes.select("chosen", "name", F.explode("dependencies").alias("needs")).join(nodes.select("chosen", F.col("name").alias("needs")), ["chosen", "needs"])
+    nodes = checkpointed(rows.groupBy("chosen", "name").agg(F.first("dependencies").alias("dependencies")))  # of the ontology, so the same in all cases
+    edges = checkpointed(nodes.select("chosen", "name", F.explode("dependencies").alias("needs")).join(nodes.select("chosen", F.col("name").alias("needs")), ["chosen", "needs"]))  # each step of the recursion reads them
     chains = spark.sql(
         f"""WITH RECURSIVE chain(chosen, name, level) AS (
             SELECT chosen, name, 0 FROM {{nodes}}

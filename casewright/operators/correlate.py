@@ -385,7 +385,7 @@ def machine_summary(items: DataFrame, members: DataFrame | None = None) -> DataF
 
 @dataclass
 class Aggregated:
-    """C17: the reconciled, re-scored and enriched items with their signals, and what follows from them."""
+    """C17: aggregate()'s items with their signals, and what follows from them; each table is made when asked for."""
 
     signals: DataFrame
 
@@ -403,12 +403,12 @@ class Aggregated:
         return machine_summary(self.signals)
 
 
-def aggregate(raw: DataFrame, contexts: DataFrame | None = None, rescore: Callable[[DataFrame], DataFrame] | None = None) -> Aggregated:
-    """C17: first-wins, cross-tool reconciliation, re-scoring, enrichment and signals over all cases; findings, order, index and machines on request.
+def aggregate(raw: DataFrame, contexts: DataFrame | None = None, rescore: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """C17: first-wins, cross-tool reconciliation, re-scoring, enrichment and signals over all cases, written once.
 
-    The items are written once and read by every step after.
+    Aggregated() gives the findings, order, index and machines of the result.
     """
     items = dedup.reconcile_tools(dedup.first_wins(raw))
     if rescore is not None:
         items = rescore(items)
-    return Aggregated(checkpointed(with_signals(dedup.enrich(items, contexts))))
+    return checkpointed(with_signals(dedup.enrich(items, contexts)))

@@ -79,8 +79,8 @@ def bad_host_rows(items: DataFrame, catalog: dict, contexts: DataFrame | None =
     return hit.groupBy("case_id", "seq").agg(F.min(F.struct((~is_ip).alias("o"), "bad")).alias("b")).select("case_id", "seq", F.col("b.bad").alias("bad"))
 
 
-#: Contexts up to this number of cases are broadcast with their hosts; more are joined by shuffle.
-BROADCAST_CASES = 20_000
+#: Hosts of cases are broadcast and searched as a list for each row up to this number in all and for one case; more are joined by shuffle.
+BROADCAST_HOSTS, CASE_HOSTS = 100_000, 1_000
 
 
 def bad_host_column(items: DataFrame, catalog: dict, contexts: DataFrame | None = None) -> DataFrame:
@@ -92,7 +92,9 @@ def bad_host_column(items: DataFrame, catalog: dict, contexts: DataFrame | None
     fixed = sorted({n for n in [str(d).strip().lower().rstrip(".") for d in bad.get("domains") or []] + [str(i).strip() for i in bad.get("ips") or []] if n})
     listed, out = F.array(*map(F.lit, fixed)).cast("array<string>"), items
     if contexts is not None:
-        if contexts.count() > BROADCAST_CASES:
+        n = F.greatest(F.coalesce(F.size("known_bad_hosts"), F.lit(0)), F.lit(1))
+        all_hosts, of_one = contexts.groupBy("case_id").agg(F.sum(n).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+        if all_hosts > BROADCAST_HOSTS or of_one > CASE_HOSTS:
             return items.join(bad_host_rows(items, catalog, contexts).withColumnRenamed("bad", "_bad"), ["case_id", "seq"], "left")
         own = contexts.groupBy("case_id").agg(F.flatten(F.collect_list("known_bad_hosts")).alias("_own"))
         own = own.select("case_id", F.filter(F.transform("_own", lambda h: F.rtrim(F.lower(F.trim(h)), F.lit("."))), lambda h: h != "").alias("_own"))

@@ -200,10 +200,10 @@ def coverage(items: DataFrame, status_types: tuple[str, ...] = ("memory_analysis
 
 
 def class_rows(contexts: DataFrame, facts: DataFrame) -> DataFrame:
-    """The technique or advice rows of each case's class, or those of unknown."""
+    """The technique or advice rows of each case's class, or those of unknown; Spark broadcasts the facts if they are small."""
     known = facts.select("case_type").distinct().withColumn("_k", F.lit(True))
-    keyed = contexts.join(F.broadcast(known), "case_type", "left").withColumn("_key", F.when(F.col("_k"), F.col("case_type")).otherwise("unknown"))
-    return keyed.select("case_id", F.col("_key").alias("case_type")).join(F.broadcast(facts), "case_type")
+    keyed = contexts.join(known, "case_type", "left").withColumn("_key", F.when(F.col("_k"), F.col("case_type")).otherwise("unknown"))
+    return keyed.select("case_id", F.col("_key").alias("case_type")).join(facts, "case_type")
 
 
 def normalise_explanations(documents: DataFrame, text: str = "text") -> DataFrame:

@@ -192,7 +192,7 @@ def _two_tools(spark, sf_dir):
 
 def _aggregated(spark, sf_dir):
     contexts = spark.sql("SELECT 'case-1' AS case_id, array('WS-1', 'WS-2') AS affected_systems")
-    return correlate.aggregate(_two_tools(spark, sf_dir), contexts, indicators.rescore)
+    return correlate.Aggregated(correlate.aggregate(_two_tools(spark, sf_dir), contexts, indicators.rescore))
 
 
 def aggregate(spark, sf_dir):
@@ -629,7 +629,7 @@ def analyser_plan(spark, sf_dir):
     ontology = parts.select(F.concat(F.lit("tool_"), key).alias("name"), F.array(F.element_at(kinds, (key % 3 + 1).cast("int"))).alias("input_types"), F.when(key % 4 == 0, F.array(F.concat(F.lit("tool_"), key - 1), F.concat(F.lit("tool_"), key + 900))).when(key > 4, F.array(F.concat(F.lit("tool_"), key - 3))).otherwise(F.array().cast("array<string>")).alias("dependencies"), F.create_map(F.lit("phishing"), key / 100.0, F.lit("unknown"), 1 - key / 100.0).alias("case_relevance"), (key % 5).cast("int").alias("default_order"), F.create_map(F.lit("deep"), key % 2 == 0).alias("args_template"))
     n = F.regexp_extract("case_id", "([0-9]+)", 1).cast("bigint")
     contexts = classify.narrow_types(_contexts(spark, sf_dir).withColumn("provided_types", F.when(n % 3 != 0, F.array(F.lit("disk_image"), F.lit("pcap"), F.lit("x"))).otherwise(F.array(F.lit("x")))))
-    plan = classify.plan_rows(classify.dependency_levels(classify.select_analysers(contexts, F.broadcast(ontology))))
+    plan = classify.plan_rows(classify.dependency_levels(classify.select_analysers(contexts, ontology)))
     return plan.select("case_id", "name", "order", F.element_at("args", "deep").alias("deep"))
 
 

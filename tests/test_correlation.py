@@ -220,10 +220,22 @@ def test_aggregate_runs_the_whole_chain(spark):
         {"tool": "tshark", "type": "network_connection", "time": "2024-01-02T00:00:00Z", "value": "TCP 10.0.0.5 -> 9.9.9.9:4444 (1,500,000 bytes) (PID:10)"}, {"type": "file_artifact", "time": "2024-01-01T12:00:00Z", "value": "C:\\Temp\\x.exe", "machine": ""},
     ]
     contexts = spark.createDataFrame([("c", ["WS-1"])], "case_id string, affected_systems array<string>")
-    done = correlate.aggregate(items(spark, *rows), contexts, indicators.rescore)
+    done = correlate.Aggregated(correlate.aggregate(items(spark, *rows), contexts, indicators.rescore))
     found = {r.correlation_type for r in done.findings().collect()}
     assert found == {"same_pid", "exfiltration"}
     kept = done.items().orderBy("place").collect()
     assert [r.place for r in kept] == [1, 2, 3] and kept[0].artifact_id == "a3" and {r.machine_id for r in kept} == {"m", "WS-1"}
     assert {(r.kind, r.key): r.n for r in done.index().collect()}[("machine", "WS-1")] == 1
     assert {r.machine_id: r.n_findings for r in done.machines().collect()} == {"m": 2, "WS-1": 1, None: 2}
+
+
+def test_many_hosts_of_cases_are_joined(spark, monkeypatch):
+    """The hosts of cases give the same matches broadcast and joined."""
+    contexts = spark.createDataFrame([("c", ["own-bad.net", "9.9.9.9", None]), ("other", ["else.net"]), ("none", None)], "case_id string, known_bad_hosts array<string>")
+    rows = [{"id": "own", "value": "x.own-bad.net"}, {"id": "ip", "value": "9.9.9.9"}, {"id": "else", "value": "else.net"}, {"id": "else_case", "case": "other", "value": "a.else.net"}, {"id": "calm", "case": "none", "value": "own-bad.net"}]
+    wanted = {k: r.ioc_match for k, r in rescored(spark, *rows, contexts=contexts).items()}
+    assert wanted["own"] == ["bad_host:own-bad.net"] and wanted["else"] == wanted["calm"] == []
+    for name in ("BROADCAST_HOSTS", "CASE_HOSTS"):
+        monkeypatch.setattr(indicators, name, 1)
+        assert {k: r.ioc_match for k, r in rescored(spark, *rows, contexts=contexts).items()} == wanted
+        monkeypatch.undo()

@@ -114,3 +114,10 @@ def test_end_to_end(spark):
     out = correlate.aggregate(raw)
     assert sorted(r.artifact_id for r in out.collect()) == ["i", "p"]
     assert [r.key for r in correlate.shared_key_findings(out, "pids").collect()] == ["9"]
+
+
+def test_whole_files_are_one_text_each(spark, tmp_path):
+    write(tmp_path / "mail.eml", "Subject: a\n\nverify your password\n")
+    write(tmp_path / "report.txt", "one\ntwo")
+    got = {r.file.rsplit("/", 1)[1]: r.text for r in files.whole_texts(spark, str(tmp_path)).collect()}
+    assert got == {"mail.eml": "Subject: a\n\nverify your password\n", "report.txt": "one\ntwo"}
