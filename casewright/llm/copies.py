@@ -25,8 +25,9 @@ from casewright.llm.components import connected_components
 
 #: Bands and their MinHash values: a pair of similarity s shares a band with chance 1 - (1 - s**5)**20, 0.9996 at 0.8.
 BANDS, BAND_ROWS = 20, 5
-#: A component of candidates goes to one task if it holds at most so many sets (some ten seconds' work at worst) and shingles.
-TASK_SETS, TASK_SHINGLES = 2048, 1 << 21
+#: A component of candidates goes to one task first if it holds at most so many sets and shingles. The task gives up after
+#: it has looked at so many shingles (some ten seconds' work), and the component is verified by joins like a larger one.
+TASK_SETS, TASK_SHINGLES, TASK_WORK = 1 << 14, 1 << 21, 1 << 30
 #: Most sets of a group that all others are compared with in one round; it starts with one and has four times as many in each further round.
 LEADERS = 1024
 _MIX = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64) | np.uint64(1)
@@ -49,11 +50,12 @@ def band_keys(shingles: np.ndarray) -> list[int]:
     return np.array(keys, np.uint64).view(np.int64).tolist()
 
 
-def similar_groups(sets: list[np.ndarray], least: float) -> np.ndarray:
+def similar_groups(sets: list[np.ndarray], least: float, most_work: int = 1 << 62) -> np.ndarray | None:
     """For each set the first one that it reaches over pairs of Jaccard similarity `least` and more.
 
     Breadth first: a set is compared only with those that no group has yet, so
-    a group of mutual copies takes one pass.
+    a group of mutual copies takes one pass. None if that means to look at more
+    than most_work shingles.
     """
     n, sizes = len(sets), np.array([len(s) for s in sets])
     values, number = np.unique(np.concatenate(sets), return_inverse=True)
@@ -66,6 +68,9 @@ def similar_groups(sets: list[np.ndarray], least: float) -> np.ndarray:
         group[first], queue = first, [first]
         while queue and (group < 0).any():
             at = queue.pop()
+            most_work -= len(open_values) + n
+            if most_work < 0:
+                return None
             own = number[ends[at] - sizes[at] : ends[at]]
             mark[own] = True
             shared = np.bincount(owner[mark[open_values]], minlength=n)
@@ -184,26 +189,28 @@ def near_duplicates(docs: DataFrame, least: float, id_col: str = "doc_id", text_
     candidates = checkpointed(connected_components(_candidates(nodes, radius, shard_rows), "a", "b").withColumnRenamed("root", "candidate"))
     few = candidates.count() <= BROADCAST_ROWS  # then only texts of candidates move
     large = checkpointed(candidates.join(nodes.select("node", "size"), "node").groupBy("candidate").agg(F.count("*").alias("sets"), F.sum("size").alias("size")).where((F.col("sets") > TASK_SETS) | (F.col("size") > TASK_SHINGLES)).select("candidate"))
-    some_large = not large.isEmpty()
     texts = made.select("node", "text", "size").join(F.broadcast(candidates) if few else candidates, "node").dropDuplicates(["node"])
-    if some_large:
+    if not large.isEmpty():
         texts = checkpointed(texts)
 
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("node")
         names = rows["node"].to_numpy()
-        sets = [shingle_set(None if t is None else t.encode(), words_per_shingle) for t in rows["text"]]
-        return pd.DataFrame({"node": names, "root": names[similar_groups(sets, least)]})
+        groups = similar_groups([shingle_set(None if t is None else t.encode(), words_per_shingle) for t in rows["text"]], least, TASK_WORK)
+        roots = pd.Series(names[groups], dtype="Int64") if groups is not None else pd.Series([pd.NA] * len(rows), dtype="Int64")
+        return pd.DataFrame({"candidate": rows["candidate"].to_numpy(), "node": names, "root": roots})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingle_set(t.as_py(), words_per_shingle).view(np.int64) for t in batch.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("candidate"), batch.column("node"), batch.column("size"), pa.array(found, pa.list_(pa.int64()))], names=["candidate", "node", "size", "shingles"])
 
-    small = texts.join(large, "candidate", "left_anti") if some_large else texts  # each component's texts, or a part of them, lie in one task here
-    roots = small.select("candidate", "node", "text").groupBy("candidate").applyInPandas(verify, "node long, root long")
-    if some_large:
-        sets, sets_path = written(texts.join(large, "candidate", "left_semi").mapInArrow(cut, "candidate long, node long, size long, shingles array<long>"), "copies-sets")
+    small = texts.join(large, "candidate", "left_anti").select("candidate", "node", "text")  # each component's texts, or a part of them, lie in one task here
+    tried = checkpointed(small.groupBy("candidate").applyInPandas(verify, "candidate long, node long, root long"))
+    roots = tried.where("root is not null").select("node", "root")
+    open_ones = checkpointed(large.union(tried.where("root is null").select("candidate").distinct()))
+    if not open_ones.isEmpty():
+        sets, sets_path = written(texts.join(open_ones, "candidate", "left_semi").mapInArrow(cut, "candidate long, node long, size long, shingles array<long>"), "copies-sets")
         links, links_path = _linked_sets(sets, least)
         roots = roots.union(connected_components(links, "a", "b"))
         remove_folder(spark, sets_path)

@@ -102,3 +102,12 @@ def test_large_components_are_verified_by_joins(spark, monkeypatch):
     assert len(set(wanted.values())) > 70
     monkeypatch.setattr(copies, "_candidates", lambda nodes, radius, shards: nodes.crossJoin(nodes.agg(copies.F.min("node").alias("b"))).select(copies.F.col("node").alias("a"), "b"))
     assert {r.id: r.component for r in copies.near_duplicates(docs, 0.8).collect()} == wanted
+
+
+def test_components_that_take_a_task_too_long_are_verified_by_joins(spark, monkeypatch):
+    rows = documents(seed=4)[:60]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    wanted = by_brute_force(rows)
+    for work in (0, 3000):
+        monkeypatch.setattr(copies, "TASK_WORK", work)
+        assert {r.id: r.component for r in copies.near_duplicates(docs, 0.8).collect()} == wanted
