@@ -22,3 +22,8 @@ def test_mails_with_other_endings(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = {value for _, value in equals_sql(spark, "mails", tmp_path, "documents")}
     assert {"y@site.org", "z1@deep.mail.example.net", "n@site.co.uk"} <= found and not {"a.b@host.de", "c@host.COM", "x@site.io"} & found
+
+
+def test_ontology_with_part_numbers_over_the_known_ones(spark, tmp_path):
+    spark.sql("SELECT id AS p_partkey FROM (SELECT id FROM range(0, 40) UNION ALL SELECT id FROM range(99990, 100030))").write.parquet(f"{tmp_path}/part.parquet")
+    assert equals_sql(spark, "ontology_rules", tmp_path, "part")
