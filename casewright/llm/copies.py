@@ -1,7 +1,7 @@
 """Near-duplicate groups whose links are verified by the exact similarity of shingle sets.
 
-Candidates come from two searches: fingerprints within a radius (the
-vantage-point tree of simhash), and MinHash bands, which reach the pairs whose
+Candidates come from two searches: fingerprints within a radius (equal blocks
+of bits, simhash.link_by_blocks), and MinHash bands, which reach the pairs whose
 fingerprints differ in more bits. Both give stars, never all pairs. Each
 connected component of candidates is then searched for its true links: small
 ones inside one task, larger ones as a distributed join of rare shingles.
@@ -10,13 +10,13 @@ ones inside one task, larger ones as a distributed join of rare shingles.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewright.llm import simhash
@@ -28,15 +28,24 @@ BANDS, BAND_ROWS = 20, 5
 #: A component of candidates goes to one task first if it holds at most so many sets and shingles. The task gives up after
 #: it has looked at so many shingles (some ten seconds' work), and the component is verified by joins like a larger one.
 TASK_SETS, TASK_SHINGLES, TASK_WORK = 1 << 14, 1 << 21, 1 << 30
-#: Most sets of a group that all others are compared with in one round; it starts with one and has four times as many in each further round.
+#: Most sets of a group that all others are compared with in one round; it starts with one and has sixteen times as many in each further round.
 LEADERS = 1024
+#: Sets of a group that is large, and shingles of a cell: of its leaders, and of the sets that meet them.
+LARGE_GROUP, LEADER_SHINGLES, CELL_SHINGLES = 1024, 1 << 21, 1 << 19
+#: Partitions that cells are dealt to at most.
+MOST_TASKS = 4096
 _MIX = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * BAND_ROWS, 1), np.uint64) | np.uint64(1)
-_CHUNK = 4096
+_CHUNK = 512
 
 
 def shingle_set(text: bytes | None, words_per_shingle: int) -> np.ndarray:
     """The distinct shingle hashes of one text in order; empty for null or no words."""
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *simhash.shingle_hashes(text, words_per_shingle)]))
+    return distinct_hashes(simhash.shingle_hashes(text, words_per_shingle))
+
+
+def distinct_hashes(chunks: Iterable[np.ndarray]) -> np.ndarray:
+    """The distinct ones of the shingle hashes of one text, in order."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *chunks]))
 
 
 def band_keys(shingles: np.ndarray) -> list[int]:
@@ -91,9 +100,9 @@ def _described(docs: DataFrame, id_col: str, text_col: str, words_per_shingle: i
         for batch in batches:
             prints, nodes, sizes, bands = [], [], [], []
             for cell in batch.column(1).cast(pa.binary()):
-                text = cell.as_py()
-                shingles = shingle_set(text, words_per_shingle)
-                prints.append(simhash.shingle_fingerprint(text, words_per_shingle))
+                hashes = list(simhash.shingle_hashes(cell.as_py(), words_per_shingle))  # once for the fingerprint and the set
+                shingles = distinct_hashes(hashes)
+                prints.append(simhash.fingerprint_of(hashes))
                 nodes.append(xxhash.xxh64_intdigest(shingles.tobytes()))
                 sizes.append(len(shingles))
                 bands.append(band_keys(shingles))
@@ -107,7 +116,7 @@ def _described(docs: DataFrame, id_col: str, text_col: str, words_per_shingle: i
 def _candidates(nodes: DataFrame, radius: int, shard_rows: int) -> DataFrame:
     """Stars (a, b) of nodes (one row for each: node, fp, bands) that share a band or whose fingerprints link."""
     prints = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("lead"), F.count("*").alias("n")))
-    links = simhash.link_fingerprints(prints.select("fp"), radius, shard_rows)
+    links = simhash.link_by_blocks(prints.select("fp"), radius, shard_rows)
     heads = prints.select(F.col("fp").alias("root"), F.col("lead").alias("b"))
     near = links.join(prints, "fp").join(heads, "root").select(F.col("lead").alias("a"), "b")
     same = join_unique(nodes.select("fp", "node"), prints, "fp", "n").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))
@@ -118,60 +127,131 @@ def _candidates(nodes: DataFrame, radius: int, shard_rows: int) -> DataFrame:
 
 
 def _rare_groups(sets: DataFrame, least: float) -> DataFrame:
-    """token, node: the shingles of which two sets share one if their similarity is `least` or more.
+    """candidate, token, node, size, held: the shingles of which two sets share one if their similarity is `least` or more.
 
     In one order of all shingles of a component, here by rarity, such sets share
     one of their first n - ceil(least * n) + 1. Shingles that only one set holds
     come first and meet nobody, so sets of one template with parts of their own meet nobody either.
+    held is the number of a set's shingles that others of its component hold too.
+    Large groups of one component hold mostly the same sets; they become one
+    group, so that near copies do not meet once for each of their shingles.
     """
     tokens = sets.select("candidate", "node", "size", F.explode("shingles").alias("shingle"))
     token = F.xxhash64("candidate", "shingle").alias("token")  # the same shingle in two components makes two groups
-    tokens = checkpointed(tokens.select("node", "size", token))
+    tokens = checkpointed(tokens.select("candidate", "node", "size", token))
     often = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     held = join_unique(tokens, checkpointed(often.withColumn("often", F.col("n"))), "token", "n")
     first = F.col("size") - F.ceil(F.lit(least) * F.col("size") - 1e-9) + 1
-    per = held.groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("t"))  # of one text
+    per = held.groupBy("candidate", "node", "size").agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("t"))  # of one text
     alone = F.col("size") - F.size("t")
-    kept = per.where(first > alone).select("node", F.explode(F.slice("t", F.lit(1), (first - alone).cast("int"))).alias("s")).select("node", "s.token")
-    return checkpointed(kept)
+    shared = F.size("t").cast("long").alias("held")
+    cut = F.slice("t", F.lit(1), (first - alone).cast("int"))
+    kept = checkpointed(per.where(first > alone).select("candidate", "node", "size", shared, F.explode(cut).alias("s")).select("candidate", "s.token", "node", "size", "held"))
+    all_sets = kept.groupBy("candidate").agg(F.countDistinct("node").alias("sets"))
+    groups = kept.groupBy("candidate", "token").agg(F.count("*").alias("n")).where(F.col("n") >= LARGE_GROUP)
+    large = checkpointed(groups.join(all_sets, "candidate").where(F.col("n") * 16 >= F.col("sets")).select("token", F.xxhash64("candidate").alias("one")))  # one for LARGE_GROUP rows at most
+    return checkpointed(kept.join(F.broadcast(large), "token", "left").withColumn("token", F.coalesce("one", "token")).drop("one").distinct())
+
+
+def _close(both: Column, a_size: Column, b_size: Column, least: float) -> Column:
+    """Whether sets of these sizes are similar if they share `both`."""
+    return both >= least * (a_size + b_size - both) - 1e-9
+
+
+def _met(members: DataFrame, most: int, turn: int) -> DataFrame:
+    """members (token, node, comp) of groups that hold sets of several components, with n (of the group) and leads.
+
+    The sets beside the group's largest component lead, or about `most` of them
+    by a hash, so that groups with the same sets name the same leaders; the first set leads always.
+    """
+    parts = members.groupBy("token", "comp").agg(F.count("*").alias("n"), F.min("node").alias("first"))
+    main = F.max(F.struct("n", "comp"))
+    groups = parts.groupBy("token").agg(F.sum("n").alias("n"), F.min("first").alias("first"), main.alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    groups = checkpointed(groups.select("token", "n", "first", F.col("main.comp").alias("main"), (F.col("n") - F.col("main.n")).alias("beside"), F.col("n").alias("rows")))
+    drawn = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 << 40)) / float(1 << 40) * F.col("beside") < most
+    leads = (F.col("node") == F.col("first")) | (F.col("comp") != F.col("main")) & drawn
+    return join_unique(members, groups, "token", "rows").withColumn("leads", leads).drop("first", "main", "beside")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs a, b (of pairs candidate, a, b; b: leaders) whose sets are similar.
+
+    The leaders of a component and the sets that meet them are dealt into cells
+    of bounded size; a task counts what a set shares with the leaders of its cell in one pass.
+    """
+    nodes = sets.select("candidate", "node", "size")
+    sums = [nodes.join(pairs.select(F.col(x).alias("node")).distinct(), "node").groupBy("candidate").agg(F.ceil(F.sum("size") / most).alias(y)) for x, y, most in (("b", "l_cells", LEADER_SHINGLES), ("a", "o_cells", CELL_SHINGLES))]
+    cells = checkpointed(sums[0].join(sums[1], "candidate"))  # one row for each large component
+    tasks = 2 * int(cells.agg(F.sum(F.col("l_cells") * F.col("o_cells"))).first()[0] or 0)
+    cells = F.broadcast(cells)
+    of_leader, of_other = (F.pmod(F.xxhash64(F.col(x)), F.col(y)) for x, y in (("b", "l_cells"), ("a", "o_cells")))
+    dealt = pairs.join(cells, "candidate").select("candidate", of_leader.alias("l"), of_other.alias("o"), "a", "b")
+    asks = dealt.groupBy("candidate", "l", "o", F.col("a").alias("node")).agg(F.collect_list("b").alias("bs")).join(sets.drop("candidate"), "node")
+    heads = pairs.select("candidate", "b").distinct().join(cells, "candidate").select("candidate", of_leader.alias("l"), F.explode(F.sequence(F.lit(0), F.col("o_cells") - 1)).alias("o"), F.col("b").alias("node")).join(sets.drop("candidate"), "node")
+
+    def meet(heads: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        heads, found = heads.sort_values("node"), []
+        names, sizes = heads["node"].to_numpy(np.int64), heads["size"].to_numpy(np.int64)
+        of_head = list(heads["shingles"])
+        values = np.concatenate([np.zeros(0, np.int64), *of_head])
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], np.repeat(np.arange(len(heads)), sizes)[order]
+        for a, size, shingles, bs in zip(asks["node"], asks["size"], asks["shingles"], asks["bs"], strict=True):
+            asked = np.searchsorted(names, bs)
+            if 16 * len(asked) < len(heads):  # few of the cell's leaders: each is looked up in the set
+                own, theirs = np.sort(shingles), np.concatenate([of_head[i] for i in asked])
+                shared = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+                both = np.add.reduceat(shared, np.cumsum(sizes[asked]) - sizes[asked], dtype=np.int64)
+            else:  # many: the set's shingles are looked up among those of all
+                low, high = np.searchsorted(values, shingles), np.searchsorted(values, shingles, "right")
+                many = high - low
+                at = np.arange(many.sum()) + np.repeat(low - np.cumsum(many) + many, many)
+                both = np.bincount(owner[at], minlength=len(heads))[asked]
+            near = names[asked[both >= least * (size + sizes[asked] - both) - 1e-9]]
+            found.append((np.full(len(near), a), near))
+        none = np.zeros(0, np.int64)
+        return pd.DataFrame({x: np.concatenate([none, *(f[i] for f in found)]) for i, x in enumerate("ab")})
+
+    key = ["candidate", "l", "o"]
+    # Columns of their own, as both come from sets, and a number of partitions, as near copies are few bytes for their work.
+    heads, asks = (t.toDF(*t.columns).repartition(min(max(1, tasks), MOST_TASKS), *key) for t in (heads, asks))
+    return heads.groupBy(*key).cogroup(asks.groupBy(*key)).applyInPandas(meet, "a long, b long")
 
 
 def _linked_sets(sets: DataFrame, least: float) -> tuple[DataFrame, str]:
-    """a, b (and the folder of that table): links of similarity `least` and more that join the sets (candidate, node, size, shingles) as all such links would.
+    """a, b (and the folder of that table): stars that join the sets (candidate, node, size, shingles) as all links of similarity `least` and more would.
 
     In each round every group of sets that share a rare shingle names some
     leaders; all others that are not known to belong with a leader are compared
-    with it. Leaders have then met the whole group and leave it. Groups whose
-    sets all belong together are done: copies take one round, and a group of g
-    sets some g / LEADERS at most. Pairs are ids; sets are joined to them afterwards.
+    with it, unless the shingles that each shares with anyone are too few. Leaders have then met the whole group and
+    leave it. Groups whose sets all belong together are done. Once a group's largest
+    component is found, the sets beside it are its leaders: near copies take a few
+    rounds however many they are, and a group of g sets that all differ some
+    g / LEADERS. Pairs are ids; sets are joined to them afterwards.
     """
     spark = sets.sparkSession
     # Tables are written each round, as sizes that are carried through so many joins would outgrow any number.
     members, path = written(_rare_groups(sets, least).withColumn("comp", F.col("node")), "copies-members")
     links, links_path = written(sets.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "copies-links")
     for turn in itertools.count():
-        groups = members.groupBy("token").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high"), F.min("node").alias("first")).where("low < high").drop("low", "high")
-        most = min(LEADERS, 4**turn) if turn else 0
-        leads = (F.col("node") == F.col("first")) | (F.pmod(F.xxhash64("node", F.lit(turn)), F.col("n")) < most)
-        met, met_path = written(join_unique(members, checkpointed(groups.withColumn("rows", F.col("n"))), "token", "rows").withColumn("leads", leads), "copies-members")
+        met, met_path = written(_met(members, min(LEADERS, 16**turn) if turn else 0, turn), "copies-members")
         remove_folder(spark, path)
         if met.isEmpty():
             remove_folder(spark, met_path)
             return links, links_path
-        leaders = checkpointed(met.where("leads").groupBy("token").agg(F.collect_list(F.struct(F.col("node").alias("b"), F.col("comp").alias("c"))).alias("to"), F.first("n").alias("n")))
-        meetings = join_unique(met.select("token", "node", "comp"), leaders, "token", "n").select(F.col("node").alias("a"), "comp", F.explode("to").alias("to"))
-        pairs, pairs_path = written(meetings.where("to.b <> a AND to.c <> comp").select(F.least("a", "to.b").alias("a"), F.greatest("a", "to.b").alias("b")).distinct(), "copies-pairs")
-        sized = sets.select("node", "size", "shingles")
-        left, right = (sized.select(F.col("node").alias(x), F.col("size").alias(f"{x}_size"), F.col("shingles").alias(f"{x}_set")) for x in "ab")
-        both = F.size(F.array_intersect("a_set", "b_set"))
-        close = pairs.join(left, "a").join(right, "b").where(F.least("a_size", "b_size") >= least * F.greatest("a_size", "b_size") - 1e-9)
-        found = close.withColumn("both", both).where(F.col("both") >= least * (F.col("a_size") + F.col("b_size") - F.col("both")) - 1e-9).select("a", "b")
-        more, more_path = written(links.union(found), "copies-links")
-        rest = met.where("NOT leads").select("token", "node").join(connected_components(more, "a", "b"), "node", "left")
-        members, path = written(rest.select("token", "node", F.coalesce("root", "node").alias("comp")), "copies-members")
-        for done in (met_path, pairs_path, links_path):
+        head = F.struct(F.col("node").alias("b"), F.col("comp").alias("c"), F.col("size").alias("s"), F.col("held").alias("h"))
+        leaders = checkpointed(met.where("leads").groupBy("token").agg(F.collect_list(head).alias("to"), F.first("n").alias("n")))
+        meetings = join_unique(met.drop("n"), leaders, "token", "n").select(F.col("node").alias("a"), "candidate", "comp", "size", "held", "leads", F.explode("to").alias("to"))
+        apart = F.expr("to.b <> a AND to.c <> comp AND NOT (leads AND to.b > a)")  # of two leaders one meets the other
+        likely = _close(F.least("held", "to.h"), F.col("size"), F.col("to.s"), least)
+        pairs, pairs_path = written(meetings.where(apart & likely).select("candidate", "a", "to.b").distinct(), "copies-pairs")
+        more, more_path = written(links.union(_verified(pairs, sets, least)), "copies-links")
+        stars, stars_path = written(connected_components(more, "a", "b").select(F.col("node").alias("a"), F.col("root").alias("b")), "copies-links")
+        rest = met.where("NOT leads").drop("n", "leads", "comp").join(stars.withColumnRenamed("a", "node"), "node", "left")
+        members, path = written(rest.withColumn("comp", F.coalesce("b", "node")).drop("b"), "copies-members")
+        for done in (met_path, pairs_path, links_path, more_path):
             remove_folder(spark, done)
-        links, links_path = more, more_path
+        links, links_path = stars, stars_path
 
 
 def near_duplicates(docs: DataFrame, least: float, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 5, radius: int = 6, shard_rows: int = 1024) -> DataFrame:

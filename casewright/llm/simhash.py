@@ -9,11 +9,17 @@ only link to a near one if its distance is at most m + radius; such boundary
 cases also visit the near side as queries. Each leaf is then a shard whose
 homes are compared with its homes and visitors, so every link is found in
 exactly the home shard of one of its ends, and none is lost.
+
+A wide radius makes almost every fingerprint a visitor of both sides, so the
+shards of a tree hold most of the table each. Such a search deals fingerprints
+by equal blocks of bits instead (link_by_blocks), which is exact too.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import itertools
+import math
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +38,10 @@ _CHUNK = 1 << 16
 #: Bits are counted through counts of byte values, one table of 256 for each of the 8 places.
 _BYTE_AT = np.arange(8) * 256
 _BITS_OF_BYTE = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
+#: Fingerprints with one value of equal bits, on average, from which on more bits must be equal; and the length from which on a run is walked breadth first.
+_KEY_ROWS, _LONG_RUN = 1 << 16, 256
+#: Sets of bits, and partitions that shards are dealt to, at most.
+_MOST_MASKS, _MOST_TASKS = 256, 4096
 
 
 def shingle_hashes(text: bytes | None, words_per_shingle: int, seed: int = 42) -> Iterator[np.ndarray]:
@@ -50,8 +60,13 @@ def shingle_fingerprint(text: bytes | None, words_per_shingle: int, seed: int =
     A-Z are lower-cased, words are split at ASCII white space, repeated
     shingles count each time, and a text shorter than a shingle is one shingle.
     """
+    return fingerprint_of(shingle_hashes(text, words_per_shingle, seed))
+
+
+def fingerprint_of(chunks: Iterable[np.ndarray]) -> int:
+    """The fingerprint of the shingle hashes of one text; 0 for none."""
     ones, total = np.zeros(BITS, np.int64), 0
-    for hashes in shingle_hashes(text, words_per_shingle, seed):
+    for hashes in chunks:
         counts = np.bincount((hashes.view(np.uint8).reshape(-1, 8) + _BYTE_AT).ravel(), minlength=8 * 256).reshape(8, 256)
         ones += (counts @ _BITS_OF_BYTE).ravel()
         total += len(hashes)
@@ -211,6 +226,106 @@ def link_fingerprints(prints: DataFrame, radius: int = 2, shard_rows: int = 1024
     return dealt.groupBy("shard").applyInPandas(search, "fp long, root long")
 
 
+def equal_bits(count: int, radius: int) -> list[np.uint64]:
+    """Masks of bits, of which two fingerprints within `radius` agree in one at least.
+
+    The bits are cut into radius + 1 blocks, so one of them is equal. With more
+    blocks two and more of them are; so many are taken that about _KEY_ROWS
+    of `count` fingerprints at most have the same bits.
+    """
+    more = 0
+    while count > _KEY_ROWS << (more + 1) * (BITS // (radius + 1 + more)) and math.comb(radius + 2 + more, radius) <= _MOST_MASKS:
+        more += 1
+    blocks = np.array_split(np.arange(BITS, dtype=np.uint64), radius + 1 + more)
+    return [_mask(np.concatenate(chosen)) for chosen in itertools.combinations(blocks, more + 1)]
+
+
+def _mask(bits: np.ndarray) -> np.uint64:
+    return np.bitwise_or.reduce(np.uint64(1) << bits, initial=np.uint64(0))
+
+
+def deal_by_bits(prints: np.ndarray, masks: list[np.uint64], shards: int) -> Iterator[np.ndarray]:
+    """For each mask the shard of each fingerprint; those that agree in the mask's bits share it."""
+    for i, mask in enumerate(masks):
+        mixed = (prints & mask) * np.uint64(0x9E3779B97F4A7C15)
+        yield i * shards + ((mixed >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+
+
+def bit_links(prints: np.ndarray, mask: np.uint64, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that agree in the mask's bits and are within `radius`; of runs of more than _LONG_RUN candidates only pairs that join them alike.
+
+    The bits beside the mask are cut into radius + 1 blocks again; only
+    fingerprints that agree in the mask and in one of these are compared.
+    """
+    beside = np.array([i for i in range(BITS) if not int(mask) >> i & 1], np.uint64)
+    for part in np.array_split(beside, radius + 1):
+        agreed = prints & (mask | _mask(part))
+        order = np.argsort(agreed)
+        values, agreed = prints[order], agreed[order]
+        starts = np.flatnonzero(np.append(True, agreed[1:] != agreed[:-1])) if len(values) else np.zeros(0, int)
+        lengths = np.diff(np.append(starts, len(values)))
+        after = np.repeat(starts + lengths, lengths) - np.arange(len(values)) - 1  # members of the run behind each place
+        at = np.flatnonzero(np.repeat(lengths <= _LONG_RUN, lengths) & (after > 0))
+        step = 1
+        while len(at):
+            near = at[np.bitwise_count(values[at] ^ values[at + step]) <= radius]
+            if len(near):
+                yield values[near], values[near + step]
+            step += 1
+            at = at[after[at] >= step]
+        for start, length in zip(starts[lengths > _LONG_RUN], lengths[lengths > _LONG_RUN], strict=True):
+            yield run_links(values[start : start + length], radius)
+
+
+def run_links(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join the fingerprints as all pairs within `radius` would.
+
+    Breadth first: each is compared only with those that nothing has reached
+    yet, so a dense cluster takes few comparisons.
+    """
+    left, right, queue = [], [], []
+    while len(prints):
+        if not queue:
+            queue, prints = [prints[0]], prints[1:]
+        at = queue.pop()
+        near = np.bitwise_count(prints ^ at) <= radius
+        if near.any():
+            right.append(prints[near])
+            left.append(np.full(len(right[-1]), at))
+            queue += list(right[-1])
+            prints = prints[~near]
+    none = np.zeros(0, np.uint64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def link_by_blocks(prints: DataFrame, radius: int, shard_rows: int = 1 << 15) -> DataFrame:
+    """Links between distinct fingerprints (column fp) as star edges fp, root within each shard, for a wide radius.
+
+    Fingerprints within the radius agree in at least one of a few sets of bits
+    (equal_bits); each goes to one shard for each set, so the rows that
+    move are a fixed number for each fingerprint (radius + 1 up to 30 million of them). prints is
+    read twice and should be materialised; the driver sees its count.
+    """
+    count = prints.count()
+    masks = equal_bits(count, radius)
+    shards = max(1, -(-count // shard_rows))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            values = batch["fp"].to_numpy(np.int64)
+            for shard in deal_by_bits(values.view(np.uint64), masks, shards):
+                yield pd.DataFrame({"shard": shard, "fp": values})
+
+    def search(key: tuple[int], shard: pd.DataFrame) -> pd.DataFrame:
+        values = shard["fp"].to_numpy(np.int64).view(np.uint64)
+        far, root = _stars(values, bit_links(values, masks[key[0] // shards], radius))
+        return pd.DataFrame({"fp": far.view(np.int64), "root": root.view(np.int64)})
+
+    # A number of partitions is named, as the rows are few bytes for the work that they mean.
+    dealt = prints.mapInPandas(deal, "shard long, fp long").repartition(min(len(masks) * shards, _MOST_TASKS), "shard")
+    return dealt.groupBy("shard").applyInPandas(search, "fp long, root long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3, radius: int = 2, shard_rows: int = 1024) -> DataFrame:
     """One row per input row: id, fp, component (the smallest id of its group).
 

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pandas as pd
+
 from casewright.llm import copies, simhash
 
 
@@ -111,3 +114,47 @@ def test_components_that_take_a_task_too_long_are_verified_by_joins(spark, monke
     for work in (0, 3000):
         monkeypatch.setattr(copies, "TASK_WORK", work)
         assert {r.id: r.component for r in copies.near_duplicates(docs, 0.8).collect()} == wanted
+
+
+def test_work_of_a_wide_radius_grows_like_the_fingerprints(spark):
+    """Rows that move are radius + 1 for each fingerprint at any number; the links equal brute force, dense clusters included."""
+    rng = np.random.default_rng(7)
+    for n in (1 << 14, 1 << 17):
+        prints = rng.integers(0, 1 << 64, n, np.uint64)
+        assert sum(map(len, simhash.deal_by_bits(prints, simhash.equal_bits(n, 6), 4))) == 7 * n
+    assert len(simhash.equal_bits(1 << 30, 6)) == 28
+    base = rng.integers(0, 1 << 64, 40, np.uint64)
+    flips = np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (3000, 4), np.uint64), axis=1)
+    prints = np.unique(np.concatenate([base[rng.integers(0, 40, 3000)] ^ flips, rng.integers(0, 1 << 64, 1000, np.uint64)]))
+    pairs = np.argwhere(np.bitwise_count(prints[:, None] ^ prints) <= 6)
+    wanted = dict(zip(*simhash._stars(prints, iter([(prints[pairs[:, 0]], prints[pairs[:, 1]])])), strict=True))
+    found = simhash.link_by_blocks(spark.createDataFrame(pd.DataFrame({"fp": prints.view(np.int64)})), 6, 500).toPandas().to_numpy(np.int64).view(np.uint64)
+    assert (np.bitwise_count(found[:, 0] ^ found[:, 1]) <= 64).all()
+    assert dict(zip(*simhash._stars(prints, iter([(found[:, 0], found[:, 1])])), strict=True)) == wanted
+    assert simhash.link_by_blocks(spark.createDataFrame([], "fp long"), 6).count() == 0
+
+
+def test_near_copies_and_outliers_of_one_component_take_few_rounds(spark, monkeypatch):
+    """Copies with few edits and many sets beside them that no copy reaches: the latter lead, and all is done in few rounds."""
+    rng = random.Random(13)
+    words = [f"v{i}" for i in range(4000)]
+    base, rows = [rng.choice(words) for _ in range(150)], []
+    for i in range(140):
+        other = list(base)
+        for _ in range(rng.randint(1, 2) if i < 100 else 14):  # the same places in several of them, so that edits are shared
+            other[rng.randrange(0, 150, 10)] = f"e{rng.randrange(3)}"
+        rows.append((i, " ".join(other)))
+    monkeypatch.setattr(copies, "TASK_SETS", 0)
+    monkeypatch.setattr(copies, "_candidates", lambda nodes, radius, shards: nodes.crossJoin(nodes.agg(copies.F.min("node").alias("b"))).select(copies.F.col("node").alias("a"), "b"))
+    turns, met = [], copies._met
+    monkeypatch.setattr(copies, "_met", lambda members, most, turn: turns.append(turn) or met(members, most, turn))
+    wanted = by_brute_force(rows)
+    assert 1 < len(set(wanted.values())) < 60
+    for large in (1024, 8):
+        monkeypatch.setattr(copies, "LARGE_GROUP", large)
+        monkeypatch.setattr(copies, "CELL_SHINGLES", 8192)
+        monkeypatch.setattr(copies, "LEADER_SHINGLES", 4096)
+        turns.clear()
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        assert {r.id: r.component for r in copies.near_duplicates(docs, 0.8).collect()} == wanted
+        assert len(turns) <= 4
